@@ -42,6 +42,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("historical")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maregraph.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maregraph.llm.common import crc_mod
+    from maregraph.llm.language_id import identify, train_language_id
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = train_language_id(docs, ~held_out)
+    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maregraph.llm.secrets import secret_scan
 
@@ -65,7 +81,7 @@ OP6_SQL = r"""
     g AS (SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM d GROUP BY text_sha256)
     SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op4_url_filter, op5_mix_sources, op6_exact_dedup, op9_secret_scan, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op4_url_filter, op5_mix_sources, op6_exact_dedup, op7_embedding_dedup, op8_language_id, op9_secret_scan, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
