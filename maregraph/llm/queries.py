@@ -24,6 +24,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), sentencepiece_pieces(_tokenizer("piece_bpe_32k.model")))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maregraph.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maregraph.llm.url_filter import url_filter
 
@@ -81,7 +87,7 @@ OP6_SQL = r"""
     g AS (SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM d GROUP BY text_sha256)
     SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op4_url_filter, op5_mix_sources, op6_exact_dedup, op7_embedding_dedup, op8_language_id, op9_secret_scan, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_jaccard_join, op4_url_filter, op5_mix_sources, op6_exact_dedup, op7_embedding_dedup, op8_language_id, op9_secret_scan, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
