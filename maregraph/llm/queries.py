@@ -18,6 +18,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maregraph.llm.common import crc_mod
+    from maregraph.llm.lm_scoring import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maregraph.llm.token_counts import sentencepiece_pieces, token_counts
 
@@ -87,7 +94,7 @@ OP6_SQL = r"""
     g AS (SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM d GROUP BY text_sha256)
     SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_jaccard_join, op4_url_filter, op5_mix_sources, op6_exact_dedup, op7_embedding_dedup, op8_language_id, op9_secret_scan, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_jaccard_join, op4_url_filter, op5_mix_sources, op6_exact_dedup, op7_embedding_dedup, op8_language_id, op9_secret_scan, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
