@@ -134,12 +134,9 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, id_col: str = "d
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns; of rows that repeat the winner's id and text, one."""
     kept = exact_dedup(docs, None, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_digest")).distinct()
-    digest = F.unhex(F.sha2(F.translate(text_or_empty(text_col), SPACE, "").cast("binary"), 256))
-    once = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_keep")) & (digest == F.col("_digest")))
-    rank = (-F.char_length(text_or_empty(text_col))).alias("_rank")
+    text = text_or_empty(text_col)
+    rows = docs.select(F.struct((-F.char_length(text)).alias("rank"), F.struct(*docs.columns).alias("row")).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.unhex(F.sha2(F.translate(text, SPACE, "").cast("binary"), 256)).alias("_own"))
+    once = rows.join(kept, (F.col("_own") == F.col("_digest")) & F.col("_id").eqNullSafe(F.col("_keep")))
     # equal ids and digests may still differ in white space or in other columns: the longest, then the least of all columns, is the one row
-    columns = [F.col(c) for c in docs.columns]
-    best = once.groupBy("_keep", "_digest").agg(F.min(F.struct(rank, *columns)).alias("best"))
-    return best.select(*(F.col("best")[c].alias(c) for c in docs.columns))
-
-
+    best = once.groupBy("_digest", "_keep").agg(F.min("_row").alias("_best"))
+    return best.select(*(F.col("_best")["row"].getField(c).alias(c) for c in docs.columns))

@@ -58,12 +58,12 @@ def period_schedule(quota: dict[str, int]) -> list[tuple[str, int, int, int, int
 
 
 def numbered(docs: DataFrame, source: Column, order: list[Column], parts: int = PARTS) -> DataFrame:
-    """docs with `_source` and `_rank`, the row's place (from 0) in its source by `order`, counted part by part."""
-    rows = docs.withColumns({"_source": source, "_part": F.pmod(order[0], F.lit(parts)).cast("int")})
+    """docs as `_row`, with `_source` and `_rank`, the row's place (from 0) in its source by `order`, counted part by part."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), source.alias("_source"), F.pmod(order[0], F.lit(parts)).cast("int").alias("_part"), *(c.alias(f"_by{k}") for k, c in enumerate(order)))
     counts = rows.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
     before = counts.select("_source", "_part", (F.sum("_n").over(Window.partitionBy("_source").orderBy("_part")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_source", "_part").orderBy(*order)) - 1
-    return rows.withColumn("_inside", inside).join(before, ["_source", "_part"]).withColumn("_rank", F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
+    inside = F.row_number().over(Window.partitionBy("_source", "_part").orderBy(*(f"_by{k}" for k in range(len(order))))) - 1
+    return rows.withColumn("_inside", inside).join(before, ["_source", "_part"]).select("_row", "_source", (F.col("_before") + F.col("_inside")).alias("_rank"))
 
 
 def tempered_weights(docs: DataFrame, source: Column, power: float) -> dict[str, float]:
@@ -77,6 +77,8 @@ def tempered_weights(docs: DataFrame, source: Column, power: float) -> dict[str,
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with `mix_block, mix_release, mix_deadline, mix_slot, mix_key` (long); ordering by mix_key is the mixture.
 
+    Columns of docs named mix_... are replaced by these.
+
     `weights`: target weight of each source (sources not named, and all without it: rows
     of the source ** power). A null source is a source of its own. No row is dropped or
     repeated: when a source has no blocks left its slots stay empty and the others go
@@ -99,7 +101,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     rows = rows.withColumn("mix_block", F.floor(F.col("_rank") / block)).withColumn("_j", F.col("mix_block") % F.col("_quota")).withColumn("_turn", F.floor(F.col("mix_block") / F.col("_quota")) * period)
     rows = rows.join(F.broadcast(table.drop("_quota")), ["_source", "_j"])
     slot = F.col("_turn") + F.col("_slot")
-    return rows.select(*(docs[c] for c in docs.columns), "mix_block", (F.col("_turn") + F.col("_release")).alias("mix_release"), (F.col("_turn") + F.col("_deadline")).alias("mix_deadline"), slot.alias("mix_slot"), (slot * block + F.col("_rank") % block).alias("mix_key"))
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if not c.startswith("mix_")]
+    return rows.select(*kept, "mix_block", (F.col("_turn") + F.col("_release")).alias("mix_release"), (F.col("_turn") + F.col("_deadline")).alias("mix_deadline"), slot.alias("mix_slot"), (slot * block + F.col("_rank") % block).alias("mix_key"))
 
 
 def in_mixed_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
