@@ -110,13 +110,13 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: int = 4096, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: int = 4096, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per piece: `id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket[, ids]`.
 
     Each text (null: empty) is its token ids and `end_id`. A piece is one sequence:
     `length` is a power of two up to `longest`, `offset` is 0, `bucket` its length, by
     which writers partition. An empty text gives one piece that holds `end_id`.
-    Repeated rows are packed each; other columns are ignored. No shuffle: sequence
+    Repeated rows are packed each; of other columns those named in `carry` go along. No shuffle: sequence
     ids follow from partition and order, which a recomputed scan repeats. The
     tokenizer file must lie at the same path on all machines.
     """
@@ -150,12 +150,13 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: int = 4
                 if with_ids:
                     columns.append(pa.array(kept, pa.list_(pa.int32())))
                     names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns += [part.column(2 + k).take(pa.array(rows, pa.int32())) for k in range(len(carry))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, *carry])
 
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
-    out = docs.select(id_col, text_col).mapInArrow(pieces, schema)
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []), *(docs.schema[c] for c in carry)])
+    out = docs.select(id_col, text_col, *carry).mapInArrow(pieces, schema)
     columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("bucket")]
-    return out.select(*columns, *(["ids"] if with_ids else []))
+    return out.select(*columns, *(["ids"] if with_ids else []), *carry)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
