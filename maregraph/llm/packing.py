@@ -11,7 +11,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,12 @@ class WordEncoder:
         return [t.id for t in self.tokenizer.model.tokenize(text)]
 
     def _word(self, raw: bytes) -> list[int]:
+        letters = raw.rstrip(b".,:;!?")
+        if letters.isalpha():  # A-Z and a-z alone, and then at most one run of signs
+            run = letters.lower().decode()
+            if (ids := self.runs.get(run)) is None:
+                ids = self.runs[run] = self._run(run)
+            return ids + self._word(raw[len(letters) :]) if len(letters) < len(raw) else ids
         word = raw.decode()
         if not self.PLAIN.fullmatch(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -89,11 +95,12 @@ class WordEncoder:
             self.clear()
         split = [t.encode().split() for t in texts]
         words = list(chain.from_iterable(split))
-        found = list(map(self.words.get, words))
-        if None in found:
-            self._learn(list({w for w, k in zip(words, found, strict=True) if k is None}))
-            found = list(map(self.words.__getitem__, words))
-        k = np.array(found, np.int64)
+        k = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(k < 0)
+        if len(unknown):
+            unseen = [words[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(unseen)))
+            k[unknown] = np.fromiter(map(self.words.__getitem__, unseen), np.int64, len(unseen))
         begin, n = self.ends[k], self.ends[k + 1] - self.ends[k]
         to = np.cumsum(n)
         ids = self.flat[np.repeat(begin - to + n, n) + np.arange(int(n.sum()))]
