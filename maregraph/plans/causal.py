@@ -61,10 +61,10 @@ def mask_reindex(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("variable", "hour").join(marked, ["variable", "hour"], "left").fillna(0, ["flagged"])
 
 
-@query(f"WITH {GRID}, o AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n_all, round(avg(value), 6) AS mean_all FROM events GROUP BY 1) SELECT h.variable, h.hour, h.value, o.n_all, o.mean_all FROM h LEFT JOIN o USING (hour)")
+@query(f"WITH {GRID}, o AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n_all, round(avg(value), 6) AS mean_all FROM events GROUP BY 1) SELECT h.variable, h.hour, h.value, coalesce(o.n_all, 0) AS n_all, o.mean_all FROM h LEFT JOIN o USING (hour)")
 def left_join_hourly(spark: SparkSession, sf: str) -> DataFrame:
     other = table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n_all"), F.round(F.avg("value"), 6).alias("mean_all"))
-    return grid(spark, sf).join(other, "hour", "left").select("variable", "hour", "value", "n_all", "mean_all")
+    return grid(spark, sf).join(other, "hour", "left").fillna(0, ["n_all"]).select("variable", "hour", "value", "n_all", "mean_all")
 
 
 @query(f"WITH {GRID} SELECT variable, hour, value FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY hour DESC) AS n FROM h WHERE value IS NOT NULL) WHERE n <= 240")
