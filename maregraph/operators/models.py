@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import json
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maregraph.functions.scalar import ordinal_probabilities
@@ -92,3 +94,29 @@ def tuned_threshold(table: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """One row `tau, f1`: the middle of the thresholds that share the best F1."""
     best = table.withColumn("_best", F.max("f1").over(Window.partitionBy(F.lit(1)))).filter(F.col("f1") >= F.col("_best") - tolerance)
     return best.agg(F.median("tau").alias("tau"), F.max("f1").alias("f1"))
+
+
+def save_model(model, path: str, parameters: dict) -> None:
+    """A fitted pipeline model beside its parameters, one JSON row."""
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.active().createDataFrame([(json.dumps(parameters, sort_keys=True),)], "parameters string").coalesce(1).write.mode("overwrite").json(f"{path}/parameters")
+
+
+def load_model(path: str) -> tuple:
+    row = SparkSession.active().read.schema("parameters string").json(f"{path}/parameters").first()
+    return PipelineModel.load(f"{path}/model"), json.loads(row["parameters"])
+
+
+def leave_one_out_forecasts(df: DataFrame, s: Series, value: str, fold: str, lags: int = 3) -> DataFrame:
+    """Each fold's rows forecast by a model of all others: `fold, mae, n`. One fit a fold, on normal equations summed by Spark."""
+    out, names = lagged(df, s, value, lags)
+    out = VectorAssembler(inputCols=names, outputCol="_x").transform(out.dropna(subset=[*names, value]))
+    parts = []
+    for (held,) in out.select(fold).distinct().orderBy(fold).limit(1000).collect():
+        fitted = LinearRegression(featuresCol="_x", labelCol=value, predictionCol="predicted", solver="normal").fit(out.filter(F.col(fold) != held))
+        scored = fitted.transform(out.filter(F.col(fold) == held))
+        parts.append(scored.agg(F.lit(held).alias("fold"), F.avg(F.abs(F.col(value) - F.col("predicted"))).alias("mae"), F.count("*").alias("n")))
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result

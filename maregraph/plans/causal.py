@@ -13,9 +13,11 @@ from maregraph.operators import inject as I
 from maregraph.operators import models as M
 from maregraph.operators.classical import classic_spike
 from maregraph.operators.series import Series, hourly, interpolated, sequences, split, tail, with_statistics
-from maregraph.plans.classical import S1
-from maregraph.plans.registry import KEY, KEYS, OBS, OBS_SQL, PART, W, frame, obs, query, rounded, table
-from maregraph.sources.tables import TIME_PARTS, hourly_payload, read_observations, timestamp
+from maregraph.operators import classical
+from maregraph.operators.chunked import in_chunks
+from maregraph.plans.classical import S1, SCORES, Q
+from maregraph.plans.registry import KEY, KEYS, OBS, OBS_SQL, PART, W, frame, obs, query, rounded, scratch, table
+from maregraph.sources.tables import TIME_PARTS, hourly_payload, read_observations, read_wind, timestamp
 
 HOURLY = Series(("variable",), ("hour",), "value")
 HW = "PARTITION BY variable ORDER BY hour"
@@ -235,6 +237,53 @@ def alpha_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return D.alpha_sweep(scored, ("variable",), "p_robust", F.col("event_id") % 29 == 0)
 
 
+@query(f"WITH {SCORES} SELECT {KEYS}, round(mad_score, 6) AS mad_score, round(local_std, 5) AS local_std_score FROM sc")
+def mad_score_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    """The rolling tests with every series cut into chunks, as for series that no task can hold."""
+    out = in_chunks(obs(spark, sf), OBS, 64, classical.scores, F.to_date("ts"), rows=150)
+    return out.select(*KEY, F.round("mad_score", 6).alias("mad_score"), F.round("local_std_score", 5).alias("local_std_score"))
+
+
+@query(_list_median(f"WITH {FILLED}, src AS (SELECT * FROM e), {_trail('x')} SELECT {KEYS}, round(coalesce(abs(x - med) / (1.4826 * mad + 1e-6), 0), 5) AS level_score FROM td"))
+def level_score_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(in_chunks(filled(spark, sf), OBS, 24, K.level_score, F.to_date("ts"), rows=100).select(*KEY, "level_score"), "level_score", digits=5)
+
+
+@query(f"WITH {OBS_SQL}, {Q} SELECT {KEYS}, round(q, 6) AS q, q_dixon_flag FROM qf")
+def qdixon_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    out = in_chunks(obs(spark, sf).filter("x is not null"), OBS, 10, classical.q_dixon, F.to_date("ts"), rows=100)
+    return rounded(out.select(*KEY, "q", "q_dixon_flag"), "q")
+
+
+@query()
+def causal_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The classifier's vector: trailing scores, range, tail scores, memory, slopes, persistence, mask."""
+    base = predicted(spark, sf).withColumn("residual", F.coalesce(F.col("x") - F.col("predicted"), F.lit(0.0)))
+    out = K.acceleration_score(K.level_score(base, OBS), OBS).withColumns({"rate": K.rate(OBS), "outside": (~F.col("x").between(0, 250)).cast("int")})
+    out = K.sign_persistence(K.rolling_slope(out, OBS, "residual"), OBS, "residual")
+    out = D.gpd_pvalues(D.robust_t(out, OBS.keys, "residual", folded=False), OBS.keys, "residual")
+    memory = K.recursive_memory(base, OBS, "residual", ("event_id",)).drop("ts")
+    out = out.join(memory, list(KEY)).join(obs(spark, sf).select("event_id", F.col("x").isNull().cast("int").alias("missing_mask")), "event_id")
+    surprise = lambda p: -F.ln(F.col(p) + 1e-12)
+    columns = ["x", "residual", "acc_score", "level_score", "rate", "outside", *(f"ewma_{k}" for k in range(3)), "cusum_pos", "cusum_neg", *(f"slope_{w}" for w in K.SLOPE_WINDOWS), "persistence", "missing_mask"]
+    return out.select(*KEY, *columns, surprise("p_robust").alias("mad_surprise"), surprise("p_gpd").alias("gpd_surprise"))
+
+
+@query(f"WITH {GRID}, o AS (SELECT date_trunc('hour', ts) AS hour, round(avg(value) FILTER (event_type = 'view'), 6) AS speed FROM events GROUP BY 1) SELECT variable, hour, value, speed FROM h LEFT JOIN o USING (hour)")
+def wind_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly values beside a wind file that is written and read back."""
+    path = f"{scratch(spark)}/wind-{uuid.uuid4().hex}"
+    wind = table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.round(F.avg(F.when(F.col("event_type") == "view", F.col("value"))), 6).alias("speed"))
+    wind.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("datetime_utc"), F.col("speed").alias("wind_speed_10m"), F.lit(None).cast("double").alias("wind_direction_10m"), F.lit(None).cast("double").alias("wind_gusts_10m")).write.option("header", True).option("nullValue", "NULL").csv(path)
+    read = read_wind(spark, path).select(F.col("ts").cast("timestamp_ntz").alias("hour"), F.col("wind_speed_10m").alias("speed"))
+    return grid(spark, sf).join(read, "hour", "left").select("variable", "hour", "value", "speed")
+
+
+@query()
+def lobo_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return M.leave_one_out_forecasts(filled(spark, sf), OBS, "x", "station")
+
+
 @query()
 def gpd_fit(spark: SparkSession, sf: str) -> DataFrame:
     return D.gpd_fit(predicted(spark, sf), OBS.keys, "diff")
@@ -337,12 +386,7 @@ def ts_from_parts(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, date_trunc('second', ts) AS ts, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS x FROM events WHERE event_id % 23 <> 0")
 def scan_ocean(spark: SparkSession, sf: str) -> DataFrame:
     """Events written as observation files (comments, missing tokens, bad times) and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="maregraph-")
-    path = f"{base}/ocean-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/ocean-{uuid.uuid4().hex}"
     ts, i = F.col("ts").cast("timestamp"), F.col("event_id")
     parts = dict(zip(TIME_PARTS, (F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.second(ts)), strict=True))
     parts["MONTH"] = F.when(i % 23 == 0, 13).otherwise(parts["MONTH"])

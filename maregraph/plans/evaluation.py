@@ -12,7 +12,7 @@ from maregraph.operators import metrics as E
 from maregraph.operators import models as M
 from maregraph.operators.series import Series
 from maregraph.plans.classical import FULL, flags
-from maregraph.plans.registry import KEY, KEYS, OBS, OBS_SQL, obs, query, rounded, table
+from maregraph.plans.registry import KEY, KEYS, OBS, OBS_SQL, obs, query, rounded, scratch, table
 from maregraph.streaming import quality as Q
 
 # Truth and score: documents' toxic label, scored by the share of characters in a fixed range of lengths; tied on purpose.
@@ -217,6 +217,12 @@ def seed_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m.withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean")))), "mean", digits=8)
 
 
+@query(f"WITH {RUNS}, a AS (SELECT model_seed, stddev_samp(f1) AS sd, avg(f1) AS mean FROM ru GROUP BY 1) SELECT model_seed, sd < 0.05 AS stable, mean > 0.45 AS above_base, sd < 0.05 AND mean > 0.45 AS accepted FROM a")
+def acceptance_gates(spark: SparkSession, sf: str) -> DataFrame:
+    a = runs(spark, sf).groupBy("model_seed").agg((F.stddev_samp("f1") < 0.05).alias("stable"), (F.avg("f1") > 0.45).alias("above_base"))
+    return a.withColumn("accepted", F.col("stable") & F.col("above_base"))
+
+
 @query(f"WITH {RUNS} SELECT model_seed, round(sum(f1 * n) / sum(n), 8) AS weighted, round(avg(f1), 8) AS plain, round(stddev_samp(f1), 8) AS sd FROM ru GROUP BY 1")
 def weighted_rate(spark: SparkSession, sf: str) -> DataFrame:
     return runs(spark, sf).groupBy("model_seed").agg(F.round(F.sum(F.col("f1") * F.col("n")) / F.sum("n"), 8).alias("weighted"), F.round(F.avg("f1"), 8).alias("plain"), F.round(F.stddev_samp("f1"), 8).alias("sd"))
@@ -358,12 +364,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def _finished(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """All of a stream's rows: written to the session's shared folder, its state beside."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="maregraph-")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
