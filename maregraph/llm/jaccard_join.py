@@ -158,7 +158,11 @@ def _with_leader(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows `token, rep`: the shared ones of the first n - least_overlap(n) + 1 shingles, rarest first."""
+    """Rows `token, asks, ...`: the shared ones of the first n - least_overlap(n) + 1 shingles, rarest first.
+
+    Of two partners the smaller set asks. It shares at least 2 * percent / (100 + percent)
+    of its own shingles, so only the shingles of a shorter prefix ask.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,11 +170,13 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
             tokens = [_tokens(t) for t in batch.column("tokens").to_pylist()]
             take = [max(0, int(k) - int(least_overlap(int(k), percent)) + 1 - (int(k) - len(t))) for k, t in zip(n, tokens, strict=True)]
             out = [t[:k] for t, k in zip(tokens, take, strict=True)]
+            short = [int(k) + 2 * percent * -int(k) // (100 + percent) + 1 - (int(k) - len(t)) for k, t in zip(n, tokens, strict=True)]
+            asks = np.concatenate([np.zeros(0, bool), *(np.arange(len(t)) < k for t, k in zip(out, short, strict=True))])
             at = np.repeat(np.arange(len(out)), [len(t) for t in out])
             columns = {c: batch.column(c).take(pa.array(at)) for c in ("rep", "n", "home", "gid")}
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<u8"), *out]).view(np.int64)), *columns.values()], ["token", *columns])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<u8"), *out]).view(np.int64)), pa.array(asks), *columns.values()], ["token", "asks", *columns])
 
-    return sets.select("rep", "n", "tokens", "home", "gid").mapInArrow(spread, "token long, rep long, n long, home long, gid long")
+    return sets.select("rep", "n", "tokens", "home", "gid").mapInArrow(spread, "token long, asks boolean, rep long, n long, home long, gid long")
 
 
 def _open_groups(call: pa.Table, percent: int) -> pa.Table:
@@ -232,8 +238,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     useful = prefixes.groupBy("token").agg(F.min("home").alias("h0"), F.max("home").alias("h1")).filter("h0 <> h1").select("token")
     prefixes = persisted(prefixes.join(useful, "token"), "prefixes")
     index = prefixes.select("token", "gid").distinct().join(groups, "gid")
-    asks = prefixes.select("token", "rep", "n", "home")
-    # of two partners the smaller set asks, so a group without a set as large is of no use
+    asks = prefixes.filter("asks").select("token", "rep", "n", "home")
+    # a group without a set as large as the asking one is of no use
     fits = (F.col("most") >= F.col("n")) & (F.col("least") * percent <= F.col("n") * 100) & ~F.col("pure").eqNullSafe(F.col("home"))
     wanted = persisted(asks.join(index, "token").filter(fits).select("rep", "gid").distinct(), "wanted")
     asked = wanted.groupBy("gid").agg(F.count("*").alias("q")).withColumn("parts", F.ceil(F.col("q") / QUERIES))
