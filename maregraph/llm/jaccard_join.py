@@ -8,9 +8,9 @@ threshold are opened.
 
 Two things keep the work near-linear without losing a link. A shingle that no other
 document has can't be shared, so documents with too many of those are alone and the
-rarest shingles come first in every prefix. And members that link to their group's
-leader are one component from the start: groups of one component are never opened
-for queries of the same.
+rarest shingles come first in every prefix. And sets that link to the leader of one of
+their min-hash classes are one component from the start: groups of one component are
+never opened for queries of the same.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from maregraph.llm.common import persisted
 from maregraph.llm.components import connected_components
 
 #: Characters of text to a block, distinct shingles to a range, members to a group, queries that meet a group at once, sets to a call.
-BLOCK_CHARS, RANGE_SHINGLES, MEMBERS, QUERIES, CALL_SETS = 6_000_000, 3_000_000, 128, 1024, 3000
+BLOCK_CHARS, RANGE_SHINGLES, MEMBERS, QUERIES, CALL_SETS = 6_000_000, 3_000_000, 512, 1024, 3000
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -133,35 +133,43 @@ def _document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, "doc_id long, n long, d1 long, d2 long, tokens binary")
 
 
-def _with_leader(reps: DataFrame, percent: int) -> DataFrame:
-    """Representatives with the leader of their min-hash class (the one with the largest shared part) and whether they link to it."""
+def _keyed(reps: DataFrame) -> DataFrame:
+    """Rows `rep, n, tokens, kind, g`: each set under two min-hashes and its most common shingle."""
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            with np.errstate(over="ignore"):
-                least = [int(((t * STEP) ^ ((t * STEP) >> np.uint64(30))).min().view(np.int64)) for t in map(_tokens, batch.column("tokens").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*batch.schema.names, "g"])
+            found = []
+            for t in map(_tokens, batch.column("tokens").to_pylist()):
+                with np.errstate(over="ignore"):
+                    found += [(((t * m) ^ ((t * m) >> np.uint64(30))).min(), k) for k, m in enumerate((STEP, MIX))] + [(t[-1], 2)]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), 3))
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array([k for _, k in found], pa.int32()), pa.array([int(g.view(np.int64)) for g, _ in found], pa.int64())], [*batch.schema.names, "kind", "g"])
 
-    keyed = persisted(reps.mapInArrow(key, "rep long, n long, tokens binary, g long"), "min-hashed")
+    return reps.mapInArrow(keys, "rep long, n long, tokens binary, kind int, g long")
+
+
+def _leader_links(keyed: DataFrame, percent: int) -> DataFrame:
+    """Links `a, b` of sets to the leader of each of their keys: the set with the largest shared part, then the largest."""
     alone = (1 - F.length("tokens") / 8 / F.col("n")).alias("alone")
-    lead = keyed.groupBy("g").agg(F.min(F.struct(alone, "rep", "n", "tokens")).alias("lead")).select("g", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("ln"), F.col("lead.tokens").alias("lt"))
+    lead = keyed.groupBy("kind", "g").agg(F.min(F.struct(alone, (-F.col("n")).alias("size"), "rep", "tokens")).alias("lead")).select("kind", "g", F.col("lead.rep").alias("leader"), (-F.col("lead.size")).alias("ln"), F.col("lead.tokens").alias("lt"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for rep, n, t, leader, ln, lt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                both = len(np.intersect1d(_tokens(t), _tokens(lt), assume_unique=True)) if rep != leader else 0
-                linked.append(rep == leader or 100 * both >= percent * (n + ln - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_())], ["rep", "n", "tokens", "leader", "linked"])
+            for n, t, ln, lt in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                both = len(np.intersect1d(_tokens(t), _tokens(lt), assume_unique=True))
+                linked.append(100 * both >= percent * (n + ln - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return keyed.join(lead, "g").select("rep", "n", "tokens", "leader", "ln", "lt").mapInArrow(compare, "rep long, n long, tokens binary, leader long, linked boolean")
+    near = (F.col("rep") != F.col("leader")) & (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent)
+    return keyed.join(lead, ["kind", "g"]).filter(near).select("rep", "leader", "n", "tokens", "ln", "lt").mapInArrow(compare, "a long, b long")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows `token, asks, ...`: the shared ones of the first n - least_overlap(n) + 1 shingles, rarest first.
+    """Rows `token, short, ...`: the shared ones of the first n - least_overlap(n) + 1 shingles, rarest first.
 
-    Of two partners the smaller set asks. It shares at least 2 * percent / (100 + percent)
-    of its own shingles, so only the shingles of a shorter prefix ask.
+    The smaller of two partners shares at least 2 * percent / (100 + percent) of its own
+    shingles, so partners meet in a shingle that is in a shorter prefix (`short`) of it.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +181,10 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
             short = [int(k) + 2 * percent * -int(k) // (100 + percent) + 1 - (int(k) - len(t)) for k, t in zip(n, tokens, strict=True)]
             asks = np.concatenate([np.zeros(0, bool), *(np.arange(len(t)) < k for t, k in zip(out, short, strict=True))])
             at = np.repeat(np.arange(len(out)), [len(t) for t in out])
-            columns = {c: batch.column(c).take(pa.array(at)) for c in ("rep", "n", "home", "gid")}
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<u8"), *out]).view(np.int64)), pa.array(asks), *columns.values()], ["token", "asks", *columns])
+            columns = {c: batch.column(c).take(pa.array(at)) for c in ("rep", "n", "home", "gid", "weight")} | {"shared": pa.array(np.array([len(t) for t in tokens], np.int64)[at])}
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<u8"), *out]).view(np.int64)), pa.array(asks), *columns.values()], ["token", "short", *columns])
 
-    return sets.select("rep", "n", "tokens", "home", "gid").mapInArrow(spread, "token long, asks boolean, rep long, n long, home long, gid long")
+    return sets.select("rep", "n", "tokens", "home", "gid", "weight").mapInArrow(spread, "token long, short boolean, rep long, n long, home long, gid long, weight long, shared long")
 
 
 def _open_groups(call: pa.Table, percent: int) -> pa.Table:
@@ -191,19 +199,21 @@ def _open_groups(call: pa.Table, percent: int) -> pa.Table:
         if mid == lo or mid == hi:
             continue
         sets = [_tokens(t) for t in raw[lo:mid]]
-        union, where = np.unique(np.concatenate(sets), return_inverse=True)
-        matrix = np.zeros((len(union), mid - lo), bool)  # the group's rows of the token-group matrix, one column a member
-        matrix[where, np.repeat(np.arange(mid - lo), [len(s) for s in sets])] = True
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        # the group's part of the token-group matrix: its union, each token with the members that hold it
+        tokens, holder = every[order], np.repeat(np.arange(mid - lo), [len(s) for s in sets])[order]
         sizes, homes, reps = n[lo:mid], home[lo:mid], rep[lo:mid]
         for k in range(mid, hi):
             asked = _tokens(raw[k])
-            at = np.minimum(np.searchsorted(union, asked), len(union) - 1)
-            at = at[union[at] == asked]
-            larger = sizes[sizes >= n[k]]
-            if not len(larger) or (100 + percent) * len(at) < percent * (n[k] + larger.min()):
+            begin, end = np.searchsorted(tokens, asked), np.searchsorted(tokens, asked, "right")
+            held = end - begin
+            sized = sizes[(sizes * 100 >= n[k] * percent) & (sizes * percent <= n[k] * 100)]
+            if not len(sized) or (100 + percent) * np.count_nonzero(held) < percent * (n[k] + sized.min()):
                 continue
-            both = matrix[at].sum(axis=0)
-            hit = (100 * both >= percent * (n[k] + sizes - both)) & (sizes >= n[k]) & (homes != home[k]) & (reps != rep[k])
+            to = np.cumsum(held)
+            both = np.bincount(holder[np.repeat(begin - to + held, held) + np.arange(to[-1])], minlength=len(sizes))
+            hit = (100 * both >= percent * (n[k] + sizes - both)) & (homes != home[k]) & (reps != rep[k])
             found.update((int(home[k]), int(h)) for h in np.unique(homes[hit]))
     a, b = zip(*sorted(found), strict=True) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -226,22 +236,32 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     sets = persisted(_document_sets(rows, words, percent), "shingle-sets")
     carried = sets.filter("tokens is not null")
     classes = persisted(carried.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "tokens")).alias("best")).select("n", "d1", "d2", F.col("best.doc_id").alias("rep"), F.col("best.tokens").alias("tokens")), "shingle-classes")
-    led = persisted(_with_leader(classes.select("rep", "n", "tokens"), percent), "led")
-    # a document that links to its leader is of the leader's component, any other of its own
-    led = led.withColumn("home", F.when(F.col("linked"), F.col("leader")).otherwise(F.col("rep")))
-    sizes = led.groupBy("leader", "linked").agg(F.count("*").alias("c"))
-    gid = F.xxhash64("leader", "linked", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / MEMBERS)))
-    grouped = persisted(led.join(sizes, ["leader", "linked"]).select("rep", "n", "tokens", "home", gid.alias("gid")), "groups")
-    groups = grouped.groupBy("gid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.when(F.min("home") == F.max("home"), F.min("home")).alias("pure"))
+    keyed = persisted(_keyed(classes.select("rep", "n", "tokens")), "keyed")
+    # sets that link to a leader are one component from the start; `home` is the component known so far
+    led = connected_components(_leader_links(keyed, percent)).select(F.col("node").alias("rep"), "root")
+    homed = keyed.filter("kind = 0").join(led, "rep", "left").select("rep", "n", "tokens", "g", F.coalesce("root", "rep").alias("home"), F.col("root").isNotNull().alias("joined"))
+    homed = persisted(homed.withColumn("key", F.when(F.col("joined"), F.col("home")).otherwise(F.col("g"))), "homes")
+    sizes = homed.groupBy("joined", "key").agg(F.count("*").alias("c"))
+    gid = F.xxhash64("joined", "key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / MEMBERS)))
+    weight = F.when(F.col("joined"), F.col("c")).otherwise(1).cast("long").alias("weight")
+    grouped = persisted(homed.join(sizes, ["joined", "key"]).select("rep", "n", "tokens", "home", gid.alias("gid"), weight), "groups")
+    groups = grouped.groupBy("gid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.length("tokens") / 8).cast("long").alias("reach"), F.min("home").alias("pure"), F.min("weight").alias("mass"))
     prefixes = persisted(_prefixes(grouped, percent), "prefixes")
     # shingles of one component only can't join two
     useful = prefixes.groupBy("token").agg(F.min("home").alias("h0"), F.max("home").alias("h1")).filter("h0 <> h1").select("token")
     prefixes = persisted(prefixes.join(useful, "token"), "prefixes")
-    index = prefixes.select("token", "gid").distinct().join(groups, "gid")
-    asks = prefixes.filter("asks").select("token", "rep", "n", "home")
-    # a group without a set as large as the asking one is of no use
-    fits = (F.col("most") >= F.col("n")) & (F.col("least") * percent <= F.col("n") * 100) & ~F.col("pure").eqNullSafe(F.col("home"))
-    wanted = persisted(asks.join(index, "token").filter(fits).select("rep", "gid").distinct(), "wanted")
+    index = prefixes.groupBy("token", "gid").agg(F.max("short").alias("short_there")).join(groups, "gid")
+    asks = prefixes.select("token", "short", "rep", "n", "home", "weight", "shared")
+    least_partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    shares = lambda size: (100 + percent) * F.least("reach", "shared") >= percent * (F.col("n") + size)
+    sized = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
+    # sets of a smaller component ask the groups of a larger one, so a large one is asked by group and never asks by member
+    upward = (F.col("mass") > 1) & (F.struct("mass", "pure") > F.struct("weight", "home")) & (F.col("short") | F.col("short_there")) & shares(least_partner)
+    # of two single sets the smaller asks
+    single = (F.col("mass") == 1) & (F.col("weight") == 1) & F.col("short") & (F.col("most") >= F.col("n")) & shares(F.greatest("least", "n"))
+    fits = sized & (upward | single)
+    met = asks.join(index, "token").filter(fits).select("rep", "gid")
+    wanted = persisted(met.distinct(), "wanted")
     asked = wanted.groupBy("gid").agg(F.count("*").alias("q")).withColumn("parts", F.ceil(F.col("q") / QUERIES))
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
     body = ["gid", "part", "member", "rep", "n", "home", "tokens"]
@@ -257,7 +277,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     roots = connected_components(links)
     rooted = persisted(grouped.select("rep", "home").join(roots.withColumnRenamed("node", "home"), "home", "left").select("rep", F.coalesce("root", "home").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    labels = rooted.join(least, "root").select("rep", "component")
+    # an id that rows of several sets share is one node, and its row here is one
+    labels = rooted.join(least, "root").groupBy("rep").agg(F.min("component").alias("component"))
     named = classes.select("n", "d1", "d2", "rep").join(labels, "rep").select("n", "d1", "d2", "component")
     out = sets.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -186,6 +186,12 @@ def test_jaccard_null_ids_and_empty_table(spark):
     assert jaccard_join.jaccard_components(df.filter("false")).count() == 0
 
 
+def test_jaccard_ids_that_repeat_with_other_texts(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z"), (4, "p q r s")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_components_of_paths_and_hubs(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(1000, 1200)] + [(7, 7)] + [(i, 300 - i) for i in range(200, 240)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
