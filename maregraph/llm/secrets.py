@@ -53,19 +53,8 @@ def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     if not access:
         return []
     assigned = sorted((s, e) for s, e, kind in base if kind == "assign")
-    reach = max(e for _, e in access)
-    covered: list[tuple[int, int]] = []  # scopes joined where they meet
-    for s, e in access:
-        if covered and s - scope <= covered[-1][1]:
-            covered[-1] = (covered[-1][0], max(covered[-1][1], e + scope))
-        else:
-            covered.append((s - scope, e + scope))
     taken = {(s, e) for s, e, _ in base}
-    bare = []
-    for lo, hi in covered:
-        # whole words that reach into the covered text
-        lo, hi = max(0, lo - 40), min(len(text), hi + 40)
-        bare += [(m.start(), m.end()) for m in WEAK_SECRET.finditer(text, lo, hi)]
+    bare = [(m.start(), m.end()) for m in WEAK_SECRET.finditer(text)]
     ends = [e for _, e in access]
     starts = [s for s, _ in access]
 
@@ -81,12 +70,11 @@ def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
         at = bisect_right(base_starts, s)
         return base_sorted[max(0, at - 3) : at]
 
-    weak = [(s, e) for s, e in dict.fromkeys(bare) if near(s, e) and not inside(s, e)]
+    weak = [(s, e) for s, e in bare if near(s, e) and not inside(s, e)]
     with_secret = {i for s, e in [*weak, *assigned] for i in near(s, e)}
     out = [(s, e, "weak_secret") for s, e in weak]
     if with_secret:
-        found = dict.fromkeys((m.start(), m.end()) for lo, hi in covered for m in ENDPOINT.finditer(text, max(0, lo - 200), min(len(text), hi + 200, reach + scope + 200)))
-        out += [(s, e, "endpoint") for s, e in found if any(i in with_secret for i in near(s, e))]
+        out += [(s, e, "endpoint") for s, e in (m.span() for m in ENDPOINT.finditer(text)) if any(i in with_secret for i in near(s, e))]
     return out
 
 
