@@ -4,7 +4,9 @@ A vector is turned by random signs and fast Hadamard transforms, three times eac
 coordinate of largest magnitude, with its sign, is the hash. A table's bucket joins
 several such hashes. Every vector lives in one bucket of each table and also visits the
 buckets that a near neighbour would most likely live in. Pairs that meet are verified
-by their cosine in double precision.
+by their cosine in double precision. More vectors take more joined hashes, by which a
+pair meets in one table less often, so tables are added until a pair at the least
+cosine is missed by all of them with a probability of MISS at most.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,12 @@ from pyspark.sql import types as T
 from maregraph.llm.common import persisted
 from maregraph.llm.components import connected_components
 
-#: Tables, buckets visited beside the own one, least cosine of a link.
+#: Tables at least, buckets visited beside the own one, least cosine of a link.
 TABLES, VISITS, COSINE = 8, 2, 0.9
+#: Most probable share of the pairs at the least cosine that meet in no table, for any number of vectors.
+MISS = 0.005
+#: Tables for which a further joined hash isn't worth it: buckets grow instead.
+MOST_TABLES = 48
 #: Rows of one bucket that are compared in one block; rows that one call handles.
 BLOCK, CALL_ROWS = 512, 6000
 #: Vectors to a bucket, about, for which the number of joined hashes is chosen.
@@ -81,6 +88,42 @@ def _met(keys_a: np.ndarray, keys_b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at_a | at_b, np.minimum(np.where(at_a, home_a[:, :, 0], far), np.where(at_b, home_b[:, :, 0], far))
 
 
+def pairs_at(cosine: float, n: int, width: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """n pairs of unit vectors at just this cosine, in directions drawn evenly."""
+    a, b = np.random.default_rng(seed).standard_normal((2, n, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * b
+
+
+@lru_cache(maxsize=64)
+def tables_needed(width: int, hashes: int, visits: int, cosine: float, miss: float = MISS) -> float:
+    """Tables in which pairs at `cosine` all fail to meet with a probability of `miss` at most; infinite if none will do.
+
+    Tables are drawn apart, so it follows from the share of pairs that meet in one, here
+    of drawn pairs in 32 tables of other seeds, less two standard errors.
+    """
+    width = max(2, width)
+    n, drawn = max(64, min(512, (1 << 17) // width)), 32
+    a, b = pairs_at(cosine, n, width)
+    met = _met(bucket_keys(a, drawn, hashes, visits, seed=12), bucket_keys(b, drawn, hashes, visits, seed=12))[0].mean()
+    least = met - 2 * math.sqrt(met * (1 - met) / (n * drawn))
+    return math.inf if least <= 0 else 1 if least >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - least)))
+
+
+def hashes_and_tables(n: int, width: int, tables: int, visits: int, cosine: float, hashes: int | None = None) -> tuple[int, int]:
+    """Joined hashes for n vectors (or as given) and tables, `tables` at least, that keep to MISS."""
+    d = 1 << max(1, (width - 1).bit_length())
+    given = hashes is not None
+    hashes = hashes or max(1, min(round(math.log(max(1, n / FILL)) / math.log(2 * d)), int(62 / math.log2(2 * d))))
+    while (need := tables_needed(width, hashes, visits, min(cosine, 1.0))) > max(tables, MOST_TABLES) and hashes > 1 and not given:
+        hashes -= 1
+    if need == math.inf:
+        raise ValueError(f"pairs at a cosine of {cosine} are too far apart to meet by hashes")
+    return hashes, max(tables, int(need))
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Of links between rows, those that join trees."""
     up = list(range(n))
@@ -99,10 +142,13 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, visits: int = VISITS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, visits: int = VISITS, id_col: str = "vec_id", vector_col: str = "embedding", hashes: int | None = None) -> DataFrame:
     """Rows `vec_id, n_links, component_id, kept`, one for each row of vectors.
 
-    Two vectors link if they meet in a bucket and their cosine is `cosine` or more.
+    Two vectors link if they meet in a bucket and their cosine is `cosine` or more; a
+    pair at just `cosine` meets in none with a probability of MISS at most. `tables` is
+    the least number of tables, `hashes` (by default chosen by the number of vectors)
+    that of joined hashes.
     Identical vectors always link: they are one class while others are sought, and
     repeated rows count as other vectors. Null and zero vectors, vectors with null or
     non-finite components and rows with a null id link with nothing. Vectors of unlike
@@ -130,8 +176,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     rows = persisted(vectors.select(id_col, vector_col).mapInArrow(read, "vec_id long, key binary, raw binary"), "vectors")
     classes = persisted(rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.min("raw").alias("raw")), "vector-classes")
     n, widest = classes.agg(F.count("*"), F.max(F.length("raw"))).first()
-    d = 1 << max(1, ((widest or 4) // int(kind[2]) - 1).bit_length())
-    hashes = max(1, min(round(math.log(max(1, n / FILL)) / math.log(2 * d)), int(62 / math.log2(2 * d))))
+    hashes, tables = hashes_and_tables(n, (widest or 4) // int(kind[2]) or 1, tables, visits, cosine, hashes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -320,6 +320,28 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_duplicates(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("hashes", [1, 2, 3, 4])
+def test_recall_at_the_least_cosine(hashes):
+    a, b = embedding_dedup.pairs_at(0.9, 1000, 64, seed=77)
+    got, tables = embedding_dedup.hashes_and_tables(0, 64, 8, 2, 0.9, hashes)
+    met = embedding_dedup._met(embedding_dedup.bucket_keys(a, tables, got, 2), embedding_dedup.bucket_keys(b, tables, got, 2))[0]
+    assert got == hashes and met.any(axis=1).mean() >= 0.99
+
+
+def test_tables_grow_with_the_hashes():
+    plans = [embedding_dedup.hashes_and_tables(n, 64, 8, 2, 0.9) for n in (0, 2000, 50_000, 10**6, 10**8, 10**12)]
+    assert plans == sorted(plans) and plans[0][1] >= 8 and all(t >= embedding_dedup.tables_needed(64, h, 2, 0.9) for h, t in plans)
+    with pytest.raises(ValueError):
+        embedding_dedup.hashes_and_tables(10, 512, 8, 0, -1.0)
+
+
+def test_near_vectors_by_three_hashes(spark):
+    a, b = embedding_dedup.pairs_at(0.902, 300, 64, seed=8)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(np.concatenate([a, b]).tolist())], "vec_id long, embedding array<float>")
+    got = rows_of(embedding_dedup.near_duplicates(df, hashes=3), "vec_id")
+    assert sum(got[i].n_links == 1 and got[i + 300].component_id == i for i in range(300)) >= 0.985 * 300
+
+
 # 8
 def test_language_id(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
