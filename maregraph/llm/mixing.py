@@ -3,27 +3,35 @@
 Every source's documents, in an order drawn by hash, are cut into blocks. Block j of a
 source with weight w is released at slot floor(j / w) and due by slot ceil((j + 1) / w);
 earliest deadline first fills one slot after another. Then at any slot each source has
-had less than one block more or less than its weight's share. Weights are whole
-quotas of a period, so the schedule of one period, made once, repeats: where a block
-goes is a lookup, and no task sees a whole source.
+had less than one block more or less than its weight's share. Weights are exact
+fractions. The driver runs through the blocks (not the rows) once and keeps how many
+each source had at the start of every stretch; tasks run through the stretches again
+to write the blocks' slots, which meet the rows part by part. No task sees a whole source.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import isfinite, lcm
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maregraph.llm.common import shared_dir
 
 #: Documents to a block.
 BLOCK = 16
-#: Slots of a period, at least; and slots for each source.
-PERIOD, PERIOD_A_SOURCE = 1200, 20
+#: Blocks to a stretch of the schedule, at least; and for each source.
+STRETCH, STRETCH_A_SOURCE = 8192, 64
 #: Parts into which a source is dealt to number its rows.
 PARTS = 512
-#: Most sources: their quotas and the period's schedule are made on the driver.
+#: Most sources: their weights and counts are held on the driver.
 MOST_SOURCES = 50_000
 
 
@@ -40,38 +48,86 @@ def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def period_schedule(quota: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of one period by earliest deadline first; ties by name."""
-    period, waiting, ready, out = sum(quota.values()), [], [], []
-    window = lambda s, j: (j * period // quota[s], -(-(j + 1) * period // quota[s]))
-    for s in sorted(quota):
-        heapq.heappush(waiting, (0, s, 0))
-    for slot in range(period):
+def whole_weights(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the weights' proportions."""
+    if any(not (w > 0 and isfinite(w)) for w in weights):
+        raise ValueError("weights must be positive and finite")
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(f.denominator for f in exact))
+    return [int(f * scale) for f in exact]
+
+
+def schedule(weights: list[int], blocks: list[int], done: list[int], slot: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, release, deadline, slot) by earliest deadline first from a slot on, when sources (by number) had `done` blocks; ties by number.
+
+    A source out of blocks takes no more slots; the others' windows stay as they are.
+    """
+    total, waiting, ready = sum(weights), [], []
+    release = lambda s, j: j * total // weights[s]
+    for s, j in enumerate(done):
+        if j < blocks[s]:
+            heapq.heappush(waiting, (release(s, j), s, j))
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (window(s, j)[1], s, j))
-        due, s, j = heapq.heappop(ready)
-        out.append((s, j, window(s, j)[0], due, slot))
-        if j + 1 < quota[s]:
-            heapq.heappush(waiting, (window(s, j + 1)[0], s, j + 1))
-    return out
+            r, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j, r))
+        due, s, j, r = heapq.heappop(ready)
+        yield s, j, r, due, slot
+        slot += 1
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
+
+
+def stretches(weights: list[int], blocks: list[int], length: int) -> Iterator[tuple[int, bytes]]:
+    """(slot, blocks each source had before it) at the start of every stretch of `length` blocks."""
+    done = np.zeros(len(weights), "<i8")
+    for k, (s, _, _, _, slot) in enumerate(schedule(weights, blocks, [0] * len(weights))):
+        if k % length == 0:
+            yield slot, done.tobytes()
+        done[s] += 1
+
+
+def period_schedule(quota: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of one period of whole quotas; ties by name."""
+    names = sorted(quota)
+    whole = [quota[s] for s in names]
+    return [(names[s], *rest) for s, *rest in schedule(whole, whole, [0] * len(whole))]
+
+
+def block_slots(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int]) -> DataFrame:
+    """Rows `_source, _j, _release, _deadline, _slot`, one for each block."""
+    names = sorted(weights)
+    whole, most = whole_weights([weights[s] for s in names]), [blocks[s] for s in names]
+    length = max(STRETCH, STRETCH_A_SOURCE * len(names))
+    starts = [(slot, bytearray(done)) for slot, done in stretches(whole, most, length)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slot, done in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = list(islice(schedule(whole, most, np.frombuffer(done, "<i8").tolist(), slot), length))
+                s, *rest = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in s], pa.string()), *(pa.array(c, pa.int64()) for c in rest)], ["_source", "_j", "_release", "_deadline", "_slot"])
+
+    return spark.createDataFrame(starts, "slot long, done binary").mapInArrow(run, "_source string, _j long, _release long, _deadline long, _slot long")
 
 
-def numbered(docs: DataFrame, source: Column, order: list[Column], parts: int = PARTS) -> DataFrame:
-    """docs as `_row`, with `_source` and `_rank`, the row's place (from 0) in its source by `order`, counted part by part."""
+def in_parts(docs: DataFrame, source: Column, order: list[Column], parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
+    """docs as `_row`, with `_source`, `_part` and `_inside`, the row's place (from 0) in its part by `order`; and the parts' `_n` rows and `_before`, the rows of parts before."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), source.alias("_source"), F.pmod(order[0], F.lit(parts)).cast("int").alias("_part"), *(c.alias(f"_by{k}") for k, c in enumerate(order)))
     counts = rows.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_source", "_part", (F.sum("_n").over(Window.partitionBy("_source").orderBy("_part")) - F.col("_n")).alias("_before"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_source").orderBy("_part")) - F.col("_n"))
     inside = F.row_number().over(Window.partitionBy("_source", "_part").orderBy(*(f"_by{k}" for k in range(len(order))))) - 1
-    return rows.withColumn("_inside", inside).join(before, ["_source", "_part"]).select("_row", "_source", (F.col("_before") + F.col("_inside")).alias("_rank"))
+    return rows.withColumn("_inside", inside), before
 
 
-def tempered_weights(docs: DataFrame, source: Column, power: float) -> dict[str, float]:
-    """Weights in proportion to (rows of the source) ** power: one row for each source comes to the driver."""
+def source_rows(docs: DataFrame, source: Column) -> dict[str, int]:
+    """Rows of each source: one row for each comes to the driver."""
     found = docs.groupBy(source.alias("s")).count().limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    return {r["s"]: float(r["count"]) ** power for r in found}
+    return {r["s"]: r["count"] for r in found}
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -89,20 +145,21 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     shared_dir(docs.sparkSession)
     # "s" before the name keeps a null source apart from every name
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
-    found = tempered_weights(docs, source, power)
+    counts = source_rows(docs, source)
+    found = {s: float(n) ** power for s, n in counts.items()}
     if weights is not None:
         found = {s: weights.get(s[1:], w) if s != "null" else w for s, w in found.items()}
-    period = max(PERIOD, PERIOD_A_SOURCE * len(found))
-    quota = quotas(found, period) if found else {}
-    table = docs.sparkSession.createDataFrame([(s, quota[s], j, r, d, t) for s, j, r, d, t in period_schedule(quota)], "_source string, _quota long, _j long, _release long, _deadline long, _slot long") if quota else docs.sparkSession.createDataFrame([], "_source string, _quota long, _j long, _release long, _deadline long, _slot long")
-    per_source = table.select("_source", "_quota").distinct()
-    order = [F.xxhash64(F.col(id_col)), F.col(id_col), F.xxhash64(*docs.columns)]
-    rows = numbered(docs, source, order).join(F.broadcast(per_source), "_source")  # both tables have at most a period's rows
-    rows = rows.withColumn("mix_block", F.floor(F.col("_rank") / block)).withColumn("_j", F.col("mix_block") % F.col("_quota")).withColumn("_turn", F.floor(F.col("mix_block") / F.col("_quota")) * period)
-    rows = rows.join(F.broadcast(table.drop("_quota")), ["_source", "_j"])
-    slot = F.col("_turn") + F.col("_slot")
+    slots = block_slots(docs.sparkSession, found, {s: -(-n // block) for s, n in counts.items()})
+    rows, parts = in_parts(docs, source, [F.xxhash64(F.col(id_col)), F.col(id_col), F.xxhash64(*docs.columns)])
+    # a part's blocks, the first and last of which it may share with its neighbours
+    parts = parts.withColumn("_first", F.floor(F.col("_before") / block))
+    blocks = parts.withColumn("_j", F.explode(F.sequence("_first", F.floor((F.col("_before") + F.col("_n") - 1) / block))))
+    blocks = blocks.join(slots, ["_source", "_j"]).groupBy("_source", "_part", "_before", "_first").agg(F.array_sort(F.collect_list(F.struct("_j", "_release", "_deadline", "_slot"))).alias("_blocks"))
+    rows = rows.join(blocks, ["_source", "_part"]).withColumn("_rank", F.col("_before") + F.col("_inside")).withColumn("mix_block", F.floor(F.col("_rank") / block))
+    rows = rows.withColumn("_at", F.get("_blocks", (F.col("mix_block") - F.col("_first")).cast("int"))).select("_row", "_rank", "mix_block", "_at.*")
+    slot = F.col("_slot")
     kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if not c.startswith("mix_")]
-    return rows.select(*kept, "mix_block", (F.col("_turn") + F.col("_release")).alias("mix_release"), (F.col("_turn") + F.col("_deadline")).alias("mix_deadline"), slot.alias("mix_slot"), (slot * block + F.col("_rank") % block).alias("mix_key"))
+    return rows.select(*kept, "mix_block", F.col("_release").alias("mix_release"), F.col("_deadline").alias("mix_deadline"), slot.alias("mix_slot"), (slot * block + F.col("_rank") % block).alias("mix_key"))
 
 
 def in_mixed_order(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -246,6 +246,33 @@ def test_schedule_deviates_less_than_a_block():
             assert all(abs(done[x] - quota[x] * (slot + 1) / 600) < 1 for x in quota)
 
 
+@pytest.mark.parametrize("weights", [[0.5] + [0.5 / 19] * 19, [0.0001, 0.3, 0.6999], [math.sqrt(n) for n in (10**6, *range(1, 20))]])
+def test_schedule_keeps_to_the_target_weights(weights):
+    whole = mixing.whole_weights(weights)
+    share, slots = np.array(whole, float) / sum(whole), 12_000
+    done, n = np.zeros(len(weights)), 0
+    for s, j, release, due, slot in mixing.schedule(whole, [slots] * len(whole), [0] * len(whole)):
+        assert release <= slot < due and slot == n and j == done[s]
+        done[s] += 1
+        n += 1
+        assert (np.abs(done - share * n) < 1 + 1e-6).all()
+        if n == slots:
+            break
+
+
+def test_mixture_of_unequal_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STRETCH", 100)
+    monkeypatch.setattr(mixing, "STRETCH_A_SOURCE", 1)
+    hot = 12_000
+    df = spark.createDataFrame([(i, "hot") for i in range(hot)] + [(hot + i, f"s{i % 19}") for i in range(hot)], "doc_id long, source string")
+    weights = {"hot": 0.5} | {f"s{k}": 0.5 / 19 for k in range(19)}
+    got = mixing.mix_sources(df, weights=weights, block=2).select("source", "mix_block", "mix_slot").distinct().collect()
+    whole = mixing.whole_weights(list(weights.values()))
+    share = {s: w / sum(whole) for s, w in zip(weights, whole, strict=True)}
+    assert len({r.mix_slot for r in got}) == len(got) == 12_000 // 2 + sum(-(-len(range(k, hot, 19)) // 2) for k in range(19))
+    assert all(abs(r.mix_block - share[r.source] * r.mix_slot) < 1 + 1e-6 for r in got)
+
+
 def test_mixture(spark):
     rows = [(i, None if i % 5 == 4 else f"s{i % 4}") for i in range(3000)] + [(7, "s3")] * 3
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumns({"_rank": F.lit(1), "mix_slot": F.lit(2)})
