@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -11,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maregraph.functions.scalar import ordinal_probabilities
 from maregraph.operators.metrics import _r
@@ -108,15 +112,41 @@ def load_model(path: str) -> tuple:
 
 
 def leave_one_out_forecasts(df: DataFrame, s: Series, value: str, fold: str, lags: int = 3) -> DataFrame:
-    """Each fold's rows forecast by a model of all others: `fold, mae, n`. One fit a fold, on normal equations summed by Spark."""
+    """Each fold's rows forecast by a model of all others: `fold, mae, n`, for any number of folds.
+
+    One aggregation sums the normal equations of every fold; a fold's model is that of
+    the total less its own sums. Without rows in other folds `mae` is null. A null fold
+    is a fold of its own.
+    """
     out, names = lagged(df, s, value, lags)
-    out = VectorAssembler(inputCols=names, outputCol="_x").transform(out.dropna(subset=[*names, value]))
-    parts = []
-    for (held,) in out.select(fold).distinct().orderBy(fold).limit(1000).collect():
-        fitted = LinearRegression(featuresCol="_x", labelCol=value, predictionCol="predicted", solver="normal").fit(out.filter(F.col(fold) != held))
-        scored = fitted.transform(out.filter(F.col(fold) == held))
-        parts.append(scored.agg(F.lit(held).alias("fold"), F.avg(F.abs(F.col(value) - F.col("predicted"))).alias("mae"), F.count("*").alias("n")))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    columns = [*names, value]
+    out = out.dropna(subset=columns).select(F.col(fold).alias("fold"), *(F.col(c).cast("double").alias(f"_z{k}") for k, c in enumerate(columns)))
+    z = [f"_z{k}" for k in range(len(columns))]
+    at = out.agg(*(F.avg(c) for c in z), *(F.stddev_pop(c) for c in z)).first()
+    centre, spread = [x or 0.0 for x in at[: len(z)]], [x or 1.0 for x in at[len(z) :]]
+    out = out.withColumns({c: (F.col(c) - centre[k]) / spread[k] for k, c in enumerate(z)})
+    pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    sums = out.groupBy("fold").agg(F.count("*").cast("double").alias("_s0"), *(F.sum(c).alias(f"_s{k}") for k, c in enumerate(z, 1)), *(F.sum(F.col(z[i]) * F.col(z[j])).alias(f"_s{k}") for k, (i, j) in enumerate(pairs, 1 + len(z))))
+    held = [f"_s{k}" for k in range(1 + len(z) + len(pairs))]
+    total = sums.agg(F.array(*(F.sum(c) for c in held)).alias("_total"))
+    both = sums.select("fold", F.array(*held).alias("_own")).join(F.broadcast(total))  # one row
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            models = []
+            for own, every in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n, *rest = np.array(every) - np.array(own)
+                if n < 0.5:
+                    models.append(None)
+                    continue
+                mean, square = np.array(rest[: len(z)]) / n, np.zeros((len(z), len(z)))
+                for (i, j), x in zip(pairs, rest[len(z) :], strict=True):
+                    square[i, j] = square[j, i] = x / n - mean[i] * mean[j]
+                weights = np.linalg.lstsq(square[:-1, :-1], square[:-1, -1], rcond=1e-12)[0]
+                models.append([mean[-1] - weights @ mean[:-1], *weights])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(models, pa.list_(pa.float64()))], ["_held", "_model"])
+
+    kind = T.StructType([T.StructField("_held", out.schema["fold"].dataType), T.StructField("_model", T.ArrayType(T.DoubleType()))])
+    scored = out.join(both.mapInArrow(fit, kind), F.col("fold").eqNullSafe(F.col("_held")))
+    predicted = sum((F.col("_model")[k] * F.col(c) for k, c in enumerate(z[:-1], 1)), F.col("_model")[0])
+    return scored.groupBy("fold").agg((F.avg(F.abs(F.col(z[-1]) - predicted)) * spread[-1]).alias("mae"), F.count("*").alias("n"))

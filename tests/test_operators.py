@@ -161,3 +161,18 @@ def test_observation_files(spark, tmp_path):
     assert "| v |" in markdown(spark.createDataFrame([(1.0,)], "v double"))
     write_csv(spark.createDataFrame([(None,), (2.0,)], "v double"), str(tmp_path / "out"))
     assert spark.range(1).select(number(F.lit("n/a"))).first()[0] is None
+
+
+def test_leave_one_out_has_every_fold(spark):
+    rng = np.random.default_rng(2)
+    x, folds = np.cumsum(rng.normal(size=2600)) + 300, 1200
+    df = spark.createDataFrame([(0, i, float(v), i % folds if i % folds else None) for i, v in enumerate(x)], "k int, t long, x double, f long")
+    got = {r["fold"]: r for r in models.leave_one_out_forecasts(df, Series(("k",), ("t",), "x"), "x", "f", lags=2).collect()}
+    assert len(got) == folds and sum(r["n"] for r in got.values()) == 2598
+    y, a = x[2:], np.column_stack([np.ones(2598), x[1:-1], x[:-2]])
+    f = np.arange(2, 2600) % folds
+    for k in (0, 1, 77, 1199):
+        w = np.linalg.lstsq(a[f != k], y[f != k], rcond=None)[0]
+        assert got[k or None]["mae"] == pytest.approx(np.abs(y - a @ w)[f == k].mean(), rel=1e-7)
+    one = models.leave_one_out_forecasts(df.withColumn("f", F.lit(1)), Series(("k",), ("t",), "x"), "x", "f").collect()
+    assert [(r["fold"], r["mae"], r["n"]) for r in one] == [(1, None, 2597)]
