@@ -44,7 +44,7 @@ PATTERN_RULES = (
     PatternRule(r"[?&]utm_source=feed(&|#|$)", ("utm", "source", "feed"), "block"),
     PatternRule(r"[?&]page=[0-9]+&ref=", ("page", "ref"), "block"),
     PatternRule(r"://m\.[^/?#]*\.com/", ("m", "com"), "block"),
-    PatternRule(r"://blog\.[^/?#]*/es/[0-9]+\.html", ("blog", "es", "html"), "block"),
+    PatternRule(r"://blog\.[^/?#]*/es/[0-9]+\.html", ("blog", "es"), "block"),  # html may go on, as in html5
     PatternRule(r"://[^/?#]*\.example\.com/en/[0-9]+/", ("example", "com", "en"), "allow"),
 )
 

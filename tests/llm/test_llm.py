@@ -232,6 +232,17 @@ def test_url_rules_are_filed_under_the_rarest_token():
     assert url_filter.rule_index(rules, {"a": 1, "b": 2}) == {"a": [0], "c": [1]}
 
 
+@pytest.mark.parametrize("place", [0, 1, 2])
+def test_url_rules_match_alike_under_any_token(spark, monkeypatch, place):
+    urls = ["http://blog.x/es/12.html5", "http://blog.x/es/12.htmlx?a", "http://blog.x/es/1.html", "http://u.io/?utm_source=feed#x", "http://u.io/?utm_source=feeds", "http://m.shop.com/p", "http://u.io/?page=3&ref=x", "http://blog.a.example.com/en/12/es/1.html"]
+    file = lambda rules, frequency: {t: [k for k, r in enumerate(rules) if r.tokens[min(place, len(r.tokens) - 1)] == t] for t in {r.tokens[min(place, len(r.tokens) - 1)] for r in rules}}
+    monkeypatch.setattr(url_filter, "rule_index", file)
+    got = rows_of(url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")), "page_id")
+    for i, u in enumerate(urls):
+        hit = {r.verdict for r in url_filter.PATTERN_RULES if re.search(r.pattern, u)}
+        assert got[i].pattern_verdict == ("block" if hit == {"block"} else "allow"), u
+
+
 # 5
 def test_schedule_deviates_less_than_a_block():
     rng = random.Random(9)
