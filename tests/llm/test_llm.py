@@ -467,10 +467,14 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs_of(spark, ["a"]).filter("false"), path).count() == 0
 
 
-def test_piece_lengths():
-    for n in range(1, 200):
-        got = packing.piece_lengths(n, 32)
-        assert sum(got) == n and len(got) == n // 32 + (n % 32).bit_count()
+def test_pieces_are_powers_of_two():
+    totals = np.arange(1, 200)
+    rows, starts, lengths = packing.cut_pieces(totals, 32)
+    for k, n in enumerate(totals):
+        own = lengths[rows == k].tolist()
+        assert sum(own) == n and len(own) == n // 32 + int(n % 32).bit_count() and own == sorted(own, reverse=True)
+        assert starts[rows == k].tolist() == np.cumsum([0, *own[:-1]]).tolist()
+    assert packing.cut_pieces(np.array([3, 1]), 1)[2].tolist() == [1] * 4
 
 
 # all
