@@ -29,7 +29,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 # '=' may stand before (NAME=value) but not after, where it is padding of something else or makes a name of it
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|internal)\b")
+URL = re.compile(r"https?://[^\s\"'<>]+")
+# a host name is read once from its first label on, so a long one costs what it is long
+HOST = re.compile(r"(?<![A-Za-z0-9_.-])[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)+")
+NAME_GOES_ON = re.compile(r"[A-Z_]")
+#: Last labels of a host that is an endpoint without a scheme.
+ENDPOINT_ENDS = (".amazonaws.com", ".internal")
 
 Span = tuple[int, int, str]
 
@@ -44,38 +49,51 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs, and host names up to their last label of ENDPOINT_ENDS, not overlapping."""
+    urls = [m.span() for m in URL.finditer(text)]
+    starts, out = [s for s, _ in urls], list(urls)
+    for m in HOST.finditer(text):
+        host, s = m.group(), m.start()
+        if NAME_GOES_ON.match(text, m.end()):
+            host = host[: host.rindex(".")]
+        n = max((at + len(end) for end in ENDPOINT_ENDS if (at := (host + ".").rfind(end + ".")) > 0), default=0)
+        k = bisect_right(starts, s) - 1
+        if n and (k < 0 or urls[k][1] <= s):
+            out.append((s, s + n))
+    return sorted(out)
+
+
 def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     """Weak candidates with a complementary part within the scope of an access identifier.
 
     A bare 40-character string needs the identifier; an endpoint needs the identifier
-    and a secret (bare or assigned) in that identifier's scope.
+    and a secret (bare or assigned) in that identifier's scope. A candidate inside a
+    base span is no candidate.
     """
     access = sorted((s, e) for s, e, kind in base if kind == "access")
     if not access:
         return []
-    assigned = sorted((s, e) for s, e, kind in base if kind == "assign")
-    taken = {(s, e) for s, e, _ in base}
-    bare = [(m.start(), m.end()) for m in WEAK_SECRET.finditer(text)]
-    ends = [e for _, e in access]
-    starts = [s for s, _ in access]
+    assigned = [(s, e) for s, e, kind in base if kind == "assign"]
+    starts, ends = [s for s, _ in access], [e for _, e in access]
+    base_starts, reach = [], []  # how far the base spans that begin up to there go
+    for s, e in sorted((s, e) for s, e, _ in base):
+        base_starts.append(s)
+        reach.append(max(e, reach[-1] if reach else 0))
 
     def near(s: int, e: int) -> range:
         """Access identifiers whose scope meets [s, e)."""
         return range(bisect_left(ends, s - scope), bisect_right(starts, e + scope))
 
-    inside = lambda s, e: any(a <= s and e <= b for a, b in taken_near(s, e))
-    base_sorted = sorted(taken)
-    base_starts = [s for s, _ in base_sorted]
-
-    def taken_near(s: int, e: int) -> list[tuple[int, int]]:
-        at = bisect_right(base_starts, s)
-        return base_sorted[max(0, at - 3) : at]
+    def inside(s: int, e: int) -> bool:
+        k = bisect_right(base_starts, s)
+        return k > 0 and reach[k - 1] >= e
 
-    weak = [(s, e) for s, e in bare if near(s, e) and not inside(s, e)]
+    weak = [(s, e) for s, e in (m.span() for m in WEAK_SECRET.finditer(text)) if near(s, e) and not inside(s, e)]
     with_secret = {i for s, e in [*weak, *assigned] for i in near(s, e)}
     out = [(s, e, "weak_secret") for s, e in weak]
     if with_secret:
-        out += [(s, e, "endpoint") for s, e in (m.span() for m in ENDPOINT.finditer(text)) if any(i in with_secret for i in near(s, e))]
+        out += [(s, e, "endpoint") for s, e in endpoints(text) if any(i in with_secret for i in near(s, e)) and not inside(s, e)]
     return out
 
 
@@ -88,8 +106,9 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", tex
 
     `spans` lists kind:start:end by start and then kind, in code points, ends exclusive.
     `base_sha256` is the digest of that list for the strong kinds alone. Null counts as
-    the empty text, which has an empty list. Whole texts are read; repeated rows are
-    each scanned; other columns are ignored. No shuffle.
+    the empty text, which has an empty list; an empty table gives no rows. Whole texts
+    are read, in time in proportion to their length; repeated rows, and rows with null
+    ids, are each scanned; other columns are ignored. No shuffle.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
