@@ -44,6 +44,27 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
+def salts_for(n: int) -> int:
+    """Parts into which a key that may hold all of n rows is dealt: neither a part nor a key's parts are more than the root of n."""
+    return int(max(0, n) ** 0.5) + 1
+
+
+def with_totals(rows: DataFrame, keys: list[str], by: str, salts: int, **totals: tuple[Column, str]) -> DataFrame:
+    """rows with totals of their keys (`name=(column, "sum" | "min" | "max")`). Rows of a key meet by salt (of `by`) and only a key's salts by key, so a hot key is no hot task."""
+    how = {"sum": F.sum, "min": F.min, "max": F.max}
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    parts = salted.groupBy(*keys, "_salt").agg(*(how[f](c).alias(name) for name, (c, f) in totals.items()))
+    whole = parts.groupBy(*keys).agg(*(how[f](name).alias(name) for name, (_, f) in totals.items()))
+    return salted.join(parts.select(*keys, "_salt").join(whole, keys), [*keys, "_salt"]).drop("_salt")
+
+
+def looked_up(rows: DataFrame, keys: list[str], table: DataFrame, by: str, salts: int, how: str = "inner") -> DataFrame:
+    """rows joined to a table that has one row for each key. Only the distinct salts of a key meet the table, so a hot key is no hot task."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    told = salted.select(*keys, "_salt").distinct().join(table, keys)
+    return salted.join(told, [*keys, "_salt"], how).drop("_salt")
+
+
 def map_arrow(df: DataFrame, batch_fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

@@ -1,10 +1,10 @@
 """N-gram Jaccard join over a token-group matrix.
 
 Documents are sets of hashed word shingles. Similar documents are put into groups of
-bounded size and each group keeps the union of its members' shingles. A query document
+bounded size and each group's union of its members' shingles is stored. A query document
 looks up the groups that hold one of its rarest shingles, its overlap with a group's
-union bounds its overlap with every member, and only groups whose bound reaches the
-threshold are opened.
+stored union bounds its overlap with every member, and only groups whose bound reaches
+the threshold are opened: their members are read for no other query.
 
 Two things keep the work near-linear without losing a link. A shingle that no other
 document has can't be shared, so documents with too many of those are alone and the
@@ -15,7 +15,7 @@ never opened for queries of the same.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maregraph.llm.common import persisted
+from maregraph.llm.common import looked_up, persisted, salts_for, with_totals
 from maregraph.llm.components import connected_components
 
-#: Characters of text to a block, distinct shingles to a range, members to a group, queries that meet a group at once, sets to a call.
-BLOCK_CHARS, RANGE_SHINGLES, MEMBERS, QUERIES, CALL_SETS = 6_000_000, 3_000_000, 512, 1024, 3000
+#: Characters of text to a block, distinct shingles to a range.
+BLOCK_CHARS, RANGE_SHINGLES = 6_000_000, 3_000_000
+#: Members to a group and bytes of their shingles; bytes of queries that meet a group at once, and of a call's groups and queries, all about.
+MEMBERS, GROUP_BYTES, QUERY_BYTES, CALL_BYTES = 512, 8 << 20, 8 << 20, 16 << 20
+#: Rows of one shingle that ask in one task, about.
+ASKS = 1000
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -148,10 +152,14 @@ def _keyed(reps: DataFrame) -> DataFrame:
     return reps.mapInArrow(keys, "rep long, n long, tokens binary, kind int, g long")
 
 
-def _leader_links(keyed: DataFrame, percent: int) -> DataFrame:
-    """Links `a, b` of sets to the leader of each of their keys: the set with the largest shared part, then the largest."""
+def _leader_links(keyed: DataFrame, percent: int, salts: int) -> DataFrame:
+    """Links `a, b` of sets to leaders: the set with the largest shared part, then the largest, of a salt of a key; and of those to the key's."""
     alone = (1 - F.length("tokens") / 8 / F.col("n")).alias("alone")
-    lead = keyed.groupBy("kind", "g").agg(F.min(F.struct(alone, (-F.col("n")).alias("size"), "rep", "tokens")).alias("lead")).select("kind", "g", F.col("lead.rep").alias("leader"), (-F.col("lead.size")).alias("ln"), F.col("lead.tokens").alias("lt"))
+    least = F.min(F.struct(alone, (-F.col("n")).alias("size"), "rep", "tokens")).alias("lead")
+    leads = lambda rows, keys: rows.groupBy(*keys).agg(least, F.count("*").alias("c")).select(*keys, "c", F.col("lead.rep").alias("rep"), (-F.col("lead.size")).alias("n"), F.col("lead.tokens").alias("tokens"))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)))
+    under = persisted(leads(keyed, ["kind", "g", "salt"]), "leaders")
+    over = leads(under, ["kind", "g"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +170,13 @@ def _leader_links(keyed: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     near = (F.col("rep") != F.col("leader")) & (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent)
-    return keyed.join(lead, ["kind", "g"]).filter(near).select("rep", "leader", "n", "tokens", "ln", "lt").mapInArrow(compare, "a long, b long")
+    found = None
+    for rows, keys, chosen in ((keyed, ["kind", "g", "salt"], under), (under, ["kind", "g"], over)):
+        leaders = chosen.filter("c > 1").select(*keys, F.col("rep").alias("leader"), F.col("n").alias("ln"), F.col("tokens").alias("lt"))
+        pairs = rows.select(*keys, "rep", "n", "tokens").join(leaders, keys).filter(near).select("rep", "leader", "n", "tokens", "ln", "lt")
+        links = pairs.mapInArrow(compare, "a long, b long")
+        found = links if found is None else found.union(links)
+    return found
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -187,38 +201,84 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("rep", "n", "tokens", "home", "gid", "weight").mapInArrow(spread, "token long, short boolean, rep long, n long, home long, gid long, weight long, shared long")
 
 
-def _open_groups(call: pa.Table, percent: int) -> pa.Table:
-    """Links between components, from the queries of each (group, query part) of the call to the group's members."""
+def _matrix(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A group's part of the token-group matrix: tokens in order, each with the members that hold it."""
+    sets = [_tokens(t) for t in raw]
+    every = np.concatenate([np.zeros(0, "<u8"), *sets])
+    order = np.argsort(every, kind="stable")
+    return every[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+
+
+def _unions(call: pa.Table) -> pa.Table:
+    """One row for each group of the call: its union of shingles and its members' sizes, packed."""
+    call = call.sort_by("gid")
+    gid = call["gid"].to_numpy()
+    cuts = np.concatenate([[0], 1 + np.flatnonzero(gid[1:] != gid[:-1]), [len(gid)]]).tolist()
+    own = [call.slice(lo, hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi > lo]
+    return pa.table({
+        "gid": pa.array([int(g["gid"][0].as_py()) for g in own], pa.int64()),
+        "tokens": pa.array([np.unique(np.concatenate([_tokens(t) for t in g["tokens"].to_pylist()])).tobytes() for g in own], pa.binary()),
+        "sizes": pa.array([np.sort(g["n"].to_numpy()).astype("<i8").tobytes() for g in own], pa.binary()),
+    })
+
+
+def _calls(call: pa.Table) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """The call's pieces, one for each (group, part of its queries): rows of the group, rows of the queries."""
     call = call.sort_by([("gid", "ascending"), ("part", "ascending"), ("member", "descending"), ("rep", "ascending")])
-    gid, part, member, rep, n, home = (call[c].to_numpy() for c in ("gid", "part", "member", "rep", "n", "home"))
-    raw = call["tokens"].to_pylist()
+    gid, part, member = (call[c].to_numpy() for c in ("gid", "part", "member"))
     cuts = np.concatenate([[0], 1 + np.flatnonzero((gid[1:] != gid[:-1]) | (part[1:] != part[:-1])), [len(gid)]])
-    found: set[tuple[int, int]] = set()
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         mid = lo + int(member[lo:hi].sum())
-        if mid == lo or mid == hi:
-            continue
-        sets = [_tokens(t) for t in raw[lo:mid]]
-        every = np.concatenate(sets)
-        order = np.argsort(every, kind="stable")
-        # the group's part of the token-group matrix: its union, each token with the members that hold it
-        tokens, holder = every[order], np.repeat(np.arange(mid - lo), [len(s) for s in sets])[order]
-        sizes, homes, reps = n[lo:mid], home[lo:mid], rep[lo:mid]
-        for k in range(mid, hi):
-            asked = _tokens(raw[k])
+        if lo < mid < hi:
+            yield call.slice(lo, mid - lo), call.slice(mid, hi - mid)
+
+
+def _qualified(call: pa.Table, percent: int) -> pa.Table:
+    """Queries `gid, rep, shared` whose overlap with the group's stored union lets a member of a fitting size reach the threshold."""
+    gids, reps, shared = [], [], []
+    for group, queries in _calls(call):
+        union, sizes = _tokens(group["tokens"][0].as_py()), np.frombuffer(group["sizes"][0].as_py(), "<i8")
+        for rep, n, raw in zip(queries["rep"].to_pylist(), queries["n"].to_pylist(), queries["tokens"].to_pylist(), strict=True):
+            fits = sizes[(sizes * 100 >= n * percent) & (sizes * percent <= n * 100)]
+            asked = _tokens(raw)
+            at = np.minimum(np.searchsorted(union, asked), len(union) - 1)
+            if len(fits) and (100 + percent) * np.count_nonzero(union[at] == asked) >= percent * (n + fits[0]):
+                gids.append(group["gid"][0].as_py())
+                reps.append(rep)
+                shared.append(len(asked))
+    return pa.table({"gid": pa.array(gids, pa.int64()), "rep": pa.array(reps, pa.int64()), "shared": pa.array(shared, pa.int64())})
+
+
+def _open_groups(call: pa.Table, percent: int) -> pa.Table:
+    """Links between components, from the queries of each (group, query part) of the call to the group's members."""
+    found: set[tuple[int, int]] = set()
+    for members, queries in _calls(call):
+        tokens, holder = _matrix(members["tokens"].to_pylist())
+        sizes, homes, reps = (members[c].to_numpy() for c in ("n", "home", "rep"))
+        for rep, n, home, raw in zip(*(queries[c].to_pylist() for c in ("rep", "n", "home", "tokens")), strict=True):
+            asked = _tokens(raw)
             begin, end = np.searchsorted(tokens, asked), np.searchsorted(tokens, asked, "right")
             held = end - begin
-            sized = sizes[(sizes * 100 >= n[k] * percent) & (sizes * percent <= n[k] * 100)]
-            if not len(sized) or (100 + percent) * np.count_nonzero(held) < percent * (n[k] + sized.min()):
-                continue
             to = np.cumsum(held)
             both = np.bincount(holder[np.repeat(begin - to + held, held) + np.arange(to[-1])], minlength=len(sizes))
-            hit = (100 * both >= percent * (n[k] + sizes - both)) & (homes != home[k]) & (reps != rep[k])
-            found.update((int(home[k]), int(h)) for h in np.unique(homes[hit]))
+            hit = (100 * both >= percent * (n + sizes - both)) & (homes != home) & (reps != rep)
+            found.update((home, int(h)) for h in np.unique(homes[hit]))
     a, b = zip(*sorted(found), strict=True) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _met(wanted: DataFrame, members: DataFrame, groups: DataFrame, sets: DataFrame, function: Callable[[pa.Table], pa.Table], schema: str, salts: int) -> DataFrame:
+    """function over calls of groups (rows `gid, rep, n, home, tokens, sizes`) and the queries that want them, both dealt by bytes."""
+    asked = with_totals(wanted, ["gid"], "rep", salts, q=(8 * F.col("shared"), "sum")).withColumn("parts", F.ceil(F.greatest("q", F.lit(1)) / QUERY_BYTES))
+    body = ["gid", "part", "member", "rep", "n", "home", "tokens", "sizes"]
+    queries = asked.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).join(sets.select("rep", "n", "home", "tokens"), "rep")
+    parts = wanted.groupBy("gid").agg(F.sum(8 * F.col("shared")).alias("q")).withColumn("parts", F.ceil(F.greatest("q", F.lit(1)) / QUERY_BYTES))
+    spread = members.join(parts, "gid").withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "member": F.lit(True)}).select(*body)
+    every = spread.unionByName(queries.withColumns({"member": F.lit(False), "sizes": F.lit(None).cast("binary")}).select(*body))
+    total = parts.join(groups, "gid").agg(F.sum(F.col("parts") * F.col("bytes") + F.col("q"))).first()[0] or 0
+    return every.groupBy(F.pmod(F.xxhash64("gid", "part"), F.lit(1 + total // CALL_BYTES)).alias("call")).applyInArrow(function, schema)
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows `doc_id, n_shingles, component_id`, one for each row of docs.
 
@@ -227,8 +287,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     With fewer words the whole sequence is the one shingle. Documents without words
     (null, empty, white space) have the empty set and link with nothing, and rows with a
     null id link with nothing and have a null component. Repeated rows, and other texts
-    of the same set, are one class and share its component. Whole texts are read; other
-    columns are ignored. `percent` is from 50 to 100.
+    of the same set, are one class and share its component. An empty table gives no
+    rows. Whole texts are read, a text longer than a block in a block of its own; ids
+    are cast to long; other columns are ignored. `percent` is from 50 to 100.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
@@ -236,22 +297,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     sets = persisted(_document_sets(rows, words, percent), "shingle-sets")
     carried = sets.filter("tokens is not null")
     classes = persisted(carried.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "tokens")).alias("best")).select("n", "d1", "d2", F.col("best.doc_id").alias("rep"), F.col("best.tokens").alias("tokens")), "shingle-classes")
+    salts = salts_for(classes.count())
     keyed = persisted(_keyed(classes.select("rep", "n", "tokens")), "keyed")
     # sets that link to a leader are one component from the start; `home` is the component known so far
-    led = connected_components(_leader_links(keyed, percent)).select(F.col("node").alias("rep"), "root")
+    led = connected_components(_leader_links(keyed, percent, salts)).select(F.col("node").alias("rep"), "root")
     homed = keyed.filter("kind = 0").join(led, "rep", "left").select("rep", "n", "tokens", "g", F.coalesce("root", "rep").alias("home"), F.col("root").isNotNull().alias("joined"))
     homed = persisted(homed.withColumn("key", F.when(F.col("joined"), F.col("home")).otherwise(F.col("g"))), "homes")
-    sizes = homed.groupBy("joined", "key").agg(F.count("*").alias("c"))
-    gid = F.xxhash64("joined", "key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / MEMBERS)))
+    homed = with_totals(homed.withColumn("bytes", F.length("tokens")), ["joined", "key"], "rep", salts, c=(F.lit(1), "sum"), b=(F.col("bytes"), "sum"))
+    gid = F.xxhash64("joined", "key", F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col("c") / MEMBERS), F.ceil(F.col("b") / GROUP_BYTES))))
     weight = F.when(F.col("joined"), F.col("c")).otherwise(1).cast("long").alias("weight")
-    grouped = persisted(homed.join(sizes, ["joined", "key"]).select("rep", "n", "tokens", "home", gid.alias("gid"), weight), "groups")
-    groups = grouped.groupBy("gid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.length("tokens") / 8).cast("long").alias("reach"), F.min("home").alias("pure"), F.min("weight").alias("mass"))
+    grouped = persisted(homed.select("rep", "n", "tokens", "home", gid.alias("gid"), weight), "grouped")
+    groups = persisted(grouped.groupBy("gid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.length("tokens") / 8).cast("long").alias("reach"), F.min("home").alias("pure"), F.min("weight").alias("mass"), F.sum(F.length("tokens")).alias("bytes")), "groups")
     prefixes = persisted(_prefixes(grouped, percent), "prefixes")
     # shingles of one component only can't join two
-    useful = prefixes.groupBy("token").agg(F.min("home").alias("h0"), F.max("home").alias("h1")).filter("h0 <> h1").select("token")
-    prefixes = persisted(prefixes.join(useful, "token"), "prefixes")
-    index = prefixes.groupBy("token", "gid").agg(F.max("short").alias("short_there")).join(groups, "gid")
-    asks = prefixes.select("token", "short", "rep", "n", "home", "weight", "shared")
+    useful = persisted(prefixes.groupBy("token").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.count("*").alias("asks")).filter("h0 <> h1").select("token", "asks"), "useful")
+    prefixes = persisted(prefixes.join(useful, "token").withColumn("salts", F.ceil(F.col("asks") / ASKS)), "prefixes")
+    index = prefixes.groupBy("token", "gid").agg(F.max("short").alias("short_there"), F.max("salts").alias("salts")).join(groups.drop("bytes"), "gid")
+    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    asks = prefixes.select("token", F.pmod(F.xxhash64("rep"), F.col("salts")).alias("salt"), "short", "rep", "n", "home", "weight", "shared")
     least_partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     shares = lambda size: (100 + percent) * F.least("reach", "shared") >= percent * (F.col("n") + size)
     sized = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
@@ -259,35 +322,33 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     upward = (F.col("mass") > 1) & (F.struct("mass", "pure") > F.struct("weight", "home")) & (F.col("short") | F.col("short_there")) & shares(least_partner)
     # of two single sets the smaller asks
     single = (F.col("mass") == 1) & (F.col("weight") == 1) & F.col("short") & (F.col("most") >= F.col("n")) & shares(F.greatest("least", "n"))
-    fits = sized & (upward | single)
-    met = asks.join(index, "token").filter(fits).select("rep", "gid")
-    wanted = persisted(met.distinct(), "wanted")
-    asked = wanted.groupBy("gid").agg(F.count("*").alias("q")).withColumn("parts", F.ceil(F.col("q") / QUERIES))
-    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    body = ["gid", "part", "member", "rep", "n", "home", "tokens"]
-    queries = wanted.join(asked, "gid").join(grouped.drop("gid"), "rep").withColumns({"part": part, "member": F.lit(False)}).select(*body)
-    members = grouped.join(asked, "gid").withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "member": F.lit(True)}).select(*body)
-    total = asked.agg(F.coalesce(F.sum(F.col("q") + F.col("parts") * MEMBERS / 4), F.lit(0))).first()[0]
-    calls = max(1, int(total) // CALL_SETS)
-
-    def open_groups(call: pa.Table) -> pa.Table:
-        return _open_groups(call, percent)
-
-    links = members.unionByName(queries).groupBy(F.pmod(F.xxhash64("gid", "part"), F.lit(calls)).alias("call")).applyInArrow(open_groups, "a long, b long")
+    met = asks.join(index, ["token", "salt"]).filter(sized & (upward | single)).groupBy("rep", "gid").agg(F.max("shared").alias("shared"))
+    wanted = persisted(met, "wanted")
+    asked_groups = grouped.join(wanted.select("gid").distinct(), "gid", "left_semi")
+    stored = 1 + (groups.join(wanted.select("gid").distinct(), "gid", "left_semi").agg(F.sum("bytes")).first()[0] or 0) // CALL_BYTES
+    unions = asked_groups.select("gid", "n", "tokens").groupBy(F.pmod(F.xxhash64("gid"), F.lit(stored)).alias("call")).applyInArrow(_unions, "gid long, tokens binary, sizes binary")
+    unions = persisted(unions, "unions")
+    empty = F.lit(None).cast("long")
+    body = ["gid", "rep", "n", "home", "tokens", "sizes"]
+    fit = _met(wanted, unions.withColumns({"rep": empty, "n": empty, "home": empty}).select(*body), groups, grouped, lambda call: _qualified(call, percent), "gid long, rep long, shared long", salts)
+    fit = persisted(fit, "qualified")
+    links = _met(fit, grouped.withColumn("sizes", F.lit(None).cast("binary")).select(*body), groups, grouped, lambda call: _open_groups(call, percent), "a long, b long", salts)
     roots = connected_components(links)
-    rooted = persisted(grouped.select("rep", "home").join(roots.withColumnRenamed("node", "home"), "home", "left").select("rep", F.coalesce("root", "home").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    rooted = looked_up(grouped.select("rep", "home"), ["home"], roots.withColumnRenamed("node", "home"), "rep", salts, "left").select("rep", F.coalesce("root", "home").alias("root"))
     # an id that rows of several sets share is one node, and its row here is one
-    labels = rooted.join(least, "root").groupBy("rep").agg(F.min("component").alias("component"))
+    labels = with_totals(persisted(rooted, "rooted"), ["root"], "rep", salts, component=(F.col("rep"), "min")).groupBy("rep").agg(F.min("component").alias("component"))
     named = classes.select("n", "d1", "d2", "rep").join(labels, "rep").select("n", "d1", "d2", "component")
-    out = sets.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+    out = looked_up(sets.select("doc_id", "n", "d1", "d2"), ["n", "d1", "d2"], named, "doc_id", salts, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that name their component, with all their columns; rows with a null id stay."""
-    found = jaccard_components(docs, words, percent, id_col, text_col)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
-
+    """The rows of docs that name their component, with all their columns (of any names and types).
 
+    Rows with a null id, and those whose text has no words, stay; so do all rows that
+    repeat the id of one that stays. An empty table gives no rows.
+    """
+    found = jaccard_components(docs, words, percent, id_col, text_col)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(gone, "id", "left_anti").select("row.*")

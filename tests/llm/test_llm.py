@@ -196,6 +196,20 @@ def test_jaccard_null_ids_and_empty_table(spark):
     got = [(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, 3, 90).collect()]
     assert sorted(got, key=str) == sorted([(None, None), (1, 1), (1, 1), (2, 1)], key=str)
     assert jaccard_join.jaccard_components(df.filter("false")).count() == 0
+    odd = df.withColumns({"_gone": F.lit(1), "id": F.lit(2), "row": F.create_map(F.lit("a"), F.lit(1))})
+    assert sorted((r.doc_id, r._gone) for r in jaccard_join.keep_one(odd, 3, 90).collect() if r.doc_id) == [(1, 1), (1, 1)]
+    assert jaccard_join.keep_one(df.filter("false")).count() == 0
+
+
+def test_jaccard_groups_are_dealt_by_members_bytes_and_queries(spark, monkeypatch):
+    for name, value in {"MEMBERS": 16, "GROUP_BYTES": 4000, "QUERY_BYTES": 3000, "CALL_BYTES": 5000, "ASKS": 20, "BLOCK_CHARS": 20_000, "RANGE_SHINGLES": 1000}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(500)}" for _ in range(70)]
+    texts = near_copies(rng, base, 150, 9)
+    texts += [" ".join([f"v{rng.randrange(3000)}" for _ in range(rng.randint(5, 12))] + base[:40]) for _ in range(120)]
+    got = rows_of(jaccard_join.jaccard_components(docs_of(spark, texts), 3, 70))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(list(range(len(texts))), texts, 3, 70)
 
 
 def test_jaccard_ids_that_repeat_with_other_texts(spark):
