@@ -137,29 +137,36 @@ def _document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, "doc_id long, n long, d1 long, d2 long, tokens binary")
 
 
-def _keyed(reps: DataFrame) -> DataFrame:
-    """Rows `rep, n, tokens, kind, g`: each set under two min-hashes and its most common shingle."""
+def _keyed(classes: DataFrame) -> DataFrame:
+    """classes with `shared`, how many tokens they carry, and `keys`: two min-hashes and the most common shingle."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, shared = [], []
             for t in map(_tokens, batch.column("tokens").to_pylist()):
                 with np.errstate(over="ignore"):
-                    found += [(((t * m) ^ ((t * m) >> np.uint64(30))).min(), k) for k, m in enumerate((STEP, MIX))] + [(t[-1], 2)]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), 3))
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array([k for _, k in found], pa.int32()), pa.array([int(g.view(np.int64)) for g, _ in found], pa.int64())], [*batch.schema.names, "kind", "g"])
+                    found.append([int(x.view(np.int64)) for x in (*(((t * m) ^ ((t * m) >> np.uint64(30))).min() for m in (STEP, MIX)), t[-1])])
+                shared.append(len(t))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared, pa.int64()), pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "shared", "keys"])
 
-    return reps.mapInArrow(keys, "rep long, n long, tokens binary, kind int, g long")
+    return classes.mapInArrow(keys, "n long, d1 long, d2 long, rep long, tokens binary, shared long, keys array<long>")
 
 
-def _leader_links(keyed: DataFrame, percent: int, salts: int) -> DataFrame:
-    """Links `a, b` of sets to leaders: the set with the largest shared part, then the largest, of a salt of a key; and of those to the key's."""
-    alone = (1 - F.length("tokens") / 8 / F.col("n")).alias("alone")
-    least = F.min(F.struct(alone, (-F.col("n")).alias("size"), "rep", "tokens")).alias("lead")
-    leads = lambda rows, keys: rows.groupBy(*keys).agg(least, F.count("*").alias("c")).select(*keys, "c", F.col("lead.rep").alias("rep"), (-F.col("lead.size")).alias("n"), F.col("lead.tokens").alias("tokens"))
-    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)))
-    under = persisted(leads(keyed, ["kind", "g", "salt"]), "leaders")
+def _leader_links(classes: DataFrame, percent: int, salts: int) -> DataFrame:
+    """Links `a, b` of sets to leaders: for each key, the set with the largest shared part, then the largest, of each salt leads the salt's; and one of those leads them.
+
+    Only ids meet by key; tokens are fetched for pairs of sizes that can link.
+    """
+    ids = classes.select("rep", "d1", "n", (1 - F.col("shared") / F.col("n")).alias("alone"), F.posexplode("keys").alias("kind", "g"), F.pmod(F.xxhash64("rep"), F.lit(salts)).alias("salt"))
+    leads = lambda rows, keys: rows.groupBy(*keys).agg(F.min(F.struct("alone", (-F.col("n")).alias("size"), "rep", "d1")).alias("lead"), F.count("*").alias("c")).select(*keys, "c", "lead.alone", (-F.col("lead.size")).alias("n"), "lead.rep", "lead.d1")
+    under = persisted(leads(ids, ["kind", "g", "salt"]), "leaders")
     over = leads(under, ["kind", "g"])
+    pairs = None
+    for rows, keys, chosen in ((ids, ["kind", "g", "salt"], under), (under, ["kind", "g"], over)):
+        leaders = chosen.filter("c > 1").select(*keys, F.col("rep").alias("leader"), F.col("d1").alias("ld1"), F.col("n").alias("ln"))
+        met = rows.select(*keys, "rep", "d1", "n").join(leaders, keys).drop(*keys)
+        pairs = met if pairs is None else pairs.union(met)
+    near = (F.col("rep") != F.col("leader")) & (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,14 +176,9 @@ def _leader_links(keyed: DataFrame, percent: int, salts: int) -> DataFrame:
                 linked.append(100 * both >= percent * (n + ln - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    near = (F.col("rep") != F.col("leader")) & (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent)
-    found = None
-    for rows, keys, chosen in ((keyed, ["kind", "g", "salt"], under), (under, ["kind", "g"], over)):
-        leaders = chosen.filter("c > 1").select(*keys, F.col("rep").alias("leader"), F.col("n").alias("ln"), F.col("tokens").alias("lt"))
-        pairs = rows.select(*keys, "rep", "n", "tokens").join(leaders, keys).filter(near).select("rep", "leader", "n", "tokens", "ln", "lt")
-        links = pairs.mapInArrow(compare, "a long, b long")
-        found = links if found is None else found.union(links)
-    return found
+    sets = classes.select("rep", "d1", "tokens")
+    held = pairs.filter(near).distinct().join(sets, ["rep", "d1"]).join(sets.toDF("leader", "ld1", "lt"), ["leader", "ld1"])
+    return held.select("rep", "leader", "n", "tokens", "ln", "lt").mapInArrow(compare, "a long, b long")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -296,17 +298,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = persisted(_document_sets(rows, words, percent), "shingle-sets")
     carried = sets.filter("tokens is not null")
-    classes = persisted(carried.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "tokens")).alias("best")).select("n", "d1", "d2", F.col("best.doc_id").alias("rep"), F.col("best.tokens").alias("tokens")), "shingle-classes")
+    classes = carried.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "tokens")).alias("best")).select("n", "d1", "d2", F.col("best.doc_id").alias("rep"), F.col("best.tokens").alias("tokens"))
+    classes = persisted(_keyed(classes), "shingle-classes")
     salts = salts_for(classes.count())
-    keyed = persisted(_keyed(classes.select("rep", "n", "tokens")), "keyed")
     # sets that link to a leader are one component from the start; `home` is the component known so far
-    led = connected_components(_leader_links(keyed, percent, salts)).select(F.col("node").alias("rep"), "root")
-    homed = keyed.filter("kind = 0").join(led, "rep", "left").select("rep", "n", "tokens", "g", F.coalesce("root", "rep").alias("home"), F.col("root").isNotNull().alias("joined"))
-    homed = persisted(homed.withColumn("key", F.when(F.col("joined"), F.col("home")).otherwise(F.col("g"))), "homes")
-    homed = with_totals(homed.withColumn("bytes", F.length("tokens")), ["joined", "key"], "rep", salts, c=(F.lit(1), "sum"), b=(F.col("bytes"), "sum"))
+    led = connected_components(_leader_links(classes, percent, salts)).select(F.col("node").alias("rep"), "root")
+    homed = classes.select("rep", "d1", "n", "shared", F.col("keys")[0].alias("g")).join(led, "rep", "left").select("rep", "d1", "n", "shared", F.coalesce("root", "rep").alias("home"), F.col("root").isNotNull().alias("joined"), F.when(F.col("root").isNotNull(), F.col("root")).otherwise(F.col("g")).alias("key"))
+    homed = with_totals(persisted(homed, "homes"), ["joined", "key"], "rep", salts, c=(F.lit(1), "sum"), b=(8 * F.col("shared"), "sum"))
     gid = F.xxhash64("joined", "key", F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col("c") / MEMBERS), F.ceil(F.col("b") / GROUP_BYTES))))
     weight = F.when(F.col("joined"), F.col("c")).otherwise(1).cast("long").alias("weight")
-    grouped = persisted(homed.select("rep", "n", "tokens", "home", gid.alias("gid"), weight), "grouped")
+    placed = homed.select("rep", "d1", "n", "home", gid.alias("gid"), weight)
+    grouped = persisted(placed.join(classes.select("rep", "d1", "tokens"), ["rep", "d1"]).drop("d1"), "grouped")
     groups = persisted(grouped.groupBy("gid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.length("tokens") / 8).cast("long").alias("reach"), F.min("home").alias("pure"), F.min("weight").alias("mass"), F.sum(F.length("tokens")).alias("bytes")), "groups")
     prefixes = persisted(_prefixes(grouped, percent), "prefixes")
     # shingles of one component only can't join two
