@@ -4,9 +4,10 @@ A vector is turned by random signs and fast Hadamard transforms, three times eac
 coordinate of largest magnitude, with its sign, is the hash. A table's bucket joins
 several such hashes. Every vector lives in one bucket of each table and also visits the
 buckets that a near neighbour would most likely live in. Pairs that meet are verified
-by their cosine in double precision. More vectors take more joined hashes, by which a
-pair meets in one table less often, so tables are added until a pair at the least
-cosine is missed by all of them with a probability of MISS at most.
+by their cosine in double precision. Whatever the number of joined hashes, there are
+as many tables as it takes for a pair at the least cosine to be missed by all of them
+with a probability of MISS at most; how many hashes are joined only weighs rows moved
+against pairs compared.
 """
 
 from __future__ import annotations
@@ -22,20 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maregraph.llm.common import persisted
+from maregraph.llm.common import looked_up, persisted, salts_for
 from maregraph.llm.components import connected_components
 
 #: Tables at least, buckets visited beside the own one, least cosine of a link.
-TABLES, VISITS, COSINE = 8, 2, 0.9
+TABLES, VISITS, COSINE = 2, 2, 0.9
 #: Most probable share of the pairs at the least cosine that meet in no table, for any number of vectors.
 MISS = 0.005
-#: Tables for which a further joined hash isn't worth it: buckets grow instead.
-MOST_TABLES = 48
-#: Rows of one bucket that are compared in one block; rows that one call handles.
-BLOCK, CALL_ROWS = 512, 6000
-#: Vectors to a bucket, about, for which the number of joined hashes is chosen.
-FILL = 4
-
+#: Rows of a bucket that are compared with as many others in one block, rows of a block compared at once, bytes of a call, all about.
+BLOCK, TILE, CALL_BYTES = 2048, 256, 8 << 20
+#: What a row moved to a bucket costs, in compared pairs of 64 places.
+ROW_PAIRS = 2000
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Rows times the Hadamard matrix of their length (a power of two), not scaled."""
@@ -113,33 +111,38 @@ def tables_needed(width: int, hashes: int, visits: int, cosine: float, miss: flo
 
 
 def hashes_and_tables(n: int, width: int, tables: int, visits: int, cosine: float, hashes: int | None = None) -> tuple[int, int]:
-    """Joined hashes for n vectors (or as given) and tables, `tables` at least, that keep to MISS."""
+    """Joined hashes for n vectors (or as given) and tables, `tables` at least, that keep to MISS: of all numbers of hashes, the cheapest by rows moved and pairs compared."""
     d = 1 << max(1, (width - 1).bit_length())
-    given = hashes is not None
-    hashes = hashes or max(1, min(round(math.log(max(1, n / FILL)) / math.log(2 * d)), int(62 / math.log2(2 * d))))
-    while (need := tables_needed(width, hashes, visits, min(cosine, 1.0))) > max(tables, MOST_TABLES) and hashes > 1 and not given:
-        hashes -= 1
-    if need == math.inf:
+    plans = []
+    for h in [hashes] if hashes else range(1, int(62 / math.log2(2 * d)) + 1):
+        need = tables_needed(width, h, visits, min(cosine, 1.0))
+        if need < math.inf:
+            rows = max(tables, int(need)) * (1 + visits)
+            plans.append((rows * (ROW_PAIRS + (1 + visits) * n / (2 * d) ** h * max(1, d / 64)), h, max(tables, int(need))))
+        if need == math.inf or n <= (2 * d) ** h:
+            break  # more hashes only empty the buckets
+    if not plans:
         raise ValueError(f"pairs at a cosine of {cosine} are too far apart to meet by hashes")
-    return hashes, max(tables, int(need))
-
-
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Of links between rows, those that join trees."""
-    up = list(range(n))
-    kept = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = i, j
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        while up[y] != y:
-            up[y] = up[up[y]]
-            y = up[y]
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            kept.append((i, j))
-    return kept
+    return min(plans)[1:]
+
+
+def code_type(width: int, hashes: int) -> str:
+    """The narrowest whole number that holds every bucket number."""
+    bits = hashes * math.log2(2 << max(1, (width - 1).bit_length()))
+    return "<u2" if bits <= 16 else "<u4" if bits <= 32 else "<i8"
+
+
+def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (least row of each row's component so far, by row) after links a-b."""
+    while True:
+        x, y = labels[a], labels[b]
+        if (x == y).all():
+            return labels
+        least = np.minimum(x, y)
+        np.minimum.at(labels, x, least)
+        np.minimum.at(labels, y, least)
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, visits: int = VISITS, id_col: str = "vec_id", vector_col: str = "embedding", hashes: int | None = None) -> DataFrame:
@@ -147,13 +150,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
 
     Two vectors link if they meet in a bucket and their cosine is `cosine` or more; a
     pair at just `cosine` meets in none with a probability of MISS at most. `tables` is
-    the least number of tables, `hashes` (by default chosen by the number of vectors)
-    that of joined hashes.
-    Identical vectors always link: they are one class while others are sought, and
-    repeated rows count as other vectors. Null and zero vectors, vectors with null or
-    non-finite components and rows with a null id link with nothing. Vectors of unlike
-    lengths are never compared. A bucket of any size is dealt into blocks, and a pair
-    that meets several times counts in the first place only.
+    the least number of tables, `hashes` (by default chosen by what it costs) that of
+    joined hashes. Identical vectors always link: they are one class while others are
+    sought, and repeated rows count as other vectors. Null and zero vectors, vectors
+    with null or non-finite components and rows with a null id link with nothing.
+    Vectors of unlike lengths are never compared; of any length they are read whole. An
+    empty table gives no rows; other columns are ignored; ids are cast to long. A bucket
+    of any size is dealt into blocks, and a pair that meets several times counts in the
+    first place only.
     """
     double = isinstance(vectors.schema[vector_col].dataType.elementType, T.DoubleType)
     kind = "<f8" if double else "<f4"
@@ -175,77 +179,81 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
 
     rows = persisted(vectors.select(id_col, vector_col).mapInArrow(read, "vec_id long, key binary, raw binary"), "vectors")
     classes = persisted(rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.min("raw").alias("raw")), "vector-classes")
-    n, widest = classes.agg(F.count("*"), F.max(F.length("raw"))).first()
-    hashes, tables = hashes_and_tables(n, (widest or 4) // int(kind[2]) or 1, tables, visits, cosine, hashes)
+    size = int(kind[2])
+    n, widest, held = classes.agg(F.count("*"), F.max(F.length("raw")), F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()
+    hashes, tables = hashes_and_tables(n, max(1, (widest or 0) // size), tables, visits, cosine, hashes)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, m, raw = (batch.column(i) for i in range(3))
             widths = np.array([len(r) for r in raw.to_pylist()], np.int64)
+            for width in np.unique(widths):
+                own = pa.array(np.flatnonzero(widths == width))
+                x = np.frombuffer(b"".join(raw.take(own).to_pylist()), kind).reshape(len(own), -1).astype(np.float64)
+                x /= np.abs(x).max(1, keepdims=True)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                keys = bucket_keys(x, tables, hashes, visits).astype(code_type(int(width) // size, hashes))
+                yield pa.RecordBatch.from_arrays([rep.take(own), m.take(own), raw.take(own), pa.array([k.tobytes() for k in keys], pa.binary())], ["rep", "m", "raw", "keys"])
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, widths, packed = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for width in np.unique(widths):
                 own = np.flatnonzero(widths == width)
-                x = np.frombuffer(b"".join(raw.take(pa.array(own)).to_pylist()), kind).reshape(len(own), -1).astype(np.float64)
-                keys = bucket_keys(x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True), tables, hashes, visits)
+                keys = np.frombuffer(b"".join(packed[i] for i in own.tolist()), code_type(int(width) // size, hashes)).reshape(len(own), tables, 1 + visits).astype(np.int64)
                 for t in range(tables):
                     at, place = np.nonzero(np.concatenate([np.ones((len(own), 1), bool), keys[:, t, 1:] != keys[:, t, :1]], axis=1))
-                    pick = pa.array(own[at])
-                    packed = [k.tobytes() for k in keys.astype("<i8")]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), width)), pa.array(np.full(len(at), t, np.int32)), pa.array(keys[at, t, place]), pa.array(place == 0), rep.take(pick), m.take(pick), raw.take(pick), pa.array([packed[i] for i in at], pa.binary())],
-                        ["width", "t", "bucket", "home", "rep", "m", "raw", "keys"],
-                    )
-
-    dealt = classes.select("rep", "m", "raw").mapInArrow(deal, "width long, t int, bucket long, home boolean, rep long, m long, raw binary, keys binary")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), width)), pa.array(np.full(len(at), t, np.int32)), pa.array(keys[at, t, place]), pa.array(place == 0), rep.take(pa.array(own[at]))], ["width", "t", "bucket", "home", "rep"])
+
+    signed = persisted(classes.select("rep", "m", "raw").mapInArrow(sign, "rep long, m long, raw binary, keys binary"), "signed-vectors")
     place = ["width", "t", "bucket"]
-    keys_only = classes.select("rep", "m", "raw").mapInArrow(deal, dealt.schema).select(*place, "home")
-    sizes = keys_only.groupBy(*place).agg(F.count("*").alias("c"), F.max("home").alias("lived_in")).filter("c > 1 and lived_in").drop("lived_in")
-    calls = max(1, n * tables * (1 + visits) // CALL_ROWS)
+    visits_ = signed.select("rep", F.length("raw").cast("long").alias("width"), "keys").mapInArrow(visit, "width long, t int, bucket long, home boolean, rep long")
+    sizes = visits_.groupBy(*place).agg(F.count("*").alias("c"), F.max("home").alias("lived_in")).filter("c > 1 and lived_in").drop("lived_in")
+    # only ids meet by bucket; the vectors go to the blocks once
     blocks = F.ceil(F.col("c") / BLOCK)
-    own_block = F.pmod(F.xxhash64("rep"), blocks)
-    # block pairs (i, j), i <= j, in which a row takes part
-    spread = dealt.join(sizes, place).withColumn("own", own_block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    spread = spread.select(*place, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "home", "rep", "m", "raw", "keys")
-    spread = spread.withColumn("call", F.pmod(F.xxhash64(*place, "i", "j"), F.lit(calls)))
+    met = looked_up(visits_, place, sizes, "rep", salts_for(n)).withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = met.select(*place, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "home", "rep")
+    calls = 1 + tables * (1 + visits) * held // CALL_BYTES
+    spread = met.join(signed, "rep").withColumn("call", F.pmod(F.xxhash64(*place, "i", "j"), F.lit(calls)))
 
     def verify(group: pa.Table) -> pa.Table:
         group = group.sort_by([(c, "ascending") for c in (*place, "i", "j", "rep")])
         width, t, bucket, i, j, own, home, rep, m = (group[c].to_numpy() for c in (*place, "i", "j", "own", "home", "rep", "m"))
-        raw, packed = group["raw"].to_pylist(), group["keys"].to_pylist()
         tags = np.stack([width, t, bucket, i, j], axis=1)
         cuts = np.concatenate([[0], 1 + np.flatnonzero((tags[1:] != tags[:-1]).any(axis=1)), [len(tags)]]) if len(tags) else np.zeros(1, int)
         nodes, counts, a_out, b_out = [], [], [], []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if hi - lo < 2 or not home[lo:hi].any():
                 continue
-            x = np.frombuffer(b"".join(raw[lo:hi]), kind).reshape(hi - lo, -1).astype(np.float64)
+            x = np.frombuffer(b"".join(group["raw"][lo:hi].to_pylist()), kind).reshape(hi - lo, -1).astype(np.float64)
             x /= np.abs(x).max(1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            a, b = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-            if i[lo] != j[lo]:
-                across = own[lo + a] != own[lo + b]  # pairs of one block have a block pair of their own
-                a, b = a[across], b[across]
-            if not len(a):
-                continue
-            seen = np.frombuffer(b"".join(packed[lo:hi]), "<i8").reshape(hi - lo, tables, 1 + visits)
-            for begin in range(0, len(a), 20_000):
-                pa_, pb = a[begin : begin + 20_000], b[begin : begin + 20_000]
-                meet, where = _met(seen[pa_], seen[pb])
-                first = meet.argmax(axis=1)
-                here = meet.any(axis=1) & (first == t[lo]) & (where[np.arange(len(first)), first] == bucket[lo])
-                pa_, pb = pa_[here], pb[here]
-                add = np.bincount(pa_, m[lo + pb], hi - lo) + np.bincount(pb, m[lo + pa_], hi - lo)
-                some = np.flatnonzero(add)
-                nodes += rep[lo + some].tolist()
-                counts += add[some].astype(np.int64).tolist()
-                for p, q in _forest(pa_, pb, hi - lo):
-                    a_out.append(int(rep[lo + p]))
-                    b_out.append(int(rep[lo + q]))
+            seen = np.frombuffer(b"".join(group["keys"][lo:hi].to_pylist()), code_type(int(width[lo]) // size, hashes)).reshape(hi - lo, tables, 1 + visits).astype(np.int64)
+            add, labels = np.zeros(hi - lo), np.arange(hi - lo)
+            for begin in range(0, hi - lo, TILE):
+                a, b = np.nonzero(np.triu(x[begin : begin + TILE] @ x[begin:].T >= cosine, 1))
+                a, b = a + begin, b + begin
+                if i[lo] != j[lo]:
+                    across = own[lo + a] != own[lo + b]  # pairs of one block have a block pair of their own
+                    a, b = a[across], b[across]
+                labels = _join(labels, a, b)
+                for at in range(0, len(a), 20_000):
+                    p, q = a[at : at + 20_000], b[at : at + 20_000]
+                    meet, where = _met(seen[p], seen[q])
+                    first = meet.argmax(axis=1)
+                    here = meet.any(axis=1) & (first == t[lo]) & (where[np.arange(len(first)), first] == bucket[lo])
+                    add += np.bincount(p[here], m[lo + q[here]], hi - lo) + np.bincount(q[here], m[lo + p[here]], hi - lo)
+            some, led = np.flatnonzero(add), np.flatnonzero(labels != np.arange(hi - lo))
+            nodes += rep[lo + some].tolist()
+            counts += add[some].astype(np.int64).tolist()
+            a_out += rep[lo + led].tolist()
+            b_out += rep[lo + labels[led]].tolist()
         return pa.table({"a": pa.array(nodes + a_out, pa.int64()), "b": pa.array([None] * len(nodes) + b_out, pa.int64()), "n": pa.array(counts + [None] * len(a_out), pa.int64())})
 
     found = persisted(spread.groupBy("call").applyInArrow(verify, "a long, b long, n long"), "verified")
     links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("far"))
     roots = connected_components(found.filter("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root")
     known = classes.select("key", "rep", "m").join(links, "rep", "left").join(roots, "rep", "left")
-    out = rows.select("vec_id", "key").join(known, "key", "left")
+    out = looked_up(rows.select("vec_id", "key"), ["key"], known, "vec_id", salts_for(n), "left")
     component = F.coalesce("root", "rep", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("m") - 1 + F.coalesce("far", F.lit(0)), F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
