@@ -5,20 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts, as bytes.split() sees it: space, tab, LF, VT, FF, CR.
 SPACE = " \t\n\x0b\x0c\r"
 
 
+_work: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Set to a temporary one only where the session names none (local tests)."""
+    """The folder all executors share. A temporary one is set only where the session names none and runs in one process (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="maregraph-")
         spark.conf.set("spark.checkpoint.dir", there)
     if not spark.sparkContext.getCheckpointDir():
@@ -30,10 +37,32 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _work.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def work_tables_deleted(spark: SparkSession) -> Iterator[None]:
+    """Tables that persisted() writes inside go at the end, when what was computed from them has been written."""
+    had = len(_work)
+    yield
+    for path in _work[had:]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    del _work[had:]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, of any types."""
+
+    def has_map(kind: T.DataType) -> bool:
+        inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+        return isinstance(kind, T.MapType) or any(map(has_map, inner))
+
+    return F.xxhash64(*(F.to_json(F.struct(f"`{f.name}`")) if has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields))
+
+
 def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -11,10 +11,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maregraph.llm.common import SPACE, persisted, text_or_empty
+from maregraph.llm.common import SPACE, looked_up, persisted, row_hash, salts_for, text_or_empty
 
 #: Historical digests to a shard, on average.
 SHARD = 20_000
@@ -115,8 +115,10 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, id_col: str = "d
     others. `history` marks the rows whose digests are indexed (default: an even half by
     id); the result doesn't depend on it. Rows that repeat id and text are one another's
     copies: each is `kept` when it is the row named by keep_id, so exact repeats of the
-    winner's row share its flag. Other columns are ignored. Rows meet by distinct digest
-    after partial aggregation, so a group of any size is one row a task.
+    winner's row share its flag. Texts of any length are read whole; an empty table
+    gives no rows; ids are cast to long; other columns are ignored. Distinct digests
+    meet after partial aggregation, and rows read their group's answer by salt, so a
+    group of any size is a bounded part of a task.
     """
     if history is None:
         history = F.pmod(F.xxhash64(F.col(id_col)), F.lit(2)) == 0
@@ -127,16 +129,22 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, id_col: str = "d
     sides = distinct.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
     groups = sides.groupBy("shard").applyInArrow(_probe, "digest binary, keep_rank long, keep_id long, n long, seen boolean")
     groups = groups.select("digest", "keep_id", F.col("n").alias("group_size"))
-    out = rows.join(groups, "digest")
+    out = looked_up(rows, ["digest"], groups, "doc_id", salts_for(rows.count()))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "historical")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns; of rows that repeat the winner's id and text, one."""
-    kept = exact_dedup(docs, None, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_digest")).distinct()
+    """The rows of docs that exact_dedup keeps, with all their columns (of any names and types).
+
+    Of rows that repeat the winner's id and digest, the one of the longest text stays,
+    then that of the least hash of all columns. Null texts are empty ones, so one of all
+    rows without words stays; an empty table gives no rows. Who stays is decided on ids
+    and digests; rows move once, to meet them.
+    """
+    kept = exact_dedup(docs, None, id_col, text_col).filter("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).distinct()
+    key = [F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.col("id").isNull().alias("no_id"), "digest"]
     text = text_or_empty(text_col)
-    rows = docs.select(F.struct((-F.char_length(text)).alias("rank"), F.struct(*docs.columns).alias("row")).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.unhex(F.sha2(F.translate(text, SPACE, "").cast("binary"), 256)).alias("_own"))
-    once = rows.join(kept, (F.col("_own") == F.col("_digest")) & F.col("_id").eqNullSafe(F.col("_keep")))
-    # equal ids and digests may still differ in white space or in other columns: the longest, then the least of all columns, is the one row
-    best = once.groupBy("_digest", "_keep").agg(F.min("_row").alias("_best"))
-    return best.select(*(F.col("_best")["row"].getField(c).alias(c) for c in docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.translate(text, SPACE, "").cast("binary"), 256)).alias("digest"), (-F.char_length(text)).alias("rank"), row_hash(docs).alias("h"))
+    names = ["id", "no_id", "digest"]
+    once = rows.select(*key, "row", "rank", "h").join(kept.select(*key), names).withColumn("k", F.row_number().over(Window.partitionBy(*names).orderBy("rank", "h")))
+    return once.filter("k = 1").select("row.*")

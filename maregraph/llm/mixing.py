@@ -23,16 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maregraph.llm.common import shared_dir
+from maregraph.llm.common import row_hash, shared_dir
 
 #: Documents to a block.
 BLOCK = 16
 #: Blocks to a stretch of the schedule, at least; and for each source.
 STRETCH, STRETCH_A_SOURCE = 8192, 64
-#: Parts into which a source is dealt to number its rows.
-PARTS = 512
-#: Most sources: their weights and counts are held on the driver.
-MOST_SOURCES = 50_000
+#: Rows of a source that one task numbers, about, if they were all of one source.
+PART_ROWS = 2000
 
 
 def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -113,7 +111,7 @@ def block_slots(spark: SparkSession, weights: dict[str, float], blocks: dict[str
     return spark.createDataFrame(starts, "slot long, done binary").mapInArrow(run, "_source string, _j long, _release long, _deadline long, _slot long")
 
 
-def in_parts(docs: DataFrame, source: Column, order: list[Column], parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
+def in_parts(docs: DataFrame, source: Column, order: list[Column], parts: int) -> tuple[DataFrame, DataFrame]:
     """docs as `_row`, with `_source`, `_part` and `_inside`, the row's place (from 0) in its part by `order`; and the parts' `_n` rows and `_before`, the rows of parts before."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), source.alias("_source"), F.pmod(order[0], F.lit(parts)).cast("int").alias("_part"), *(c.alias(f"_by{k}") for k, c in enumerate(order)))
     counts = rows.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
@@ -122,26 +120,32 @@ def in_parts(docs: DataFrame, source: Column, order: list[Column], parts: int =
     return rows.withColumn("_inside", inside), before
 
 
+def until_the_first_end(weights: list[int], blocks: list[int]) -> int:
+    """Slots before the first at which a source without blocks left would be due one: up to there none stays empty."""
+    return min((n * sum(weights) // w for w, n in zip(weights, blocks, strict=True)), default=0)
+
+
 def source_rows(docs: DataFrame, source: Column) -> dict[str, int]:
-    """Rows of each source: one row for each comes to the driver."""
-    found = docs.groupBy(source.alias("s")).count().limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    return {r["s"]: r["count"] for r in found}
+    """Rows of each source: one row for each source, and nothing for each document, comes to the driver."""
+    return {r["s"]: r["count"] for r in docs.groupBy(source.alias("s")).count().collect()}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", at_end: str = "go_on") -> DataFrame:
     """docs with `mix_block, mix_release, mix_deadline, mix_slot, mix_key` (long); ordering by mix_key is the mixture.
 
     Columns of docs named mix_... are replaced by these.
 
     `weights`: target weight of each source (sources not named, and all without it: rows
-    of the source ** power). A null source is a source of its own. No row is dropped or
-    repeated: when a source has no blocks left its slots stay empty and the others go
-    on in their proportions. A source's documents come in the order of a hash of
-    the id, then id, then all other columns' hash; exact repeats keep distinct keys. A source's last block may
-    be short. Empty input gives no rows.
+    of the source ** power). A null source is a source of its own. With at_end="go_on"
+    no row is dropped or repeated: when a source has no blocks left its slots stay empty
+    and the others go on in their proportions, so from there on the written order holds
+    the others' weights among themselves and no longer the target weights. "stop" ends
+    the mixture there, and drops what would follow. A source's documents come in the order of a
+    hash of the id, then id, then all columns' hash (of any types); exact repeats keep
+    distinct keys. A source's last block may be short. An empty table gives no rows.
     """
+    if at_end not in ("go_on", "stop"):
+        raise ValueError("at_end must be go_on or stop")
     shared_dir(docs.sparkSession)
     # "s" before the name keeps a null source apart from every name
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
@@ -149,14 +153,19 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     found = {s: float(n) ** power for s, n in counts.items()}
     if weights is not None:
         found = {s: weights.get(s[1:], w) if s != "null" else w for s, w in found.items()}
-    slots = block_slots(docs.sparkSession, found, {s: -(-n // block) for s, n in counts.items()})
-    rows, parts = in_parts(docs, source, [F.xxhash64(F.col(id_col)), F.col(id_col), F.xxhash64(*docs.columns)])
+    blocks_of = {s: -(-n // block) for s, n in counts.items()}
+    slots = block_slots(docs.sparkSession, found, blocks_of)
+    if at_end == "stop":
+        names = sorted(found)
+        slots = slots.filter(F.col("_slot") < until_the_first_end(whole_weights([found[s] for s in names]), [blocks_of[s] for s in names]))
+    rows, parts = in_parts(docs, source, [F.xxhash64(F.col(id_col)), F.col(id_col), row_hash(docs)], 1 + sum(counts.values()) // PART_ROWS)
     # a part's blocks, the first and last of which it may share with its neighbours
     parts = parts.withColumn("_first", F.floor(F.col("_before") / block))
     blocks = parts.withColumn("_j", F.explode(F.sequence("_first", F.floor((F.col("_before") + F.col("_n") - 1) / block))))
     blocks = blocks.join(slots, ["_source", "_j"]).groupBy("_source", "_part", "_before", "_first").agg(F.array_sort(F.collect_list(F.struct("_j", "_release", "_deadline", "_slot"))).alias("_blocks"))
     rows = rows.join(blocks, ["_source", "_part"]).withColumn("_rank", F.col("_before") + F.col("_inside")).withColumn("mix_block", F.floor(F.col("_rank") / block))
-    rows = rows.withColumn("_at", F.get("_blocks", (F.col("mix_block") - F.col("_first")).cast("int"))).select("_row", "_rank", "mix_block", "_at.*")
+    at = F.get(F.filter("_blocks", lambda b: b["_j"] == F.col("mix_block")), 0) if at_end == "stop" else F.get("_blocks", (F.col("mix_block") - F.col("_first")).cast("int"))
+    rows = rows.withColumn("_at", at).filter("_at is not null").select("_row", "_rank", "mix_block", "_at.*")
     slot = F.col("_slot")
     kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if not c.startswith("mix_")]
     return rows.select(*kept, "mix_block", F.col("_release").alias("mix_release"), F.col("_deadline").alias("mix_deadline"), slot.alias("mix_slot"), (slot * block + F.col("_rank") % block).alias("mix_key"))

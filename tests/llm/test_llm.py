@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -14,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from maregraph.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, packing, secrets, token_counts, url_filter
+from maregraph.llm import common, embedding_dedup, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, packing, secrets, token_counts, url_filter
 from maregraph.llm.common import crc_mod
 from maregraph.llm.components import connected_components
 from maregraph.llm.queries import QUERIES, oracle_sql
@@ -313,6 +314,20 @@ def test_mixture(spark):
     assert [r.doc_id for r in ordered] == [r.doc_id for r in out]
 
 
+def test_mixture_that_stops_holds_its_weights_in_the_written_order(spark):
+    rows = [(i, f"s{i % 3}") for i in range(3000)] + [(i, "rare") for i in range(3000, 3200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("m", F.create_map(F.lit("a"), F.col("doc_id")))
+    weights = {"s0": 3.0, "s1": 2.0, "s2": 1.0, "rare": 1.0}
+    every = mixing.mix_sources(df, weights=weights, block=4)
+    assert every.count() == len(rows) and every.select("mix_key").distinct().count() == len(rows)
+    got = mixing.in_mixed_order(mixing.mix_sources(df, weights=weights, block=4, at_end="stop"), ["doc_id", "source"]).collect()
+    assert 1000 < len(got) < len(rows)
+    done = Counter()
+    for k, r in enumerate(got, 1):
+        done[r.source] += 1
+        assert all(abs(done[s] - w / 7 * k) < 2 * 4 for s, w in weights.items())
+
+
 # 6
 def test_perfect_hash():
     for n in (1, 2, 3, 50, 5000):
@@ -346,6 +361,17 @@ def test_exact_dedup_repeated_rows_and_null_ids(spark):
     got = exact_dedup.exact_dedup(df).collect()
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(None, 3, 4, False), (3, 3, 4, True), (9, 3, 4, False)}
     assert exact_dedup.drop_duplicates(df).count() == 1
+    odd = spark.createDataFrame([(1, "a b", {"k": 1}), (1, "a b", {"k": 2}), (1, "a  b", {"k": 3}), (2, "ab", None), (None, "c", {}), (None, None, None)], "doc_id long, text string, m map<string,int>").withColumns({"id": F.lit(1), "digest": F.lit(b"x"), "_best": F.lit(2), "k": F.lit(3)})
+    left = exact_dedup.drop_duplicates(odd).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (0, "c"), (1, "a  b")]
+    assert exact_dedup.drop_duplicates(odd.filter("false")).count() == 0
+
+
+def test_exact_dedup_of_a_hot_text(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot text").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
+    got = exact_dedup.exact_dedup(df)
+    assert got.filter("group_size > 1").agg(F.count("*"), F.min("keep_id"), F.max("keep_id"), F.min("group_size")).first()[:] == (2666, 1, 1, 2666)
+
 
 
 # 7
@@ -643,6 +669,30 @@ def test_queries_and_sql_are_named_alike():
     assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
 
 
+def test_a_cluster_must_name_its_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda k, d: d)
+    with pytest.raises(ValueError):
+        common.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x:7077")))
+    with common.work_tables_deleted(spark):
+        path = common.persisted(spark.range(3), "gone").inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert os.path.isdir(path.replace("//", "/"))
+    assert not os.path.isdir(path.replace("//", "/"))
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = DOCS + ", extra map<string,int>, _gone int"
+    same = "one and the same long row of words that is here again and again in every part of it"
+    rows = [(k, same, "en", "s", 1, {"a": k}, k) for k in (5, 5, 6)] + [(None, "words without an id stay where they are as they are", None, None, None, None, None), (9, None, "en", "s", 0, None, 1), (10, LONG, "en", "s", 0, None, 1)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "a/documents.parquet"))
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "a")).collect()} == {5, 10, None}
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "b/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
