@@ -1,31 +1,36 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class, history). The most frequent
-tokens form classes by rank, whose members have weights of their own; every other token
-is in a class by its last byte, inside which it has its smoothed corpus frequency, so
-the model is a distribution over all tokens and one unseen token for each such class.
-The features, hashed into fixed tables, are the last token, the last two, and the one
-before the last (a skip). Tasks update copies of the tables by stochastic gradients on
-their documents, and the updates are averaged after every round.
+P(token | history) = P(class | history) * P(member | class, history). The most frequent
+tokens form classes by rank and are members of their own; every other token is in a
+class by its last byte and shares a member with those of its hash, among which it has
+its smoothed corpus frequency. So features reach the whole vocabulary, and the model is
+a distribution over all tokens and one unseen token for each shared member. The
+features, hashed into fixed tables, are the last token, the last two, and the one
+before the last (a skip). Learners, whose number and documents follow from the input
+alone, update copies of the tables by stochastic gradients, and the updates are
+averaged after every round.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maregraph.llm.common import persisted, row_chunks
 
-#: Classes of frequent tokens, members of each, classes of other tokens.
+#: Classes of frequent tokens, members of each class, classes of other tokens.
 HEAD_CLASSES, MEMBERS, TAIL_CLASSES = 32, 32, 24
+#: Characters of text to a learner in a round, about, and most learners: what a round sends is bounded by theirs.
+LEARN_CHARS, MOST_LEARNERS = 2_000_000, 96
 #: Rows of each hashed weight table, rounds over disjoint parts of the documents, learning rate, tokens to a step.
 ROWS, ROUNDS, RATE, STEP_TOKENS = 1 << 13, 3, 0.15, 4096
 #: Characters of text to a block and distinct tokens of blocks to a range.
@@ -36,23 +41,19 @@ END = 0
 A1, A2, A3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
-
-
-def tail_class(token: bytes) -> int:
-    return token[-1] % TAIL_CLASSES
+def tail_code(token: bytes, token_hash: int) -> int:
+    """Class (from HEAD_CLASSES on) and member of a token that isn't frequent, as class * MEMBERS + member."""
+    return (HEAD_CLASSES + token[-1] % TAIL_CLASSES) * MEMBERS + (token_hash >> 20) % MEMBERS
 
 
 @dataclass
 class MaxEnt:
     head: dict[bytes, int]  # token -> class * MEMBERS + member
-    member_mask: np.ndarray  # HEAD_CLASSES x MEMBERS, which members there are
     class_bias: np.ndarray
-    member_bias: np.ndarray
+    member_bias: np.ndarray  # CLASSES x MEMBERS; -inf where there is no member
     by_class: np.ndarray  # ROWS x CLASSES
     by_member: np.ndarray  # ROWS x MEMBERS
-    tail_mass: np.ndarray  # sums of (count + 0.5) of each tail class, with one unseen token
+    tail_mass: np.ndarray  # by code: sums of (count + 0.5) of the tokens that share a member, with one unseen token
 
 
 @dataclass
@@ -65,13 +66,16 @@ class Vocabulary:
     ends: np.ndarray
 
 
-def read_texts(texts: list[str | None], ordered: bool = False) -> Vocabulary:
+def read_texts(texts: pa.Array, ordered: bool = False) -> Vocabulary:
     """ordered: tokens by hash (ties by bytes), the same in every run; else as they come."""
-    split = [tokens_of(t) for t in texts]
-    lens = np.fromiter(map(len, split), np.int64, len(split))
-    number: defaultdict[bytes, int] = defaultdict(count().__next__)
-    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(lens.sum()))
-    tokens = list(number)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = split.flatten()
+    some = pc.not_equal(words, "")  # what stands before the first space and after the last
+    lens = np.diff(np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy() - split.offsets[0].as_py()])
+    coded = words.filter(some).dictionary_encode()
+    tokens, flat = [], coded.indices.to_numpy().astype(np.int64)
+    if len(coded.dictionary):
+        tokens = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.binary())), pa.scalar(b" "))[0].as_py().split(b" ")
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
     if ordered and tokens:
         order = np.argsort(hashes, kind="stable")
@@ -81,7 +85,7 @@ def read_texts(texts: list[str | None], ordered: bool = False) -> Vocabulary:
         rank[order] = np.arange(len(order))
         tokens, hashes, flat = [tokens[k] for k in order.tolist()], hashes[order], rank[flat]
     ends = np.cumsum(lens + 1) - 1
-    ids = np.full(len(flat) + len(split), -1, np.int64)
+    ids = np.full(len(flat) + len(texts), -1, np.int64)
     mask = np.ones(len(ids), bool)
     mask[ends] = False
     ids[mask] = flat
@@ -89,12 +93,11 @@ def read_texts(texts: list[str | None], ordered: bool = False) -> Vocabulary:
 
 
 def positions(v: Vocabulary, model: MaxEnt) -> tuple[np.ndarray, ...]:
-    """Class and member (-1: tail) of every position, and its rows for the three features of its history."""
+    """Class and member of every position, and its rows for the three features of its history."""
     code = np.fromiter(map(model.head.get, v.tokens, repeat(-1)), np.int64, len(v.tokens))
     tail = np.flatnonzero(code < 0)
-    cls = code // MEMBERS
-    cls[tail] = HEAD_CLASSES + np.fromiter((tail_class(v.tokens[k]) for k in tail.tolist()), np.int64, len(tail))
-    member = np.where(code < 0, -1, code % MEMBERS)
+    code[tail] = np.fromiter((tail_code(v.tokens[k], h) for k, h in zip(tail.tolist(), v.hashes[tail].tolist(), strict=True)), np.int64, len(tail))
+    cls, member = code // MEMBERS, code % MEMBERS
     # a last entry stands for END and, in histories, for what is before a text
     cls, member, h = np.append(cls, 0), np.append(member, 0), np.append(v.hashes, np.uint64(7))
     y, m, here = cls[v.ids], member[v.ids], h[v.ids]
@@ -114,26 +117,39 @@ def member_row(f: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return (f * 5 + cls * 2654435761) % ROWS
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    np.minimum(z, 60, out=z)  # far beyond what weights reach; exp stays finite without a shift by the maximum
-    np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
-    return z
-
-
-def class_probabilities(model: MaxEnt, f1: np.ndarray, f2: np.ndarray, f3: np.ndarray) -> np.ndarray:
+def class_scores(model: MaxEnt, f1: np.ndarray, f2: np.ndarray, f3: np.ndarray) -> np.ndarray:
     z = model.by_class.take(f1, axis=0)
     z += model.by_class.take(f2, axis=0)
     z += model.by_class.take(f3, axis=0)
     z += model.class_bias
-    return _softmax(z)
+    return z
 
 
-def member_probabilities(model: MaxEnt, cls: np.ndarray, f1: np.ndarray, f3: np.ndarray) -> np.ndarray:
+def member_scores(model: MaxEnt, cls: np.ndarray, f1: np.ndarray, f3: np.ndarray) -> np.ndarray:
     z = model.by_member.take(member_row(f1, cls), axis=0)
     z += model.by_member.take(member_row(f3, cls), axis=0)
     z += model.member_bias.take(cls, axis=0)
-    return _softmax(z)
+    return z
+
+
+def _shifted(z: np.ndarray) -> np.ndarray:
+    """Scores of the same softmax whose exponentials are finite and don't all vanish."""
+    top = z.max(axis=1)
+    if len(top) and (top.max() > 60 or top.min() < -60):
+        z -= top[:, None]
+    return z
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(_shifted(z), out=z)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    return z
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of one place of each row's softmax, which itself may be too small for a float."""
+    own = _shifted(z)[np.arange(len(z)), at].astype(np.float64)
+    return own - np.log((np.exp(z, out=z) @ np.ones(z.shape[1], np.float32)).astype(np.float64))
 
 
 def _sums(x: np.ndarray, order: np.ndarray, first: np.ndarray, singly: int = 6) -> np.ndarray:
@@ -165,21 +181,17 @@ def _step(table: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], gradient:
         table[at] -= summed * (rate / np.sqrt(seen[at] + 1e-2))[:, None]
 
 
-def train_on(model: MaxEnt, seen: tuple[np.ndarray, np.ndarray], texts: list[str | None], rate: float) -> int:
+def train_on(model: MaxEnt, seen: tuple[np.ndarray, np.ndarray], texts: pa.Array, rate: float) -> int:
     v = read_texts(texts)
     y, m, f1, f2, f3 = positions(v, model)
     for lo in range(0, len(y), STEP_TOKENS):
         cut = slice(lo, lo + STEP_TOKENS)
         yc, mc, a, b, c = y[cut], m[cut], f1[cut], f2[cut], f3[cut]
-        g = class_probabilities(model, a, b, c)
+        g, gm = _softmax(class_scores(model, a, b, c)), _softmax(member_scores(model, yc, a, c))
         g[np.arange(len(yc)), yc] -= 1
-        known = np.flatnonzero(mc >= 0)
-        yk, ak, ck = yc[known], a[known], c[known]
-        gm = member_probabilities(model, yk, ak, ck)
-        gm[np.arange(len(known)), mc[known]] -= 1
+        gm[np.arange(len(yc)), mc] -= 1
         _step(model.by_class, seen[0], [a, b, c], g, rate)
-        if len(known):
-            _step(model.by_member, seen[1], [member_row(ak, yk), member_row(ck, yk)], gm, rate)
+        _step(model.by_member, seen[1], [member_row(a, yc), member_row(c, yc)], gm, rate)
     return len(y)
 
 
@@ -187,35 +199,31 @@ def log10_probabilities(model: MaxEnt, v: Vocabulary, counts: np.ndarray) -> np.
     """log10 P of every position; counts: of v.tokens in training."""
     y, m, f1, f2, f3 = positions(v, model)
     out = np.empty(len(y))
-    smoothed = np.append(counts, 0) + 0.5
+    inside = np.log(np.append(counts, 0) + 0.5)
     for lo in range(0, len(y), STEP_TOKENS):
         cut = slice(lo, lo + STEP_TOKENS)
         yc, mc, a, b, c = y[cut], m[cut], f1[cut], f2[cut], f3[cut]
-        p = class_probabilities(model, a, b, c)[np.arange(len(yc)), yc].astype(np.float64)
-        known = mc >= 0
-        k = np.flatnonzero(known)
-        p[k] *= member_probabilities(model, yc[k], a[k], c[k])[np.arange(len(k)), mc[k]]
-        t = np.flatnonzero(~known)
-        p[t] *= smoothed[v.ids[cut][t]] / model.tail_mass[yc[t] - HEAD_CLASSES]
-        out[cut] = np.log10(np.maximum(p, 1e-300))
+        p = _log_softmax_at(class_scores(model, a, b, c), yc) + _log_softmax_at(member_scores(model, yc, a, c), mc)
+        t = np.flatnonzero(yc >= HEAD_CLASSES)
+        p[t] += inside[v.ids[cut][t]] - np.log(model.tail_mass[yc[t] * MEMBERS + mc[t]])
+        out[cut] = p / np.log(10)
     return out
 
 
 def new_model(head: list[tuple[bytes, int]], n_end: int, tail_mass: np.ndarray) -> MaxEnt:
-    """Untrained: biases that give the head tokens and the tail classes their frequencies."""
+    """Untrained: biases that give the head tokens, and the members that others share, their frequencies. tail_mass: by code."""
     ranked = [(b"", n_end), *head]
-    bias = np.full(HEAD_CLASSES * MEMBERS, -np.inf)
-    bias[: len(ranked)] = [np.log(c + 0.5) for _, c in ranked]
-    member_bias = bias.reshape(HEAD_CLASSES, MEMBERS)
-    mass = np.concatenate([np.where(np.isfinite(member_bias), np.exp(member_bias), 0).sum(axis=1), tail_mass])
+    mass = np.array(tail_mass, np.float64)
+    mass[: HEAD_CLASSES * MEMBERS] = 0
+    mass[: len(ranked)] = [c + 0.5 for _, c in ranked]
+    mass = mass.reshape(CLASSES, MEMBERS)
     with np.errstate(divide="ignore"):
-        class_bias = np.log(mass / mass.sum())
-    class_bias = np.maximum(class_bias, -30)
-    return MaxEnt({t: k for k, (t, _) in enumerate(ranked) if k}, np.isfinite(member_bias), class_bias.astype(np.float32), np.maximum(member_bias, -30).astype(np.float32), np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, MEMBERS), np.float32), tail_mass)
+        class_bias, member_bias = np.log(mass.sum(axis=1) / mass.sum()), np.log(mass)
+    return MaxEnt({t: k for k, (t, _) in enumerate(ranked) if k}, class_bias.astype(np.float32), member_bias.astype(np.float32), np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, MEMBERS), np.float32), tail_mass)
 
 
 def _blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-chars // BLOCK_CHARS))))), chars
 
@@ -225,8 +233,8 @@ def _count(rows: DataFrame, chars: int) -> DataFrame:
     bits = max(0, (chars // 30 // RANGE_TOKENS).bit_length())
 
     def send(table: pa.Table) -> pa.Table:
-        texts, held = table["text"].to_pylist(), np.array(table["held_out"].to_pylist(), bool)
-        v = read_texts(texts, ordered=True)
+        held = np.array(table["held_out"].to_pylist(), bool)
+        v = read_texts(table["text"].combine_chunks(), ordered=True)
         in_training = np.repeat(~held, np.diff(v.ends, prepend=-1))
         counts = np.bincount(v.ids[in_training & (v.ids >= 0)], minlength=len(v.tokens)).astype("<u4")
         ranges = (v.hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(v.tokens), np.int64)
@@ -256,9 +264,9 @@ def _count(rows: DataFrame, chars: int) -> DataFrame:
             least = np.partition(total, -HEAD_CLASSES * MEMBERS)[-HEAD_CLASSES * MEMBERS]
             top = sorted(np.flatnonzero((total > 0) & (total >= least)).tolist(), key=lambda k: (-total[k], names[k]))
         top = top[: HEAD_CLASSES * MEMBERS - 1]
-        tail = np.fromiter(map(tail_class, names), np.int64, len(names))
+        tail = np.fromiter((tail_code(t, xxhash.xxh3_64_intdigest(t)) for t in names), np.int64, len(names))
         live = total > 0
-        mass = np.bincount(tail[live], total[live] + 0.5, TAIL_CLASSES)
+        mass = np.bincount(tail[live], total[live] + 0.5, CLASSES * MEMBERS)
         answers = len(at)
         pad = [None] * (len(top) + 1)
         return pa.table({
@@ -275,32 +283,34 @@ def _count(rows: DataFrame, chars: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(tally, "part long, block long, counts binary, token binary, n long, distinct long, mass array<double>")
 
 
-def _train(spark: SparkSession, rows: DataFrame, model: MaxEnt, rounds: int) -> None:
-    """Rounds over disjoint parts of the training documents; tasks' updates are averaged by the tokens they read."""
-    learn = rows.filter("not held_out").select("text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(rounds)).alias("turn"))
-    tasks = 4 * spark.sparkContext.defaultParallelism  # so what a round sends doesn't grow with the input
+def _train(spark: SparkSession, rows: DataFrame, model: MaxEnt, rounds: int, chars: int) -> None:
+    """Rounds over disjoint parts of the training documents; learners' updates are averaged by the tokens they read."""
+    learn = rows.filter("not held_out").select("doc_id", "text", F.xxhash64("text").alias("h"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(rounds)).alias("turn"))
+    learners = max(1, min(MOST_LEARNERS, chars // rounds // LEARN_CHARS))
 
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def updates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             old = shared.value  # noqa: B023
-            own = MaxEnt(old.head, old.member_mask, old.class_bias, old.member_bias, old.by_class.copy(), old.by_member.copy(), old.tail_mass)
+            own = MaxEnt(old.head, old.class_bias, old.member_bias, old.by_class.copy(), old.by_member.copy(), old.tail_mass)
             seen, n = (np.zeros(ROWS, np.float32), np.zeros(ROWS, np.float32)), 0
             for batch in batches:
                 for part in row_chunks(batch, 0):
-                    n += train_on(own, seen, part.column(0).to_pylist(), RATE)
+                    n += train_on(own, seen, part.column(0), RATE)
             if n:
                 change = np.concatenate([own.by_class - old.by_class, own.by_member - old.by_member], axis=1)
-                pieces = np.array_split(change, 32)
-                yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int64()), pa.array([n] * 32, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "n", "change"])
+                pieces, who = np.array_split(change, 32), TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int64()), pa.array([who] * 32, pa.int64()), pa.array([n] * 32, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "who", "n", "change"])
 
         def averaged(table: pa.Table) -> pa.Table:
+            table = table.sort_by("who")  # so that sums don't depend on what came first
             n = np.array(table["n"].to_pylist(), np.float64)
             total = sum(w * np.frombuffer(b, np.float32) for w, b in zip(n / n.sum(), table["change"].to_pylist(), strict=True))
             return pa.table({"piece": table["piece"][:1], "change": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        sent = learn.filter(F.col("turn") == turn).select("text").coalesce(tasks).mapInArrow(updates, "piece long, n long, change binary")
+        dealt = learn.filter(F.col("turn") == turn).repartition(learners, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+        sent = dealt.select("text").mapInArrow(updates, "piece long, who long, n long, change binary")
         got = sorted(sent.groupBy("piece").applyInArrow(averaged, "piece long, change binary").collect(), key=lambda r: r["piece"])
         shared.unpersist()
         if got:
@@ -315,8 +325,10 @@ def score_documents(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, id_
     Tokens are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, and an end; a null
     text is empty and has the end alone. Counts come from all rows not held out.
     base_score sums log10((c + 0.5) / (N + 0.5 * (V + 1))); score is the model's log10
-    probability of the whole text. Repeated rows count and are scored each. Without
-    training rows N and V are 0 and both scores follow from the same formulas.
+    probability of the whole text, the same for any cluster and any files. Repeated rows
+    count and are scored each. Without training rows N and V are 0 and both scores
+    follow from the same formulas; an empty table gives no rows. A text longer than a
+    block is a block of its own. Ids are cast to long; other columns are ignored.
     """
     spark = docs.sparkSession
     rows, chars = _blocks(docs, held_out, id_col, text_col)
@@ -324,19 +336,19 @@ def score_documents(docs: DataFrame, held_out: Column, rounds: int = ROUNDS, id_
     n_end = rows.filter("not held_out").count()
     sums = counted.filter("mass is not null")
     n_words, distinct = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    tail_mass = np.full(TAIL_CLASSES, 0.5)
+    tail_mass = np.full(CLASSES * MEMBERS, 0.5)
     for r in sums.select(F.posexplode("mass").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
         tail_mass[r["k"]] += r["x"]
     head = [(bytes(r["token"]), r["n"]) for r in counted.filter("token is not null").select("token", "n").orderBy(F.desc("n"), "token").limit(HEAD_CLASSES * MEMBERS - 1).collect()]
     for token, c in head:
-        tail_mass[tail_class(token)] -= c + 0.5
+        tail_mass[tail_code(token, xxhash.xxh3_64_intdigest(token))] -= c + 0.5
     model = new_model(head, n_end, np.maximum(tail_mass, 0.5))
-    _train(spark, rows, model, rounds)
+    _train(spark, rows, model, rounds, chars)
     shared = spark.sparkContext.broadcast(model)
     total, types = n_words + n_end, distinct + (n_end > 0)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        v = read_texts(table["text"].to_pylist(), ordered=True)
+        v = read_texts(table["text"].combine_chunks(), ordered=True)
         packed = answers.sort_by("part")["counts"].to_pylist() if answers.num_rows else []
         counts = np.frombuffer(b"".join(packed), "<i8")
         every = np.append(counts, n_end)

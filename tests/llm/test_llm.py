@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,30 +67,85 @@ def test_lm_scores_follow_the_formulas(spark):
     assert own / size > base / size
 
 
-def test_lm_is_a_distribution():
-    texts = ["the cat sat on the mat", "the dog sat on a log by the mat"] * 30
+def small_model(texts, heads=5):
     counts = Counter(w for t in texts for w in words(t))
-    mass = np.full(lm_scoring.TAIL_CLASSES, 0.5)
-    head = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:5]
+    code = lambda w: lm_scoring.tail_code(w, lm_scoring.xxhash.xxh3_64_intdigest(w))
+    mass = np.full(lm_scoring.CLASSES * lm_scoring.MEMBERS, 0.5)
+    head = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:heads]
     for w, c in counts.items():
         if w not in dict(head):
-            mass[lm_scoring.tail_class(w)] += c + 0.5
+            mass[code(w)] += c + 0.5
     model = lm_scoring.new_model(head, len(texts), mass)
-    seen = (np.zeros(lm_scoring.ROWS, np.float32), np.zeros(lm_scoring.ROWS, np.float32))
-    lm_scoring.train_on(model, seen, texts, 0.15)
+    lm_scoring.train_on(model, (np.zeros(lm_scoring.ROWS, np.float32), np.zeros(lm_scoring.ROWS, np.float32)), pa.array(texts), 0.15)
+    return model, counts, code
+
+
+def test_lm_is_a_distribution():
+    model, counts, code = small_model(["the cat sat on the mat", "the dog sat on a log by the mat"] * 30)
 
     def p(token):
-        v = lm_scoring.read_texts([f"the {token}"], ordered=True)
-        own = np.array([counts[t] for t in v.tokens])
-        return 10 ** lm_scoring.log10_probabilities(model, v, own)[1]
+        v = lm_scoring.read_texts(pa.array([f"the {token}"]), ordered=True)
+        return 10 ** lm_scoring.log10_probabilities(model, v, np.array([counts[t] for t in v.tokens]))[1]
 
     known = sum(p(w.decode()) for w in counts)
-    unseen = sum(p("~" + chr(97 + (k - 1) % 24)) for k in range(24))
-    v = lm_scoring.read_texts(["the"], ordered=True)
+    one_each = {}
+    for k in range(40_000):
+        one_each.setdefault(code(w := f"~{k}{chr(97 + k % 24)}".encode()), w)
+    assert len(one_each) == lm_scoring.TAIL_CLASSES * lm_scoring.MEMBERS
+    unseen = sum(p(w.decode()) for w in one_each.values())
+    v = lm_scoring.read_texts(pa.array(["the"]), ordered=True)
     end = 10 ** lm_scoring.log10_probabilities(model, v, np.array([counts[b"the"]]))[1]
     assert known + unseen + end == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_scores_are_those_of_a_plain_model():
+    model, counts, code = small_model(["the cat sat on the mat and ran", "the dog sat on a log by the mat"] * 40, heads=3)
+    big, rows = 2**64, lm_scoring.ROWS
+    a1, a2, a3 = (int(x) for x in (lm_scoring.A1, lm_scoring.A2, lm_scoring.A3))
+    shift = 64 - (rows.bit_length() - 1)
+    number = lambda w: 7 if w is None else lm_scoring.xxhash.xxh3_64_intdigest(w)
+    softmax = lambda z, k: math.exp(z[k]) / sum(math.exp(x) for x in z)
+    for text in ("the cat sat by the log", "zzz the", "", "a mat a mat a mat unseen"):
+        history, total = [None, None], 0.0
+        for w in [*words(text), None]:
+            one, two = number(history[-1]), number(history[-2])
+            f1, f2, f3 = ((one * a1 + 1) * a2 % big) >> shift, ((one * a1 + two * a3) * a2 % big) >> shift, ((two * a3 + 5) * a1 % big) >> shift
+            k = 0 if w is None else model.head.get(w, code(w) if w not in model.head else None)
+            c, m = divmod(k, lm_scoring.MEMBERS)
+            z = [float(x) for x in model.by_class[f1] + model.by_class[f2] + model.by_class[f3] + model.class_bias]
+            at = lambda f: (f * 5 + c * 2654435761) % rows  # noqa: B023, E731
+            zm = [float(x) for x in model.by_member[at(f1)] + model.by_member[at(f3)] + model.member_bias[c]]
+            p = softmax(z, c) * softmax(zm, m)
+            if c >= lm_scoring.HEAD_CLASSES:
+                p *= (counts[w] + 0.5) / model.tail_mass[k]
+            total += math.log10(p)
+            history.append(w)
+        v = lm_scoring.read_texts(pa.array([text]), ordered=True)
+        assert lm_scoring.log10_probabilities(model, v, np.array([counts[t] for t in v.tokens], np.int64)).sum() == pytest.approx(total, rel=1e-5)
+
+
+def test_lm_far_scores_are_exact():
+    z = np.array([[0.0, 5.0, -900.0], [700.0, -700.0, 3.0], [-300.0, -300.0, -310.0]], np.float32)
+    want = [-905.0067, -1400.0, -np.log(2 + np.exp(-10.0))]
+    assert lm_scoring._log_softmax_at(z.copy(), np.array([2, 1, 0])) == pytest.approx(want, rel=1e-5)
+    assert np.allclose(lm_scoring._softmax(z.copy()).sum(axis=1), 1)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEARN_CHARS", 20_000)
+    df = docs_of(spark, sample_texts(spark, 120))
+    a, b = (rows_of(lm_scoring.score_documents(df.repartition(n), crc_mod("doc_id", 5) == 1)) for n in (1, 7))
+    assert {i: r.score for i, r in a.items()} == {i: r.score for i, r in b.items()}
+
+
+def test_lm_reads_tokens_as_bytes_split():
+    texts = [*ODD, " lead", "trail ", "A\x1cB \x85 C\u00a0d İ"]
+    v = lm_scoring.read_texts(pa.array(texts), ordered=True)
+    flat = [None if k < 0 else v.tokens[k] for k in v.ids.tolist()]
+    assert flat == [w for t in texts for w in [*words(t), None]]
+    assert v.ends.tolist() == [k for k, w in enumerate(flat) if w is None]
+
+
 @pytest.mark.parametrize("n", [1, 5, 100, 4096])
 def test_lm_gradient_sums(n):
     rng = np.random.default_rng(n)
