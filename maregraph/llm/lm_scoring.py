@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ from maregraph.llm.common import persisted, row_chunks
 #: Classes of frequent tokens, members of each class, classes of other tokens.
 HEAD_CLASSES, MEMBERS, TAIL_CLASSES = 32, 32, 24
 #: Characters of text to a learner in a round, about, and most learners: what a round sends is bounded by theirs.
-LEARN_CHARS, MOST_LEARNERS = 2_000_000, 96
+LEARN_CHARS, MOST_LEARNERS = 8_000_000, 96
 #: Rows of each hashed weight table, rounds over disjoint parts of the documents, learning rate, tokens to a step.
 ROWS, ROUNDS, RATE, STEP_TOKENS = 1 << 13, 3, 0.15, 4096
 #: Characters of text to a block and distinct tokens of blocks to a range.
@@ -287,6 +286,7 @@ def _train(spark: SparkSession, rows: DataFrame, model: MaxEnt, rounds: int, cha
     """Rounds over disjoint parts of the training documents; learners' updates are averaged by the tokens they read."""
     learn = rows.filter("not held_out").select("doc_id", "text", F.xxhash64("text").alias("h"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(rounds)).alias("turn"))
     learners = max(1, min(MOST_LEARNERS, chars // rounds // LEARN_CHARS))
+    learn = learn.withColumn("learner", F.pmod(F.xxhash64("doc_id", "h"), F.lit(learners)))
 
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -295,12 +295,14 @@ def _train(spark: SparkSession, rows: DataFrame, model: MaxEnt, rounds: int, cha
             old = shared.value  # noqa: B023
             own = MaxEnt(old.head, old.class_bias, old.member_bias, old.by_class.copy(), old.by_member.copy(), old.tail_mass)
             seen, n = (np.zeros(ROWS, np.float32), np.zeros(ROWS, np.float32)), 0
+            who = None
             for batch in batches:
-                for part in row_chunks(batch, 0):
-                    n += train_on(own, seen, part.column(0), RATE)
+                for part in row_chunks(batch, 1):
+                    who = part.column(0)[0].as_py()
+                    n += train_on(own, seen, part.column(1), RATE)
             if n:
                 change = np.concatenate([own.by_class - old.by_class, own.by_member - old.by_member], axis=1)
-                pieces, who = np.array_split(change, 32), TaskContext.get().partitionId()
+                pieces = np.array_split(change, 32)
                 yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int64()), pa.array([who] * 32, pa.int64()), pa.array([n] * 32, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "who", "n", "change"])
 
         def averaged(table: pa.Table) -> pa.Table:
@@ -309,8 +311,9 @@ def _train(spark: SparkSession, rows: DataFrame, model: MaxEnt, rounds: int, cha
             total = sum(w * np.frombuffer(b, np.float32) for w, b in zip(n / n.sum(), table["change"].to_pylist(), strict=True))
             return pa.table({"piece": table["piece"][:1], "change": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        dealt = learn.filter(F.col("turn") == turn).repartition(learners, "doc_id", "h").sortWithinPartitions("doc_id", "h")
-        sent = dealt.select("text").mapInArrow(updates, "piece long, who long, n long, change binary")
+        # a learner reads its documents batch by batch, in an order of their own
+        dealt = learn.filter(F.col("turn") == turn).repartition("learner").sortWithinPartitions("learner", "doc_id", "h")
+        sent = dealt.select("learner", "text").groupBy("learner").applyInArrow(updates, "piece long, who long, n long, change binary")
         got = sorted(sent.groupBy("piece").applyInArrow(averaged, "piece long, change binary").collect(), key=lambda r: r["piece"])
         shared.unpersist()
         if got:
