@@ -23,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maregraph.llm.common import row_hash, shared_dir
+from maregraph.llm.common import row_hash, salts_for, shared_dir
 
 #: Documents to a block.
 BLOCK = 16
 #: Blocks to a stretch of the schedule, at least; and for each source.
 STRETCH, STRETCH_A_SOURCE = 8192, 64
-#: Rows of a source that one task numbers, about, if they were all of one source.
-PART_ROWS = 2000
 
 
 def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -158,7 +156,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     if at_end == "stop":
         names = sorted(found)
         slots = slots.filter(F.col("_slot") < until_the_first_end(whole_weights([found[s] for s in names]), [blocks_of[s] for s in names]))
-    rows, parts = in_parts(docs, source, [F.xxhash64(F.col(id_col)), F.col(id_col), row_hash(docs)], 1 + sum(counts.values()) // PART_ROWS)
+    rows, parts = in_parts(docs, source, [F.xxhash64(F.col(id_col)), F.col(id_col), row_hash(docs)], salts_for(sum(counts.values())))
     # a part's blocks, the first and last of which it may share with its neighbours
     parts = parts.withColumn("_first", F.floor(F.col("_before") / block))
     blocks = parts.withColumn("_j", F.explode(F.sequence("_first", F.floor((F.col("_before") + F.col("_n") - 1) / block))))
