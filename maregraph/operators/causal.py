@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maregraph.functions.scalar import MAD_TO_SIGMA
-from maregraph.operators.series import Series, with_statistics
+from maregraph.operators.series import Series, over_key
 
 # Fixed values of the indicators.
 EWMA_RATES = (0.1, 0.3, 0.6)
@@ -87,7 +87,7 @@ def cusum_windows(df: DataFrame, s: Series, residual: str, slack: float = CUSUM_
     """df with cusum_pos and cusum_neg without resets: running sums less their least, all in windows."""
     w = s.window.rowsBetween(Window.unboundedPreceding, 0)
     e = F.coalesce(F.col(residual), F.lit(0.0))
-    out = with_statistics(df.withColumn("_e", e), s.keys, _sigma=F.stddev_samp("_e"))
+    out = over_key(df.withColumn("_e", e), s.keys, _sigma=F.stddev_samp("_e"))
     k = slack * F.coalesce(F.nullif(F.col("_sigma"), F.lit(0.0)), F.lit(1e-6))
     first = F.row_number().over(s.window) == 1
     out = out.withColumns({"_up": F.when(first, 0.0).otherwise(F.col("_e") - k), "_down": F.when(first, 0.0).otherwise(-F.col("_e") - k)})

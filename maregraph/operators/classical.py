@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from maregraph.functions.scalar import MAD_TO_SIGMA, clip, decision, final_class, flag, q_class, quality_class, ratio, z_class
-from maregraph.operators.series import Series, micros, with_statistics
+from maregraph.operators.series import Series, micros, over_key, with_statistics
 
 # Fixed values of the tests.
 WINDOW, LEAST = 49, 12
@@ -39,7 +39,7 @@ def over_window(value: Column, s: Series, what: str, window: int = WINDOW, least
 def scores(df: DataFrame, s: Series) -> DataFrame:
     """df with classic_score, second_difference_score, roc_per_hour, mad_score and local_std_score: three sorted passes over one partitioning."""
     out = df.withColumns({"classic_score": classic_spike(s), "second_difference_score": second_difference(s), "_dx": F.abs(s.x - F.lag(s.x).over(s.window)), "_dt": step_hours(s)})
-    out = with_statistics(out, s.keys, _step=F.median("_dt"))
+    out = over_key(out, s.keys, _step=F.median("_dt"))
     c = F.col("classic_score")
     out = out.withColumns({"roc_per_hour": F.col("_dx") / F.when(F.col("_step") > 0, F.col("_step")).otherwise(0.5), "_med": over_window(c, s, "median"), "_mean": over_window(c, s, "avg"), "_std": over_window(c, s, "std")})
     out = out.withColumn("_dev", F.abs(c - F.col("_med")))
@@ -55,7 +55,7 @@ def tested(df: DataFrame, s: Series, ranges: dict[str, tuple[float, float]] | No
     """
     scored = scores(df, s)
     p = lambda c, q: F.percentile(F.col(c), F.lit(q))
-    out = with_statistics(scored, s.keys, classic_p995=p("classic_score", 0.995), second_p995=p("second_difference_score", 0.995), roc_limit=p("roc_per_hour", 0.995), range_min=p(s.value, 0.001), range_max=p(s.value, 0.999))
+    out = over_key(scored, s.keys, classic_p995=p("classic_score", 0.995), second_p995=p("second_difference_score", 0.995), roc_limit=p("roc_per_hour", 0.995), range_min=p(s.value, 0.001), range_max=p(s.value, 0.999))
     for name, value in (roc_limits or {}).items():
         out = out.withColumn("roc_limit", F.when(F.col(variable) == name, value).otherwise(F.col("roc_limit")))
     for name, (lo, hi) in (ranges or {}).items():
@@ -77,7 +77,7 @@ def tested(df: DataFrame, s: Series, ranges: dict[str, tuple[float, float]] | No
         ratio(F.col("roc_per_hour"), F.col("roc_limit")), F.col("local_std_score") / LOCAL_STD_FLAG,
     )
     out = out.withColumn("_composite", F.greatest(parts, F.when(parts.isNotNull(), 0.0)))
-    out = with_statistics(out, s.keys, _top=F.percentile("_composite", F.lit(0.999)))
+    out = over_key(out, s.keys, _top=F.percentile("_composite", F.lit(0.999)))
     top = F.when(F.col("_top") == 0, 1.0).otherwise(F.coalesce("_top", F.lit(1.0)))
     out = out.withColumn("quality_index", clip(100 * (1 - F.col("_composite") / top), 0, 100))
     return out.withColumn("quality_class", quality_class(F.col("quality_index"))).drop("_composite", "_top")
@@ -86,13 +86,27 @@ def tested(df: DataFrame, s: Series, ranges: dict[str, tuple[float, float]] | No
 def month_quantile(df: DataFrame, s: Series, q: float = 0.99) -> DataFrame:
     """df with classic_score and its quantile within the series' calendar month."""
     out = df.withColumns({"classic_score": classic_spike(s), "month": F.month(s.order[0])})
-    return with_statistics(out, (*s.keys, "month"), month_limit=F.percentile("classic_score", F.lit(q)))
+    return over_key(out, (*s.keys, "month"), month_limit=F.percentile("classic_score", F.lit(q)))
+
+
+def _z(df: DataFrame, s: Series) -> DataFrame:
+    return df.withColumn("z", ratio(s.x - F.col("mu"), F.col("sigma"))).withColumn("dixon_flag", z_class(F.col("z")))
 
 
 def global_z(df: DataFrame, s: Series) -> DataFrame:
     """Rows with a value, with z of the whole series (sample deviation) and its class `dixon_flag`."""
-    out = with_statistics(df.filter(s.x.isNotNull()), s.keys, mu=F.avg(s.x), sigma=F.stddev_samp(s.x))
-    return out.withColumn("z", ratio(s.x - F.col("mu"), F.col("sigma"))).withColumn("dixon_flag", z_class(F.col("z")))
+    return _z(with_statistics(df.filter(s.x.isNotNull()), s.keys, mu=F.avg(s.x), sigma=F.stddev_samp(s.x)), s)
+
+
+def _q(df: DataFrame, s: Series, window: int, least: int, edges: str, w: WindowSpec) -> DataFrame:
+    h = window // 2
+    out = df.withColumn("_raw", F.collect_list(s.x).over(w.rowsBetween(-h, h))).withColumn("_sorted", F.array_sort("_raw"))
+    n = F.size("_raw")
+    centre = s.x if edges == "exact" else F.try_element_at("_raw", (F.floor(n / 2) + 1).cast("int"))
+    low, high = F.try_element_at("_sorted", F.lit(1)), F.try_element_at("_sorted", F.lit(-1))
+    gap = F.when(centre == high, high - F.try_element_at("_sorted", F.lit(-2))).when(centre == low, F.try_element_at("_sorted", F.lit(2)) - low).otherwise(0.0)
+    q = F.when(n < least, None).when(high == low, 0.0).otherwise(gap / (high - low))
+    return out.withColumn("q", q).withColumn("q_dixon_flag", q_class(F.col("q"))).drop("_raw", "_sorted")
 
 
 def q_dixon(df: DataFrame, s: Series, window: int = 11, least: int = 5, edges: str = "cut") -> DataFrame:
@@ -101,25 +115,18 @@ def q_dixon(df: DataFrame, s: Series, window: int = 11, least: int = 5, edges: s
     A frame cut short at an end has its centre at half its own length with edges="cut",
     at the row itself with "exact".
     """
-    h = window // 2
-    out = df.filter(s.x.isNotNull())
-    held = F.collect_list(s.x).over(s.window.rowsBetween(-h, h))
-    out = out.withColumn("_raw", held).withColumn("_sorted", F.array_sort("_raw"))
-    n = F.size("_raw")
-    centre = s.x if edges == "exact" else F.element_at("_raw", (F.floor(n / 2) + 1).cast("int"))
-    low, high = F.element_at("_sorted", 1), F.element_at("_sorted", -1)
-    gap = F.when(centre == high, high - F.element_at("_sorted", -2)).when(centre == low, F.element_at("_sorted", 2) - low).otherwise(0.0)
-    q = F.when(n < least, None).when(high == low, 0.0).otherwise(gap / (high - low))
-    return out.withColumn("q", q).withColumn("q_dixon_flag", q_class(F.col("q"))).drop("_raw", "_sorted")
+    return _q(df.filter(s.x.isNotNull()), s, window, least, edges, s.window)
+
+
+def classified(df: DataFrame, s: Series) -> DataFrame:
+    """All rows with the classes of global_z and q_dixon (MISSING without a value), computed where the rows are: rows with a value have frames of their own."""
+    out = _z(over_key(df, s.keys, mu=F.avg(s.x), sigma=F.stddev_samp(s.x)), s).withColumn("_has", s.x.isNotNull())
+    return _q(out, s, 11, 5, "cut", Window.partitionBy(*s.keys, "_has").orderBy(*s.order)).drop("_has", "mu", "sigma")
 
 
 def consolidated(df: DataFrame, s: Series, **options) -> DataFrame:
-    """tested() with z and Q-Dixon flags joined by row, `decision` and `final_class`."""
-    on = [*s.keys, *s.order]
-    base = tested(df, s, **options)
-    z = global_z(df, s).select(*on, "z", "dixon_flag")
-    q = q_dixon(df, s).select(*on, "q", "q_dixon_flag")
-    out = base.join(z, on, "left").join(q, on, "left").fillna("MISSING", ["dixon_flag", "q_dixon_flag"])
+    """tested() with z and Q-Dixon flags of the same rows, `decision` and `final_class`: one partitioning, no join."""
+    out = classified(tested(df, s, **options), s)
     some = F.col("flag_classic") | F.col("flag_mad") | F.col("flag_second_difference") | F.col("flag_qartod") | F.col("flag_roc") | F.col("flag_local_std")
     out = out.withColumn("decision", decision(s.x, F.col("flag_range"), F.col("quality_class"), F.col("dixon_flag"), F.col("q_dixon_flag"), F.col("removed"), some, F.col("quality_index")))
     return out.withColumn("final_class", final_class(F.col("decision"), F.col("quality_class")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maregraph.functions.scalar import MAD_TO_SIGMA, T4_QUARTILE, clean, gpd_sf, t4_sf
 from maregraph.operators.classical import classic_spike
-from maregraph.operators.series import Series, with_statistics
+from maregraph.operators.series import Series, over_key, with_statistics
 
 ALPHAS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1)
 
@@ -24,7 +24,7 @@ def robust_t(df: DataFrame, keys: tuple[str, ...], score: str, folded: bool = Tr
     """df with `p_robust`: two-sided tail of the score over a scale from its median (folded=False: of its absolute value)."""
     filled = F.coalesce(clean(F.col(score)), F.lit(0.0))
     filled = filled if folded else F.abs(filled)
-    out = with_statistics(df.withColumn("_s", filled), keys, _m=F.median("_s"))
+    out = over_key(df.withColumn("_s", filled), keys, _m=F.median("_s"))
     scale = F.nullif(F.col("_m"), F.lit(0.0)) / T4_QUARTILE
     return out.withColumn("p_robust", 2 * t4_sf(F.col("_s") / scale)).drop("_s", "_m")
 
@@ -97,8 +97,8 @@ def alpha_sweep(scored: DataFrame, keys: tuple[str, ...], p: str, truth: Column,
 
 def traditional_spike(df: DataFrame, s: Series) -> DataFrame:
     """df with `classic`, `limit` (median + 6 robust deviations of the series) and `spike`."""
-    out = with_statistics(df.withColumn("classic", classic_spike(s)), s.keys, _m=F.median("classic"))
-    out = with_statistics(out.withColumn("_d", F.abs(F.col("classic") - F.col("_m"))), s.keys, _mad=F.median("_d"))
+    out = over_key(df.withColumn("classic", classic_spike(s)), s.keys, _m=F.median("classic"))
+    out = over_key(out.withColumn("_d", F.abs(F.col("classic") - F.col("_m"))), s.keys, _mad=F.median("_d"))
     out = out.withColumn("limit", F.col("_m") + 6 * MAD_TO_SIGMA * F.col("_mad"))
     return out.withColumn("spike", F.coalesce(F.col("classic") > F.col("limit"), F.lit(False))).drop("_m", "_d", "_mad")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maregraph.operators.series import Series, with_statistics
+from maregraph.operators.series import Series, over_key
 
 # Fixed values of the injection.
 FAMILIES = ("A_spike", "B_mult", "C_level_shift", "D_drift", "E_stuck", "F_burst_noise", "G_missing_sentinel")
@@ -31,7 +31,7 @@ def pick(values: tuple, u: Column) -> Column:
 def point_anomalies(df: DataFrame, s: Series, seed: int = 0, every: int = 130, low: float = 3.0, high: float = 6.0) -> DataFrame:
     """df with `y` and `is_anomaly`: one row in `every` (at least one), away from the ends, moved by 3 to 6 deviations and floored at 0."""
     key = [F.col(c) for c in (*s.keys, *s.order)]
-    out = with_statistics(df.withColumn("_i", F.row_number().over(s.window) - 1), s.keys, _n=F.count("*"), _sd=F.stddev_pop(s.value))
+    out = over_key(df.withColumn("_i", F.row_number().over(s.window) - 1), s.keys, _n=F.count("*"), _sd=F.stddev_pop(s.value))
     inside = (F.col("_i") >= MARGIN) & (F.col("_i") < F.col("_n") - MARGIN)
     out = out.withColumns({"_u": F.when(inside, unit(F.lit(f"p{seed}"), *key)), "_v": unit(F.lit(f"q{seed}"), *key)})
     rank = F.row_number().over(Window.partitionBy(*s.keys).orderBy(F.asc_nulls_last("_u"), *s.order))
@@ -42,24 +42,24 @@ def point_anomalies(df: DataFrame, s: Series, seed: int = 0, every: int = 130, l
 
 
 def events(df: DataFrame, s: Series, per_family: int = 4, seed: int = 0) -> DataFrame:
-    """Rows `keys, slot, start, duration, family, u, v`: slots of equal width, one event in each, so that none overlap."""
-    count = per_family * len(FAMILIES)
+    """Rows `keys, slot, start, duration, family, u, v`: slots of equal width, one event in each, so that none overlap. A series of fewer rows than slots has a slot a row."""
+    count = F.least(F.lit(per_family * len(FAMILIES)), F.col("n"))
     spans = df.groupBy(*s.keys).agg(F.count("*").alias("n"))
-    slots = spans.select(*s.keys, "n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("slot"))
+    slots = spans.select(*s.keys, "n", count.alias("count"), F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("slot"))
     key = [F.col(c) for c in s.keys]
     draw = lambda tag: unit(F.lit(f"{tag}{seed}"), *key, F.col("slot"))
-    width = F.floor(F.col("n") / count)
+    width = F.floor(F.col("n") / F.col("count"))
     out = slots.withColumn("family", pick(FAMILIES, F.pmod(F.col("slot"), F.lit(len(FAMILIES))) / len(FAMILIES)))
     long, single = F.col("family").isin("C_level_shift", "D_drift"), F.col("family").isin("A_spike", "B_mult", "G_missing_sentinel")
     duration = F.when(single, 1).when(long, pick(LONG, draw("d"))).otherwise(pick(SHORT, draw("d")))
     out = out.withColumns({"duration": F.least(duration, F.greatest(width - 1, F.lit(1))).cast("long"), "u": draw("u"), "v": draw("v")})
     start = F.col("slot") * width + F.floor(draw("s") * F.greatest(width - F.col("duration"), F.lit(1)))
-    return out.withColumn("start", start.cast("long")).filter(F.col("start") < F.col("n")).drop("n")
+    return out.withColumn("start", start.cast("long")).drop("n", "count")
 
 
 def injected(df: DataFrame, s: Series, drawn: DataFrame) -> DataFrame:
     """df with `y`, `class_int` (-1 untouched, 1 SUSPECT, 2 BAD) and `family`: events meet the rows of their spans."""
-    rows = with_statistics(df.withColumn("_i", F.row_number().over(s.window) - 1), s.keys, _sd=F.stddev_pop(s.value))
+    rows = over_key(df.withColumn("_i", F.row_number().over(s.window) - 1), s.keys, _sd=F.stddev_pop(s.value))
     spans = drawn.withColumn("_i", F.explode(F.sequence("start", F.col("start") + F.col("duration") - 1))).withColumn("_j", F.col("_i") - F.col("start"))
     out = rows.join(spans.withColumnRenamed("_i", "_at"), [rows[k] == spans[k] for k in s.keys] + [rows["_i"] == F.col("_at")], "left").select(*(rows[c] for c in rows.columns), "family", "duration", "u", "v", "_j")
     sd, u, v, j = (F.col(c) for c in ("_sd", "u", "v", "_j"))

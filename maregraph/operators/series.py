@@ -39,6 +39,12 @@ def with_statistics(df: DataFrame, keys: tuple[str, ...], **statistics: Column)
     return df.join(found, list(keys))
 
 
+def over_key(df: DataFrame, keys: tuple[str, ...], **statistics: Column) -> DataFrame:
+    """df with aggregates of its key, as windows: for rows that are, or will be, partitioned by the key, which then aren't read and moved twice."""
+    w = Window.partitionBy(*keys)
+    return df.withColumns({name: c.over(w) for name, c in statistics.items()})
+
+
 def dedup_time(df: DataFrame, s: Series) -> DataFrame:
     """The first row of each key and time by the tie-breaking columns; rows without a time go."""
     w = Window.partitionBy(*s.keys, s.order[0]).orderBy(*s.order[1:])

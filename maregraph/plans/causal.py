@@ -12,7 +12,7 @@ from maregraph.operators import detectors as D
 from maregraph.operators import inject as I
 from maregraph.operators import models as M
 from maregraph.operators.classical import classic_spike
-from maregraph.operators.series import Series, hourly, interpolated, sequences, split, tail, with_statistics
+from maregraph.operators.series import Series, hourly, interpolated, over_key, sequences, split, tail, with_statistics
 from maregraph.operators import classical
 from maregraph.operators.chunked import in_chunks
 from maregraph.plans.classical import S1, SCORES, Q
@@ -115,7 +115,7 @@ FILLED = f"{OBS_SQL}, md AS (SELECT station, variable, median(x) AS m FROM obs G
 
 
 def filled(spark: SparkSession, sf: str) -> DataFrame:
-    out = with_statistics(obs(spark, sf), OBS.keys, _m=F.median("x")).withColumn("x", F.coalesce("x", "_m")).drop("_m")
+    out = over_key(obs(spark, sf), OBS.keys, _m=F.median("x")).withColumn("x", F.coalesce("x", "_m")).drop("_m")
     return out.withColumn("e", F.coalesce(F.col("x") - F.lag("x").over(OBS.window), F.lit(0.0)))
 
 
@@ -346,7 +346,7 @@ def weak_label_v1(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.robust_t(predicted(spark, sf), OBS.keys, "diff").withColumn("spike", classic_spike(OBS))
     raw = obs(spark, sf).select(*KEY, F.col("x").alias("raw"), "ts")
     rows = rows.join(raw.drop("ts"), list(KEY)).withColumn("gap", K.near_gap(OBS, F.col("raw").isNull().cast("int")))
-    rows = with_statistics(rows, OBS.keys, q75=F.percentile("spike", F.lit(0.75)), q90=F.percentile("spike", F.lit(0.9)))
+    rows = over_key(rows, OBS.keys, q75=F.percentile("spike", F.lit(0.75)), q90=F.percentile("spike", F.lit(0.9)))
     touched = F.when(F.col("event_id") % 41 == 0, 2).when(F.col("event_id") % 37 == 0, 1).otherwise(-1)
     label, confidence = I.weak_labels_v1(touched, F.col("x").between(0, 250), F.col("spike"), F.col("q75"), F.col("q90"), F.col("p_robust"), F.col("gap"))
     return rows.select(*KEY, label.alias("label"), confidence.alias("confidence"))
@@ -355,7 +355,7 @@ def weak_label_v1(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {OBS_SQL}, s AS (SELECT station, variable, avg(x) AS m, stddev_pop(x) AS sd FROM obs GROUP BY ALL), g AS (SELECT obs.station, obs.variable, event_id, x, {TOUCHED} AS ci, abs((coalesce(x, m) - m) / (sd + 1e-6)) AS z, max((x IS NULL)::INT) OVER {frame('1 PRECEDING', '1 FOLLOWING').replace('BY station, variable', 'BY obs.station, obs.variable')} > 0 AS gap FROM obs JOIN s USING (station, variable)),
 l AS (SELECT *, coalesce(ci = -1 AND x BETWEEN 0 AND 250 AND z < 1.5 AND NOT gap, false) AS good FROM g) SELECT {KEYS}, CASE WHEN ci <> -1 THEN ci WHEN NOT good AND (z >= 1.5 OR gap) THEN 1 ELSE 0 END AS label, CASE WHEN ci <> -1 OR good THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM l""")
 def weak_label_v2(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_statistics(obs(spark, sf), OBS.keys, m=F.avg("x"), sd=F.stddev_pop("x")).withColumn("gap", K.near_gap(OBS, F.col("x").isNull().cast("int")))
+    rows = over_key(obs(spark, sf), OBS.keys, m=F.avg("x"), sd=F.stddev_pop("x")).withColumn("gap", K.near_gap(OBS, F.col("x").isNull().cast("int")))
     z = F.abs((F.coalesce(F.col("x"), F.col("m")) - F.col("m")) / (F.col("sd") + 1e-6))
     touched = F.when(F.col("event_id") % 41 == 0, 2).when(F.col("event_id") % 37 == 0, 1).otherwise(-1)
     label, confidence = I.weak_labels_v2(touched, F.col("x").between(0, 250), z, F.col("gap"))

@@ -163,12 +163,11 @@ qh AS (SELECT variable, date_trunc('hour', ts) AS hour, CASE WHEN max(x) > 150 T
 def reconciled(spark: SparkSession, sf: str) -> DataFrame:
     from maregraph.operators.classical import consolidated
 
-    hour = F.date_trunc("hour", "ts").alias("hour")
     rank = F.when(F.col("decision") == "use", 0).when(F.col("decision") == "review", 1).otherwise(2)
-    first = consolidated(obs(spark, sf), OBS).groupBy("variable", hour).agg(F.max(rank).alias("r"))
     top = F.max("x")
-    second = obs(spark, sf).filter("x is not null").groupBy("variable", hour).agg(F.when(top > 150, 2).when(top > 80, 1).otherwise(0).alias("q"))
-    return first.join(second, ["variable", "hour"]).withColumn("worst", F.greatest("r", "q"))
+    second = F.when(top > 150, 2).when(top > 80, 1).when(top.isNotNull(), 0)
+    both = consolidated(obs(spark, sf), OBS).groupBy("variable", F.date_trunc("hour", "ts").alias("hour")).agg(F.max(rank).alias("r"), second.alias("q"))
+    return both.filter("q is not null").withColumn("worst", F.greatest("r", "q"))  # hours that both labels have
 
 
 @query(f"WITH {REC} SELECT variable, hour, r, q, worst, CASE worst WHEN 0 THEN 'GOOD' WHEN 1 THEN 'SUSPECT' ELSE 'BAD' END AS label FROM rq")
@@ -191,11 +190,9 @@ def reconcile_crosstab(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {FULL} SELECT {KEYS}, flag_count, dixon_flag, q_dixon_flag FROM dec")
 def qc_consolidate_join(spark: SparkSession, sf: str) -> DataFrame:
-    from maregraph.operators.classical import global_z, q_dixon
+    from maregraph.operators.classical import classified
 
-    base, on = flags(spark, sf).select(*KEY, "flag_count"), list(KEY)
-    out = base.join(global_z(obs(spark, sf), OBS).select(*KEY, "dixon_flag"), on, "left").join(q_dixon(obs(spark, sf), OBS).select(*KEY, "q_dixon_flag"), on, "left")
-    return out.fillna("MISSING", ["dixon_flag", "q_dixon_flag"])
+    return classified(flags(spark, sf), OBS).select(*KEY, "flag_count", "dixon_flag", "q_dixon_flag")
 
 
 # stability: a grid of runs (return flag x line status) of one metric
@@ -393,10 +390,3 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
     out = _finished(Q.causal_scores(_stream(spark, sf).select("station", "ts", "event_id", "x"), slack=25.0, reset=1000.0), spark)
     return rounded(out.select("station", "event_id", "persistence", "rate"), "rate")
-
-
-@query()
-def stream_injected(spark: SparkSession, sf: str) -> DataFrame:
-    return _finished(Q.injected_stream(_stream(spark, sf).select("station", "ts", "event_id", "x"), sigma=50.0), spark).select("station", "event_id", "x", "observed", "label", "family")
-
-

@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from maregraph.operators.inject import FAMILIES, LONG, SHORT
-
 
 def hourly_medians(events: DataFrame, ts: str, key: str, value: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark(ts, late).groupBy(F.window(ts, "1 hour"), key).agg(F.percentile(value, F.lit(0.5)).alias("value")).select(key, F.col("window.start").alias("hour"), "value")
@@ -60,54 +58,3 @@ def causal_scores(events: DataFrame, slack: float, reset: float, rate: float = 0
 
     watched = events.withWatermark("ts", "1 hour")
     return watched.groupBy("station").applyInPandasWithState(score, SCORES, "ewma double, up double, down double, sign double, run long, last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def injected_stream(events: DataFrame, sigma: float, start: float = 0.008, seed: int = 2026) -> DataFrame:
-    """Rows (station, ts, event_id, x) of a stream with `observed`, `label` (0 to 2) and `family`.
-
-    When idle, a station begins an event with probability `start` at each row. Draws
-    come from a generator of the row's id and the seed, so a replay repeats.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        family, left, j, size, held = state.get if state.exists else ("", 0, 0, 0.0, 0.0)
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-        rows = []
-        for i, v in zip(pdf["event_id"], pdf["x"].fillna(0.0), strict=True):
-            rng = np.random.default_rng([seed, int(i)])
-            if left == 0 and rng.random() < start:
-                family, j, held = str(rng.choice(FAMILIES)), 0, v
-                severe = rng.random() < 0.5
-                sign = float(rng.choice([-1, 1]))
-                left = int(rng.choice(LONG if family[0] in "CD" else SHORT)) if family[0] in "CDEF" else 1
-                amount = rng.uniform(3.0, 4.0) if severe else rng.uniform(1.0, 2.5)
-                size = {"A": sign * float(rng.choice([0.5, 1, 2, 3, 4, 6])), "B": float(rng.choice([5, 10, 0.2, 0.1])), "C": sign * amount, "D": sign * amount / max(1, left - 1), "E": 0.0, "F": rng.uniform(0.5, 2.5), "G": float(rng.integers(3))}[family[0]]
-            if left == 0:
-                rows.append((v, 0, ""))
-                continue
-            j += 1
-            kind = family[0]
-            if kind == "A":
-                got, bad = max(0.0, v + size * sigma), abs(size) >= 3
-            elif kind == "B":
-                got, bad = v * size, True
-            elif kind == "C":
-                got, bad = max(0.0, v + size * sigma), abs(size) >= 3
-            elif kind == "D":
-                got, bad = max(0.0, v + j * size * sigma), abs(j * size) >= 3
-            elif kind == "E":
-                got, bad = held, True
-            elif kind == "F":
-                got, bad = max(0.0, v + rng.normal(0, size * sigma)), size >= 1.5
-            else:
-                got, bad = (None, -999.0, -abs(rng.uniform(0.1, 1.0)))[int(size)], True
-            rows.append((got, 2 if bad else 1, family))
-            left -= 1
-        state.update((family, left, j, size, held))
-        out = pdf[["station", "ts", "event_id", "x"]].copy()
-        out["observed"] = pd.array([r[0] for r in rows], "Float64")
-        out["label"], out["family"] = [r[1] for r in rows], [r[2] for r in rows]
-        yield out
-
-    watched = events.withWatermark("ts", "1 hour")
-    return watched.groupBy("station").applyInPandasWithState(run, "station long, ts timestamp, event_id long, x double, observed double, label int, family string", "family string, remaining int, j int, size double, held double", "append", GroupStateTimeout.NoTimeout)
