@@ -55,6 +55,11 @@ def bad_share_text(pct: Column) -> Column:
     return F.when(pct < 0.1, "very low").when(pct < 1, "low").when(pct < 5, "moderate").otherwise("high")
 
 
+def gap_share_text(pct: Column) -> Column:
+    """The reading of Q-Dixon's share of BAD rows."""
+    return F.when(pct < 0.1, "few isolated extremes, excellent").when(pct < 1, "few isolated extremes, good").when(pct < 5, "look into it locally").otherwise("instrument, processing or a limit too tight")
+
+
 def t4_sf(t: Column) -> Column:
     """Upper tail of Student's t with 4 degrees of freedom."""
     u = 1 + t * t / 4

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maregraph.functions.scalar import MAD_TO_SIGMA
 from maregraph.operators.series import Series, over_key
@@ -51,36 +55,61 @@ def rate(s: Series) -> Column:
     return F.coalesce(F.abs(s.x - F.lag(s.x).over(s.window)), F.lit(0.0))
 
 
+def clipped_sums(steps: np.ndarray, start: float, limit: float) -> np.ndarray:
+    """Running sums from `start` that never fall below 0 and are 0 again where they would pass `limit`: whole stretches between resets at once."""
+    out, at = np.empty(len(steps)), 0
+    while at < len(steps):
+        total = start + np.cumsum(steps[at : at + 4096])
+        above = total - np.minimum(0.0, np.minimum.accumulate(total))
+        over = np.flatnonzero(above > limit)
+        n = int(over[0]) if len(over) else len(above)
+        out[at : at + n] = above[:n]
+        if len(over):
+            out[at + n] = start = 0.0
+            n += 1
+        else:
+            start = above[-1]
+        at += n
+    return out
+
+
 def recursive_memory(df: DataFrame, s: Series, residual: str, keep: tuple[str, ...], rates: tuple[float, ...] = EWMA_RATES, slack: float = CUSUM_SLACK, reset: float = CUSUM_RESET) -> DataFrame:
-    """`keep` columns with ewma_<k> and cusum_pos, cusum_neg: recursions, so each series is one ordered group.
+    """`keep` columns with ewma_<k> and cusum_pos, cusum_neg.
 
     Null residuals count as 0. The averages start at the first residual, the sums at 0
-    (without the first residual) and again at 0 when they pass `reset` deviations.
+    (without the first residual) and again at 0 when they pass `reset` deviations. A
+    series goes through its task batch by batch in its order, with one number carried
+    over for each indicator, so its length isn't bounded by memory.
     """
     kept = [*dict.fromkeys([*s.keys, *s.order, *keep])]
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(s.order), kind="stable")
-        e = pdf[residual].fillna(0.0).to_numpy(np.float64)
-        out = pdf[kept].copy()
-        for k, rate_ in enumerate(rates):
-            out[f"ewma_{k}"] = pd.Series(e).ewm(alpha=rate_, adjust=False).mean().to_numpy()
-        sigma = float(np.std(e, ddof=1)) if len(e) > 1 else 0.0
-        sigma = sigma or 1e-6
-        up, down = np.zeros(len(e)), np.zeros(len(e))
-        p = n = 0.0
-        for t, v in enumerate(e[1:], 1):
-            p = max(0.0, p + v - slack * sigma)
-            n = max(0.0, n - v - slack * sigma)
-            p = 0.0 if p > reset * sigma else p
-            n = 0.0 if n > reset * sigma else n
-            up[t], down[t] = p, n
-        out["cusum_pos"], out["cusum_neg"] = up, down
-        return out
-
-    fields = [df.schema[c] for c in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"ewma_{k} double" for k in range(len(rates))), "cusum_pos double", "cusum_neg double"])
-    return df.select(*dict.fromkeys([*kept, residual])).groupBy(*s.keys).applyInPandas(scan, schema)
+    e = F.coalesce(F.col(residual).cast("double"), F.lit(0.0))
+    found = df.groupBy(*s.keys).agg(F.stddev_samp(e).alias("_sd"))
+    ordered = df.select(*kept, e.alias("_e")).join(found, list(s.keys)).repartition(*s.keys).sortWithinPartitions(*s.keys, *s.order)
+    names = [f"ewma_{k}" for k in range(len(rates))]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        averages, up, down = None, 0.0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("_e").to_numpy(zero_copy_only=False)
+            sigma = batch.column("_sd")[0].as_py() or 1e-6
+            begun = averages is not None
+            averages = averages or [x[0]] * len(rates)
+            columns = []
+            for k, a in enumerate(rates):
+                through = pd.Series(np.concatenate([[averages[k]], x])).ewm(alpha=a, adjust=False).mean().to_numpy()[1:]
+                averages[k] = float(through[-1])
+                columns.append(through)
+            first = 0 if begun else 1
+            for sign, before in ((1, up), (-1, down)):
+                sums = clipped_sums(sign * x[first:] - slack * sigma, before, reset * sigma)
+                columns.append(np.concatenate([np.zeros(first), sums]))
+            up, down = float(columns[-2][-1]), float(columns[-1][-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, columns)], [*kept, *names, "cusum_pos", "cusum_neg"])
+
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in (*names, "cusum_pos", "cusum_neg"))])
+    return ordered.groupBy(*s.keys).applyInArrow(scan, schema)
 
 
 def cusum_windows(df: DataFrame, s: Series, residual: str, slack: float = CUSUM_SLACK) -> DataFrame:

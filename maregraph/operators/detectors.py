@@ -87,6 +87,27 @@ def gpd_pvalues(df: DataFrame, keys: tuple[str, ...], score: str, quantile: floa
     return out.withColumn("p_gpd", F.when(x > F.col("threshold"), tail).otherwise(F.col("p_rank"))).drop("threshold", "shape", "scale", "p_exceed", "n_exceed", "p_rank")
 
 
+def stat_vector(df: DataFrame, s: Series, residual: str, train: Column, in_range: Column | None = None) -> DataFrame:
+    """df with the statistics `spike, rate, outside, mad_score`: the tail of absolute residuals over the scale of the training rows of the key."""
+    size = F.abs(F.coalesce(clean(F.col(residual)), F.lit(0.0)))
+    scale = F.nullif(F.median(F.when(train, size)).over(s.whole), F.lit(0.0)) / T4_QUARTILE
+    inside = s.x.between(0, 250) if in_range is None else in_range
+    p = F.greatest(2 * t4_sf(size / scale), F.lit(0.0) * scale)
+    return df.withColumns({"spike": F.coalesce(classic_spike(s), F.lit(0.0)), "rate": F.coalesce(F.abs(s.x - F.lag(s.x).over(s.window)), F.lit(0.0)), "outside": (~inside).cast("int"), "mad_score": -F.ln(p + 1e-12)})
+
+
+def feature_set(name: str, hidden: tuple[str, ...] = (), covariates: tuple[str, ...] = ()) -> list[str]:
+    """The columns of the classifiers' feature sets: B forecast and residual, C with statistics, D with the forecaster's state, E all, F without a forecaster."""
+    forecast, statistics = ["y", "predicted", "residual", "abs_residual"], ["spike", "mad_score", "gpd_score", "rate", "outside"]
+    return {
+        "B": forecast,
+        "C": [*forecast, *statistics],
+        "D": [*hidden, *forecast],
+        "E": [*hidden, *forecast, *statistics, *covariates, "missing_mask"],
+        "F": ["y", *covariates, "spike", "persistence_residual", "outside"],
+    }[name]
+
+
 def alpha_sweep(scored: DataFrame, keys: tuple[str, ...], p: str, truth: Column, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """Rows `keys, alpha, n_flagged, n_true, hits`: one pass over the p-values for all levels."""
     levels = F.explode(F.array(*map(F.lit, alphas)))
@@ -136,13 +157,14 @@ def peaks(df: DataFrame, s: Series, value: str, height: float = 1.0, distance: i
     return df.select(*dict.fromkeys([*kept, value])).groupBy(*s.keys).applyInPandas(find, schema)
 
 
-def isolation_scores(df: DataFrame, features: list[str], keep: list[str], trees: int = 100, sample: int = 256, seed: int = 7) -> DataFrame:
-    """df's `keep` with `isolation`: anomaly score of a forest grown on a bounded sample of rows (the least by hash) and applied to all."""
+def isolation_scores(df: DataFrame, features: list[str], keep: list[str], trees: int = 100, sample: int = 256, seed: int = 7, train: str | None = None) -> DataFrame:
+    """df's `keep` with `isolation`: anomaly score of a forest grown on a bounded sample of rows (of `train`, a boolean column, if given; the least by hash) and applied to all."""
     ok = F.lit(True)
     for f in features:
         ok = ok & F.col(f).isNotNull()
     rows = df.filter(ok).select(*features, *(c for c in keep if c not in features))
-    drawn = np.array([tuple(r) for r in rows.select(*features, F.xxhash64(*keep, F.lit(seed)).alias("_h")).orderBy("_h").limit(4 * sample).drop("_h").collect()], float).reshape(-1, len(features))
+    fitted = rows if train is None else rows.filter(F.col(train))
+    drawn = np.array([tuple(r) for r in fitted.select(*features, F.xxhash64(*keep, F.lit(seed)).alias("_h")).orderBy("_h").limit(4 * sample).drop("_h").collect()], float).reshape(-1, len(features))
     rng = np.random.default_rng(seed)
     size = min(sample, len(drawn))
     limit = max(1, int(np.ceil(np.log2(max(2, size)))))
@@ -183,3 +205,9 @@ def isolation_scores(df: DataFrame, features: list[str], keep: list[str], trees:
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "isolation double"])
     return rows.mapInPandas(score, schema)
+
+
+def isolation_flags(scored: DataFrame, train: Column, contamination: float = 1 / 130) -> DataFrame:
+    """scored with `flagged`: an isolation above what the share `contamination` of the training rows passes."""
+    limit = scored.filter(train).agg(F.percentile("isolation", F.lit(1 - contamination)).alias("_limit"))
+    return scored.join(F.broadcast(limit)).withColumn("flagged", F.col("isolation") > F.col("_limit")).drop("_limit")  # one row

@@ -21,7 +21,7 @@ MARGIN = 10
 
 def unit(*of: Column) -> Column:
     """A number in [0, 1) that the columns decide."""
-    return F.pmod(F.crc32(F.concat_ws("|", *(c.cast("string") for c in of)).cast("binary")), F.lit(1_000_003)) / 1_000_003.0
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(c.cast("string") for c in of)).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def pick(values: tuple, u: Column) -> Column:
@@ -30,7 +30,7 @@ def pick(values: tuple, u: Column) -> Column:
 
 def point_anomalies(df: DataFrame, s: Series, seed: int = 0, every: int = 130, low: float = 3.0, high: float = 6.0) -> DataFrame:
     """df with `y` and `is_anomaly`: one row in `every` (at least one), away from the ends, moved by 3 to 6 deviations and floored at 0."""
-    key = [F.col(c) for c in (*s.keys, *s.order)]
+    key = [F.col(c) for c in (*s.keys, s.order[-1])]
     out = over_key(df.withColumn("_i", F.row_number().over(s.window) - 1), s.keys, _n=F.count("*"), _sd=F.stddev_pop(s.value))
     inside = (F.col("_i") >= MARGIN) & (F.col("_i") < F.col("_n") - MARGIN)
     out = out.withColumns({"_u": F.when(inside, unit(F.lit(f"p{seed}"), *key)), "_v": unit(F.lit(f"q{seed}"), *key)})
@@ -49,7 +49,7 @@ def events(df: DataFrame, s: Series, per_family: int = 4, seed: int = 0) -> Data
     key = [F.col(c) for c in s.keys]
     draw = lambda tag: unit(F.lit(f"{tag}{seed}"), *key, F.col("slot"))
     width = F.floor(F.col("n") / F.col("count"))
-    out = slots.withColumn("family", pick(FAMILIES, F.pmod(F.col("slot"), F.lit(len(FAMILIES))) / len(FAMILIES)))
+    out = slots.withColumn("family", F.element_at(F.array(*map(F.lit, FAMILIES)), F.pmod(F.col("slot"), F.lit(len(FAMILIES))) + 1))
     long, single = F.col("family").isin("C_level_shift", "D_drift"), F.col("family").isin("A_spike", "B_mult", "G_missing_sentinel")
     duration = F.when(single, 1).when(long, pick(LONG, draw("d"))).otherwise(pick(SHORT, draw("d")))
     out = out.withColumns({"duration": F.least(duration, F.greatest(width - 1, F.lit(1))).cast("long"), "u": draw("u"), "v": draw("v")})
@@ -61,7 +61,7 @@ def injected(df: DataFrame, s: Series, drawn: DataFrame) -> DataFrame:
     """df with `y`, `class_int` (-1 untouched, 1 SUSPECT, 2 BAD) and `family`: events meet the rows of their spans."""
     rows = over_key(df.withColumn("_i", F.row_number().over(s.window) - 1), s.keys, _sd=F.stddev_pop(s.value))
     spans = drawn.withColumn("_i", F.explode(F.sequence("start", F.col("start") + F.col("duration") - 1))).withColumn("_j", F.col("_i") - F.col("start"))
-    out = rows.join(spans.withColumnRenamed("_i", "_at"), [rows[k] == spans[k] for k in s.keys] + [rows["_i"] == F.col("_at")], "left").select(*(rows[c] for c in rows.columns), "family", "duration", "u", "v", "_j")
+    out = rows.join(spans.withColumnRenamed("_i", "_at"), [rows[k] == spans[k] for k in s.keys] + [rows["_i"] == F.col("_at")], "left").select(*(rows[c] for c in rows.columns), "family", "duration", "u", "v", "_j", "slot")
     sd, u, v, j = (F.col(c) for c in ("_sd", "u", "v", "_j"))
     sign = F.when(v < 0.5, -1.0).otherwise(1.0)
     severity = F.when(u < 0.5, 1.0 + 1.5 * F.pmod(u * 2, F.lit(1.0))).otherwise(3.0 + F.pmod(u * 2, F.lit(1.0)))
@@ -71,6 +71,7 @@ def injected(df: DataFrame, s: Series, drawn: DataFrame) -> DataFrame:
     first = F.when(j == 0, s.x)
     held = F.last(first, True).over(s.window.rowsBetween(-max(SHORT), 0))
     family = F.col("family")
+    own = lambda tag: unit(F.lit(tag), *(F.col(k) for k in s.keys), F.col("slot"), j)
     floor0 = lambda c: F.greatest(F.lit(0.0), c)
     y = (
         F.when(family == "A_spike", floor0(s.x + sign * spike * sd))
@@ -78,7 +79,7 @@ def injected(df: DataFrame, s: Series, drawn: DataFrame) -> DataFrame:
         .when(family == "C_level_shift", floor0(s.x + sign * severity * sd))
         .when(family == "D_drift", floor0(s.x + drift))
         .when(family == "E_stuck", held)
-        .when(family == "F_burst_noise", floor0(s.x + noise * sd * F.sqrt(-2 * F.ln(1 - unit(F.col("_i"), u))) * F.cos(6.283185307179586 * unit(F.col("_i"), v))))
+        .when(family == "F_burst_noise", floor0(s.x + noise * sd * F.sqrt(-2 * F.ln(1 - own("f"))) * F.cos(6.283185307179586 * own("g"))))
         .when(family == "G_missing_sentinel", F.when(u < 1 / 3, None).when(u < 2 / 3, -999.0).otherwise(-0.1 - 0.9 * v))
         .otherwise(s.x)
     )
@@ -103,6 +104,11 @@ def weak_labels_v1(class_int: Column, in_range: Column, spike: Column, spike_p75
     return label, confidence
 
 
+def transfer_labels(class_int: Column) -> Column:
+    """Labels of a station a model is carried to: rows that no event touched are GOOD, without weak labels."""
+    return F.when(class_int == -1, 0).otherwise(class_int)
+
+
 def weak_labels_v2(class_int: Column, in_range: Column, z: Column, gap: Column) -> tuple[Column, Column]:
     """(class, confidence): events are certain, quiet rows in range certainly good, others weakly labelled by z."""
     untouched = class_int == -1

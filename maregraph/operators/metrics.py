@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+from math import exp, factorial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,12 +122,64 @@ def stream_metrics(df: DataFrame, s: Series, truth: str, predicted: str) -> Data
     return out.withColumn("false_alarm_pct", 100.0 * F.col("false_alarms") / F.greatest(F.col("n_clean"), F.lit(1)))
 
 
-def bootstrap_mean(df: DataFrame, by: tuple[str, ...], value: str, resamples: int = 2000, seed: int = 2026) -> DataFrame:
-    """Mean and its 95 % interval. A resample weighs every row by a Poisson(1) draw of its hash, so no row moves: resample x row pairs are summed map-side."""
-    rows = df.select(*by, F.col(value).alias("_v"), F.monotonically_increasing_id().alias("_id")).filter("_v is not null")
-    drawn = rows.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = (F.pmod(F.xxhash64("_id", "_b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight = F.when(u < 0.36787944117, 0).when(u < 0.73575888234, 1).when(u < 0.91969860292, 2).when(u < 0.98101184312, 3).when(u < 0.99634015317, 4).otherwise(5)
-    means = drawn.groupBy(*by, "_b").agg((F.sum(F.col("_v") * weight) / F.nullif(F.sum(weight), F.lit(0))).alias("m"))
+def first_offsets(df: DataFrame, by: tuple[str, ...], offset: str, suspect: Column, bad: Column, last: int) -> DataFrame:
+    """Each event's `first_suspect_offset` and `first_bad_offset` from 0 on (null: censored), and the share of its rows from 0 to `last` that are suspect."""
+    o, inside = F.col(offset), (F.col(offset) >= 0) & (F.col(offset) <= last)
+    return df.groupBy(*by).agg(
+        F.min(F.when(suspect & (o >= 0), o)).alias("first_suspect_offset"),
+        F.min(F.when(bad & (o >= 0), o)).alias("first_bad_offset"),
+        F.avg(F.when(inside, suspect.cast("double"))).alias("detection_proportion"),
+    )
+
+
+def causality_violations(df: DataFrame, s: Series, label: Callable[[DataFrame, Series], Column], chosen: Column, shock: Column) -> DataFrame:
+    """One row `n_windows, violation_rate`: how often the label of a chosen row changes when the row after it moves by `shock`."""
+    nearly = df.withColumn("_chosen", chosen).withColumn("_shock", F.coalesce(F.lag("_chosen").over(s.window), F.lit(False)))
+    base = nearly.withColumn("_base", label(nearly, s))
+    moved = base.withColumn(s.value, F.when(F.col("_shock"), s.x + shock).otherwise(s.x))
+    moved = moved.withColumn("_moved", label(moved, s)).filter("_chosen")
+    return moved.agg(F.count("*").alias("n_windows"), F.avg((~F.col("_base").eqNullSafe(F.col("_moved"))).cast("double")).alias("violation_rate"))
+
+
+def gates(df: DataFrame, by: tuple[str, ...], monotonicity: Column, macro_f1: Column, binary_f1: Column, reference: float = 0.75, least_monotonic: float = 0.9, most_spread: float = 0.05) -> DataFrame:
+    """The acceptance gates of runs: monotonicity and binary F1 by their means, the spread of macro F1; and whether all hold."""
+    out = df.groupBy(*by).agg((F.avg(monotonicity) >= least_monotonic).alias("monotonic"), (F.stddev_samp(macro_f1) < most_spread).alias("stable"), (F.avg(binary_f1) > reference).alias("above_reference"))
+    return out.withColumn("accepted", F.coalesce(F.col("monotonic") & F.col("stable") & F.col("above_reference"), F.lit(False)))
+
+
+#: Poisson(1): probability of at most k, to where it is 1 in doubles.
+POISSON = tuple(accumulate(exp(-1) / factorial(k) for k in range(19)))
+PRIME = (1 << 31) - 1
+
+
+def bootstrap_mean(df: DataFrame, by: tuple[str, ...], value: str, ids: tuple[str, ...], resamples: int = 2000, seed: int = 2026) -> DataFrame:
+    """Mean and its 95 % interval over `resamples` Poisson(1) resamples.
+
+    A row's weights follow from its `ids`, the resample and the seed alone. Tasks add up
+    arrays of weights and of weighted values, so what moves is two arrays for each group
+    and task, whatever the rows.
+    """
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in ids)).cast("binary")), 1, 7), 16, 10).cast("long")
+    rows = df.select(*by, F.col(value).cast("double").alias("_v"), key.alias("_k")).filter("_v is not null")
+    b = np.arange(1, resamples + 1, dtype=np.int64)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for name, own in pdf.groupby(list(by), dropna=False):
+                to = held.setdefault(tuple(None if x is None or x != x else x for x in name), np.zeros((2, resamples)))
+                for lo in range(0, len(own), 256):
+                    k, v = (own[c].to_numpy()[lo : lo + 256] for c in ("_k", "_v"))
+                    x = (k[:, None] * 48271 + b * 40692 + seed) % PRIME
+                    for _ in range(2):
+                        x = (x * x % PRIME * 16807 + x * 69621 + b) % PRIME
+                    weight = np.searchsorted(POISSON, (x + 0.5) / PRIME, "right").astype(np.float64)
+                    to += np.stack([weight.sum(axis=0), v @ weight])
+        for name, (w, wv) in held.items():
+            yield pd.DataFrame([dict(zip(by, name, strict=True)) | {"w": w, "wv": wv}])
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    parts = rows.mapInPandas(sums, f"{kinds}, w array<double>, wv array<double>").select(*by, F.posexplode(F.arrays_zip("w", "wv")).alias("b", "x"))
+    means = parts.groupBy(*by, "b").agg((F.sum("x.wv") / F.nullif(F.sum("x.w"), F.lit(0.0))).alias("m"))
     spread = means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
     return rows.groupBy(*by).agg(F.avg("_v").alias("mean")).join(spread, list(by))

@@ -67,6 +67,24 @@ def robust_scaled(df: DataFrame, columns: list[str], train: Column) -> DataFrame
     return out
 
 
+def standard_scaled(df: DataFrame, columns: list[str], train: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Columns less the mean, over the deviation (1 where it is 0), of the training rows (of each key)."""
+    w = Window.partitionBy(*keys)
+    kept = lambda c: F.when(train, F.col(c))
+    spread = lambda c: F.coalesce(F.nullif(F.stddev_pop(kept(c)).over(w), F.lit(0.0)), F.lit(1.0))
+    return df.withColumns({c: (F.col(c) - F.avg(kept(c)).over(w)) / spread(c) for c in columns})
+
+
+def softmax_head(df: DataFrame, features: list[str], label: str, train: Column, confidence: Column | None = None) -> DataFrame:
+    """df with p_good, p_suspect, p_bad: one multinomial model of the three classes, balanced and weighed by confidence."""
+    assembled = VectorAssembler(inputCols=features, outputCol="_x").transform(df.fillna(0.0, features))
+    fitted = class_weights(assembled.filter(train).withColumn("_y", F.col(label).cast("double")), "_y", confidence)
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial", maxIter=60, regParam=1e-3, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred").fit(fitted)
+    p = vector_to_array("_p")
+    out = model.transform(assembled).withColumns({f"p_{name}": F.coalesce(F.get(p, F.lit(k)), F.lit(0.0)) for k, name in enumerate(("good", "suspect", "bad"))})
+    return out.drop("_x", "_p", "_raw", "_pred")
+
+
 def ordinal_head(df: DataFrame, features: list[str], label: str, train: Column, confidence: Column | None = None) -> DataFrame:
     """df with p_good, p_suspect, p_bad: P(>= SUSPECT) from all rows and P(BAD | >= SUSPECT) from the others, both balanced."""
     assembled = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df.fillna(0.0, features))

@@ -91,6 +91,18 @@ def sequences(df: DataFrame, s: Series, lookback: int) -> DataFrame:
     return df.withColumn("history", held).filter(F.size("history") == lookback)
 
 
+def three_step_sequences(df: DataFrame, s: Series, lookback: int) -> DataFrame:
+    """Rows with `history`, the `lookback` values up to the second row before, and `targets`, those of the row before, the row and the row after; rows without all of them go."""
+    w = s.window
+    out = df.withColumns({"history": F.collect_list(s.x).over(w.rowsBetween(-lookback - 1, -2)), "targets": F.array(F.lag(s.x).over(w), s.x, F.lead(s.x).over(w))})
+    return out.filter((F.size("history") == lookback) & ~F.exists("targets", lambda v: v.isNull()))
+
+
+def mean_of_steps(*steps: Column) -> Column:
+    """The forecast of the middle row: the mean of what is forecast for it and its neighbours."""
+    return sum(steps, F.lit(0.0)) / len(steps)
+
+
 def islands(df: DataFrame, s: Series, state: Column) -> DataFrame:
     """df with `island`: a number that rises whenever the state changes within a series."""
     changed = F.coalesce(~state.eqNullSafe(F.lag(state).over(s.window)), F.lit(True)).cast("int")

@@ -12,12 +12,12 @@ from maregraph.operators import detectors as D
 from maregraph.operators import inject as I
 from maregraph.operators import models as M
 from maregraph.operators.classical import classic_spike
-from maregraph.operators.series import Series, hourly, interpolated, over_key, sequences, split, tail, with_statistics
+from maregraph.operators.series import Series, hourly, interpolated, mean_of_steps, over_key, sequences, split, tail, three_step_sequences, with_statistics
 from maregraph.operators import classical
 from maregraph.operators.chunked import in_chunks
 from maregraph.plans.classical import S1, SCORES, Q
 from maregraph.plans.registry import KEY, KEYS, OBS, OBS_SQL, PART, W, frame, obs, query, rounded, scratch, table
-from maregraph.sources.tables import TIME_PARTS, hourly_payload, read_observations, read_wind, timestamp
+from maregraph.sources.tables import TIME_PARTS, hourly_payload, load_each, read_observations, read_wind, timestamp
 
 HOURLY = Series(("variable",), ("hour",), "value")
 HW = "PARTITION BY variable ORDER BY hour"
@@ -316,14 +316,34 @@ def pca_recon(spark: SparkSession, sf: str) -> DataFrame:
     return M.component_residual(rows, OBS, "x", F.col("part") == "train").select(*KEY, "part", "residual")
 
 
-@query()
+def _unit(*of: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(of)})), 1, 12))::BIGINT / {1 << 48}.0::DOUBLE)"
+
+
+def _pick(values: tuple, u: str) -> str:
+    return f"([{', '.join(repr(v) for v in values)}])[(floor({u} * {len(values)}) + 1)::INT]"
+
+
+KEY_TEXT = ("station::VARCHAR", "variable")
+
+
+@query(f"""WITH {FILLED}, n AS (SELECT v.*, row_number() OVER ({W}) - 1 AS i, count(*) OVER ({PART}) AS n, stddev_pop(x) OVER ({PART}) AS sd, {_unit("'p0'", *KEY_TEXT, 'event_id::VARCHAR')} AS u0, {_unit("'q0'", *KEY_TEXT, 'event_id::VARCHAR')} AS q FROM v),
+r AS (SELECT *, CASE WHEN i >= 10 AND i < n - 10 THEN u0 END AS u FROM n), h AS (SELECT *, row_number() OVER ({PART} ORDER BY u ASC NULLS LAST, ts, event_id) <= greatest(1, round(n / 130.0)) AND u IS NOT NULL AS hit FROM r)
+SELECT {KEYS}, x, round(CASE WHEN hit THEN greatest(0, x + CASE WHEN q < 0.5 THEN -1 ELSE 1 END * (3 + 3 * ((q * 2) % 1)) * sd) ELSE x END, 6) AS y, hit AS is_anomaly FROM h""")
 def inject_points(spark: SparkSession, sf: str) -> DataFrame:
-    return I.point_anomalies(filled(spark, sf), OBS).select(*KEY, "x", "y", "is_anomaly")
+    return rounded(I.point_anomalies(filled(spark, sf), OBS).select(*KEY, "x", "y", "is_anomaly"), "y")
 
 
-@query()
+_draw = lambda tag: _unit(f"'{tag}0'", *KEY_TEXT, "slot::VARCHAR")
+EVENTS = f"""{FILLED}, ct AS (SELECT station, variable, count(*) AS n, least(28, count(*)) AS c FROM v GROUP BY ALL), sl AS (SELECT station, variable, n // c AS width, unnest(range(c))::INT AS slot FROM ct),
+fa AS (SELECT *, ({list(I.FAMILIES)})[slot % 7 + 1] AS family FROM sl),
+du AS (SELECT *, least(CASE WHEN family IN ('A_spike', 'B_mult', 'G_missing_sentinel') THEN 1 WHEN family IN ('C_level_shift', 'D_drift') THEN {_pick(I.LONG, _draw('d'))} ELSE {_pick(I.SHORT, _draw('d'))} END, greatest(width - 1, 1))::BIGINT AS duration FROM fa),
+ev AS (SELECT station, variable, slot, family, duration, (slot * width + floor({_draw('s')} * greatest(width - duration, 1)))::BIGINT AS start, {_draw('u')} AS u, {_draw('v')} AS v FROM du)"""
+
+
+@query(f"WITH {EVENTS} SELECT station, variable, slot, family, duration, start, round(u, 9) AS u, round(v, 9) AS v FROM ev")
 def inject_events(spark: SparkSession, sf: str) -> DataFrame:
-    return I.events(filled(spark, sf), OBS)
+    return rounded(I.events(filled(spark, sf), OBS), "u", "v", digits=9)
 
 
 def families(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,9 +351,24 @@ def families(spark: SparkSession, sf: str) -> DataFrame:
     return I.injected(v, OBS, I.events(v, OBS))
 
 
-@query()
+_own = lambda tag: _unit(f"'{tag}'", *KEY_TEXT, "slot::VARCHAR", "j::VARCHAR")
+
+
+@query(f"""WITH {EVENTS}, ri AS (SELECT v.*, row_number() OVER ({W}) - 1 AS i, stddev_pop(x) OVER ({PART}) AS sd FROM v),
+jo AS (SELECT ri.*, slot, family, duration, u, ev.v, i - start AS j FROM ri LEFT JOIN ev ON ri.station = ev.station AND ri.variable = ev.variable AND i >= start AND i < start + duration),
+sv AS (SELECT *, CASE WHEN v < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign, CASE WHEN u < 0.5 THEN 1.0 + 1.5 * ((u * 2) % 1) ELSE 3.0 + ((u * 2) % 1) END AS severity, {_pick(I.SPIKES, 'u')}::DOUBLE AS spike, {_pick(I.FACTORS, 'u')}::DOUBLE AS factor, 0.5 + 2.0 * u AS noise,
+last_value(CASE WHEN j = 0 THEN x END IGNORE NULLS) OVER {frame('24 PRECEDING', 'CURRENT ROW')} AS held FROM jo), dr AS (SELECT *, sign * severity * sd / greatest(1, duration - 1) * j AS drift FROM sv)
+SELECT {KEYS}, x, round(CASE family WHEN 'A_spike' THEN greatest(0, x + sign * spike * sd) WHEN 'B_mult' THEN x * factor WHEN 'C_level_shift' THEN greatest(0, x + sign * severity * sd) WHEN 'D_drift' THEN greatest(0, x + drift) WHEN 'E_stuck' THEN held
+WHEN 'F_burst_noise' THEN greatest(0, x + noise * sd * sqrt(-2 * ln(1 - {_own('f')})) * cos(6.283185307179586 * {_own('g')})) WHEN 'G_missing_sentinel' THEN CASE WHEN u < 1 / 3.0::DOUBLE THEN NULL WHEN u < 2 / 3.0::DOUBLE THEN -999.0 ELSE -0.1 - 0.9 * v END ELSE x END, 5) AS y,
+CASE WHEN family IS NULL THEN -1 WHEN CASE family WHEN 'A_spike' THEN spike >= 3 WHEN 'C_level_shift' THEN severity >= 3 WHEN 'D_drift' THEN abs(drift) >= 3 * sd WHEN 'F_burst_noise' THEN noise >= 1.5 ELSE true END THEN 2 ELSE 1 END AS class_int, coalesce(family, '') AS family FROM dr""")
 def inject_families(spark: SparkSession, sf: str) -> DataFrame:
-    return families(spark, sf).select(*KEY, "x", "y", "class_int", "family")
+    return rounded(families(spark, sf).select(*KEY, "x", "y", "class_int", "family"), "y", digits=5)
+
+
+@query(f"WITH {OBS_SQL} SELECT {KEYS}, CASE WHEN event_id % 41 = 0 THEN 2 WHEN event_id % 37 = 0 THEN 1 ELSE 0 END AS label FROM obs")
+def transfer_label(spark: SparkSession, sf: str) -> DataFrame:
+    touched = F.when(F.col("event_id") % 41 == 0, 2).when(F.col("event_id") % 37 == 0, 1).otherwise(-1)
+    return obs(spark, sf).select(*KEY, I.transfer_labels(touched).alias("label"))
 
 
 TOUCHED = "CASE WHEN event_id % 41 = 0 THEN 2 WHEN event_id % 37 = 0 THEN 1 ELSE -1 END"
@@ -397,9 +432,10 @@ def scan_ocean(spark: SparkSession, sf: str) -> DataFrame:
     return read.select(F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "x")
 
 
-@query("WITH a AS (SELECT user_id, min(ts) AS t0, list(round(value, 3) ORDER BY event_id)[1:4] AS v FROM events GROUP BY 1) SELECT user_id, t0 + INTERVAL 1 HOUR * (k - 1) AS ts, v[k] AS speed FROM (SELECT *, unnest(range(1, len(v) + 1)) AS k FROM (SELECT user_id, date_trunc('second', t0) AS t0, v FROM a))")
+@query("WITH a AS (SELECT user_id, date_trunc('second', min(ts)) AS t0, list(round(value, 3) ORDER BY event_id) AS v FROM events GROUP BY user_id, ts::DATE) SELECT user_id, t0 + INTERVAL 1 HOUR * (k - 1) AS ts, v[k] AS speed FROM (SELECT *, unnest(range(1, len(v) + 1)) AS k FROM a)")
 def json_arrays_explode(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.date_trunc("second", F.min("ts")).alias("t0"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: F.round(s["value"], 3)), 1, 4).alias("v"))
+    """All events of a user and day as one payload, parsed again."""
+    e = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.date_trunc("second", F.min("ts")).alias("t0"), F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: F.round(s["value"], 3)).alias("v"))
     time = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda k: F.date_format(F.timestamp_add("HOUR", k, F.col("t0").cast("timestamp")), "yyyy-MM-dd HH:mm:ss"))
     rows = e.select("user_id", F.to_json(F.struct(F.struct(time.alias("time"), F.col("v").alias("speed")).alias("hourly"))).alias("payload"))
     return hourly_payload(rows, "payload", ["speed"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
@@ -412,11 +448,11 @@ def union_all(spark: SparkSession, sf: str) -> DataFrame:
     return part("x > 100", "high").unionByName(part("x <= 1", "low"))
 
 
-@query()
+@query(f"WITH {OBS_SQL} SELECT {KEYS}, x FROM obs WHERE x IS NOT NULL ORDER BY md5(event_id || '|42'), event_id LIMIT 1500")
 def det_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """The reference's scatter sample: 1,500 rows, the least by a seeded hash."""
+    """The scatter sample: 1,500 rows, the least by a seeded hash."""
     o = obs(spark, sf).filter("x is not null")
-    return o.withColumn("h", F.xxhash64("event_id", F.lit(42))).orderBy("h", "event_id").limit(1500).select(*KEY, "x")
+    return o.withColumn("h", F.md5(F.concat(F.col("event_id").cast("string"), F.lit("|42")).cast("binary"))).orderBy("h", "event_id").limit(1500).select(*KEY, "x")
 
 
 @query(f"WITH {OBS_SQL} SELECT DISTINCT station, variable FROM obs EXCEPT SELECT DISTINCT station, variable FROM obs WHERE x > 400")
@@ -425,3 +461,54 @@ def set_difference(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("station", "variable").subtract(o.filter("x > 400").select("station", "variable"))
 
 
+@query(f"WITH {OBS_SQL}, i AS (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER ({PART}) AS n FROM obs) SELECT {KEYS}, CASE WHEN i < floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM i")
+def chrono_split_70(spark: SparkSession, sf: str) -> DataFrame:
+    return split(obs(spark, sf), OBS, 0.7, 0.0).select(*KEY, "part")
+
+
+@query(f"""WITH {OBS_SQL}, s AS (SELECT {KEYS}, x, list(x) OVER {frame('13 PRECEDING', '2 PRECEDING')} AS a, lag(x) OVER ({W}) AS before, lead(x) OVER ({W}) AS after FROM obs WHERE x IS NOT NULL)
+SELECT {KEYS}, a[12] AS newest, before, x AS target, after, round(a[12] + 2 * (a[12] - a[11]), 6) AS predicted FROM s WHERE len(a) = 12 AND before IS NOT NULL AND after IS NOT NULL""")
+def three_step_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows that end two rows before; three steps along their last slope, averaged for the middle row."""
+    out = three_step_sequences(obs(spark, sf).filter("x is not null"), OBS, 12)
+    last, step = F.col("history")[11], F.col("history")[11] - F.col("history")[10]
+    mean = mean_of_steps(*(last + k * step for k in (1, 2, 3)))
+    t = F.col("targets")
+    return out.select(*KEY, last.alias("newest"), t[0].alias("before"), t[1].alias("target"), t[2].alias("after"), F.round(mean, 6).alias("predicted"))
+
+
+TRAINED = f"tr AS (SELECT *, row_number() OVER ({W}) - 1 < floor(count(*) OVER ({PART}) * 0.6::DOUBLE) AS train FROM v)"
+
+
+@query(f"WITH {FILLED}, {TRAINED}, m AS (SELECT *, avg(x) FILTER (train) OVER ({PART}) AS mu, stddev_pop(x) FILTER (train) OVER ({PART}) AS sd FROM tr) SELECT {KEYS}, round((x - mu) / coalesce(nullif(sd, 0), 1), 6) AS z FROM m")
+def frozen_z(spark: SparkSession, sf: str) -> DataFrame:
+    """z of every row by the moments of its series' training part."""
+    rows = split(filled(spark, sf), OBS).withColumn("z", F.col("x"))
+    return rounded(M.standard_scaled(rows, ["z"], F.col("part") == "train", OBS.keys).select(*KEY, "z"), "z")
+
+
+@query(f"""WITH {FILLED}, {TRAINED}, rs AS (SELECT *, x - lag(x) OVER ({W}) AS r FROM tr), ab AS (SELECT *, abs(coalesce(r, 0)) AS a, abs(x - (lag(x) OVER ({W}) + lead(x) OVER ({W})) / 2) AS spike FROM rs),
+sc AS (SELECT *, nullif(median(a) FILTER (train) OVER ({PART}), 0) / 0.7406970841126811 AS k FROM ab), tt AS (SELECT *, a / k AS t FROM sc)
+SELECT {KEYS}, round(coalesce(spike, 0), 6) AS spike, round(coalesce(abs(r), 0), 6) AS rate, (NOT x BETWEEN 0 AND 250)::INT AS outside, round(-ln(greatest(2 * (0.5 - 0.375 * (t / sqrt(1 + t * t / 4)) * (1 - t * t / (12 * (1 + t * t / 4)))), 0) + 1e-12), 4) AS mad_score FROM tt""")
+def stat_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """The first classifier's statistics, its tail by the training part's scale; the Pareto score is in causal_features."""
+    rows = split(filled(spark, sf), OBS).withColumn("residual", F.col("x") - F.lag("x").over(OBS.window))
+    out = D.stat_vector(rows, OBS, "residual", F.col("part") == "train")
+    return out.select(*KEY, F.round("spike", 6).alias("spike"), F.round("rate", 6).alias("rate"), "outside", F.round("mad_score", 4).alias("mad_score"))
+
+
+@query(f"WITH {FILLED}, f AS (SELECT *, abs(x - (lag(x) OVER ({W}) + lead(x) OVER ({W})) / 2) AS s, abs(x - lag(x) OVER ({W})) AS p FROM v) SELECT {KEYS}, x AS y, round(coalesce(s, 0), 6) AS spike, round(coalesce(p, 0), 6) AS persistence_residual, (NOT x BETWEEN 0 AND 250)::INT AS outside FROM f")
+def features_without_forecaster(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature set F."""
+    rows = filled(spark, sf).withColumn("y", F.col("x")).withColumns({"spike": F.coalesce(classic_spike(OBS), F.lit(0.0)), "persistence_residual": K.rate(OBS), "outside": (~F.col("x").between(0, 250)).cast("int")})
+    return rounded(rows.select(*KEY, *D.feature_set("F", covariates=())), "spike", "persistence_residual")
+
+
+@query(f"WITH {OBS_SQL} SELECT variable, event_id, x FROM obs WHERE variable IN ('click', 'view')")
+def load_variables(spark: SparkSession, sf: str) -> DataFrame:
+    """One file a variable, of which one isn't there."""
+    path = f"{scratch(spark)}/variables-{uuid.uuid4().hex}"
+    o = obs(spark, sf)
+    for v in ("click", "view"):
+        o.filter(F.col("variable") == v).select("event_id", "x").write.option("header", True).option("nullValue", "NULL").csv(f"{path}/{v}")
+    return load_each(spark, {v: f"{path}/{v}" for v in ("click", "missing", "view")}, "event_id long, x double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maregraph.functions.scalar import bad_share_text, season
+from maregraph.functions.scalar import bad_share_text, gap_share_text, season
 from maregraph.operators import classical as C
 from maregraph.operators.series import dedup_time, with_statistics
 from maregraph.plans.registry import KEY, KEYS, OBS, OBS_SQL, PART, W, frame, obs, query, rounded, table
@@ -117,10 +117,11 @@ def qdixon_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {OBS_SQL}, {Q} SELECT station, variable, count(*) AS n, count(*) FILTER (q_dixon_flag = 'GOOD') AS n_good, count(*) FILTER (q_dixon_flag = 'SUSPECT') AS n_suspect, count(*) FILTER (q_dixon_flag = 'BAD') AS n_bad,
-min(x) AS lo, max(x) AS hi, round(median(q), 6) AS median_q, round(quantile_cont(q, 0.95), 6) AS p95_q, round(max(q), 6) AS max_q FROM qf GROUP BY ALL""")
+min(x) AS lo, max(x) AS hi, round(median(q), 6) AS median_q, round(quantile_cont(q, 0.95), 6) AS p95_q, round(max(q), 6) AS max_q, CASE WHEN 100.0 * count(*) FILTER (q_dixon_flag = 'BAD') / count(*) < 0.1 THEN 'few isolated extremes, excellent' WHEN 100.0 * count(*) FILTER (q_dixon_flag = 'BAD') / count(*) < 1 THEN 'few isolated extremes, good'
+WHEN 100.0 * count(*) FILTER (q_dixon_flag = 'BAD') / count(*) < 5 THEN 'look into it locally' ELSE 'instrument, processing or a limit too tight' END AS reading FROM qf GROUP BY ALL""")
 def qdixon_summary(spark: SparkSession, sf: str) -> DataFrame:
     q = C.q_dixon(obs(spark, sf), OBS)
-    out = q.groupBy("station", "variable").agg(F.count("*").alias("n"), *_counts("q_dixon_flag"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.median("q").alias("median_q"), F.percentile("q", F.lit(0.95)).alias("p95_q"), F.max("q").alias("max_q"))
+    out = q.groupBy("station", "variable").agg(F.count("*").alias("n"), *_counts("q_dixon_flag"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.median("q").alias("median_q"), F.percentile("q", F.lit(0.95)).alias("p95_q"), F.max("q").alias("max_q")).withColumn("reading", gap_share_text(100.0 * F.col("n_bad") / F.col("n")))
     return rounded(out, "median_q", "p95_q", "max_q")
 
 

@@ -12,7 +12,7 @@ from maregraph.operators import metrics as E
 from maregraph.operators import models as M
 from maregraph.operators.series import Series
 from maregraph.plans.classical import FULL, flags
-from maregraph.plans.registry import KEY, KEYS, OBS, OBS_SQL, obs, query, rounded, scratch, table
+from maregraph.plans.registry import KEY, KEYS, OBS, OBS_SQL, W, obs, query, rounded, scratch, table
 from maregraph.streaming import quality as Q
 
 # Truth and score: documents' toxic label, scored by the share of characters in a fixed range of lengths; tied on purpose.
@@ -235,9 +235,41 @@ def variance_allocation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.variance_allocation(rows, "model_seed", "anomaly_seed", "l_extendedprice"), "pct_rows", "pct_columns", "pct_rest", digits=4)
 
 
-@query()
+POISSON_SQL = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {k}" for k, p in enumerate(E.POISSON)) + f" ELSE {len(E.POISSON)} END"
+_mixed = f"((x * x % {E.PRIME}) * 16807 + x * 69621 + b) % {E.PRIME}"
+
+
+@query(f"""WITH {RUNS}, ky AS (SELECT model_seed, f1, ('0x' || substr(md5(concat_ws('|', model_seed, anomaly_seed, run::VARCHAR)), 1, 7))::BIGINT AS k FROM ru), b0 AS (SELECT ky.*, b, (k * 48271 + b * 40692 + 2026) % {E.PRIME} AS x FROM ky, (SELECT unnest(range(1, 2001)) AS b)),
+b1 AS (SELECT * REPLACE ({_mixed} AS x) FROM b0), b2 AS (SELECT * REPLACE ({_mixed} AS x) FROM b1), wt AS (SELECT *, {POISSON_SQL} AS w FROM (SELECT *, (x + 0.5::DOUBLE) / {E.PRIME}.0::DOUBLE AS u FROM b2)),
+me AS (SELECT model_seed, b, sum(f1 * w) / nullif(sum(w), 0) AS m FROM wt GROUP BY ALL) SELECT model_seed, round((SELECT avg(f1) FROM ru WHERE ru.model_seed = me.model_seed), 8) AS mean, round(quantile_cont(m, 0.025), 8) AS lo, round(quantile_cont(m, 0.975), 8) AS hi FROM me GROUP BY model_seed""")
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return E.bootstrap_mean(runs(spark, sf), ("model_seed",), "f1")
+    return rounded(E.bootstrap_mean(runs(spark, sf), ("model_seed",), "f1", ("model_seed", "anomaly_seed", "run")), "mean", "lo", "hi", digits=8)
+
+
+@query(f"WITH {RUNS}, a AS (SELECT model_seed, avg(1 - f1 / 10) >= 0.9 AS monotonic, stddev_samp(f1) < 0.05 AS stable, avg(f1 * 1.6) > 0.75 AS above_reference FROM ru GROUP BY 1) SELECT *, coalesce(monotonic AND stable AND above_reference, false) AS accepted FROM a")
+def all_gates(spark: SparkSession, sf: str) -> DataFrame:
+    return E.gates(runs(spark, sf), ("model_seed",), 1 - F.col("f1") / 10, F.col("f1"), F.col("f1") * 1.6)
+
+
+@query(f"WITH o AS (SELECT user_id, event_type AS family, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 3 AS k FROM events) SELECT user_id, family, (min(k) FILTER (value > 60 AND k >= 0))::DOUBLE AS first_suspect_offset, (min(k) FILTER (value > 120 AND k >= 0))::DOUBLE AS first_bad_offset, round(avg(CASE WHEN k BETWEEN 0 AND 11 THEN (value > 60)::INT END), 8) AS detection_proportion FROM o GROUP BY ALL")
+def persistent_failure(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) - 3)
+    out = E.first_offsets(e.withColumnRenamed("event_type", "family"), ("user_id", "family"), "k", F.col("value") > 60, F.col("value") > 120, 11)
+    out = out.withColumns({c: F.col(c).cast("double") for c in ("first_suspect_offset", "first_bad_offset")})
+    return rounded(out, "detection_proportion", digits=8)
+
+
+_label = "coalesce(abs(x - (lag(x) OVER o + lead(x) OVER o) / 2) > 60, false)"
+
+
+@query(f"""WITH {OBS_SQL}, a AS (SELECT *, event_id % 50 = 7 AS chosen FROM obs WHERE x IS NOT NULL), b AS (SELECT *, coalesce(lag(chosen) OVER o, false) AS shock, {_label} AS base FROM a WINDOW o AS ({W})),
+c AS (SELECT * REPLACE (CASE WHEN shock THEN x + 300 ELSE x END AS x) FROM b), d AS (SELECT *, {_label} AS moved FROM c WINDOW o AS ({W})) SELECT count(*) AS n_windows, round(avg((base IS DISTINCT FROM moved)::INT), 8) AS violation_rate FROM d WHERE chosen""")
+def causality_violation(spark: SparkSession, sf: str) -> DataFrame:
+    """A label that reads the row after isn't causal."""
+    from maregraph.operators.classical import classic_spike
+
+    label = lambda df, s: F.coalesce(classic_spike(s) > 60, F.lit(False))
+    return rounded(E.causality_violations(obs(spark, sf).filter("x is not null"), OBS, label, F.col("event_id") % 50 == 7, F.lit(300.0)), "violation_rate", digits=8)
 
 
 CORR = ("l_discount", "l_tax", "l_quantity", "l_partkey", "l_suppkey")
@@ -360,23 +392,27 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _finished(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
-    """All of a stream's rows: written to the session's shared folder, its state beside."""
+    """All of a stream's rows, in the session's shared folder with its state beside: appended, or the last complete result."""
     path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    out = stream.writeStream.option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", f"{path}/out")
+    else:
+        out = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out"))
+    out.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-@query("WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, round(median(value), 6) AS value FROM events GROUP BY ALL) SELECT * FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, round(median(value), 6) AS value FROM events GROUP BY ALL")
 def stream_hourly_median(spark: SparkSession, sf: str) -> DataFrame:
-    out = _finished(Q.hourly_medians(_stream(spark, sf), "ts", "event_type", "value"), spark)
+    out = _finished(Q.hourly_medians(_stream(spark, sf), "ts", "event_type", "value"), spark, "complete")
     return out.select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), F.round("value", 6).alias("value"))
 
 
 @query("""WITH o AS (SELECT event_type, ts, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events), s AS (SELECT event_type, ts, sum((gap IS NULL OR gap >= INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY event_type ORDER BY ts) AS k FROM o)
-SELECT event_type, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY event_type, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT event_type, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY event_type, k""")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    out = _finished(Q.sessions(_stream(spark, sf), "ts", "event_type"), spark)
+    out = _finished(Q.sessions(_stream(spark, sf), "ts", "event_type"), spark, "complete")
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
@@ -386,7 +422,10 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.agg(F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("n_users"))
 
 
-@query(f"WITH {OBS_SQL}, a AS (SELECT station, ts, event_id, coalesce(x, 0) AS v, sign(coalesce(x, 0)) AS sg, lag(sign(coalesce(x, 0))) OVER o AS before, lag(coalesce(x, 0)) OVER o AS last FROM obs WINDOW o AS ({SW})), b AS (SELECT *, sum((sg = 0 OR before IS NULL OR sg <> before)::INT) OVER ({SW}) AS run FROM a) SELECT station, event_id, row_number() OVER (PARTITION BY station, run ORDER BY ts, event_id) AS persistence, round(coalesce(abs(v - last), 0), 6) AS rate FROM b")
+@query(f"""WITH RECURSIVE {OBS_SQL}, a AS (SELECT station, ts, event_id, coalesce(x, 0) AS v, sign(coalesce(x, 0)) AS sg, lag(sign(coalesce(x, 0))) OVER o AS before, lag(coalesce(x, 0)) OVER o AS last, row_number() OVER o AS i FROM obs WINDOW o AS ({SW})),
+b AS (SELECT *, sum((sg = 0 OR before IS NULL OR sg <> before)::INT) OVER ({SW}) AS run FROM a),
+rec AS (SELECT station, i, v::DOUBLE AS ewma, 0::DOUBLE AS up, 0::DOUBLE AS down FROM a WHERE i = 1 UNION ALL SELECT a.station, a.i, 0.3::DOUBLE * v + (1 - 0.3::DOUBLE) * ewma, CASE WHEN up + v - 25 > 1000 THEN 0 ELSE greatest(0, up + v - 25) END, CASE WHEN down - v - 25 > 1000 THEN 0 ELSE greatest(0, down - v - 25) END FROM rec JOIN a ON a.station = rec.station AND a.i = rec.i + 1)
+SELECT b.station, event_id, row_number() OVER (PARTITION BY b.station, run ORDER BY ts, event_id) AS persistence, round(coalesce(abs(v - last), 0), 6) AS rate, round(ewma, 5) AS ewma, round(up, 4) AS cusum_pos, round(down, 4) AS cusum_neg FROM b JOIN rec ON rec.station = b.station AND rec.i = b.i""")
 def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
     out = _finished(Q.causal_scores(_stream(spark, sf).select("station", "ts", "event_id", "x"), slack=25.0, reset=1000.0), spark)
-    return rounded(out.select("station", "event_id", "persistence", "rate"), "rate")
+    return out.select("station", "event_id", "persistence", F.round("rate", 6).alias("rate"), F.round("ewma", 5).alias("ewma"), F.round("cusum_pos", 4).alias("cusum_pos"), F.round("cusum_neg", 4).alias("cusum_neg"))

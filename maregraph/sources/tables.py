@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,9 +57,30 @@ def write_csv(df: DataFrame, path: str, missing: str = "NULL") -> None:
     df.write.option("header", True).option("nullValue", missing).csv(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark can read something there, in whatever store it lies."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def load_each(spark: SparkSession, paths: dict[str, str], schema: str, name: str = "variable") -> DataFrame:
+    """The CSVs of several variables as one table, each with its name; files that aren't there are left out."""
+    out = spark.createDataFrame([], f"{schema}, {name} string")
+    for key, path in sorted(paths.items()):
+        if exists(spark, path):
+            out = out.unionByName(spark.read.schema(schema).option("header", True).option("nullValue", "NULL").csv(path).withColumn(name, F.lit(key)))
+    return out
+
+
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """The first rows of a small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    """The first rows of a result as a Markdown table, and a line that says so where there are more."""
+    rows = df.limit(most + 1).collect()
     cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
+    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in rows[:most]]
+    return "\n".join(lines + ([f"\nFirst {most} rows; there are more."] if len(rows) > most else []))

@@ -30,13 +30,19 @@ SCORES = "station long, ts timestamp, event_id long, x double, ewma double, cusu
 def causal_scores(events: DataFrame, slack: float, reset: float, rate: float = 0.3) -> DataFrame:
     """Rows (station, ts, event_id, x) of a stream with their memory indicators.
 
-    State per station is five numbers. A micro-batch's rows are put in order of time and
-    id; rows later than the watermark are dropped by the query's watermark.
+    State per station is a few numbers. A micro-batch's rows are put in order of time
+    and id; rows that aren't after the last one in the state come too late and are
+    dropped, as the sums have gone on without them.
     """
 
     def score(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ewma, up, down, sign, run, last = state.get if state.exists else (None, 0.0, 0.0, 0.0, 0, None)
+        ewma, up, down, sign, run, last, at, number = state.get if state.exists else (None, 0.0, 0.0, 0.0, 0, None, None, None)
         pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+        pdf["_us"] = pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)
+        if at is not None:
+            pdf = pdf[(pdf["_us"] > at) | ((pdf["_us"] == at) & (pdf["event_id"] > number))]
+        if not len(pdf):
+            return
         rows = []
         for v in pdf["x"].fillna(0.0):
             if ewma is None:
@@ -50,11 +56,11 @@ def causal_scores(events: DataFrame, slack: float, reset: float, rate: float = 0
             sign = now
             rows.append((ewma, up, down, run, abs(v - last) if last is not None else 0.0))
             last = v
-        state.update((ewma, up, down, sign, run, last))
+        state.update((ewma, up, down, sign, run, last, int(pdf["_us"].iloc[-1]), int(pdf["event_id"].iloc[-1])))
         out = pdf[["station", "ts", "event_id", "x"]].copy()
         for k, name in enumerate(("ewma", "cusum_pos", "cusum_neg", "persistence", "rate")):
             out[name] = [r[k] for r in rows]
         yield out
 
     watched = events.withWatermark("ts", "1 hour")
-    return watched.groupBy("station").applyInPandasWithState(score, SCORES, "ewma double, up double, down double, sign double, run long, last double", "append", GroupStateTimeout.NoTimeout)
+    return watched.groupBy("station").applyInPandasWithState(score, SCORES, "ewma double, up double, down double, sign double, run long, last double, at long, number long", "append", GroupStateTimeout.NoTimeout)

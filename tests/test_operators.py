@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from maregraph.functions import scalar as R
 from maregraph.operators import causal, classical, detectors, inject, metrics, models
 from maregraph.operators.series import Series, interpolated
-from maregraph.sources.tables import markdown, number, read_observations, write_csv
+from maregraph.sources.tables import exists, load_each, markdown, number, read_observations, write_csv
 
 S = Series(("k",), ("t",), "x")
 
@@ -148,6 +148,167 @@ def test_injection_touches_only_its_events(spark):
     assert sum(r.family != "" for r in rows) == drawn.agg(F.sum("duration")).first()[0]
 
 
+@pytest.mark.parametrize("n", [1, 5, 20, 27, 28, 60])
+def test_injection_of_short_series(spark, n):
+    df = frame(spark, [float(k) for k in range(n)])
+    drawn = inject.events(df, S)
+    rows = inject.injected(df, S, drawn).collect()
+    assert len(rows) == n and sorted(r.t for r in rows) == list(range(n))
+    starts = [(r.start, r.duration) for r in drawn.orderBy("start").collect()]
+    assert len(starts) == min(n, 28) and all(a + d <= b for (a, d), (b, _) in zip(starts, starts[1:], strict=False)) and sum(starts[-1]) <= n
+
+
+def test_bootstrap_depends_on_ids_alone(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(5, 2, 400)
+    df = spark.createDataFrame([(i, "a", float(v)) for i, v in enumerate(x)] + [(1000, "b", 1.0), (1001, "b", None)], "i int, g string, v double")
+    a, b = ({r.g: r for r in metrics.bootstrap_mean(df.repartition(k), ("g",), "v", ("i",)).collect()} for k in (1, 5))
+    assert all(a[g][:2] == b[g][:2] and np.allclose(a[g][1:], b[g][1:], rtol=1e-12) for g in "ab")
+    half = 1.96 * 2 / 20
+    assert a["a"].lo == pytest.approx(x.mean() - half, abs=0.03) and a["a"].hi == pytest.approx(x.mean() + half, abs=0.03)
+    assert a["b"].lo == a["b"].hi == 1.0
+    assert metrics.POISSON[-1] == pytest.approx(1, abs=1e-15)
+
+
+def test_sums_with_resets_are_those_of_a_loop():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 9000):
+        steps, start, limit = rng.normal(0.05, 1, n), 0.7, 6.0
+        p, want = start, []
+        for v in steps:
+            p = max(0.0, p + v)
+            p = 0.0 if p > limit else p
+            want.append(p)
+        assert np.allclose(causal.clipped_sums(steps, start, limit), want, atol=1e-9)
+
+
+def test_memory_goes_on_from_batch_to_batch(spark):
+    rng = np.random.default_rng(5)
+    e = rng.normal(0.2, 1, 700)
+    df = spark.createDataFrame([(k, i, float(v)) for k in "ab" for i, v in enumerate(e)], "k string, t int, x double").repartition(7)
+    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = causal.recursive_memory(df, S, "x", ("t",)).filter("k = 'b'").orderBy("t").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
+    average, down, sigma = e[0], 0.0, np.std(e, ddof=1)
+    for t, v in enumerate(e):
+        if t:
+            average, down = 0.3 * v + 0.7 * average, max(0.0, down - v - 0.5 * sigma)
+            down = 0.0 if down > 20 * sigma else down
+        assert (rows[t].ewma_1, rows[t].cusum_neg) == pytest.approx((average, down), abs=1e-9)
+
+
+def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
+    from datetime import datetime
+
+    from maregraph.streaming.quality import causal_scores
+
+    source, schema = tmp_path / "in", "station long, ts timestamp, event_id long, x double"
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    spark.createDataFrame([(1, at(10), 1, 4.0), (1, at(20), 2, 8.0)], schema).coalesce(1).write.parquet(str(source / "a"))
+    for turn in range(2):
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(source))
+        stream = causal_scores(stream, slack=1.0, reset=1000.0)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        if not turn:
+            spark.createDataFrame([(1, at(15), 3, 99.0), (1, at(30), 4, 6.0), (2, at(5), 5, 1.0)], schema).coalesce(1).write.parquet(str(source / "b"))
+    got = {r.event_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(got) == {1, 2, 4, 5}
+    assert got[4].ewma == pytest.approx(0.3 * 6 + 0.7 * (0.3 * 8 + 0.7 * 4)) and got[4].rate == 2.0 and got[4].cusum_pos == 7 + 5
+
+
+def test_lag_forecast_finds_a_recursion(spark):
+    rng = np.random.default_rng(1)
+    x = [1.0]
+    for _ in range(400):
+        x.append(0.6 * x[-1] + 3 + rng.normal(0, 0.5))
+    df = frame(spark, x)
+    got = models.lag_forecast(df, S, "x", F.col("t") < 300, lags=2).orderBy("t").collect()
+    assert len(got) == 399
+    e = np.array([r.predicted - (0.6 * x[r.t - 1] + 3) for r in got])
+    assert np.abs(e[20:]).max() < 0.25
+
+
+def test_components_hold_what_they_were_fitted_on(spark):
+    t = np.arange(500)
+    x = np.sin(t / 7) + 0.5 * np.cos(t / 7)
+    x[450] += 5
+    got = {r.t: r.residual for r in models.component_residual(frame(spark, x.tolist()), S, "x", F.col("t") < 400, lags=6, k=2).collect()}
+    assert max(v for k, v in got.items() if k <= 450) < 1e-6 and got[453] > 1
+
+
+def test_forest_isolates_what_is_apart(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 2))
+    x[590:] = [[9, 9], [-9, 8], [8, -9], [10, 0], [0, 11], [-11, 1], [9, -8], [-9, -9], [12, 3], [3, 12]]
+    df = spark.createDataFrame([(i, *map(float, v), i < 590) for i, v in enumerate(x)], "i int, a double, b double, fit boolean")
+    scored = detectors.isolation_scores(df, ["a", "b"], ["i", "fit"], train="fit")
+    flagged = {r.i for r in detectors.isolation_flags(scored, F.col("fit"), 0.02).filter("flagged").collect()}
+    assert set(range(590, 600)) <= flagged and len(flagged) - 10 <= 0.02 * 590 + 1
+
+
+def test_heads_learn_separable_classes(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(c), float(c * 4 + rng.normal(0, 0.5)), float(rng.normal()), i % 3 > 0) for i, c in enumerate(rng.choice(3, 600, p=[0.7, 0.2, 0.1]))]
+    df = spark.createDataFrame(rows, "i int, label int, a double, b double, fit boolean")
+    scaled = models.standard_scaled(models.robust_scaled(df, ["a"], F.col("fit")), ["a", "b"], F.col("fit"))
+    m = scaled.filter("fit").agg(F.avg("a"), F.stddev_pop("a")).first()
+    assert m[0] == pytest.approx(0, abs=1e-9) and m[1] == pytest.approx(1)
+    for head in (models.ordinal_head, models.softmax_head):
+        got = head(scaled, ["a", "b"], "label", F.col("fit")).filter("not fit").collect()
+        assert all(r.p_good + r.p_suspect + r.p_bad == pytest.approx(1) for r in got)
+        assert np.mean([int(np.argmax([r.p_good, r.p_suspect, r.p_bad])) == r.label for r in got]) > 0.95
+    weights = {r.label: r.weight for r in models.class_weights(df, "label").select("label", "weight").distinct().collect()}
+    n = {c: sum(r[1] == c for r in rows) for c in range(3)}
+    assert weights == {c: pytest.approx(600 / (3 * n[c])) for c in range(3)}
+
+
+def test_causal_features_are_those_of_the_parts(spark):
+    from maregraph.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.event_id: r for r in QUERIES["causal_features"](spark, sf).collect()}
+    for name, columns in {"acc_score": ["acc_score"], "level_score": ["level_score"], "rate_score": ["rate_score"], "ewma": ["ewma_0", "ewma_2"], "cusum": ["cusum_pos", "cusum_neg"], "rolling_slope": ["slope_6", "slope_48"], "sign_persistence": ["persistence"]}.items():
+        part = {r.event_id: r for r in QUERIES[name](spark, sf).collect()}
+        assert set(part) == set(got)
+        for c in columns:
+            assert all(getattr(got[i], {"rate_score": "rate"}.get(c, c)) == pytest.approx(part[i][c], abs=2e-4, rel=1e-4) for i in got), c
+    fit = {(r.station, r.variable): r for r in detectors.gpd_fit(QUERIES["causal_features"](spark, sf), ("station", "variable"), "residual").collect()}
+    for key, f in fit.items():
+        x = {i: r.residual for i, r in got.items() if (r.station, r.variable) == key}
+        values = np.sort(list(x.values()))
+        for i, v in x.items():
+            p = np.mean(values >= v)
+            if v > f.threshold:
+                z = v - f.threshold
+                p = f.p_exceed * (max(0.0, 1 + f["shape"] * z / f["scale"]) ** (-1 / f["shape"]) if abs(f["shape"]) > 1e-9 else np.exp(-z / f["scale"]))
+            assert got[i].gpd_surprise == pytest.approx(-np.log(p + 1e-12), abs=1e-4)
+
+
+def test_feature_sets_and_steps():
+    assert detectors.feature_set("E", ("h0", "h1"), ("w",)) == ["h0", "h1", "y", "predicted", "residual", "abs_residual", "spike", "mad_score", "gpd_score", "rate", "outside", "w", "missing_mask"]
+    assert detectors.feature_set("C")[:4] == detectors.feature_set("B") and detectors.feature_set("D", ("h",))[1:] == detectors.feature_set("B")
+
+
+def test_files_that_are_not_there(spark, tmp_path):
+    assert not exists(spark, str(tmp_path / "no")) and exists(spark, str(tmp_path))
+    assert load_each(spark, {"a": str(tmp_path / "no")}, "x double").count() == 0
+    text = markdown(spark.range(5), 3)
+    assert "First 3 rows" in text and text.count("|") == 2 * 5 and "First" not in markdown(spark.range(3), 3)
+
+
+def test_models_are_stored_with_their_parameters(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="x")]).fit(spark.createDataFrame([(1.0,)], "a double"))
+    models.save_model(fitted, str(tmp_path / "m"), {"tau": 0.7})
+    again, parameters = models.load_model(str(tmp_path / "m"))
+    assert parameters == {"tau": 0.7} and again.transform(spark.createDataFrame([(2.0,)], "a double")).first().x[0] == 2.0
+
+
 def test_threshold_is_the_middle_of_ties(spark):
     df = spark.createDataFrame([(0.9, 1), (0.1, 0)], "p double, y int")
     row = models.tuned_threshold(models.by_threshold(df, "p", F.col("y") == 1)).first()

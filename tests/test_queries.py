@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB over the same tables; all others give rows."""
+"""Every query with SQL against DuckDB over the same tables; those without are named, with the tests of what they compute."""
 
 from __future__ import annotations
 
@@ -16,6 +16,20 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 ORACLE = oracle_sql()
 
 
+#: Fits and searches that SQL can't state, and the tests of their results.
+TESTED_APART = {
+    "causal_features": "def test_causal_features_are_those_of_the_parts",
+    "lobo_forecast": "def test_leave_one_out_has_every_fold",
+    "gpd_fit": "def test_pareto_fit_finds_its_parameters",
+    "gpd_pvalue": "def test_causal_features_are_those_of_the_parts",
+    "lstm_peak": "def test_peaks_are_far_apart_and_prominent",
+    "iso_forest": "def test_forest_isolates_what_is_apart",
+    "ar_forecast": "def test_lag_forecast_finds_a_recursion",
+    "pca_recon": "def test_components_hold_what_they_were_fitted_on",
+    "ordinal_model": "def test_heads_learn_separable_classes",
+}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -27,7 +41,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list[str]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, float):
             return round(v, 4) + 0.0
@@ -41,6 +55,7 @@ def test_query(spark, duck, name):
     got = QUERIES[name](spark, str(SF)).toPandas()
     if name not in ORACLE:
         assert len(got)
+        assert TESTED_APART[name] in (Path(__file__).parent / "test_operators.py").read_text()
         return
     want = duck.execute(ORACLE[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
