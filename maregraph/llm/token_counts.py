@@ -86,8 +86,10 @@ def token_counts(docs: DataFrame, pieces: list[str], start: str = "▁", id_col:
     """Rows `id, n_words, n_tokens, n_unknown` (long), one for each row of docs.
 
     Words are `[^\\x20\\x09-\\x0D]+`. A word that longest match can't cover is one
-    unknown token, counted in both columns. Null and empty texts have zeros; other
-    columns of docs are ignored; repeated rows are each counted. No shuffle.
+    unknown token, counted in both columns. Null and empty texts have zeros; an empty
+    table gives no rows; texts are read whole, a long word in time in proportion to its
+    length. Other columns of docs are ignored; repeated rows, and rows with null ids, are
+    each counted. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     key = (start, hash(tuple(pieces)))

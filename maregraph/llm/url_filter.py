@@ -91,8 +91,10 @@ def url_filter(pages: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES,
 
     `rule` is null where no host rule fits; `verdict` is then the patterns': block if a
     block pattern matches and no allow pattern does, else allow. Null URLs, and those
-    without `://`, have empty host and path. Rules are a parameter of fixed size; the
-    plan is a map over pages, with one count of rule tokens before it.
+    without `://`, have empty host and path; a long URL is read whole, repeated rows are
+    each judged, other columns ignored, and an empty table gives no rows. Rules are a
+    parameter: each is a branch of the plan, which suits hundreds of them and not many
+    thousands. The plan is a map over pages, with one count of rule tokens before it.
     """
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     all_tokens = {t for r in pattern_rules for t in r.tokens}

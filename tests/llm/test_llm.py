@@ -194,6 +194,7 @@ def test_token_counts(spark):
     for i, t in enumerate(texts):
         own = [greedy("▁" + w.decode(), held, longest) for w in (t or "").encode().split()]
         assert (got[i].n_words, got[i].n_tokens, got[i].n_unknown) == (len(own), sum(1 if k < 0 else k for k in own), sum(k < 0 for k in own))
+    assert token_counts.token_counts(docs_of(spark, ["a"]).filter("false"), pieces).count() == 0
 
 
 # 3
@@ -286,7 +287,7 @@ def test_components_of_paths_and_hubs(spark):
 def test_url_filter(spark, tmp_path):
     import duckdb
 
-    urls = [None, "", "no scheme/en/1", "http://EXAMPLE.net/en/1", "https://a.example.net/de/?x=1", "https://xexample.net/en/", "ftp://b.example.com/de/5#t", "http://c.org/fr/", "http://c.org/fr", "http://org", "//x.org/fr/", "http://m.shop.com/p", "http://example.com/en/12/?page=3&ref=x", "http://u.io/?a=1&utm_source=feed&b=2", "http://blog.u.io/es/5.html", "http://blog.u.io/es/5.html"]
+    urls = [None, "", "no scheme/en/1", "http://EXAMPLE.net/en/1", "https://a.example.net/de/?x=1", "https://xexample.net/en/", "ftp://b.example.com/de/5#t", "http://c.org/fr/", "http://c.org/fr", "http://org", "//x.org/fr/", "http://m.shop.com/p", "http://example.com/en/12/?page=3&ref=x", "http://u.io/?a=1&utm_source=feed&b=2", "http://blog.u.io/es/5.html", "http://blog.u.io/es/5.html", "http://a.net/" + "en/" * 40_000 + "?page=1&ref=2"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
     got = url_filter.url_filter(pages).drop("n_candidates").toPandas().sort_values("page_id")
     con = duckdb.connect()
@@ -725,6 +726,65 @@ def test_queries_and_sql_are_named_alike():
     assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_registered_query(spark, name):
+    """The queries themselves, over whole tables, against brute force, DuckDB or formulas."""
+    import duckdb
+
+    got = QUERIES[name](spark, SF).toPandas()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    texts = {i: r.text for i, r in docs.items()}
+    if name in oracle_sql():
+        con = duckdb.connect()
+        for t in ("documents", "pages"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        want = con.execute(oracle_sql()[name]).fetchdf()
+        plain = lambda df: sorted(df[sorted(df.columns)].astype(object).where(df.notna(), None).astype(str).itertuples(index=False, name=None))
+        assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
+        return
+    rows = {r.doc_id: r for r in got.itertuples()} if name[:3] not in ("op7", "op1_") and "doc_id" in got else {}
+    if not name.startswith(("op7", "op10")):
+        assert len(got) == len(rows or got) == len(texts)
+    if name.startswith("op1_"):
+        assert set(got.doc_id) == set(texts) and (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 1 for i in got.doc_id]).all() and (got.score < 0).all()
+    elif name.startswith("op2"):
+        pieces = token_counts.sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+        held, longest = set(pieces), max(map(len, pieces))
+        some = sorted(texts)[::7]
+        assert all(rows[i].n_tokens == sum(max(1, greedy("▁" + w.decode(), held, longest)) for w in (texts[i] or "").encode().split()) for i in some)
+    elif name.startswith("op3"):
+        assert {i: (r.n_shingles, r.component_id) for i, r in rows.items()} == brute_components(list(texts), list(texts.values()), 3, 90)
+    elif name.startswith("op5"):
+        assert got.mix_key.is_unique and ((got.mix_release <= got.mix_slot) & (got.mix_slot < got.mix_deadline)).all()
+    elif name.startswith("op7"):
+        vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+        x = np.array([vectors[i] for i in got.vec_id], np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        exact = (x @ x.T >= 0.9).sum(axis=1) - 1
+        assert len(got) == len(vectors) and (got.n_links <= exact).all() and got.n_links.sum() >= 0.98 * exact.sum()
+    elif name.startswith("op8"):
+        own = [(rows[i].lang_pred, r.lang) for i, r in docs.items() if rows[i].held_out and r.lang and rows[i].lang_pred != "und"]
+        assert np.mean([a == b for a, b in own]) > 0.9 and got.score.between(0, 1).all()
+    elif name.startswith("op9"):
+        for i, t in texts.items():
+            base = secrets.base_spans(t or "")
+            assert rows[i].base_sha256 == hashlib.sha256(secrets.listed(base).encode()).hexdigest()
+            assert set(filter(None, rows[i].spans.split(","))) == {f"{k}:{s}:{e}" for s, e, k in [*base, *brute_links(t or "")]}
+    elif name.startswith("op10"):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        assert set(got.doc_id) == set(texts) and got.sequence_id.is_unique and (got.offset == 0).all()
+        for i in sorted(texts)[::5]:
+            ids = np.array([*tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, 2], "<u4")
+            own = got[got.doc_id == i].sort_values("start")
+            assert own.start.tolist() == np.cumsum([0, *own.length[:-1]]).tolist() and own.length.sum() == len(ids) == own.doc_tokens.iloc[0]
+            assert own.ids_crc32.tolist() == [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(own.start, own.length, strict=True)]
+
+
 def test_a_cluster_must_name_its_shared_folder(spark, tmp_path):
     from types import SimpleNamespace
 
