@@ -58,6 +58,21 @@ def multiclass_summary(confused: DataFrame) -> DataFrame:
     return out.select("macro_f1", "weighted_f1", "balanced_accuracy", mcc.alias("mcc"))
 
 
+def collapsed(df: DataFrame, truth: str, predicted: str, classes: int = 3) -> DataFrame:
+    """One row of the classes' macro_f1 and balanced_accuracy, and of precision, recall and binary_f1 of class 0 against the rest.
+
+    All follow from the confusion counts, so rows are read once. Without rows the
+    first two are null and the others 0.
+    """
+    confused = confusion(df, truth, predicted, classes)
+    whole = multiclass_summary(confused).select("macro_f1", "balanced_accuracy")
+    both = lambda t, p: F.coalesce(F.sum(F.when(t & p, F.col("n"))), F.lit(0))
+    bad, said = F.col("truth") > 0, F.col("predicted") > 0
+    counts = confused.agg(both(bad, said).alias("tp"), both(~bad, said).alias("fp"), both(bad, ~said).alias("fn"))
+    rates = counts.select(_r(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _r(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), _r(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("binary_f1"))
+    return whole.join(F.broadcast(rates))  # one row each
+
+
 def ranking(df: DataFrame, truth: Column, score: str, by: tuple[str, ...]) -> DataFrame:
     """Rows `by, auroc, average_precision`: ties share their mean rank and one step; null where a class is missing.
 

@@ -304,6 +304,14 @@ def iso_forest(spark: SparkSession, sf: str) -> DataFrame:
     return D.isolation_scores(predicted(spark, sf).withColumn("diff", F.coalesce("diff", F.lit(0.0))), ["x", "e", "diff"], list(KEY))
 
 
+@query()
+def forest_decision(spark: SparkSession, sf: str) -> DataFrame:
+    """A forest of the training parts; a row is flagged where it is more isolated than all but 1 in 130 of theirs."""
+    rows = split(predicted(spark, sf), OBS).withColumns({"diff": F.coalesce("diff", F.lit(0.0)), "fit": F.col("part") == "train"})
+    scored = D.isolation_scores(rows, ["x", "e", "diff"], [*KEY, "fit"], train="fit")
+    return D.isolation_flags(scored, F.col("fit")).select(*KEY, "fit", "isolation", "flagged")
+
+
 @query()
 def ar_forecast(spark: SparkSession, sf: str) -> DataFrame:
     rows = split(filled(spark, sf), OBS)
@@ -487,6 +495,13 @@ def frozen_z(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.standard_scaled(rows, ["z"], F.col("part") == "train", OBS.keys).select(*KEY, "z"), "z")
 
 
+@query(f"WITH {FILLED}, {TRAINED}, q AS (SELECT quantile_cont(x, [0.005, 0.25, 0.5, 0.75, 0.995]) AS q FROM tr WHERE train) SELECT {KEYS}, round((greatest(least(x, q[5]), q[1]) - q[3]) / coalesce(nullif(q[4] - q[2], 0), 1), 6) AS scaled FROM tr, q")
+def robust_scaling(spark: SparkSession, sf: str) -> DataFrame:
+    """Values cut to outer percentiles, less the median, over the quartile range, all of the training parts."""
+    rows = split(filled(spark, sf), OBS).withColumn("scaled", F.col("x"))
+    return rounded(M.robust_scaled(rows, ["scaled"], F.col("part") == "train").select(*KEY, "scaled"), "scaled")
+
+
 @query(f"""WITH {FILLED}, {TRAINED}, rs AS (SELECT *, x - lag(x) OVER ({W}) AS r FROM tr), ab AS (SELECT *, abs(coalesce(r, 0)) AS a, abs(x - (lag(x) OVER ({W}) + lead(x) OVER ({W})) / 2) AS spike FROM rs),
 sc AS (SELECT *, nullif(median(a) FILTER (train) OVER ({PART}), 0) / 0.7406970841126811 AS k FROM ab), tt AS (SELECT *, a / k AS t FROM sc)
 SELECT {KEYS}, round(coalesce(spike, 0), 6) AS spike, round(coalesce(abs(r), 0), 6) AS rate, (NOT x BETWEEN 0 AND 250)::INT AS outside, round(-ln(greatest(2 * (0.5 - 0.375 * (t / sqrt(1 + t * t / 4)) * (1 - t * t / (12 * (1 + t * t / 4)))), 0) + 1e-12), 4) AS mad_score FROM tt""")

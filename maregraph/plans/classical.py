@@ -248,6 +248,13 @@ def by_season(spark: SparkSession, sf: str) -> DataFrame:
     return _rollup(spark, sf, season(F.col("o_orderdate")).alias("season"))
 
 
+@query("SELECT year(o_orderdate)::INT AS year, dayofyear(o_orderdate)::INT AS day, count(*) AS n, round(median(o_totalprice), 4) AS median_price, count(*) FILTER (o_totalprice > 300000) AS n_high FROM orders GROUP BY ALL")
+def annual_stack(spark: SparkSession, sf: str) -> DataFrame:
+    """The years one under another: a row for each year and day of the year."""
+    price = F.col("o_totalprice")
+    return table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year"), F.dayofyear("o_orderdate").alias("day")).agg(F.count("*").alias("n"), F.round(F.median(price), 4).alias("median_price"), F.count_if(price > 300000).alias("n_high"))
+
+
 @query("SELECT year(o_orderdate)::INT AS year, " + ", ".join(f"round(100.0 * count(*) FILTER (month(o_orderdate) = {m} AND o_totalprice > 300000) / nullif(count(*) FILTER (month(o_orderdate) = {m}), 0), 6) AS m{m}" for m in range(1, 13)) + " FROM orders GROUP BY 1")
 def heatmap_month_year(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select(F.year("o_orderdate").alias("year"), F.concat(F.lit("m"), F.month("o_orderdate")).alias("m"), (F.col("o_totalprice") > 300000).cast("double").alias("hit"))

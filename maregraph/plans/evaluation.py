@@ -68,6 +68,13 @@ def mcc_balacc(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(E.multiclass_summary(E.confusion(three(spark, sf), "truth", "predicted")), "macro_f1", "weighted_f1", "balanced_accuracy", "mcc", digits=8)
 
 
+@query(f"""WITH {PERCLASS}, f AS (SELECT *, {ratio_sql('2 * hit', 'support + predicted_n')} AS f1 FROM pc), m AS (SELECT round(avg(f1) FILTER (support + predicted_n > 0), 8) AS macro_f1, round(avg(hit::DOUBLE / support) FILTER (support > 0), 8) AS balanced_accuracy FROM f),
+c AS (SELECT {COUNTS} FROM (SELECT (truth > 0)::INT AS t, (predicted > 0)::INT AS f FROM tr)) SELECT macro_f1, balanced_accuracy, {PRF.replace(' AS f1', ' AS binary_f1')} FROM m, c""")
+def collapsed_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of three classes judged as three, and as GOOD against the rest."""
+    return rounded(E.collapsed(three(spark, sf), "truth", "predicted"), "macro_f1", "balanced_accuracy", "precision", "recall", "binary_f1", digits=8)
+
+
 @query(f"""WITH {PAIR}, rk AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0 AS r FROM pr), au AS (SELECT lang, sum(toxic) AS p, count(*) - sum(toxic) AS q, sum(r) FILTER (toxic = 1) AS sr FROM rk GROUP BY 1),
 d AS (SELECT lang, score, sum(toxic) AS p, count(*) AS n FROM pr GROUP BY ALL), c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM d WINDOW w AS (PARTITION BY lang ORDER BY score DESC)), ap AS (SELECT lang, sum(p * tp::DOUBLE / seen) AS a FROM c GROUP BY 1)
 SELECT lang, CASE WHEN p > 0 AND q > 0 THEN round((sr - p * (p + 1) / 2.0) / (p * q), 8) END AS auroc, CASE WHEN p > 0 AND q > 0 THEN round(a / p, 8) END AS average_precision FROM au JOIN ap USING (lang)""")
@@ -99,6 +106,14 @@ def ordinal_probs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(probabilities(spark, sf).select("event_id", "p_good", "p_suspect", "p_bad"), "p_good", "p_suspect", "p_bad", digits=8)
 
 
+@query(f"WITH {PROB} SELECT station, date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS n, round(avg(p_good), 6) AS p_good, round(avg(p_suspect), 6) AS p_suspect, round(avg(p_bad), 6) AS p_bad FROM op GROUP BY ALL")
+def probability_stack(spark: SparkSession, sf: str) -> DataFrame:
+    """The three probabilities' means by station and hour, which add up to 1."""
+    names = ("p_good", "p_suspect", "p_bad")
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")
+    return probabilities(spark, sf).groupBy("station", hour).agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in names))
+
+
 @query(f"WITH {PROB} SELECT event_id, CASE WHEN event_id % 53 = 0 THEN 'BAD' WHEN p_bad >= 0.4 THEN 'BAD' WHEN p_suspect >= p_good THEN 'SUSPECT' ELSE 'GOOD' END AS label FROM op")
 def ordinal_decide(spark: SparkSession, sf: str) -> DataFrame:
     observed = F.when(F.col("event_id") % 53 == 0, F.lit(-999.0)).otherwise(F.col("q1"))

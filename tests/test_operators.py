@@ -239,6 +239,15 @@ def test_components_hold_what_they_were_fitted_on(spark):
     assert max(v for k, v in got.items() if k <= 450) < 1e-6 and got[453] > 1
 
 
+def test_collapsed_metrics_of_few_rows(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (1, 2), (2, 0)], "truth int, predicted int")
+    got = metrics.collapsed(df, "truth", "predicted").first()
+    assert (got.precision, got.recall, got.binary_f1) == (0.5, 0.5, 0.5)
+    assert got.macro_f1 == pytest.approx((0.5 + 0 + 0) / 3) and got.balanced_accuracy == pytest.approx((0.5 + 0 + 0) / 3)
+    none = metrics.collapsed(df.limit(0), "truth", "predicted").first()
+    assert none.macro_f1 is None and none.balanced_accuracy is None and (none.precision, none.recall, none.binary_f1) == (0, 0, 0)
+
+
 def test_forest_isolates_what_is_apart(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 2))

@@ -24,6 +24,7 @@ TESTED_APART = {
     "gpd_pvalue": "def test_causal_features_are_those_of_the_parts",
     "lstm_peak": "def test_peaks_are_far_apart_and_prominent",
     "iso_forest": "def test_forest_isolates_what_is_apart",
+    "forest_decision": "def test_forest_isolates_what_is_apart",
     "ar_forecast": "def test_lag_forecast_finds_a_recursion",
     "pca_recon": "def test_components_hold_what_they_were_fitted_on",
     "ordinal_model": "def test_heads_learn_separable_classes",
