@@ -4,9 +4,11 @@ Every source's documents, in an order drawn by hash, are cut into blocks. Block
 source with weight w is released at slot floor(j / w) and due by slot ceil((j + 1) / w);
 earliest deadline first fills one slot after another. Then at any slot each source has
 had less than one block more or less than its weight's share. Weights are exact
-fractions. The driver runs through the blocks (not the rows) once and keeps how many
-each source had at the start of every stretch; tasks run through the stretches again
-to write the blocks' slots, which meet the rows part by part. No task sees a whole source.
+fractions. Blocks grow with the root of the rows, so the driver, which runs through the
+blocks (not the rows) once, has a number of steps in proportion to that root. It keeps
+how many each source had at the start of every stretch; tasks run through the stretches
+again to write the blocks' slots, which meet the rows part by part. No task sees a whole
+source.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import heapq
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice
-from math import isfinite, lcm
+from math import isfinite, isqrt, lcm
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from maregraph.llm.common import row_hash, salts_for, shared_dir
 
-#: Documents to a block.
-BLOCK = 16
+#: Documents to a block, at least; and blocks for each root of the number of rows, at most.
+BLOCK, BLOCKS_A_ROOT = 16, 64
 #: Blocks to a stretch of the schedule, at least; and for each source.
 STRETCH, STRETCH_A_SOURCE = 8192, 64
 
@@ -123,18 +125,24 @@ def until_the_first_end(weights: list[int], blocks: list[int]) -> int:
     return min((n * sum(weights) // w for w, n in zip(weights, blocks, strict=True)), default=0)
 
 
+def block_size(rows: int) -> int:
+    """Documents to a block for so many rows: as the root of the rows, BLOCK at least."""
+    return max(BLOCK, -(-isqrt(rows) // BLOCKS_A_ROOT))
+
+
 def source_rows(docs: DataFrame, source: Column) -> dict[str, int]:
     """Rows of each source: one row for each source, and nothing for each document, comes to the driver."""
     return {r["s"]: r["count"] for r in docs.groupBy(source.alias("s")).count().collect()}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source", at_end: str = "go_on") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int | None = None, id_col: str = "doc_id", source_col: str = "source", at_end: str = "go_on") -> DataFrame:
     """docs with `mix_block, mix_release, mix_deadline, mix_slot, mix_key` (long); ordering by mix_key is the mixture.
 
     Columns of docs named mix_... are replaced by these.
 
     `weights`: target weight of each source (sources not named, and all without it: rows
-    of the source ** power). A null source is a source of its own. With at_end="go_on"
+    of the source ** power). `block`: documents to a block (default: block_size of the
+    rows). A null source is a source of its own. With at_end="go_on"
     no row is dropped or repeated: when a source has no blocks left its slots stay empty
     and the others go on in their proportions, so from there on the written order holds
     the others' weights among themselves and no longer the target weights. "stop" ends
@@ -151,6 +159,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     found = {s: float(n) ** power for s, n in counts.items()}
     if weights is not None:
         found = {s: weights.get(s[1:], w) if s != "null" else w for s, w in found.items()}
+    block = block or block_size(sum(counts.values()))
     blocks_of = {s: -(-n // block) for s, n in counts.items()}
     slots = block_slots(docs.sparkSession, found, blocks_of)
     if at_end == "stop":

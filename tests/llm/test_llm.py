@@ -344,6 +344,17 @@ def test_schedule_keeps_to_the_target_weights(weights):
             break
 
 
+def test_blocks_grow_with_the_root_of_the_rows(spark, monkeypatch):
+    assert [mixing.block_size(n) for n in (0, 1, 256_410, 1 << 20, 1 << 22, 5 * 10**10)] == [16, 16, 16, 16, 32, 3494]
+    monkeypatch.setattr(mixing, "BLOCK", 1)
+    monkeypatch.setattr(mixing, "BLOCKS_A_ROOT", 4)
+    rows = [(i, "hot" if i % 3 else f"s{i % 5}") for i in range(900)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string")).toPandas()
+    sizes = got.groupby(["source", "mix_block"]).size()
+    assert sizes.max() == mixing.block_size(900) == 8 and got.mix_key.is_unique and len(got) == 900
+    assert (got.mix_key // 8 == got.mix_slot).all() and got.groupby("mix_slot").mix_block.nunique().max() == 1
+
+
 def test_mixture_of_unequal_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "STRETCH", 100)
     monkeypatch.setattr(mixing, "STRETCH_A_SOURCE", 1)
