@@ -143,7 +143,8 @@ class WordEncoder:
         coded = split.flatten().dictionary_encode()
         if not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        ids, to = self.words.read(self._numbers(coded.dictionary.cast(pa.binary()))[coded.indices.to_numpy()])
+        numbers = self._numbers(coded.dictionary.cast(pa.binary()))  # before words is read: a full memo is replaced in there
+        ids, to = self.words.read(numbers[coded.indices.to_numpy()])
         return ids, np.append(0, to)[np.cumsum(per_text)]
 
 

@@ -344,6 +344,19 @@ def test_schedule_keeps_to_the_target_weights(weights):
             break
 
 
+def test_a_full_memo_starts_again_without_touching_the_ids(monkeypatch):
+    import tokenizers
+
+    monkeypatch.setattr(packing, "MEMO_WORDS", 40)
+    file = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain = packing.WordEncoder(file), tokenizers.Tokenizer.from_file(file)
+    rng = random.Random(8)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("abcé'1.\u4e2d", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 12))) for _ in range(5)]
+        ids, ends = encoder.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_blocks_grow_with_the_root_of_the_rows(spark, monkeypatch):
     assert [mixing.block_size(n) for n in (0, 1, 256_410, 1 << 20, 1 << 22, 5 * 10**10)] == [16, 16, 16, 16, 32, 3494]
     monkeypatch.setattr(mixing, "BLOCK", 1)
