@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from maregraph.llm.common import row_chunks
 
-#: Words (and, apart, runs) kept with their ids in each Python worker; a full memo starts again.
-MEMO_WORDS = 600_000
+#: Words (and, apart, runs) kept with their ids while a task runs; a full memo starts again.
+MEMO_WORDS = 250_000
 #: Bytes of text that are encoded at once, and of new words.
 CHUNK_BYTES, NEW_BYTES = 4 << 20, 1 << 20
 
@@ -81,7 +81,7 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.words, self.runs = IdMemo(), IdMemo()
+        self.forget()
 
     def _run(self, run: str) -> list[int]:
         text = run if run.isascii() else run.encode().decode("latin-1").translate(self.names)
@@ -136,6 +136,11 @@ class WordEncoder:
             k[unknown] = self.words.numbers(unseen)
         return k
 
+    def forget(self) -> None:
+        """Empty memos: a worker that other tasks use next holds the tokenizer alone."""
+        self.words, self.runs = IdMemo(), IdMemo()
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts (string, nulls as empty) in one array, and where each text's ids end."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
@@ -182,22 +187,22 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: int = 4
         if tokenizer_file not in _encoders:
             _encoders[tokenizer_file] = WordEncoder(tokenizer_file)
         encoder = _encoders[tokenizer_file]
-        for batch in batches:
-            for part in row_chunks(batch, 1, CHUNK_BYTES):
-                found, ends = encoder.encode(part.column(1))
-                ids = np.insert(found, ends, end_id).astype("<u4")
-                totals = np.diff(ends, prepend=0) + 1
-                rows, starts, lengths = cut_pieces(totals, longest)
-                to, raw = np.cumsum(lengths), memoryview(ids).cast("B")
-                crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(to.tolist(), lengths.tolist(), strict=True)]
-                at = pa.array(rows)
-                columns = [part.column(0).take(at), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals[rows]))]
-                names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, to), pa.int32()), pa.array(ids.view("<i4"))))
-                    names.append("ids")
-                columns += [part.column(2 + k).take(at) for k in range(len(carry))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, *carry])
+        for part in chain.from_iterable(row_chunks(batch, 1, CHUNK_BYTES) for batch in batches):
+            found, ends = encoder.encode(part.column(1))
+            ids = np.insert(found, ends, end_id).astype("<u4")
+            totals = np.diff(ends, prepend=0) + 1
+            rows, starts, lengths = cut_pieces(totals, longest)
+            to, raw = np.cumsum(lengths), memoryview(ids).cast("B")
+            crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(to.tolist(), lengths.tolist(), strict=True)]
+            at = pa.array(rows)
+            columns = [part.column(0).take(at), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals[rows]))]
+            names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, to), pa.int32()), pa.array(ids.view("<i4"))))
+                names.append("ids")
+            columns += [part.column(2 + k).take(at) for k in range(len(carry))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *carry])
+        encoder.forget()
 
     schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []), *(docs.schema[c] for c in carry)])
     out = docs.select(id_col, text_col, *carry).mapInArrow(pieces, schema)
