@@ -538,6 +538,11 @@ def test_language_id(spark):
     odd = rows_of(language_id.identify(docs_of(spark, ODD, extra=True), model))
     assert [odd[i].lang_pred for i in (0, 1, 2, 6)] == ["und"] * 4 and odd[3].lang_pred in model.langs
     assert language_id.identify(df.filter("false"), model).count() == 0
+    nested = df.select(F.struct("doc_id", "text").alias("row"))
+    want = {(r.doc_id, r.lang_pred, r.score) for r in language_id.identify(df, model).collect()}
+    assert {(r.row.doc_id, r.lang_pred, r.score) for r in language_id.identify(nested, model, text_col="row.text").collect()} == want
+    renamed = df.select("doc_id", F.col("text").alias("score"))
+    assert {(r.doc_id, r.lang_pred, r.score) for r in language_id.identify(renamed, model, text_col="score").collect()} == want
 
 
 def test_language_id_without_training_rows(spark):
