@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table, or one without any named language, gives no rows. Extra columns stay.
     """
     model = train_language_id(docs, crc_mod("doc_id", 5) != 0)
-    found = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    found = identify(docs.select(F.struct(*docs.columns).alias("row")), model, text_col="row.text")
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
