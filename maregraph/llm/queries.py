@@ -97,6 +97,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maregraph.llm.common import crc_mod
+    from maregraph.llm.prefix_trie import conversations, prefix_trie, with_heads
+
+    convs = conversations(_table(spark, sf_dir, "conversations"))
+    return prefix_trie(with_heads(convs, every=20, n=crc_mod("conv_id", 4), most=3))
+
+
 def oracle_op4() -> str:
     from maregraph.llm.url_filter import oracle
 
@@ -117,8 +125,23 @@ OP12_SQL = """
     WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
     WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_jaccard_join, op4_url_filter, op5_mix_sources, op6_exact_dedup, op7_embedding_dedup, op8_language_id, op9_secret_scan, op10_packing, op11_quality_rules, op12_hard_negatives)}
+OP13_SQL = r"""
+    WITH t AS (SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM t),
+    c AS (SELECT conv_id, xor(list_reduce(list_transform(str_split(conv_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT), lambda a, b: list_reduce(list_transform(range(8), lambda k: k::UBIGINT), lambda r, k: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, b)), 4294967295::UBIGINT), 4294967295::UBIGINT) % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+    r AS (SELECT c.conv_id, pos, digest, words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h UNION ALL SELECT c.conv_id, pos + 3, digest, words FROM c JOIN o USING (conv_id) WHERE pos > h),
+    s AS (SELECT conv_id, words, row_number() OVER w AS depth, list(digest) OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+    p AS (SELECT conv_id, depth, words, sha256(array_to_string(path, '')) AS key, CASE WHEN depth > 1 THEN sha256(array_to_string(path[:-2], '')) ELSE '' END AS up FROM s UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+    g AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, any_value(up) AS up FROM p GROUP BY key, depth),
+    k AS (SELECT up AS key, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY up),
+    b AS (SELECT p.key, count(*) FILTER (k.key IS NULL) AS n_leaves, sum((g.n_convs - 1) * g.words)::BIGINT AS saved_tokens FROM g LEFT JOIN k ON g.key = k.key JOIN p ON p.conv_id = g.conv_id AND p.depth <= g.depth GROUP BY p.key),
+    l AS (SELECT conv_id, arg_max(key, depth) AS key FROM p GROUP BY conv_id),
+    e AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM l GROUP BY key)
+    SELECT g.conv_id, g.depth, q.conv_id AS parent_conv_id, g.n_convs, coalesce(k.n_children, 0) AS n_children, b.n_leaves, b.saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+    FROM g LEFT JOIN g q ON g.up = q.key LEFT JOIN k ON g.key = k.key JOIN b ON g.key = b.key LEFT JOIN e ON g.key = e.key"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_jaccard_join, op4_url_filter, op5_mix_sources, op6_exact_dedup, op7_embedding_dedup, op8_language_id, op9_secret_scan, op10_packing, op11_quality_rules, op12_hard_negatives, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": oracle_op4(), "op6_exact_dedup": OP6_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op4_url_filter": oracle_op4(), "op6_exact_dedup": OP6_SQL, "op12_hard_negatives": OP12_SQL, "op13_prefix_trie": OP13_SQL}

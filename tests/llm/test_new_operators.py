@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from maregraph.llm import hard_negatives, quality_rules
+from maregraph.llm import hard_negatives, prefix_trie, quality_rules
+from maregraph.llm.common import crc_mod
 from maregraph.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -167,3 +170,98 @@ def test_products_are_exact():
     for most in (100, 1 << 27):
         x, y = (rng.integers(-most, most, (7, 9)) for _ in range(2))
         assert (hard_negatives.product(x, y) == np.array([[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in y] for u in x])).all()
+
+
+# conversation tries
+TURNS = "conv_id long, turn long, role string, text string, key int, depth int, edge string"
+
+
+def plain_trie(rows, heads=True):
+    own = defaultdict(list)
+    for c, turn, role, text, *_ in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest()
+            own[c].append((turn is not None, turn or 0, digest, (role, text)))
+    own = {c: [x[3] for x in sorted(v)] for c, v in own.items()}
+    built = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 4 if heads else 0
+        built[c] = own.get(c - c % 20, [])[:h] + v[h:]
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, v in built.items():
+        for d in range(len(v) + 1):
+            members[tuple(v[:d])].append(c)
+        ends[tuple(v)].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    total = {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves = sum(total[k][0] for k in children[node]) or 1
+        words = len(WORD.findall(node[-1][1])) if node else 0
+        total[node] = leaves, (len(members[node]) - 1) * words + sum(total[k][1] for k in children[node])
+    return sorted(
+        (min(m), len(n), min(members[n[:-1]]) if n else -1, len(m), len(children[n]), *total[n], hashlib.sha256(",".join(map(str, sorted(ends[n]))).encode()).hexdigest()) for n, m in members.items()
+    )
+
+
+def turn_rows(seed=4, n=260):
+    rng = random.Random(seed)
+    rows = []
+    for c in range(n):
+        hot = c % 3 == 0  # a third share a long beginning, some of them all of it
+        path = ["sys prompt here", "b c", "d"] * 4 if hot else []
+        path = path[: rng.randrange(len(path) + 1)] if c % 2 else path
+        path += [rng.choice(["x", "y y", "", None, " z\x0b"]) for _ in range(rng.choice([0, 1, 2, 3, 9]))]
+        rows += [(c, t if t else None, "user" if t % 2 else rng.choice(["user", None, ""]), text, 1, 1, "e") for t, text in enumerate(path)]
+    rows += [(1000, t, "user", f"long {t % 7}", 1, 1, "e") for t in range(500)] + [(1001, t, "user", f"long {t % 7}", 1, 1, "e") for t in range(450)]
+    rows += [(None, 1, "user", "lost", 1, 1, "e"), (2000, 1, "user", "tie a", 1, 1, "e"), (2000, 1, "user", "tie b", 1, 1, "e"), (2000, 1, "user", "tie b", 1, 1, "e"), (2001, 5, None, "word " * 50_000, 1, 1, "e")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("run_bytes", "fan_in", "sweep", "ranges"), [(prefix_trie.RUN, 256, 1000, None), (2000, 2, 3, 20), (1, 3, 2, 60), (500, 256, 1000, 1)])
+def test_trie_against_brute_force(spark, run_bytes, fan_in, sweep, ranges):
+    rows = turn_rows()
+    convs = prefix_trie.conversations(spark.createDataFrame(rows, TURNS).repartition(3))
+    got = prefix_trie.prefix_trie(prefix_trie.with_heads(convs, 20, crc_mod("conv_id", 4), 3), run_bytes, fan_in, sweep, ranges)
+    assert sorted(tuple(-1 if v is None else v for v in r) for r in got.collect()) == plain_trie(rows)
+
+
+def test_trie_without_heads_and_of_nothing(spark):
+    rows = turn_rows(9, 40)
+    df = spark.createDataFrame(rows, TURNS)
+    got = prefix_trie.prefix_trie(prefix_trie.conversations(df)).collect()
+    assert sorted(tuple(-1 if v is None else v for v in r) for r in got) == plain_trie(rows, heads=False)
+    assert prefix_trie.prefix_trie(prefix_trie.conversations(df.limit(0))).count() == 0
+
+
+def test_loser_tree_merges_and_compares_no_shared_turn_twice():
+    rng = random.Random(8)
+    turn = [hashlib.sha256(bytes([k])).digest() for k in range(4)]
+    for n_runs in (1, 2, 3, 5, 8, 13):
+        seqs = [[b"".join(rng.choice(turn) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(40))] for _ in range(n_runs)]
+        sorted_runs = [list(prefix_trie.sorted_run([(s, bytes(len(s) // 8), k) for k, s in enumerate(r)])) for r in seqs]
+        tree = prefix_trie.LoserTree([iter(r) for r in sorted_runs])
+        got = list(prefix_trie.distinct(iter(tree)))
+        everything = Counter(s for r in seqs for s in r)
+        assert [r[1] for r in got] == sorted(everything) and all(r[3] == everything[r[1]] for r in got)
+        before = b""
+        for known, s, *_ in got:
+            assert known == prefix_trie.shared_turns(before, s)
+            before = s
+        piece = {k: v[0] for k, v in prefix_trie.packed(iter(got)).items()}
+        assert list(prefix_trie.records(piece)) == got
+    deep = [[(0 if k == 0 else 100, b"".join(turn[:1] * 100 + [bytes([k, r]) * 16]), bytes(404), 1, k) for k in range(50)] for r in range(8)]
+    tree = prefix_trie.LoserTree([iter(r) for r in deep])
+    assert len(list(tree)) == 400 and tree.compared < 100 * 8 + 400 * 4 * 2  # the shared 100 turns once a run, not once a match
+
+
+def test_conversation_trie_over_whole_table(spark):
+    """The registered query against brute force over all turns at sf0.01."""
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = QUERIES["op13_prefix_trie"](spark, sf).collect()
+    assert sorted(tuple(-1 if v is None else v for v in r) for r in got) == plain_trie(rows)
