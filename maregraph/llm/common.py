@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -116,3 +117,13 @@ def row_chunks(batch: pa.RecordBatch, text_at: int, most: int = 4 << 20) -> Iter
             begin, held = i + 1, 0
     if begin < batch.num_rows:
         yield batch.slice(begin)
+
+
+def parts_of(text: pa.Buffer, size: int) -> Iterator[bytes]:
+    """text in parts of about `size` bytes, cut at white space; a longer word stays whole."""
+    at, space = 0, re.compile(rb"[\x20\x09-\x0D]")
+    while at < len(text):
+        cut = space.search(text, at + size) if at + size < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end].to_pybytes()
+        at = end

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maregraph.llm.common import row_chunks
+from maregraph.llm.common import parts_of, row_chunks
 
-#: Words (and, apart, runs) kept with their ids while a task runs; a full memo starts again.
-MEMO_WORDS = 250_000
+#: Bytes that words (and, apart, runs) kept with their ids may take while a task runs; a full memo starts again before the next chunk.
+MEMO_BYTES = 48 << 20
+#: Bytes a key takes besides its own and its ids'.
+KEY_BYTES = 200
 #: Bytes of text that are encoded at once, and of new words.
-CHUNK_BYTES, NEW_BYTES = 4 << 20, 1 << 20
+CHUNK_BYTES, NEW_BYTES = 2 << 20, 1 << 19
 
 
 class IdMemo:
@@ -35,6 +37,7 @@ class IdMemo:
         self.number: dict = {}
         self.flat = np.empty(1 << 20, np.uint32)
         self.ends = np.zeros(1 << 18, np.int64)  # of key k, at k + 1
+        self.size = 0
 
     def numbers(self, keys: list) -> np.ndarray:
         """-1 for unknown keys."""
@@ -50,6 +53,11 @@ class IdMemo:
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.flat[end : end + len(ids)] = ids
         self.number.update(zip(keys, range(have, have + len(keys)), strict=True))
+        self.size += sum(map(len, keys)) + KEY_BYTES * len(keys) + 4 * len(ids)
+
+    @property
+    def full(self) -> bool:
+        return self.size > MEMO_BYTES
 
     def read(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the keys of these numbers, and where each key's end."""
@@ -104,7 +112,7 @@ class WordEncoder:
         return ids, np.diff(np.append(to[breaks], len(ids)), prepend=0)
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.runs.number) > MEMO_WORDS:
+        if self.runs.full:
             self.runs = IdMemo()
         words = b"\n".join(new).decode().split("\n")
         if self.PLAIN_LINES.fullmatch("\n".join(words)):
@@ -120,7 +128,7 @@ class WordEncoder:
 
     def _numbers(self, distinct: pa.Array) -> np.ndarray:
         """The numbers of distinct words, after learning those that are new."""
-        if len(self.words.number) > MEMO_WORDS:
+        if self.words.full:
             self.words = IdMemo()
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), pa.scalar(b"\n"))
         words = joined[0].as_py().split(b"\n")
@@ -142,7 +150,14 @@ class WordEncoder:
         pa.default_memory_pool().release_unused()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts (string, nulls as empty) in one array, and where each text's ids end."""
+        """All ids of texts (string, nulls as empty) in one array, and where each text's ids end. A long text is read in parts that end at white space."""
+        if texts.nbytes > 2 * CHUNK_BYTES:
+            ids, ends = [np.zeros(0, np.uint32)], []
+            for text in texts:
+                for part in parts_of(text.as_buffer(), CHUNK_BYTES) if text.is_valid else ():
+                    ids.append(self.encode(pa.array([part], pa.binary()).cast(pa.string()))[0])
+                ends.append(len(ids))
+            return np.concatenate(ids), np.append(0, np.cumsum([len(x) for x in ids]))[ends]
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False)
         coded = split.flatten().dictionary_encode()
@@ -174,8 +189,8 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, longest: int = 4
     Each text (null: empty) is its token ids and `end_id`. A piece is one sequence:
     `length` is a power of two up to `longest`, `offset` is 0, `bucket` its length, by
     which writers partition. An empty text gives one piece that holds `end_id`.
-    An empty table gives no rows. Texts of any length are read whole: a text longer than
-    CHUNK_BYTES is encoded by itself. Repeated rows, and rows with null ids, are packed
+    An empty table gives no rows. Texts of any length are read whole, long ones in parts that end at white space, and
+    memos are bounded in bytes, so a worker holds little more than one text and its ids. Repeated rows, and rows with null ids, are packed
     each; of other columns those named in `carry` go along. No shuffle: sequence ids follow from partition and order, which a recomputed scan repeats. The
     tokenizer file must lie at the same path on all machines.
     """
