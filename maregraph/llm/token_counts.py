@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from maregraph.llm.common import row_chunks
+from maregraph.llm.common import parts_of, row_chunks
 
-#: Words kept with their counts in each Python worker; the memo starts again when full.
-MEMO_WORDS = 400_000
+#: Words of at most KEPT bytes are kept with their counts in each Python worker, some 50 MB of them; the memo starts again when full.
+MEMO_WORDS, KEPT = 300_000, 48
+#: Bytes of a text that are counted at once.
+PART_BYTES = 1 << 20
 
 
 class Automaton:
@@ -87,8 +89,8 @@ def token_counts(docs: DataFrame, pieces: list[str], start: str = "▁", id_col:
 
     Words are `[^\\x20\\x09-\\x0D]+`. A word that longest match can't cover is one
     unknown token, counted in both columns. Null and empty texts have zeros; an empty
-    table gives no rows; texts are read whole, a long word in time in proportion to its
-    length. Other columns of docs are ignored; repeated rows, and rows with null ids, are
+    table gives no rows; texts are read whole, in parts that end at white space, a long
+    word in time in proportion to its length. Other columns of docs are ignored; repeated rows, and rows with null ids, are
     each counted. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
@@ -102,19 +104,21 @@ def token_counts(docs: DataFrame, pieces: list[str], start: str = "▁", id_col:
         for batch in batches:
             for part in row_chunks(batch, 1):
                 rows = []
-                for text in part.column(1).to_pylist():
-                    words = text.encode().split() if text else []
-                    got = list(map(memo.get, words))
-                    if None in got:
-                        for w in {w for w, n in zip(words, got, strict=True) if n is None}:
-                            memo[w] = automaton.count(w.decode())
-                        got = list(map(memo.__getitem__, words))
-                    bad = got.count(-1)
-                    rows.append((len(words), sum(got) + 2 * bad, bad))
-                    if len(memo) > MEMO_WORDS:
-                        memo.clear()
-                n_words, n_tokens, n_unknown = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_tokens, n_unknown))], [id_col, "n_words", "n_tokens", "n_unknown"])
+                for text in part.column(1):
+                    n_words = n_tokens = n_unknown = 0
+                    for piece in parts_of(text.as_buffer(), PART_BYTES) if text.is_valid else ():
+                        words = piece.split()
+                        got = list(map(memo.get, words))
+                        if None in got:
+                            found = {w: automaton.count(w.decode()) for w in {w for w, n in zip(words, got, strict=True) if n is None}}
+                            got = [found[w] if n is None else n for w, n in zip(words, got, strict=True)]
+                            memo.update((w, n) for w, n in found.items() if len(w) <= KEPT)
+                            if len(memo) > MEMO_WORDS:
+                                memo.clear()
+                        bad = got.count(-1)
+                        n_words, n_tokens, n_unknown = n_words + len(words), n_tokens + sum(got) + 2 * bad, n_unknown + bad
+                    rows.append((n_words, n_tokens, n_unknown))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))], [id_col, "n_words", "n_tokens", "n_unknown"])
 
     schema = T.StructType([docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_tokens", "n_unknown"))])
     return docs.select(id_col, text_col).mapInArrow(counts, schema)

@@ -265,3 +265,54 @@ def test_conversation_trie_over_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = QUERIES["op13_prefix_trie"](spark, sf).collect()
     assert sorted(tuple(-1 if v is None else v for v in r) for r in got) == plain_trie(rows)
+
+
+# memory of the word memos
+GROWN = """
+import base64, random, re, sys
+import pyarrow as pa
+sys.path.insert(0, {repo!r})
+import public_tokenizers
+from maregraph.llm import packing, token_counts
+def high():
+    return int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+rng = random.Random(1)
+text = lambda n: " ".join(base64.b64encode(rng.randbytes(6144)).decode() for _ in range(n))
+encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+before = high()
+for n in (250, 250, 250, 250, 1000):
+    got, ends = encoder.encode(pa.array([text(n), None, "a b"]))
+    assert ends[0] == ends[1] == len(got) - 2
+print(high() - before, encoder.words.size >> 20, encoder.runs.size >> 20)
+"""
+
+
+def test_memos_are_bounded_in_bytes():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    pytest.importorskip("public_tokenizers")
+    out = subprocess.run([sys.executable, "-c", GROWN.format(repo=str(Path(__file__).parents[2]))], capture_output=True, text=True, check=True, timeout=600).stdout
+    grown, words, runs = map(int, out.split())
+    assert grown < 300 and words < 80 and runs < 80
+
+
+def test_long_texts_are_read_in_parts(spark):
+    """A text of many parts has the ids and counts of the whole one."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from maregraph.llm import packing, token_counts
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["wort", "Zeit,", "\n\n", "x" * 9000, "naïve", "漢字", "\t"]) for _ in range(8000))
+    ids, ends = packing.WordEncoder(path).encode(pa.array([None, "a b", text, ""]))
+    whole = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert ids[ends[1] : ends[2]].tolist() == whole and ends[3] == len(ids)
+    pieces = token_counts.sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    automaton = token_counts.Automaton(pieces, "▁")
+    each = [automaton.count(w.decode()) for w in text.encode().split()]
+    got = token_counts.token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), pieces).first()
+    assert (got.n_words, got.n_tokens, got.n_unknown) == (len(each), sum(n if n >= 0 else 1 for n in each), each.count(-1))
