@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maregraph.llm.common import looked_up, persisted, salts_for
+from maregraph.llm.common import looked_up, persisted, salts_for, with_totals
 from maregraph.llm.components import connected_components
 
 #: Tables at least, buckets visited beside the own one, least cosine of a link.
@@ -152,7 +152,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     pair at just `cosine` meets in none with a probability of MISS at most. `tables` is
     the least number of tables, `hashes` (by default chosen by what it costs) that of
     joined hashes. Identical vectors always link: they are one class while others are
-    sought, and repeated rows count as other vectors. Null and zero vectors, vectors
+    sought, and repeated rows count as other vectors, also those that repeat an id with another vector. Null and zero vectors, vectors
     with null or non-finite components and rows with a null id link with nothing.
     Vectors of unlike lengths are never compared; of any length they are read whole. An
     empty table gives no rows; other columns are ignored; ids are cast to long. A bucket
@@ -178,7 +178,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], ["vec_id", "key", "raw"])
 
     rows = persisted(vectors.select(id_col, vector_col).mapInArrow(read, "vec_id long, key binary, raw binary"), "vectors")
-    classes = persisted(rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.min("raw").alias("raw")), "vector-classes")
+    classes = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.min("raw").alias("raw"))
+    # a number of its own for each class, fixed once written: ids may repeat with other vectors
+    classes = persisted(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     size = int(kind[2])
     n, widest, held = classes.agg(F.count("*"), F.max(F.length("raw")), F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()
     hashes, tables = hashes_and_tables(n, max(1, (widest or 0) // size), tables, visits, cosine, hashes)
@@ -253,7 +255,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     found = persisted(spread.groupBy("call").applyInArrow(verify, "a long, b long, n long"), "verified")
     links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("far"))
     roots = connected_components(found.filter("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root")
-    known = classes.select("key", "rep", "m").join(links, "rep", "left").join(roots, "rep", "left")
+    rooted = persisted(classes.select("key", "rep", "least", "m").join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
+    known = with_totals(rooted, ["root"], "rep", salts_for(n), component=(F.col("least"), "min"))
     out = looked_up(rows.select("vec_id", "key"), ["key"], known, "vec_id", salts_for(n), "left")
-    component = F.coalesce("root", "rep", "vec_id")
+    component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("m") - 1 + F.coalesce("far", F.lit(0)), F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -316,3 +316,27 @@ def test_long_texts_are_read_in_parts(spark):
     each = [automaton.count(w.decode()) for w in text.encode().split()]
     got = token_counts.token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), pieces).first()
     assert (got.n_words, got.n_tokens, got.n_unknown) == (len(each), sum(n if n >= 0 else 1 for n in each), each.count(-1))
+
+
+def test_near_vectors_whose_ids_repeat(spark):
+    """Rows that share an id but not a vector are rows of their own."""
+    from maregraph.llm.embedding_dedup import near_duplicates
+
+    rng = np.random.default_rng(6)
+    bases = rng.normal(size=(12, 8))
+    rows = [(int(rng.integers(0, 15)), (bases[rng.integers(0, 12)] * rng.uniform(0.5, 2) + rng.normal(scale=0.08, size=8)).tolist()) for _ in range(90)]
+    rows += [(1, [1.0] + [0.0] * 7), (1, [0.0] * 7 + [1.0]), (2, [1.0, 0.1] + [0.0] * 6), rows[0], rows[0]]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    reach = [*range(len(rows))]
+    for _ in rows:
+        for a, b in zip(*np.nonzero(link), strict=True):
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    least = defaultdict(lambda: 1 << 60)
+    for k, root in enumerate(reach):
+        least[root] = min(least[root], rows[k][0])
+    want = Counter((i, int(link[k].sum()), least[reach[k]], i == least[reach[k]]) for k, (i, _) in enumerate(rows))
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter(map(tuple, got)) == want
