@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maregraph.llm.common import crc_mod, shared_dir, work_tables_deleted
+from maregraph.llm.common import crc_mod, shared_dir, whole_row, work_tables_deleted
 from maregraph.llm.exact_dedup import drop_duplicates
 from maregraph.llm.jaccard_join import keep_one
 from maregraph.llm.language_id import identify, train_language_id
-from maregraph.llm.mixing import in_mixed_order, mix_sources
+from maregraph.llm.mixing import MIX, in_mixed_order, mix_sources
 from maregraph.llm.packing import pack
 
 #: Documents whose predicted language is less probable than this are rejected, as are those without letters.
@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table, or one without any named language, gives no rows. Extra columns stay.
     """
     model = train_language_id(docs, crc_mod("doc_id", 5) != 0)
-    found = identify(docs.select(F.struct(*docs.columns).alias("row")), model, text_col="row.text")
+    found = identify(docs.select(whole_row(docs).alias("row")), model, text_col="row.text")
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
@@ -52,9 +52,9 @@ def mix_sources_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """All documents, in files and rows ordered so that sources appear by the square roots of their sizes.
 
     A null source is one of its own; ties follow hashes of id and row; an empty table
-    gives no rows. Extra columns stay, but for those named mix_...
+    gives no rows. Extra columns stay, but for the five of MIX.
     """
-    return in_mixed_order(mix_sources(docs), docs.columns)
+    return in_mixed_order(mix_sources(docs), [c for c in docs.columns if c not in MIX])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,13 +45,25 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def work_tables_deleted(spark: SparkSession) -> Iterator[None]:
-    """Tables that persisted() writes inside go at the end, when what was computed from them has been written."""
+    """Tables that persisted() writes inside go at the end, when what was computed from them has been written or has failed."""
     had = len(_work)
-    yield
-    for path in _work[had:]:
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-    del _work[had:]
+    try:
+        yield
+    finally:
+        for path in _work[had:]:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        del _work[had:]
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df in one struct."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in df.columns))
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -61,7 +73,7 @@ def row_hash(df: DataFrame) -> Column:
         inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
         return isinstance(kind, T.MapType) or any(map(has_map, inner))
 
-    return F.xxhash64(*(F.to_json(F.struct(f"`{f.name}`")) if has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields))
+    return F.xxhash64(*(F.to_json(F.struct(quoted(f.name))) if has_map(f.dataType) else F.col(quoted(f.name)) for f in df.schema.fields))
 
 
 def text_or_empty(text: Column | str) -> Column:

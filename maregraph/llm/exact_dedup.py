@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maregraph.llm.common import SPACE, looked_up, persisted, row_hash, salts_for, text_or_empty
+from maregraph.llm.common import SPACE, looked_up, persisted, row_hash, salts_for, text_or_empty, whole_row
 
 #: Historical digests to a shard, on average.
 SHARD = 20_000
@@ -144,7 +144,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = exact_dedup(docs, None, id_col, text_col).filter("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).distinct()
     key = [F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.col("id").isNull().alias("no_id"), "digest"]
     text = text_or_empty(text_col)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.translate(text, SPACE, "").cast("binary"), 256)).alias("digest"), (-F.char_length(text)).alias("rank"), row_hash(docs).alias("h"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.translate(text, SPACE, "").cast("binary"), 256)).alias("digest"), (-F.char_length(text)).alias("rank"), row_hash(docs).alias("h"))
     names = ["id", "no_id", "digest"]
     once = rows.select(*key, "row", "rank", "h").join(kept.select(*key), names).withColumn("k", F.row_number().over(Window.partitionBy(*names).orderBy("rank", "h")))
     return once.filter("k = 1").select("row.*")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maregraph.llm.common import looked_up, persisted, salts_for, with_totals
+from maregraph.llm.common import looked_up, persisted, salts_for, whole_row, with_totals
 from maregraph.llm.components import connected_components
 
 #: Characters of text to a block, distinct shingles to a range.
@@ -352,5 +352,5 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     """
     found = jaccard_components(docs, words, percent, id_col, text_col)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).cast("long").alias("id"))
     return rows.join(gone, "id", "left_anti").select("row.*")

@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maregraph.llm.common import row_hash, salts_for, shared_dir
+from maregraph.llm.common import quoted, row_hash, salts_for, shared_dir, whole_row
 
+#: The columns that a mixture adds.
+MIX = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_key")
 #: Documents to a block, at least; and blocks for each root of the number of rows, at most.
 BLOCK, BLOCKS_A_ROOT = 16, 64
 #: Blocks to a stretch of the schedule, at least; and for each source.
@@ -113,7 +115,7 @@ def block_slots(spark: SparkSession, weights: dict[str, float], blocks: dict[str
 
 def in_parts(docs: DataFrame, source: Column, order: list[Column], parts: int) -> tuple[DataFrame, DataFrame]:
     """docs as `_row`, with `_source`, `_part` and `_inside`, the row's place (from 0) in its part by `order`; and the parts' `_n` rows and `_before`, the rows of parts before."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), source.alias("_source"), F.pmod(order[0], F.lit(parts)).cast("int").alias("_part"), *(c.alias(f"_by{k}") for k, c in enumerate(order)))
+    rows = docs.select(whole_row(docs).alias("_row"), source.alias("_source"), F.pmod(order[0], F.lit(parts)).cast("int").alias("_part"), *(c.alias(f"_by{k}") for k, c in enumerate(order)))
     counts = rows.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_source").orderBy("_part")) - F.col("_n"))
     inside = F.row_number().over(Window.partitionBy("_source", "_part").orderBy(*(f"_by{k}" for k in range(len(order))))) - 1
@@ -138,7 +140,7 @@ def source_rows(docs: DataFrame, source: Column) -> dict[str, int]:
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int | None = None, id_col: str = "doc_id", source_col: str = "source", at_end: str = "go_on") -> DataFrame:
     """docs with `mix_block, mix_release, mix_deadline, mix_slot, mix_key` (long); ordering by mix_key is the mixture.
 
-    Columns of docs named mix_... are replaced by these.
+    Columns of docs of these five names are replaced by them; all others stay.
 
     `weights`: target weight of each source (sources not named, and all without it: rows
     of the source ** power). `block`: documents to a block (default: block_size of the
@@ -174,10 +176,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     at = F.get(F.filter("_blocks", lambda b: b["_j"] == F.col("mix_block")), 0) if at_end == "stop" else F.get("_blocks", (F.col("mix_block") - F.col("_first")).cast("int"))
     rows = rows.withColumn("_at", at).filter("_at is not null").select("_row", "_rank", "mix_block", "_at.*")
     slot = F.col("_slot")
-    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if not c.startswith("mix_")]
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in MIX]
     return rows.select(*kept, "mix_block", F.col("_release").alias("mix_release"), F.col("_deadline").alias("mix_deadline"), slot.alias("mix_slot"), (slot * block + F.col("_rank") % block).alias("mix_key"))
 
 
 def in_mixed_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Rows range-partitioned and sorted by mix_key: written files, read in order, are the mixture."""
-    return mixed.repartitionByRange("mix_key").sortWithinPartitions("mix_key").select(*columns)
+    return mixed.repartitionByRange("mix_key").sortWithinPartitions("mix_key").select(*map(quoted, columns))

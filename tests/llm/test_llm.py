@@ -849,3 +849,41 @@ def test_pipeline(spark, tmp_path):
     assert not kept & {n - 5, n - 4, n - 3} and len(kept & {n - 2, n - 1}) == 1
     want = brute_components([i for i in range(n) if texts[i] and re.search(r"[^\W\d_]", texts[i])], [t for t in texts if t and re.search(r"[^\W\d_]", t)], 5, 80)
     assert len(kept) == len({c for _, c in want.values()})
+    # which stay: of equal texts the longest, then of each component the least id
+    left = {}
+    for i in range(n):
+        if texts[i] and re.search(r"[^\W\d_]", texts[i]):
+            key = re.sub(r"[\x20\x09-\x0D]", "", texts[i])
+            if key not in left or len(texts[i]) > len(texts[left[key]]):
+                left[key] = i
+    ids = sorted(left.values())
+    stay = {i for i, (_, c) in brute_components(ids, [texts[i] for i in ids], 5, 80).items() if i == c}
+    assert kept == stay
+    # in which order, and what is packed
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).filter(F.col("doc_id").isin(list(stay)))
+    order = [r.doc_id for r in mixing.mix_sources(docs).orderBy("mix_key").collect()]
+    rows = sorted(got, key=lambda r: (r.source_file, r.source_row, r.start))
+    assert list(dict.fromkeys(r.doc_id for r in rows)) == order
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed = {}
+    for r in rows:
+        packed.setdefault(r.doc_id, []).extend(r.ids)
+    assert packed == {i: [*tokenizer.encode(texts[i], add_special_tokens=False).ids, 2] for i in stay}
+
+
+def test_pipeline_keeps_columns_of_any_names(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["meta.url", "mix_foo", "a b", "tick`s", "row", "id", "h", "rank", "_row", "_source"]
+    df = docs_of(spark, sample_texts(spark, 25)).select("*", *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in names))
+    df = df.withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, df, str(tmp_path)).write.parquet(str(tmp_path / name))
+        got = spark.read.parquet(str(tmp_path / name))
+        assert got.columns == df.columns
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+        df = got
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()} == {r.doc_id for r in rows}
