@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from maregraph.functions.scalar import MAD_TO_SIGMA, clip, decision, final_class, flag, q_class, quality_class, ratio, z_class
+from maregraph.operators.quantiles import with_quantiles
 from maregraph.operators.series import Series, micros, over_key, with_statistics
+from maregraph.operators.work import stored
 
 # Fixed values of the tests.
 WINDOW, LEAST = 49, 12
@@ -37,25 +39,28 @@ def over_window(value: Column, s: Series, what: str, window: int = WINDOW, least
 
 
 def scores(df: DataFrame, s: Series) -> DataFrame:
-    """df with classic_score, second_difference_score, roc_per_hour, mad_score and local_std_score: three sorted passes over one partitioning."""
-    out = df.withColumns({"classic_score": classic_spike(s), "second_difference_score": second_difference(s), "_dx": F.abs(s.x - F.lag(s.x).over(s.window)), "_dt": step_hours(s)})
-    out = over_key(out, s.keys, _step=F.median("_dt"))
+    """df with classic_score, second_difference_score, step and step_hours (to the row before), mad_score and local_std_score: sorted passes over one partitioning, in frames of rows only."""
+    out = df.withColumns({"classic_score": classic_spike(s), "second_difference_score": second_difference(s), "step": F.abs(s.x - F.lag(s.x).over(s.window)), "step_hours": step_hours(s)})
     c = F.col("classic_score")
-    out = out.withColumns({"roc_per_hour": F.col("_dx") / F.when(F.col("_step") > 0, F.col("_step")).otherwise(0.5), "_med": over_window(c, s, "median"), "_mean": over_window(c, s, "avg"), "_std": over_window(c, s, "std")})
+    out = out.withColumns({"_med": over_window(c, s, "median"), "_mean": over_window(c, s, "avg"), "_std": over_window(c, s, "std")})
     out = out.withColumn("_dev", F.abs(c - F.col("_med")))
     out = out.withColumn("_mad", over_window(F.col("_dev"), s, "median"))
     out = out.withColumns({"mad_score": ratio(c, MAD_TO_SIGMA * F.col("_mad")), "local_std_score": ratio(F.abs(c - F.col("_mean")), F.col("_std"))})
-    return out.drop("_dx", "_dt", "_step", "_med", "_mean", "_std", "_dev", "_mad")
+    return out.drop("_med", "_mean", "_std", "_dev", "_mad")
 
 
 def tested(df: DataFrame, s: Series, ranges: dict[str, tuple[float, float]] | None = None, roc_limits: dict[str, float] | None = None, variable: str = "variable", tests: tuple[str, ...] = TESTS) -> DataFrame:
-    """scores() with thresholds, flag_<test>, flag_count, removed, suspect, quality_index and quality_class.
+    """scores() with thresholds, roc_per_hour, flag_<test>, flag_count, removed, suspect, quality_index and quality_class.
 
     Ranges and rate limits that aren't given for a variable are quantiles of the series.
+    The scores are stored; their quantiles, of series of any length, come from counting
+    passes over that table, so no task holds the values of a series.
     """
-    scored = scores(df, s)
-    p = lambda c, q: F.percentile(F.col(c), F.lit(q))
-    out = over_key(scored, s.keys, classic_p995=p("classic_score", 0.995), second_p995=p("second_difference_score", 0.995), roc_limit=p("roc_per_hour", 0.995), range_min=p(s.value, 0.001), range_max=p(s.value, 0.999))
+    scored = stored(scores(df, s), "scores")
+    limits = {"classic_p995": ("classic_score", 0.995), "second_p995": ("second_difference_score", 0.995), "_step995": ("step", 0.995), "range_min": (s.value, 0.001), "range_max": (s.value, 0.999), "_hours": ("step_hours", 0.5)}
+    out = with_quantiles(scored, s.keys, limits)
+    usual = F.when(F.col("_hours") > 0, F.col("_hours")).otherwise(0.5)
+    out = out.withColumns({"roc_per_hour": F.col("step") / usual, "roc_limit": F.col("_step995") / usual}).drop("_step995", "_hours", "step", "step_hours")
     for name, value in (roc_limits or {}).items():
         out = out.withColumn("roc_limit", F.when(F.col(variable) == name, value).otherwise(F.col("roc_limit")))
     for name, (lo, hi) in (ranges or {}).items():
@@ -77,7 +82,7 @@ def tested(df: DataFrame, s: Series, ranges: dict[str, tuple[float, float]] | No
         ratio(F.col("roc_per_hour"), F.col("roc_limit")), F.col("local_std_score") / LOCAL_STD_FLAG,
     )
     out = out.withColumn("_composite", F.greatest(parts, F.when(parts.isNotNull(), 0.0)))
-    out = over_key(out, s.keys, _top=F.percentile("_composite", F.lit(0.999)))
+    out = with_quantiles(out, s.keys, {"_top": ("_composite", 0.999)})
     top = F.when(F.col("_top") == 0, 1.0).otherwise(F.coalesce("_top", F.lit(1.0)))
     out = out.withColumn("quality_index", clip(100 * (1 - F.col("_composite") / top), 0, 100))
     return out.withColumn("quality_class", quality_class(F.col("quality_index"))).drop("_composite", "_top")
@@ -86,7 +91,7 @@ def tested(df: DataFrame, s: Series, ranges: dict[str, tuple[float, float]] | No
 def month_quantile(df: DataFrame, s: Series, q: float = 0.99) -> DataFrame:
     """df with classic_score and its quantile within the series' calendar month."""
     out = df.withColumns({"classic_score": classic_spike(s), "month": F.month(s.order[0])})
-    return over_key(out, (*s.keys, "month"), month_limit=F.percentile("classic_score", F.lit(q)))
+    return with_quantiles(stored(out, "scores"), (*s.keys, "month"), {"month_limit": ("classic_score", q)})
 
 
 def _z(df: DataFrame, s: Series) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from maregraph.functions.scalar import MAD_TO_SIGMA, T4_QUARTILE, clean, gpd_sf, t4_sf
 from maregraph.operators.classical import classic_spike
+from maregraph.operators.quantiles import exact_quantiles
 from maregraph.operators.series import Series, over_key, with_statistics
+from maregraph.operators.work import stored
 
 ALPHAS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1)
 
@@ -209,5 +211,6 @@ def isolation_scores(df: DataFrame, features: list[str], keep: list[str], trees:
 
 def isolation_flags(scored: DataFrame, train: Column, contamination: float = 1 / 130) -> DataFrame:
     """scored with `flagged`: an isolation above what the share `contamination` of the training rows passes."""
-    limit = scored.filter(train).agg(F.percentile("isolation", F.lit(1 - contamination)).alias("_limit"))
-    return scored.join(F.broadcast(limit)).withColumn("flagged", F.col("isolation") > F.col("_limit")).drop("_limit")  # one row
+    rows = stored(scored, "isolation")
+    limit = exact_quantiles(rows.filter(train), (), {"limit": ("isolation", 1 - contamination)}).first()
+    return rows.withColumn("flagged", F.col("isolation") > F.lit(limit and limit["limit"]))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from maregraph.functions.scalar import ordinal_probabilities
 from maregraph.operators.metrics import _r
+from maregraph.operators.quantiles import exact_quantiles
 from maregraph.operators.series import Series
 
 #: 0.05 to 0.95 by 0.05, then 0.96 to 0.99.
@@ -59,10 +60,12 @@ def class_weights(df: DataFrame, label: str, confidence: Column | None = None) -
 
 def robust_scaled(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
     """Columns cut to the training rows' 0.5 and 99.5 per cent points, less the median, over the quartile range."""
-    points = df.filter(train).agg(*(F.percentile(c, F.array(*map(F.lit, (0.005, 0.25, 0.5, 0.75, 0.995)))).alias(c) for c in columns)).first()
+    levels = (0.005, 0.25, 0.5, 0.75, 0.995)
+    points = exact_quantiles(df.filter(train), (), {f"{c}_{k}": (c, q) for c in columns for k, q in enumerate(levels)}).first()
     out = df
     for c in columns:
-        lo, q1, mid, q3, hi = points[c] or (0.0, 0.0, 0.0, 1.0, 0.0)
+        found = [points and points[f"{c}_{k}"] for k in range(len(levels))]
+        lo, q1, mid, q3, hi = found if found[0] is not None else (0.0, 0.0, 0.0, 1.0, 0.0)
         out = out.withColumn(c, (F.greatest(F.least(F.col(c), F.lit(hi)), F.lit(lo)) - mid) / ((q3 - q1) or 1.0))
     return out
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maregraph.functions.scalar import bad_share_text, gap_share_text, season
 from maregraph.operators import classical as C
+from maregraph.operators.quantiles import exact_quantiles
 from maregraph.operators.series import dedup_time, with_statistics
 from maregraph.plans.registry import KEY, KEYS, OBS, OBS_SQL, PART, W, frame, obs, query, rounded, table
 
@@ -130,7 +131,8 @@ QUANTILES = (0.001, 0.9, 0.95, 0.99, 0.995, 0.999)
 
 @query(f"WITH {OBS_SQL} SELECT variable, " + ", ".join(f"round(quantile_cont(x, {p}), 6) AS p{str(p)[2:]}" for p in QUANTILES) + " FROM obs GROUP BY ALL")
 def quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    return obs(spark, sf).groupBy("variable").agg(*(F.round(F.percentile("x", F.lit(p)), 6).alias(f"p{str(p)[2:]}") for p in QUANTILES))
+    names = {f"p{str(p)[2:]}": ("x", p) for p in QUANTILES}
+    return rounded(exact_quantiles(obs(spark, sf), ("variable",), names), *names)
 
 
 def _events_sql(source: str, flag: str, score: str) -> str:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maregraph.operators.series import Series
+from maregraph.operators.work import scratch  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,14 +54,3 @@ def r(c: str | Column, digits: int = 6) -> Column:
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one where the session names none (local runs)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        there = "file://" + tempfile.mkdtemp(prefix="maregraph-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there
