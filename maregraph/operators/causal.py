@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maregraph.functions.scalar import MAD_TO_SIGMA
+from maregraph.operators.chunked import chunked
 from maregraph.operators.series import Series, over_key
+from maregraph.operators.work import matched, stored
 
 # Fixed values of the indicators.
 EWMA_RATES = (0.1, 0.3, 0.6)
@@ -73,43 +73,99 @@ def clipped_sums(steps: np.ndarray, start: float, limit: float) -> np.ndarray:
     return out
 
 
-def recursive_memory(df: DataFrame, s: Series, residual: str, keep: tuple[str, ...], rates: tuple[float, ...] = EWMA_RATES, slack: float = CUSUM_SLACK, reset: float = CUSUM_RESET) -> DataFrame:
+def clipped_map(steps: np.ndarray, limit: float) -> tuple[float, float, list[float], list[float]]:
+    """What clipped_sums(steps, start, limit) ends in, as a function of its start: `shift, floor, cuts, ends`.
+
+    A start above cuts[k], but not above cuts[k - 1], is first reset where the sums of the
+    steps reach their k-th new height, and goes on from 0 to ends[k]. Every other start
+    ends in max(start + shift, floor).
+    """
+    sums = np.cumsum(steps)
+    above = sums - np.minimum(0.0, np.minimum.accumulate(sums)) if len(sums) else sums
+    over = np.flatnonzero(above > limit)
+    stop = int(over[0]) if len(over) else len(sums)
+    after = lambda i: float(clipped_sums(steps[i + 1 :], 0.0, limit)[-1]) if i + 1 < len(steps) else 0.0
+    highs = np.maximum.accumulate(np.concatenate([[0.0], sums[:stop]]))
+    records = np.flatnonzero(highs[1:] > highs[:-1])
+    shift, floor = (-np.inf, after(stop)) if len(over) else (float(sums[-1]), float(above[-1])) if len(sums) else (0.0, 0.0)
+    return shift, floor, (limit - sums[records]).tolist(), [after(i) for i in records.tolist()]
+
+
+def through(start: float, shift: float, floor: float, cuts: list[float], ends: list[float]) -> float:
+    """The end of a start by clipped_map(); cuts fall."""
+    lo, hi = 0, len(cuts)
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if start > cuts[mid] else (mid + 1, hi)
+    return ends[lo] if lo < len(cuts) else max(start + shift, floor)
+
+
+def recursive_memory(
+    df: DataFrame, s: Series, residual: str, keep: tuple[str, ...], rates: tuple[float, ...] = EWMA_RATES, slack: float = CUSUM_SLACK, reset: float = CUSUM_RESET, rows: int = 100_000, bucket: Column | None = None
+) -> DataFrame:
     """`keep` columns with ewma_<k> and cusum_pos, cusum_neg.
 
     Null residuals count as 0. The averages start at the first residual, the sums at 0
-    (without the first residual) and again at 0 when they pass `reset` deviations. A
-    series goes through its task batch by batch in its order, with one number carried
-    over for each indicator, so its length isn't bounded by memory.
+    (without the first residual) and again at 0 when they pass `reset` deviations.
+
+    A prefix scan: a series is cut into chunks of `rows` rows (`bucket` as for numbered(),
+    by default the day). Each chunk tells what it makes of any value that enters it, an
+    affine map for an average and a clipped_map for a sum; these maps, some numbers for
+    each chunk, are composed in order to what does enter, and then all chunks are
+    computed at once. No task holds more than a chunk of a series.
     """
     kept = [*dict.fromkeys([*s.keys, *s.order, *keep])]
     e = F.coalesce(F.col(residual).cast("double"), F.lit(0.0))
-    found = df.groupBy(*s.keys).agg(F.stddev_samp(e).alias("_sd"))
-    ordered = df.select(*kept, e.alias("_e")).join(found, list(s.keys)).repartition(*s.keys).sortWithinPartitions(*s.keys, *s.order)
-    names = [f"ewma_{k}" for k in range(len(rates))]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        averages, up, down = None, 0.0, 0.0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("_e").to_numpy(zero_copy_only=False)
-            sigma = batch.column("_sd")[0].as_py() or 1e-6
-            begun = averages is not None
-            averages = averages or [x[0]] * len(rates)
-            columns = []
-            for k, a in enumerate(rates):
-                through = pd.Series(np.concatenate([[averages[k]], x])).ewm(alpha=a, adjust=False).mean().to_numpy()[1:]
-                averages[k] = float(through[-1])
-                columns.append(through)
-            first = 0 if begun else 1
-            for sign, before in ((1, up), (-1, down)):
-                sums = clipped_sums(sign * x[first:] - slack * sigma, before, reset * sigma)
-                columns.append(np.concatenate([np.zeros(first), sums]))
-            up, down = float(columns[-2][-1]), float(columns[-1][-1])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, columns)], [*kept, *names, "cusum_pos", "cusum_neg"])
-
+    narrow = df.select(*kept, e.alias("_e"))
+    deviation = narrow.groupBy(*s.keys).agg(F.coalesce(F.nullif(F.stddev_samp("_e"), F.lit(0.0)), F.lit(1e-6)).alias("_sd"))
+    at = stored(chunked(matched(narrow, deviation, s.keys), s, rows, bucket), "chunks")
+    group, names, n_rates = [*s.keys, "_chunk"], [f"ewma_{k}" for k in range(len(rates))], len(rates)
+    order = [(c, "ascending") for c in s.order]
+
+    def steps(chunk: pa.Table) -> tuple[np.ndarray, list[np.ndarray], float]:
+        """Residuals, the steps of both sums (none for the first row of a series) and the limit."""
+        x, sigma = chunk["_e"].to_numpy(), chunk["_sd"][0].as_py()
+        both = [sign * x - slack * sigma for sign in (1, -1)]
+        return x, [d[1:] if chunk["_chunk"][0].as_py() == 0 else d for d in both], reset * sigma
+
+    def averages(x: np.ndarray, starts: list[float]) -> list[np.ndarray]:
+        return [pd.Series(np.concatenate([[y], x])).ewm(alpha=a, adjust=False).mean().to_numpy()[1:] for a, y in zip(rates, starts, strict=True)]
+
+    def summary(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by(order)
+        x, both, limit = steps(chunk)
+        sums = [clipped_map(d, limit) for d in both]
+        columns = {"first": [float(x[0])], "offsets": [[float(y[-1]) for y in averages(x, [0.0] * n_rates)]], "scales": [[(1 - a) ** len(x) for a in rates]]}
+        columns |= {"shifts": [[m[0] for m in sums]], "floors": [[m[1] for m in sums]], "cuts": [[m[2] for m in sums]], "ends": [[m[3] for m in sums]]}
+        kinds = {"first": pa.float64(), **{c: pa.list_(pa.float64()) for c in ("offsets", "scales", "shifts", "floors")}, **{c: pa.list_(pa.list_(pa.float64())) for c in ("cuts", "ends")}}
+        return pa.table({c: chunk[c][:1] for c in group} | {c: pa.array(v, kinds[c]) for c, v in columns.items()})
+
+    def compose(chunks: pa.Table) -> pa.Table:
+        chunks = chunks.sort_by("_chunk")
+        average, sums, entering = [], [0.0, 0.0], []
+        for m in chunks.select(["first", "offsets", "scales", "shifts", "floors", "cuts", "ends"]).to_pylist():
+            average = average or [m["first"]] * n_rates  # an average of equal values is that value
+            entering.append([*average, *sums])
+            average = [b + a * y for y, a, b in zip(average, m["scales"], m["offsets"], strict=True)]
+            sums = [through(y, *each) for y, *each in zip(sums, m["shifts"], m["floors"], m["cuts"], m["ends"], strict=True)]
+        return pa.table({c: chunks[c] for c in group} | {"_in": pa.array(entering, pa.list_(pa.float64()))})
+
+    def apply(chunk: pa.Table, entering: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by(order)
+        x, both, limit = steps(chunk)
+        starts = entering["_in"][0].as_py()
+        found = averages(x, starts[:n_rates])
+        for d, y in zip(both, starts[n_rates:], strict=True):
+            found.append(np.concatenate([np.zeros(len(x) - len(d)), clipped_sums(d, y, limit)]))
+        return pa.table({c: chunk[c] for c in kept} | dict(zip([*names, "cusum_pos", "cusum_neg"], map(pa.array, found), strict=True)))
+
+    fields = [df.schema[c] for c in s.keys] + [T.StructField("_chunk", T.LongType())]
+    of = lambda *more: T.StructType([*fields, *(T.StructField(c, kind) for c, kind in more)])
+    numbers, lists = T.ArrayType(T.DoubleType()), T.ArrayType(T.ArrayType(T.DoubleType()))
+    maps = at.groupBy(*group).applyInArrow(summary, of(("first", T.DoubleType()), *((c, numbers) for c in ("offsets", "scales", "shifts", "floors")), ("cuts", lists), ("ends", lists)))
+    entering = maps.groupBy(*s.keys).applyInArrow(compose, of(("_in", numbers)))
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in (*names, "cusum_pos", "cusum_neg"))])
-    return ordered.groupBy(*s.keys).applyInArrow(scan, schema)
+    return at.groupBy(*group).cogroup(entering.groupBy(*group)).applyInArrow(apply, schema)
 
 
 def cusum_windows(df: DataFrame, s: Series, residual: str, slack: float = CUSUM_SLACK) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maregraph.operators.work import stored
+from maregraph.operators.work import matched, stored
 
 #: Bits that remain unknown after each pass.
 SHIFTS = (42, 21, 0)
@@ -91,8 +91,4 @@ def with_quantiles(df: DataFrame, keys: tuple[str, ...], wanted: dict[str, tuple
     found = exact_quantiles(df, keys, wanted)
     if not keys:
         return df.join(found, how="left") if found.count() else df.withColumns({name: F.lit(None).cast("double") for name in wanted})  # one row
-    renamed = found.withColumnsRenamed({k: f"_of_{i}" for i, k in enumerate(keys)})
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_of_{i}"))
-    return df.join(renamed, same, "left").drop(*(f"_of_{i}" for i in range(len(keys))))
+    return matched(df, found, keys, "left")

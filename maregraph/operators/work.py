@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
@@ -26,6 +27,14 @@ def gone_at_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
+def matched(df: DataFrame, found: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """df joined to a table of its keys' values, where a null key is a key."""
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{i}"))
+    return df.join(found.withColumnsRenamed({k: f"_of_{i}" for i, k in enumerate(keys)}), same, how).drop(*(f"_of_{i}" for i in range(len(keys))))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written and read again: computed once, cut from its lineage, and of a size that Spark knows when it plans joins."""
     spark = df.sparkSession

@@ -145,23 +145,42 @@ def rate_score(spark: SparkSession, sf: str) -> DataFrame:
 REC = f"n AS (SELECT *, row_number() OVER ({W}) AS i FROM e)"
 
 
-@query(f"""WITH RECURSIVE {FILLED}, {REC}, rec AS (SELECT station, variable, event_id, i, e AS e0, e AS e1, e AS e2 FROM n WHERE i = 1 UNION ALL
+EWMA_SQL = f"""WITH RECURSIVE {FILLED}, {REC}, rec AS (SELECT station, variable, event_id, i, e AS e0, e AS e1, e AS e2 FROM n WHERE i = 1 UNION ALL
 SELECT n.station, n.variable, n.event_id, n.i, 0.1::DOUBLE * n.e + (1 - 0.1::DOUBLE) * e0, 0.3::DOUBLE * n.e + (1 - 0.3::DOUBLE) * e1, 0.6::DOUBLE * n.e + (1 - 0.6::DOUBLE) * e2 FROM rec JOIN n ON n.station = rec.station AND n.variable = rec.variable AND n.i = rec.i + 1)
-SELECT {KEYS}, round(e0, 6) AS ewma_0, round(e1, 6) AS ewma_1, round(e2, 6) AS ewma_2 FROM rec""")
+SELECT {KEYS}, round(e0, 6) AS ewma_0, round(e1, 6) AS ewma_1, round(e2, 6) AS ewma_2 FROM rec"""
+
+
+@query(EWMA_SQL)
 def ewma(spark: SparkSession, sf: str) -> DataFrame:
     out = K.recursive_memory(filled(spark, sf), OBS, "e", ("event_id",))
     return rounded(out.select(*KEY, "ewma_0", "ewma_1", "ewma_2"), "ewma_0", "ewma_1", "ewma_2")
 
 
-@query(f"""WITH RECURSIVE {FILLED}, {REC}, sg AS (SELECT station, variable, coalesce(nullif(stddev_samp(e), 0), 1e-6) AS sg FROM e GROUP BY ALL), m AS (SELECT n.*, sg FROM n JOIN sg USING (station, variable)),
+CUSUM_SQL = f"""WITH RECURSIVE {FILLED}, {REC}, sg AS (SELECT station, variable, coalesce(nullif(stddev_samp(e), 0), 1e-6) AS sg FROM e GROUP BY ALL), m AS (SELECT n.*, sg FROM n JOIN sg USING (station, variable)),
 rec AS (SELECT station, variable, event_id, i, 0::DOUBLE AS up, 0::DOUBLE AS down FROM m WHERE i = 1 UNION ALL
 SELECT m.station, m.variable, m.event_id, m.i, CASE WHEN greatest(0, up + e - 0.5 * sg) > 20 * sg THEN 0 ELSE greatest(0, up + e - 0.5 * sg) END, CASE WHEN greatest(0, down - e - 0.5 * sg) > 20 * sg THEN 0 ELSE greatest(0, down - e - 0.5 * sg) END
-FROM rec JOIN m ON m.station = rec.station AND m.variable = rec.variable AND m.i = rec.i + 1) SELECT {KEYS}, round(up, 5) AS cusum_pos, round(down, 5) AS cusum_neg FROM rec""")
+FROM rec JOIN m ON m.station = rec.station AND m.variable = rec.variable AND m.i = rec.i + 1) SELECT {KEYS}, round(up, 5) AS cusum_pos, round(down, 5) AS cusum_neg FROM rec"""
+
+
+@query(CUSUM_SQL)
 def cusum(spark: SparkSession, sf: str) -> DataFrame:
     out = K.recursive_memory(filled(spark, sf), OBS, "e", ("event_id",))
     return rounded(out.select(*KEY, "cusum_pos", "cusum_neg"), "cusum_pos", "cusum_neg", digits=5)
 
 
+@query(EWMA_SQL)
+def ewma_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    """The averages with every series cut into chunks of 100 rows, as for series that no task can hold."""
+    out = K.recursive_memory(filled(spark, sf), OBS, "e", ("event_id",), rows=100)
+    return rounded(out.select(*KEY, "ewma_0", "ewma_1", "ewma_2"), "ewma_0", "ewma_1", "ewma_2")
+
+
+@query(CUSUM_SQL)
+def cusum_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    out = K.recursive_memory(filled(spark, sf), OBS, "e", ("event_id",), rows=100)
+    return rounded(out.select(*KEY, "cusum_pos", "cusum_neg"), "cusum_pos", "cusum_neg", digits=5)
+
+
 @query(f"""WITH {FILLED}, {REC}, sg AS (SELECT station, variable, coalesce(nullif(stddev_samp(e), 0), 1e-6) AS sg FROM e GROUP BY ALL), c AS (SELECT n.*, sum(CASE WHEN i = 1 THEN 0 ELSE e - 0.5 * sg END) OVER ({W}) AS up, sum(CASE WHEN i = 1 THEN 0 ELSE -e - 0.5 * sg END) OVER ({W}) AS down FROM n JOIN sg USING (station, variable))
 SELECT {KEYS}, round(up - least(0, min(up) OVER ({W})), 5) AS cusum_pos, round(down - least(0, min(down) OVER ({W})), 5) AS cusum_neg FROM c""")
 def cusum_no_reset(spark: SparkSession, sf: str) -> DataFrame:

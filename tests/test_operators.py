@@ -182,6 +182,47 @@ def test_sums_with_resets_are_those_of_a_loop():
         assert np.allclose(causal.clipped_sums(steps, start, limit), want, atol=1e-9)
 
 
+def test_clipped_maps_are_those_of_a_loop():
+    """A chunk's map against sums from any start, with resets, for drifts up, down and none, and maps one after the other."""
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 2, 50, 400):
+        for drift in (-0.3, 0.0, 0.1, 1.0):
+            steps, limit = rng.normal(drift, 1, n), 6.0
+            found = causal.clipped_map(steps, limit)
+            half = causal.clipped_map(steps[: n // 2], limit), causal.clipped_map(steps[n // 2 :], limit)
+            for start in [0.0, limit, *rng.uniform(0, limit, 40)]:
+                want = start
+                for v in steps:
+                    want = max(0.0, want + v)
+                    want = 0.0 if want > limit else want
+                assert causal.through(start, *found) == pytest.approx(want, abs=1e-9)
+                assert causal.through(causal.through(start, *half[0]), *half[1]) == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("rows", [1, 7, 100, 10_000])
+def test_memory_in_chunks_of_any_size(spark, rows):
+    rng = np.random.default_rng(7)
+    series = {"a": rng.normal(0.4, 1, 333), "b": rng.normal(0, 3, 120), None: rng.normal(0, 1, 20), "c": np.array([2.5])}
+    rng.shuffle(series["a"])
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "k string, t int, x double").repartition(5)
+    got = {(r.k, r.t): r for r in causal.recursive_memory(df, S, "x", ("t",), reset=2.0, rows=rows).collect()}
+    assert len(got) == df.count()
+    resets = 0
+    for k, x in series.items():
+        sigma = np.std(x, ddof=1) if len(x) > 1 else 1e-6
+        average, sums = x[0], [0.0, 0.0]
+        for t, v in enumerate(x):
+            if t:
+                average = 0.1 * v + 0.9 * average
+                for i, sign in enumerate((1, -1)):
+                    sums[i] = max(0.0, sums[i] + sign * v - 0.5 * sigma)
+                    resets += sums[i] > 2 * sigma
+                    sums[i] = 0.0 if sums[i] > 2 * sigma else sums[i]
+            r = got[k, t]
+            assert (r.ewma_0, r.cusum_pos, r.cusum_neg) == pytest.approx((average, *sums), abs=1e-8)
+    assert resets > 5
+
+
 def test_memory_goes_on_from_batch_to_batch(spark):
     rng = np.random.default_rng(5)
     e = rng.normal(0.2, 1, 700)
