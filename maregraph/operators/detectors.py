@@ -126,39 +126,6 @@ def traditional_spike(df: DataFrame, s: Series) -> DataFrame:
     return out.withColumn("spike", F.coalesce(F.col("classic") > F.col("limit"), F.lit(False))).drop("_m", "_d", "_mad")
 
 
-def peaks(df: DataFrame, s: Series, value: str, height: float = 1.0, distance: int = 50, prominence: float = 1.0) -> DataFrame:
-    """Rows of local maxima of `value` (plateaus at their middle) that are high, far apart (tallest first) and prominent; null counts as 0."""
-    kept = [*dict.fromkeys([*s.keys, *s.order])]
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(s.order), kind="stable")
-        x = pdf[value].fillna(0.0).to_numpy(np.float64)
-        edges = np.flatnonzero(np.diff(x) != 0)
-        begins, ends = np.concatenate([[0], edges + 1]), np.concatenate([edges, [len(x) - 1]])
-        inner = [(b + e) // 2 for b, e in zip(begins, ends, strict=True) if b > 0 and e < len(x) - 1 and x[b - 1] < x[b] and x[e + 1] < x[e] and x[b] >= height]
-        alive = np.array(inner, int)
-        keep = np.ones(len(alive), bool)
-        for k in np.argsort(x[alive], kind="stable")[::-1]:
-            if keep[k]:
-                near = np.abs(alive - alive[k]) < distance
-                near[k] = False
-                keep &= ~near
-        chosen = []
-        for p in alive[keep]:
-            higher = np.flatnonzero(x > x[p])
-            left, right = higher[higher < p], higher[higher > p]
-            lo = x[(left[-1] if len(left) else 0) : p + 1].min()
-            hi = x[p : (right[0] if len(right) else len(x) - 1) + 1].min()
-            if x[p] - max(lo, hi) >= prominence:
-                chosen.append(p)
-        out = pdf.iloc[chosen][kept].copy()
-        out["peak"] = x[chosen]
-        return out
-
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), "peak double"])
-    return df.select(*dict.fromkeys([*kept, value])).groupBy(*s.keys).applyInPandas(find, schema)
-
-
 def isolation_scores(df: DataFrame, features: list[str], keep: list[str], trees: int = 100, sample: int = 256, seed: int = 7, train: str | None = None) -> DataFrame:
     """df's `keep` with `isolation`: anomaly score of a forest grown on a bounded sample of rows (of `train`, a boolean column, if given; the least by hash) and applied to all."""
     ok = F.lit(True)

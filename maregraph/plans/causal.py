@@ -15,6 +15,7 @@ from maregraph.operators.classical import classic_spike
 from maregraph.operators.series import Series, hourly, interpolated, mean_of_steps, over_key, sequences, split, tail, three_step_sequences, with_statistics
 from maregraph.operators import classical
 from maregraph.operators.chunked import in_chunks
+from maregraph.operators.peaks import peaks
 from maregraph.plans.classical import S1, SCORES, Q
 from maregraph.plans.registry import KEY, KEYS, OBS, OBS_SQL, PART, W, frame, obs, query, rounded, scratch, table
 from maregraph.sources.tables import TIME_PARTS, hourly_payload, load_each, read_observations, read_wind, timestamp
@@ -313,9 +314,21 @@ def gpd_pvalue(spark: SparkSession, sf: str) -> DataFrame:
     return D.gpd_pvalues(predicted(spark, sf), OBS.keys, "diff").select(*KEY, "p_gpd")
 
 
-@query()
+SAME = "station, variable, side"
+PEAKS_SQL = f"""WITH RECURSIVE {PRED}, pv AS (SELECT station, variable, event_id, side, row_number() OVER (PARTITION BY {SAME} ORDER BY ts, event_id) - 1 AS i, coalesce(diff, 0) * side AS v FROM dm, (VALUES (1), (-1)) sides(side)),
+nw AS (SELECT *, (v IS DISTINCT FROM lag(v) OVER (PARTITION BY {SAME} ORDER BY i))::INT AS new FROM pv), ru AS (SELECT *, sum(new) OVER (PARTITION BY {SAME} ORDER BY i) AS run FROM nw),
+rg AS (SELECT {SAME}, run, min(i) AS b, max(i) AS e, min(v) AS v FROM ru GROUP BY ALL), rn AS (SELECT *, lag(v) OVER r AS l, lead(v) OVER r AS n FROM rg WINDOW r AS (PARTITION BY {SAME} ORDER BY run)),
+ck AS (SELECT {SAME}, (b + e) // 2 AS i, row_number() OVER (PARTITION BY {SAME} ORDER BY v DESC, b + e DESC) AS k FROM rn WHERE l < v AND n < v AND v >= 1),
+st AS (SELECT {SAME}, k, [i] AS stay FROM ck WHERE k = 1 UNION ALL SELECT ck.station, ck.variable, ck.side, ck.k, CASE WHEN len(list_filter(stay, lambda q: abs(q - i) < 50)) > 0 THEN stay ELSE list_append(stay, i) END FROM st JOIN ck ON ck.station = st.station AND ck.variable = st.variable AND ck.side = st.side AND ck.k = st.k + 1),
+ls AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY {SAME} ORDER BY k DESC) = 1), fi AS (SELECT {SAME}, unnest(stay) AS i FROM ls), pk AS (SELECT pv.* FROM fi JOIN pv USING ({SAME}, i)),
+hg AS (SELECT pk.station, pk.variable, pk.side, pk.event_id, pk.i, pk.v, coalesce(max(q.i) FILTER (q.i < pk.i AND q.v > pk.v), -1) AS a, min(q.i) FILTER (q.i > pk.i AND q.v > pk.v) AS b FROM pk JOIN pv q USING ({SAME}) GROUP BY ALL),
+lw AS (SELECT hg.station, hg.variable, hg.side, hg.event_id, hg.v, min(q.v) FILTER (q.i > a AND q.i <= hg.i) AS lo, min(q.v) FILTER (q.i >= hg.i AND (b IS NULL OR q.i < b)) AS ro FROM hg JOIN pv q USING ({SAME}) GROUP BY ALL)
+SELECT {KEYS}, round(v * side, 6) AS peak, side FROM lw WHERE v - greatest(lo, ro) >= 1"""
+
+
+@query(PEAKS_SQL)
 def lstm_peak(spark: SparkSession, sf: str) -> DataFrame:
-    return D.peaks(predicted(spark, sf), OBS, "diff").select(*KEY, "peak")
+    return rounded(peaks(predicted(spark, sf), OBS, "diff").select(*KEY, "peak", "side"), "peak")
 
 
 @query()

@@ -108,13 +108,6 @@ def test_pareto_fit_finds_its_parameters(spark):
     assert row["shape"] == pytest.approx(0.3, abs=0.05) and row["scale"] == pytest.approx(2.0, rel=0.3)
 
 
-def test_peaks_are_far_apart_and_prominent(spark):
-    x = [0.0] * 200
-    x[10], x[30], x[100], x[101], x[150] = 3.0, 5.0, 2.0, 2.0, 0.5
-    got = {(r.t, r.peak) for r in detectors.peaks(frame(spark, x), S, "x").collect()}
-    assert got == {(30, 5.0), (100, 2.0)}
-
-
 def test_ranking_with_ties(spark):
     df = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.9), ("a", 1, 0.5), ("a", 0, 0.1)], "k string, y int, s double")
     row = metrics.ranking(df, F.col("y"), "s", ("k",)).first()

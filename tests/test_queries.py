@@ -22,7 +22,6 @@ TESTED_APART = {
     "lobo_forecast": "def test_leave_one_out_has_every_fold",
     "gpd_fit": "def test_pareto_fit_finds_its_parameters",
     "gpd_pvalue": "def test_causal_features_are_those_of_the_parts",
-    "lstm_peak": "def test_peaks_are_far_apart_and_prominent",
     "iso_forest": "def test_forest_isolates_what_is_apart",
     "forest_decision": "def test_forest_isolates_what_is_apart",
     "ar_forecast": "def test_lag_forecast_finds_a_recursion",
