@@ -1,16 +1,15 @@
-"""Residual detectors: folded Student t, generalised Pareto tail, peaks, isolation forest, components, lag regression."""
+"""Residual detectors: folded Student t, alpha sweep, spikes, isolation forest, and the classifiers' feature sets."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maregraph.functions.scalar import MAD_TO_SIGMA, T4_QUARTILE, clean, gpd_sf, t4_sf
+from maregraph.functions.scalar import MAD_TO_SIGMA, T4_QUARTILE, clean, t4_sf
 from maregraph.operators.classical import classic_spike
 from maregraph.operators.quantiles import exact_quantiles
-from maregraph.operators.series import Series, over_key, with_statistics
+from maregraph.operators.series import Series, over_key
 from maregraph.operators.work import stored
 
 ALPHAS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1)
@@ -31,64 +30,6 @@ def robust_t(df: DataFrame, keys: tuple[str, ...], score: str, folded: bool = Tr
     return out.withColumn("p_robust", 2 * t4_sf(F.col("_s") / scale)).drop("_s", "_m")
 
 
-def empirical_tail(df: DataFrame, keys: tuple[str, ...], score: str) -> DataFrame:
-    """df with `p_rank`: the share of the key's scores that are as large or larger (null scores count as 0)."""
-    filled = F.coalesce(clean(F.col(score)), F.lit(0.0))
-    out = df.withColumn("_s", filled)
-    below = F.rank().over(Window.partitionBy(*keys).orderBy("_s")) - 1
-    return out.withColumn("p_rank", 1 - below / F.count("*").over(Window.partitionBy(*keys))).drop("_s")
-
-
-def gpd_fit(df: DataFrame, keys: tuple[str, ...], score: str, quantile: float = 0.9) -> DataFrame:
-    """Rows `keys, threshold, shape, scale, p_exceed, n_exceed`: maximum likelihood over the excesses of each key.
-
-    Only excesses reach the groups. The likelihood is maximised along its one-parameter
-    profile by golden section over a grid's best bracket.
-    """
-    filled = F.coalesce(clean(F.col(score)), F.lit(0.0))
-    out = with_statistics(df.select(*keys, filled.alias("_s")), keys, threshold=F.percentile("_s", F.lit(quantile)), _n=F.count("*"))
-    over = out.filter("_s > threshold").select(*keys, "threshold", "_n", (F.col("_s") - F.col("threshold")).alias("z"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.sort(pdf["z"].to_numpy())
-        top = z[-1]
-
-        def profile(theta: float) -> float:
-            a = np.log1p(theta * z)
-            shape = a.mean()
-            if abs(theta) < 1e-12 or shape == 0:
-                return -len(z) * (np.log(z.mean()) + 1)
-            inside = shape / theta
-            return -len(z) * (np.log(inside) + shape + 1) if inside > 0 else -np.inf
-
-        lo, hi = -1 / top * (1 - 1e-6), 10 / z.mean()
-        grid = np.concatenate([lo * np.linspace(1, 0, 60)[:-1], hi * np.linspace(0, 1, 120) ** 2])
-        values = [profile(t) for t in grid]
-        k = int(np.argmax(values))
-        a, b = grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)]
-        g = (np.sqrt(5) - 1) / 2
-        for _ in range(60):
-            c, d = b - g * (b - a), a + g * (b - a)
-            a, b = (a, d) if profile(c) > profile(d) else (c, b)
-        theta = (a + b) / 2
-        shape = float(np.log1p(theta * z).mean())
-        scale = shape / theta if abs(theta) > 1e-12 else float(z.mean())
-        row = {k: pdf[k].iloc[0] for k in keys} | {"threshold": pdf["threshold"].iloc[0], "shape": shape, "scale": scale, "p_exceed": len(z) / pdf["_n"].iloc[0], "n_exceed": len(z)}
-        return pd.DataFrame([row])
-
-    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "threshold double, shape double, scale double, p_exceed double, n_exceed long"])
-    return over.groupBy(*keys).applyInPandas(fit, schema)
-
-
-def gpd_pvalues(df: DataFrame, keys: tuple[str, ...], score: str, quantile: float = 0.9) -> DataFrame:
-    """df with `p_gpd`: the fitted tail above its threshold, the rank share below."""
-    fit = gpd_fit(df, keys, score, quantile)
-    out = empirical_tail(df, keys, score).join(fit, list(keys), "left")
-    x = F.coalesce(clean(F.col(score)), F.lit(0.0))
-    tail = F.col("p_exceed") * gpd_sf(x - F.col("threshold"), F.col("shape"), F.col("scale"))
-    return out.withColumn("p_gpd", F.when(x > F.col("threshold"), tail).otherwise(F.col("p_rank"))).drop("threshold", "shape", "scale", "p_exceed", "n_exceed", "p_rank")
-
-
 def stat_vector(df: DataFrame, s: Series, residual: str, train: Column, in_range: Column | None = None) -> DataFrame:
     """df with the statistics `spike, rate, outside, mad_score`: the tail of absolute residuals over the scale of the training rows of the key."""
     size = F.abs(F.coalesce(clean(F.col(residual)), F.lit(0.0)))

@@ -11,6 +11,7 @@ from maregraph.operators import causal as K
 from maregraph.operators import detectors as D
 from maregraph.operators import inject as I
 from maregraph.operators import models as M
+from maregraph.operators import tails as L
 from maregraph.operators.classical import classic_spike
 from maregraph.operators.series import Series, hourly, interpolated, mean_of_steps, over_key, sequences, split, tail, three_step_sequences, with_statistics
 from maregraph.operators import classical
@@ -248,7 +249,7 @@ def robust_t_pvalue(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {T_SQL} SELECT {KEYS}, round(1 - (rank() OVER ({PART} ORDER BY s) - 1) / count(*) OVER ({PART}), 8) AS p_rank FROM ds")
 def empirical_tail_pvalue(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(D.empirical_tail(predicted(spark, sf), OBS.keys, "diff").select(*KEY, "p_rank"), "p_rank", digits=8)
+    return rounded(L.empirical_tail(predicted(spark, sf), OBS.keys, "diff").select(*KEY, "p_rank"), "p_rank", digits=8)
 
 
 @query(f"WITH {T_SQL} SELECT variable, a.alpha, sum(coalesce(p < a.alpha, false)::INT)::BIGINT AS n_flagged, sum((event_id % 29 = 0)::INT)::BIGINT AS n_true, sum((coalesce(p < a.alpha, false) AND event_id % 29 = 0)::INT)::BIGINT AS hits FROM tp, (SELECT unnest([{', '.join(map(str, D.ALPHAS))}]::DOUBLE[]) AS alpha) a GROUP BY ALL")
@@ -281,7 +282,7 @@ def causal_features(spark: SparkSession, sf: str) -> DataFrame:
     base = predicted(spark, sf).withColumn("residual", F.coalesce(F.col("x") - F.col("predicted"), F.lit(0.0)))
     out = K.acceleration_score(K.level_score(base, OBS), OBS).withColumns({"rate": K.rate(OBS), "outside": (~F.col("x").between(0, 250)).cast("int")})
     out = K.sign_persistence(K.rolling_slope(out, OBS, "residual"), OBS, "residual")
-    out = D.gpd_pvalues(D.robust_t(out, OBS.keys, "residual", folded=False), OBS.keys, "residual")
+    out = L.gpd_pvalues(D.robust_t(out, OBS.keys, "residual", folded=False), OBS.keys, "residual")
     memory = K.recursive_memory(base, OBS, "residual", ("event_id",)).drop("ts")
     out = out.join(memory, list(KEY)).join(obs(spark, sf).select("event_id", F.col("x").isNull().cast("int").alias("missing_mask")), "event_id")
     surprise = lambda p: -F.ln(F.col(p) + 1e-12)
@@ -304,14 +305,53 @@ def lobo_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return M.leave_one_out_forecasts(filled(spark, sf), OBS, "x", "station")
 
 
-@query()
+GRID_POINTS = [f"(1 - 1e-6::DOUBLE) / top * {k / L.SIDE!r}::DOUBLE" for k in range(-L.SIDE, 0)] + ["0::DOUBLE"] + [f"10 / mean * {(k / L.SIDE) * (k / L.SIDE)!r}::DOUBLE" for k in range(1, L.SIDE + 1)]
+
+
+def _fit_sql(source: str, score: str) -> str:
+    """The tail of each series' `score` in `source` by the same grids: `gpd` with threshold, shape, scale, p_exceed, n_exceed."""
+    out = f"""gs AS (SELECT station, variable, coalesce({score}, 0) AS s FROM {source}), gt AS (SELECT station, variable, quantile_cont(s, 0.9) AS threshold, count(*) AS n FROM gs GROUP BY ALL),
+ge AS (SELECT station, variable, s - threshold AS z FROM gs JOIN gt USING (station, variable) WHERE s > threshold), ga AS (SELECT station, variable, count(*) AS m, avg(z) AS mean, max(z) AS top FROM ge GROUP BY ALL),
+g0 AS (SELECT station, variable, m, mean, unnest([{', '.join(GRID_POINTS)}]) AS theta, unnest(range({2 * L.SIDE + 1})) AS k FROM ga)"""
+    for r in range(L.ROUNDS + 1):
+        out += f""",
+p{r} AS (SELECT station, variable, k, theta, any_value(m) AS m, any_value(mean) AS mean, sum(ln(1 + theta * z)) / any_value(m) AS shape FROM g{r} JOIN ge USING (station, variable) GROUP BY ALL),
+q{r} AS (SELECT *, CASE WHEN abs(theta) < 1e-12 THEN -m * (ln(mean) + 1) WHEN shape / theta > 0 THEN -m * (ln(shape / theta) + shape + 1) END AS fit FROM p{r}),
+n{r} AS (SELECT *, coalesce(lag(theta) OVER w, theta) AS a, coalesce(lead(theta) OVER w, theta) AS b FROM q{r} WINDOW w AS (PARTITION BY station, variable ORDER BY k)),
+b{r} AS (SELECT * FROM n{r} QUALIFY row_number() OVER (PARTITION BY station, variable ORDER BY fit DESC NULLS LAST, k) = 1)"""
+        if r < L.ROUNDS:
+            out += f", g{r + 1} AS (SELECT station, variable, m, mean, a + (b - a) * (j / {L.STEPS}.0::DOUBLE) AS theta, j AS k FROM b{r}, (SELECT unnest(range({L.STEPS + 1})) AS j))"
+    return out + f", gpd AS (SELECT station, variable, threshold, CASE WHEN abs(theta) < 1e-12 THEN 0 ELSE shape END AS shape, CASE WHEN abs(theta) < 1e-12 THEN mean ELSE shape / theta END AS scale, m / n AS p_exceed, m AS n_exceed FROM b{L.ROUNDS} JOIN gt USING (station, variable))"
+
+
+TRAIN_SQL = f"ti AS (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER ({PART}) AS n FROM dm), td AS (SELECT * FROM ti WHERE i < floor(n * 0.6::DOUBLE))"
+
+
+def _tail_sql(sample: str) -> str:
+    x = "coalesce(d.diff, 0)"
+    inside = f"1 + shape * ({x} - threshold) / scale"
+    return f"""un AS (SELECT station, variable, coalesce(diff, 0) AS s, event_id, 0 AS m FROM dm UNION ALL SELECT station, variable, coalesce(diff, 0), NULL, 1 FROM {sample}),
+ra AS (SELECT event_id, 1 - coalesce(sum(m) OVER (PARTITION BY station, variable ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(m) OVER (PARTITION BY station, variable, s), 0) / sum(m) OVER (PARTITION BY station, variable) AS p_rank FROM un)
+SELECT d.station, d.variable, d.event_id, round(CASE WHEN {x} > threshold THEN p_exceed * CASE WHEN abs(shape) < 1e-9 THEN exp(-({x} - threshold) / scale) WHEN {inside} <= 0 THEN 0 ELSE ({inside}) ** (-1 / shape) END ELSE p_rank END, 6) AS p_gpd
+FROM dm d JOIN ra USING (event_id) LEFT JOIN gpd ON gpd.station = d.station AND gpd.variable = d.variable"""
+
+
+@query(f"WITH {PRED}, {_fit_sql('dm', 'diff')} SELECT station, variable, round(threshold, 6) AS threshold, round(shape, 4) AS shape, round(scale, 4) AS scale, round(p_exceed, 8) AS p_exceed, n_exceed FROM gpd")
 def gpd_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return D.gpd_fit(predicted(spark, sf), OBS.keys, "diff")
+    fit = L.gpd_fit(predicted(spark, sf), OBS.keys, "diff")
+    return fit.withColumns({c: F.round(c, d) for c, d in (("threshold", 6), ("shape", 4), ("scale", 4), ("p_exceed", 8))})
 
 
-@query()
+@query(f"WITH {PRED}, {_fit_sql('dm', 'diff')}, {_tail_sql('dm')}")
 def gpd_pvalue(spark: SparkSession, sf: str) -> DataFrame:
-    return D.gpd_pvalues(predicted(spark, sf), OBS.keys, "diff").select(*KEY, "p_gpd")
+    return rounded(L.gpd_pvalues(predicted(spark, sf), OBS.keys, "diff").select(*KEY, "p_gpd"), "p_gpd")
+
+
+@query(f"WITH {PRED}, {TRAIN_SQL}, {_fit_sql('td', 'diff')}, {_tail_sql('td')}")
+def gpd_pvalue_train(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows judged by the tail and the ranks of each series' training part."""
+    rows = split(predicted(spark, sf), OBS)
+    return rounded(L.gpd_pvalues(rows, OBS.keys, "diff", train=F.col("part") == "train").select(*KEY, "p_gpd"), "p_gpd")
 
 
 SAME = "station, variable, side"

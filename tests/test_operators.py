@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maregraph.functions import scalar as R
-from maregraph.operators import causal, classical, detectors, inject, metrics, models
+from maregraph.operators import causal, classical, detectors, inject, metrics, models, tails
 from maregraph.operators.series import Series, interpolated
 from maregraph.sources.tables import exists, load_each, markdown, number, read_observations, write_csv
 
@@ -104,7 +104,7 @@ def test_pareto_fit_finds_its_parameters(spark):
     rng = np.random.default_rng(5)
     z = 2.0 / 0.3 * ((1 - rng.random(20000)) ** -0.3 - 1)
     df = spark.createDataFrame([("a", float(v)) for v in np.concatenate([np.ones(80000), z + 1])], "k string, x double")
-    row = detectors.gpd_fit(df, ("k",), "x", 0.8).first()
+    row = tails.gpd_fit(df, ("k",), "x", 0.8).first()
     assert row["shape"] == pytest.approx(0.3, abs=0.05) and row["scale"] == pytest.approx(2.0, rel=0.3)
 
 
@@ -318,7 +318,7 @@ def test_causal_features_are_those_of_the_parts(spark):
         assert set(part) == set(got)
         for c in columns:
             assert all(getattr(got[i], {"rate_score": "rate"}.get(c, c)) == pytest.approx(part[i][c], abs=2e-4, rel=1e-4) for i in got), c
-    fit = {(r.station, r.variable): r for r in detectors.gpd_fit(QUERIES["causal_features"](spark, sf), ("station", "variable"), "residual").collect()}
+    fit = {(r.station, r.variable): r for r in tails.gpd_fit(QUERIES["causal_features"](spark, sf), ("station", "variable"), "residual").collect()}
     for key, f in fit.items():
         x = {i: r.residual for i, r in got.items() if (r.station, r.variable) == key}
         values = np.sort(list(x.values()))

@@ -20,8 +20,6 @@ ORACLE = oracle_sql()
 TESTED_APART = {
     "causal_features": "def test_causal_features_are_those_of_the_parts",
     "lobo_forecast": "def test_leave_one_out_has_every_fold",
-    "gpd_fit": "def test_pareto_fit_finds_its_parameters",
-    "gpd_pvalue": "def test_causal_features_are_those_of_the_parts",
     "iso_forest": "def test_forest_isolates_what_is_apart",
     "forest_decision": "def test_forest_isolates_what_is_apart",
     "ar_forecast": "def test_lag_forecast_finds_a_recursion",
