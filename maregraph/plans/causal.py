@@ -16,9 +16,10 @@ from maregraph.operators.classical import classic_spike
 from maregraph.operators.series import Series, hourly, interpolated, mean_of_steps, over_key, sequences, split, tail, three_step_sequences, with_statistics
 from maregraph.operators import classical
 from maregraph.operators.chunked import in_chunks
+from maregraph.operators.features import VECTOR, causal_vector
 from maregraph.operators.peaks import peaks
 from maregraph.plans.classical import S1, SCORES, Q
-from maregraph.plans.registry import KEY, KEYS, OBS, OBS_SQL, PART, W, frame, obs, query, rounded, scratch, table
+from maregraph.plans.registry import SQL, KEY, KEYS, OBS, OBS_SQL, PART, W, frame, obs, query, rounded, scratch, table
 from maregraph.sources.tables import TIME_PARTS, hourly_payload, load_each, read_observations, read_wind, timestamp
 
 HOURLY = Series(("variable",), ("hour",), "value")
@@ -276,20 +277,6 @@ def qdixon_chunked(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select(*KEY, "q", "q_dixon_flag"), "q")
 
 
-@query()
-def causal_features(spark: SparkSession, sf: str) -> DataFrame:
-    """The classifier's vector: trailing scores, range, tail scores, memory, slopes, persistence, mask."""
-    base = predicted(spark, sf).withColumn("residual", F.coalesce(F.col("x") - F.col("predicted"), F.lit(0.0)))
-    out = K.acceleration_score(K.level_score(base, OBS), OBS).withColumns({"rate": K.rate(OBS), "outside": (~F.col("x").between(0, 250)).cast("int")})
-    out = K.sign_persistence(K.rolling_slope(out, OBS, "residual"), OBS, "residual")
-    out = L.gpd_pvalues(D.robust_t(out, OBS.keys, "residual", folded=False), OBS.keys, "residual")
-    memory = K.recursive_memory(base, OBS, "residual", ("event_id",)).drop("ts")
-    out = out.join(memory, list(KEY)).join(obs(spark, sf).select("event_id", F.col("x").isNull().cast("int").alias("missing_mask")), "event_id")
-    surprise = lambda p: -F.ln(F.col(p) + 1e-12)
-    columns = ["x", "residual", "acc_score", "level_score", "rate", "outside", *(f"ewma_{k}" for k in range(3)), "cusum_pos", "cusum_neg", *(f"slope_{w}" for w in K.SLOPE_WINDOWS), "persistence", "missing_mask"]
-    return out.select(*KEY, *columns, surprise("p_robust").alias("mad_surprise"), surprise("p_gpd").alias("gpd_surprise"))
-
-
 @query(f"WITH {GRID}, o AS (SELECT date_trunc('hour', ts) AS hour, round(avg(value) FILTER (event_type = 'view'), 6) AS speed FROM events GROUP BY 1) SELECT variable, hour, value, speed FROM h LEFT JOIN o USING (hour)")
 def wind_join(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly values beside a wind file that is written and read back."""
@@ -327,13 +314,13 @@ b{r} AS (SELECT * FROM n{r} QUALIFY row_number() OVER (PARTITION BY station, var
 TRAIN_SQL = f"ti AS (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER ({PART}) AS n FROM dm), td AS (SELECT * FROM ti WHERE i < floor(n * 0.6::DOUBLE))"
 
 
-def _tail_sql(sample: str) -> str:
-    x = "coalesce(d.diff, 0)"
+def _tail_sql(sample: str, score: str = "diff", digits: int = 6, base: str = "dm") -> str:
+    x = f"coalesce(d.{score}, 0)"
     inside = f"1 + shape * ({x} - threshold) / scale"
-    return f"""un AS (SELECT station, variable, coalesce(diff, 0) AS s, event_id, 0 AS m FROM dm UNION ALL SELECT station, variable, coalesce(diff, 0), NULL, 1 FROM {sample}),
+    return f"""un AS (SELECT station, variable, coalesce({score}, 0) AS s, event_id, 0 AS m FROM {base} UNION ALL SELECT station, variable, coalesce({score}, 0), NULL, 1 FROM {sample}),
 ra AS (SELECT event_id, 1 - coalesce(sum(m) OVER (PARTITION BY station, variable ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(m) OVER (PARTITION BY station, variable, s), 0) / sum(m) OVER (PARTITION BY station, variable) AS p_rank FROM un)
-SELECT d.station, d.variable, d.event_id, round(CASE WHEN {x} > threshold THEN p_exceed * CASE WHEN abs(shape) < 1e-9 THEN exp(-({x} - threshold) / scale) WHEN {inside} <= 0 THEN 0 ELSE ({inside}) ** (-1 / shape) END ELSE p_rank END, 6) AS p_gpd
-FROM dm d JOIN ra USING (event_id) LEFT JOIN gpd ON gpd.station = d.station AND gpd.variable = d.variable"""
+SELECT d.station, d.variable, d.event_id, round(CASE WHEN {x} > threshold THEN p_exceed * CASE WHEN abs(shape) < 1e-9 THEN exp(-({x} - threshold) / scale) WHEN {inside} <= 0 THEN 0 ELSE ({inside}) ** (-1 / shape) END ELSE p_rank END, {digits}) AS p_gpd
+FROM {base} d JOIN ra USING (event_id) LEFT JOIN gpd ON gpd.station = d.station AND gpd.variable = d.variable"""
 
 
 @query(f"WITH {PRED}, {_fit_sql('dm', 'diff')} SELECT station, variable, round(threshold, 6) AS threshold, round(shape, 4) AS shape, round(scale, 4) AS scale, round(p_exceed, 8) AS p_exceed, n_exceed FROM gpd")
@@ -354,6 +341,42 @@ def gpd_pvalue_train(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(L.gpd_pvalues(rows, OBS.keys, "diff", train=F.col("part") == "train").select(*KEY, "p_gpd"), "p_gpd")
 
 
+def _vector_sql(train: bool) -> str:
+    """The vector from the SQL of its parts."""
+    sample = "td" if train else "rm"
+    base = f"{PRED}, rm AS (SELECT *, coalesce(x - predicted, 0) AS res FROM dm), {TRAIN_SQL.replace('FROM dm', 'FROM rm')}"
+    e = f"{base}, {_fit_sql(sample, 'res')}, {_tail_sql(sample, 'res', 15, 'rm')}"
+    parts = {"a": SQL["acc_score"], "l": SQL["level_score"], "r": SQL["rate_score"], "w": EWMA_SQL, "c": CUSUM_SQL, "s": SQL["rolling_slope"], "n": SQL["sign_persistence"], "g": f"WITH {e}"}
+    joined = " ".join(f"JOIN ({sql}) {name} USING ({KEYS})" for name, sql in parts.items())
+    return f"""WITH {base}, sc AS (SELECT station, variable, nullif(median(abs(res)), 0) / 0.7406970841126811 AS scale FROM {sample} GROUP BY ALL),
+u AS (SELECT rm.station, rm.variable, rm.event_id, rm.x AS y, coalesce(predicted, rm.x) AS predicted, res AS residual, abs(res) AS abs_residual, (rm.x NOT BETWEEN 0 AND 250)::INT AS outside, res / scale AS t, (obs.x IS NULL)::INT AS missing_mask FROM rm JOIN sc USING (station, variable) JOIN obs USING (event_id))
+SELECT {KEYS}, round(y, 6) AS y, round(predicted, 6) AS predicted, round(residual, 6) AS residual, round(abs_residual, 6) AS abs_residual, acc_score, level_score, rate_score AS rate, outside::DOUBLE AS outside,
+round(coalesce(-ln(2 * (0.5 - 0.375 * (t / sqrt(1 + t * t / 4)) * (1 - t * t / (12 * (1 + t * t / 4)))) + 1e-12), 0), 4) AS mad_score, round(-ln(p_gpd + 1e-12), 4) AS gpd_score, ewma_0, ewma_1, ewma_2,
+cusum_pos, cusum_neg, slope_6, slope_12, slope_24, slope_48, persistence::DOUBLE AS persistence, missing_mask::DOUBLE AS missing_mask FROM u {joined}"""
+
+
+def vector(spark: SparkSession, sf: str, train: bool = False) -> DataFrame:
+    rows = split(predicted(spark, sf), OBS).withColumn("missing", F.col("event_id") % 17 == 0)
+    return causal_vector(rows, OBS, "predicted", F.col("missing"), ("event_id",), train=F.col("part") == "train" if train else None)
+
+
+def _rounded_vector(df: DataFrame) -> DataFrame:
+    digits = {"acc_score": 4, "level_score": 5, "mad_score": 4, "gpd_score": 4, "cusum_pos": 5, "cusum_neg": 5} | {f"slope_{w}": 5 for w in K.SLOPE_WINDOWS}
+    return df.select(*KEY, *(F.round(c, digits.get(c, 6)).alias(c) for c in VECTOR))
+
+
+@query(_vector_sql(False))
+def causal_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The classifier's 21 features in their order, calibrated by the whole segment."""
+    return _rounded_vector(vector(spark, sf))
+
+
+@query(_vector_sql(True))
+def causal_features_train(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, with tails and scales of the training parts."""
+    return _rounded_vector(vector(spark, sf, train=True))
+
+
 SAME = "station, variable, side"
 PEAKS_SQL = f"""WITH RECURSIVE {PRED}, pv AS (SELECT station, variable, event_id, side, row_number() OVER (PARTITION BY {SAME} ORDER BY ts, event_id) - 1 AS i, coalesce(diff, 0) * side AS v FROM dm, (VALUES (1), (-1)) sides(side)),
 nw AS (SELECT *, (v IS DISTINCT FROM lag(v) OVER (PARTITION BY {SAME} ORDER BY i))::INT AS new FROM pv), ru AS (SELECT *, sum(new) OVER (PARTITION BY {SAME} ORDER BY i) AS run FROM nw),

@@ -308,26 +308,45 @@ def test_heads_learn_separable_classes(spark):
     assert weights == {c: pytest.approx(600 / (3 * n[c])) for c in range(3)}
 
 
-def test_causal_features_are_those_of_the_parts(spark):
-    from maregraph.plans.queries import QUERIES
-
-    sf = "/root/testdata/sf0.001"
-    got = {r.event_id: r for r in QUERIES["causal_features"](spark, sf).collect()}
-    for name, columns in {"acc_score": ["acc_score"], "level_score": ["level_score"], "rate_score": ["rate_score"], "ewma": ["ewma_0", "ewma_2"], "cusum": ["cusum_pos", "cusum_neg"], "rolling_slope": ["slope_6", "slope_48"], "sign_persistence": ["persistence"]}.items():
-        part = {r.event_id: r for r in QUERIES[name](spark, sf).collect()}
-        assert set(part) == set(got)
-        for c in columns:
-            assert all(getattr(got[i], {"rate_score": "rate"}.get(c, c)) == pytest.approx(part[i][c], abs=2e-4, rel=1e-4) for i in got), c
-    fit = {(r.station, r.variable): r for r in tails.gpd_fit(QUERIES["causal_features"](spark, sf), ("station", "variable"), "residual").collect()}
-    for key, f in fit.items():
-        x = {i: r.residual for i, r in got.items() if (r.station, r.variable) == key}
-        values = np.sort(list(x.values()))
-        for i, v in x.items():
-            p = np.mean(values >= v)
-            if v > f.threshold:
-                z = v - f.threshold
-                p = f.p_exceed * (max(0.0, 1 + f["shape"] * z / f["scale"]) ** (-1 / f["shape"]) if abs(f["shape"]) > 1e-9 else np.exp(-z / f["scale"]))
-            assert got[i].gpd_surprise == pytest.approx(-np.log(p + 1e-12), abs=1e-4)
+def test_calibrations_are_those_of_their_sample(spark, tmp_path):
+    """Ranks, scale and tail of a training part, the same after writing and reading; rows of keys it lacks have none."""
+    rng = np.random.default_rng(9)
+    rows = [(k, i, float(np.round(v, 1)), i < 200) for k in ("a", None) for i, v in enumerate(rng.standard_t(3, 300))] + [("b", 1, 2.0, False)]
+    df = spark.createDataFrame(rows, "k string, t int, x double, train boolean")
+    made = tails.Calibration.of(df.filter("train"), ("k",), "x")
+    made.write(str(tmp_path / "c"))
+    read = tails.Calibration.read(spark, str(tmp_path / "c"), ("k",))
+    got, again = ({(r.k, r.t): r for r in c.judge(df, "x").collect()} for c in (made, read))
+    assert got == again and len(got) == len(rows)
+    assert got["b", 1].p_gpd is None and got["b", 1].p_robust is None
+    fit = {r.k: r for r in tails.gpd_fit(df, ("k",), "x", train=df["train"]).collect()}
+    for k in ("a", None):
+        sample = np.array([x for key, _, x, train in rows if key == k and train])
+        f = fit[k]
+        assert f.threshold == pytest.approx(np.quantile(sample, 0.9)) and f.n_exceed == (sample > f.threshold).sum()
+        for key, t, x, _ in rows:
+            if key == k and x <= f.threshold:
+                assert got[k, t].p_gpd == pytest.approx((sample >= x).mean(), abs=1e-12)
+            elif key == k:
+                inside = 1 + f["shape"] * (x - f.threshold) / f.scale
+                assert got[k, t].p_gpd == pytest.approx(f.p_exceed * inside ** (-1 / f["shape"]) if inside > 0 else 0, abs=1e-9)
+
+
+def test_likelihood_of_fits_is_the_best(spark):
+    """No shape and scale near the fitted ones, nor any on a coarse grid, are likelier."""
+    rng = np.random.default_rng(12)
+    values = {"heavy": rng.pareto(2, 900), "light": rng.uniform(0, 1, 700), "expo": rng.exponential(2, 800)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x], "k string, x double")
+
+    def likelihood(z, shape, scale):
+        inside = 1 + shape * z / scale
+        return -np.inf if inside.min() <= 0 or scale <= 0 else -len(z) * np.log(scale) - (1 + 1 / shape) * np.log(inside).sum()
+
+    for r in tails.gpd_fit(df, ("k",), "x", 0.5).collect():
+        z = values[r.k][values[r.k] > r.threshold] - r.threshold
+        best = likelihood(z, r["shape"], r.scale)
+        around = [likelihood(z, r["shape"] + a, r.scale * b) for a in (-0.05, -0.01, 0.01, 0.05) for b in (0.9, 0.98, 1.0, 1.02, 1.1)]
+        assert best >= max(around) - 1e-3 * len(z) ** 0.5, r.k
 
 
 def test_feature_sets_and_steps():

@@ -18,7 +18,6 @@ ORACLE = oracle_sql()
 
 #: Fits and searches that SQL can't state, and the tests of their results.
 TESTED_APART = {
-    "causal_features": "def test_causal_features_are_those_of_the_parts",
     "lobo_forecast": "def test_leave_one_out_has_every_fold",
     "iso_forest": "def test_forest_isolates_what_is_apart",
     "forest_decision": "def test_forest_isolates_what_is_apart",
