@@ -52,7 +52,7 @@ def exact_quantiles(df: DataFrame, keys: tuple[str, ...], wanted: dict[str, tupl
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     points = [sorted({q for c, q in wanted.values() if c == column}) for column in columns]
-    values = df.select(*keys, F.posexplode(F.array(*(ordered_key(F.col(c).cast("double")) for c in columns))).alias("_c", "_key")).filter("_key is not null")
+    values = df.select(*keys, F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("_c", "_x")).withColumn("_key", ordered_key(F.col("_x"))).drop("_x").filter("_key is not null")
     own = [*keys, "_c"]
 
     def holding(counted: DataFrame, group: list[str], before: Column, ranks: Column) -> DataFrame:

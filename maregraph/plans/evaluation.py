@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from maregraph.operators import metrics as E
 from maregraph.operators import models as M
 from maregraph.operators.series import Series
 from maregraph.plans.classical import FULL, flags
+from maregraph.operators.work import gone_at_exit
 from maregraph.plans.registry import KEY, KEYS, OBS, OBS_SQL, W, obs, query, rounded, scratch, table
 from maregraph.streaming import quality as Q
 
@@ -375,66 +377,46 @@ def aux_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return out.agg(F.round(F.avg(F.abs(F.col("p_bad") - F.col("base"))), 8).alias("sensitivity"), F.round(F.avg(((F.col("p_bad") >= 0.5) != (F.col("base") >= 0.5)).cast("double")), 8).alias("changed"))
 
 
-@query()
-def ordinal_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Features, scaling, the two-part ordinal head and decisions on injected series; scores of the last fifth."""
-    from maregraph.operators.causal import acceleration_score, level_score, rate
-    from maregraph.operators.series import split
-    from maregraph.plans.causal import families
-
-    rows = families(spark, sf).withColumn("x", F.coalesce("y", F.lit(0.0)))
-    rows = acceleration_score(level_score(rows, OBS), OBS).withColumn("rate", rate(OBS))
-    rows = split(rows, OBS).withColumn("label", F.when(F.col("class_int") < 0, 0).otherwise(F.col("class_int")))
-    features = ["x", "level_score", "acc_score", "rate"]
-    scaled = M.robust_scaled(rows, features, F.col("part") == "train")
-    scored = M.ordinal_head(scaled, features, "label", F.col("part") == "train")
-    label = R.ordinal_decision(F.col("p_good"), F.col("p_suspect"), F.col("p_bad"), 0.5, R.is_sentinel(F.col("y")))
-    return scored.filter("part = 'test'").select(*KEY, "label", "p_good", "p_suspect", "p_bad", label.alias("decided"))
-
-
 @query(f"WITH {OBS_SQL}, c AS (SELECT variable, count(*) AS k FROM obs GROUP BY 1) SELECT variable, k AS n, round((SELECT sum(k) FROM c)::DOUBLE / ((SELECT count(*) FROM c) * k), 8) AS weight FROM c")
 def class_weight(spark: SparkSession, sf: str) -> DataFrame:
     return M.class_weights(obs(spark, sf), "variable").groupBy("variable").agg(F.count("*").alias("n"), F.round(F.max("weight"), 8).alias("weight"))
 
 
-# streams over the events table, run to its end
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{sf}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    # a file source wants a folder: the table's files are named by a glob where it is one file
-    raw = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
-    return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", (F.col("user_id") % 6).alias("station"), F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("x"))
-
-
-def _finished(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
-    """All of a stream's rows, in the session's shared folder with its state beside: appended, or the last complete result."""
+# streams over the events table: its rows arrive in two parts by time, then a row far later closes what is open
+def _replayed(spark: SparkSession, sf: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All that a stream operator appends, over three runs of one query that go on from its checkpoint in the session's shared folder."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    out = stream.writeStream.option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True)
-    if mode == "append":
-        out = out.format("parquet").option("path", f"{path}/out")
-    else:
-        out = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out"))
-    out.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = e.agg(F.timestamp_seconds((F.unix_seconds(F.min("ts")) + F.unix_seconds(F.max("ts"))) / 2).alias("t"), F.max("ts").alias("last")).first()
+    closing = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in e.schema)).withColumns({"ts": F.lit(middle["last"]) + F.expr("interval 100 days"), "event_type": F.lit("~end"), "user_id": F.lit(-1).cast(e.schema["user_id"].dataType), "event_id": F.lit(-1).cast(e.schema["event_id"].dataType)})
+    out = None
+    for k, part in enumerate((e.filter(F.col("ts") < F.lit(middle["t"])), e.filter(F.col("ts") >= F.lit(middle["t"])), closing)):
+        part.select(e.columns).write.parquet(f"{path}/in/{k}")
+        raw = spark.readStream.schema(e.schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
+        out = operator(raw.select("*", (F.col("user_id") % 6).alias("station"), F.when(F.col("event_id") % 17 != 0, F.col("value")).alias("x")))
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    gone_at_exit(spark, path)
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, round(median(value), 6) AS value FROM events GROUP BY ALL")
 def stream_hourly_median(spark: SparkSession, sf: str) -> DataFrame:
-    out = _finished(Q.hourly_medians(_stream(spark, sf), "ts", "event_type", "value"), spark, "complete")
-    return out.select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), F.round("value", 6).alias("value"))
+    out = _replayed(spark, sf, lambda e: Q.hourly_medians(e, "ts", "event_type", "value"))
+    return out.filter("event_type <> '~end'").select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), F.round("value", 6).alias("value"))
 
 
 @query("""WITH o AS (SELECT event_type, ts, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events), s AS (SELECT event_type, ts, sum((gap IS NULL OR gap >= INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY event_type ORDER BY ts) AS k FROM o)
 SELECT event_type, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY event_type, k""")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    out = _finished(Q.sessions(_stream(spark, sf), "ts", "event_type"), spark, "complete")
-    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+    out = _replayed(spark, sf, lambda e: Q.sessions(e, "ts", "event_type"))
+    return out.filter("event_type <> '~end'").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users FROM (SELECT DISTINCT user_id, event_type FROM events)")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    out = _finished(Q.deduplicated(_stream(spark, sf), "ts", ["user_id", "event_type"]).select("user_id", "event_type"), spark)
-    return out.agg(F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("n_users"))
+    out = _replayed(spark, sf, lambda e: Q.deduplicated(e, "ts", ["user_id", "event_type"], "400 days").select("user_id", "event_type"))
+    return out.filter("event_type <> '~end'").agg(F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("n_users"))
 
 
 @query(f"""WITH RECURSIVE {OBS_SQL}, a AS (SELECT station, ts, event_id, coalesce(x, 0) AS v, sign(coalesce(x, 0)) AS sg, lag(sign(coalesce(x, 0))) OVER o AS before, lag(coalesce(x, 0)) OVER o AS last, row_number() OVER o AS i FROM obs WINDOW o AS ({SW})),
@@ -442,5 +424,5 @@ b AS (SELECT *, sum((sg = 0 OR before IS NULL OR sg <> before)::INT) OVER ({SW})
 rec AS (SELECT station, i, v::DOUBLE AS ewma, 0::DOUBLE AS up, 0::DOUBLE AS down FROM a WHERE i = 1 UNION ALL SELECT a.station, a.i, 0.3::DOUBLE * v + (1 - 0.3::DOUBLE) * ewma, CASE WHEN up + v - 25 > 1000 THEN 0 ELSE greatest(0, up + v - 25) END, CASE WHEN down - v - 25 > 1000 THEN 0 ELSE greatest(0, down - v - 25) END FROM rec JOIN a ON a.station = rec.station AND a.i = rec.i + 1)
 SELECT b.station, event_id, row_number() OVER (PARTITION BY b.station, run ORDER BY ts, event_id) AS persistence, round(coalesce(abs(v - last), 0), 6) AS rate, round(ewma, 5) AS ewma, round(up, 4) AS cusum_pos, round(down, 4) AS cusum_neg FROM b JOIN rec ON rec.station = b.station AND rec.i = b.i""")
 def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
-    out = _finished(Q.causal_scores(_stream(spark, sf).select("station", "ts", "event_id", "x"), slack=25.0, reset=1000.0), spark)
-    return out.select("station", "event_id", "persistence", F.round("rate", 6).alias("rate"), F.round("ewma", 5).alias("ewma"), F.round("cusum_pos", 4).alias("cusum_pos"), F.round("cusum_neg", 4).alias("cusum_neg"))
+    out = _replayed(spark, sf, lambda e: Q.causal_scores(e.select("station", "ts", "event_id", "x"), slack=25.0, reset=1000.0, silence="90 days"))
+    return out.filter("event_id >= 0").select("station", "event_id", "persistence", F.round("rate", 6).alias("rate"), F.round("ewma", 5).alias("ewma"), F.round("cusum_pos", 4).alias("cusum_pos"), F.round("cusum_neg", 4).alias("cusum_neg"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from maregraph.plans import causal, classical, evaluation  # noqa: F401
+from maregraph.plans import causal, classical, evaluation, learned  # noqa: F401
 from maregraph.plans.registry import QUERIES, SQL
 
 

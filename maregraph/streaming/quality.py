@@ -1,4 +1,4 @@
-"""Quality control of a stream: event-time windows, sessions, dedup, and per-station state."""
+"""Quality control of a stream: medians and sessions that leave state once closed, dedup, and per-station memory that forgets silent stations."""
 
 from __future__ import annotations
 
@@ -8,16 +8,97 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+HOUR = 3_600_000
+
+
+def _millis(x: pd.Series) -> np.ndarray:
+    return x.to_numpy("datetime64[ms]").astype(np.int64)
+
+
+class HourlyMedian(StatefulProcessor):
+    """State: the open hours' values, a list for each hour. A timer at an hour's end emits its median and drops it, so only hours that the watermark hasn't passed are held."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hours = handle.getMapState("hours", "hour long", "values array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list] = {}
+        for pdf in rows:
+            for hour, values in pdf.groupby(_millis(pdf["ts"]) // HOUR)["value"]:
+                new.setdefault(int(hour), []).extend(values.dropna().tolist())
+        for hour, values in new.items():
+            had = self.hours.getValue((hour,))[0] if self.hours.containsKey((hour,)) else []
+            self.hours.updateValue((hour,), ([*had, *values],))
+            self.handle.registerTimer((hour + 1) * HOUR)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        hour = expiredTimerInfo.getExpiryTimeInMs() // HOUR - 1
+        if self.hours.containsKey((hour,)):
+            values = self.hours.getValue((hour,))[0]
+            self.hours.removeKey((hour,))
+            yield pd.DataFrame({"key": [key[0]], "hour": [pd.Timestamp(hour * HOUR, unit="ms")], "value": [float(np.median(values)) if len(values) else None]})
+
+    def close(self) -> None:
+        pass
 
 
 def hourly_medians(events: DataFrame, ts: str, key: str, value: str, late: str = "1 hour") -> DataFrame:
-    return events.withWatermark(ts, late).groupBy(F.window(ts, "1 hour"), key).agg(F.percentile(value, F.lit(0.5)).alias("value")).select(key, F.col("window.start").alias("hour"), "value")
+    """Rows `key, hour, value`, each once, in append mode: an hour's median goes out when the watermark passes its end. Rows that come later than that are dropped."""
+    rows = events.withWatermark(ts, late).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(value).cast("double").alias("value"))
+    schema = T.StructType([T.StructField("key", events.schema[key].dataType), T.StructField("hour", T.TimestampType()), T.StructField("value", T.DoubleType())])
+    return rows.groupBy("key").transformWithStateInPandas(HourlyMedian(), schema, "append", "eventTime").withColumnRenamed("key", key)
+
+
+class Sessions(StatefulProcessor):
+    """State: the open sessions of a key, their first and last time and rows. A timer at the end of a session's gap emits and drops it."""
+
+    def __init__(self, gap_ms: int) -> None:
+        self.gap = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first long, last long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        spans = [tuple(s) for s in self.open.get()] if self.open.exists() else []
+        for pdf in rows:
+            micros = pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)
+            spans += [(int(t), int(t), 1) for t in micros]
+        merged: list[list[int]] = []
+        for first, last, n in sorted(spans):
+            if merged and first - merged[-1][1] < self.gap * 1000:
+                merged[-1][1:] = [max(last, merged[-1][1]), merged[-1][2] + n]
+            else:
+                merged.append([first, last, n])
+        self.open.put([tuple(m) for m in merged])
+        for _, last, _ in merged:
+            self.handle.registerTimer(-(-last // 1000) + self.gap)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        spans = [tuple(s) for s in self.open.get()] if self.open.exists() else []
+        over = [s for s in spans if -(-s[1] // 1000) + self.gap <= now]
+        if over:
+            left = [s for s in spans if s not in over]
+            self.open.put(left) if left else self.open.clear()
+            time = lambda us: pd.to_datetime(us, unit="us")
+            yield pd.DataFrame({"key": [key[0]] * len(over), "start": [time(s[0]) for s in over], "end": [time(s[1] + self.gap * 1000) for s in over], "n": [s[2] for s in over]})
 
+    def close(self) -> None:
+        pass
 
-def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    out = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n"))
-    return out.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+def sessions(events: DataFrame, ts: str, key: str, gap_minutes: int = 30, late: str = "1 hour") -> DataFrame:
+    """Rows `key, start, end, n` in append mode: runs of rows less than the gap apart; each goes out once, when the watermark passes its end (the last row's time and the gap)."""
+    rows = events.withWatermark(ts, late).select(F.col(key).alias("key"), F.col(ts).alias("ts"))
+    schema = T.StructType([T.StructField("key", events.schema[key].dataType), T.StructField("start", T.TimestampType()), T.StructField("end", T.TimestampType()), T.StructField("n", T.LongType())])
+    return rows.groupBy("key").transformWithStateInPandas(Sessions(gap_minutes * 60_000), schema, "append", "eventTime").withColumnRenamed("key", key)
 
 
 def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str = "1 hour") -> DataFrame:
@@ -27,40 +108,60 @@ def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str = "1 hou
 SCORES = "station long, ts timestamp, event_id long, x double, ewma double, cusum_pos double, cusum_neg double, persistence long, rate double"
 
 
-def causal_scores(events: DataFrame, slack: float, reset: float, rate: float = 0.3) -> DataFrame:
-    """Rows (station, ts, event_id, x) of a stream with their memory indicators.
+class CausalScores(StatefulProcessor):
+    """State: a station's memory in one value. A timer a while after its last row forgets the station, which then starts anew."""
 
-    State per station is a few numbers. A micro-batch's rows are put in order of time
-    and id; rows that aren't after the last one in the state come too late and are
-    dropped, as the sums have gone on without them.
-    """
+    def __init__(self, slack: float, reset: float, rate: float, silence_ms: int) -> None:
+        self.slack, self.reset, self.rate, self.silence = slack, reset, rate, silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.memory = handle.getValueState("memory", "ewma double, up double, down double, sign double, run long, last double, at long, number long")
 
-    def score(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ewma, up, down, sign, run, last, at, number = state.get if state.exists else (None, 0.0, 0.0, 0.0, 0, None, None, None)
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-        pdf["_us"] = pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        from maregraph.operators.causal import clipped_sums
+
+        ewma, up, down, sign, run, last, at, number = self.memory.get() if self.memory.exists() else (None, 0.0, 0.0, 0.0, 0, None, None, None)
+        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        us = pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)
         if at is not None:
-            pdf = pdf[(pdf["_us"] > at) | ((pdf["_us"] == at) & (pdf["event_id"] > number))]
+            new = (us > at) | ((us == at) & (pdf["event_id"].to_numpy() > number))
+            pdf, us = pdf[new], us[new]
         if not len(pdf):
             return
-        rows = []
-        for v in pdf["x"].fillna(0.0):
-            if ewma is None:
-                ewma = v
-            else:
-                ewma = rate * v + (1 - rate) * ewma
-                up, down = max(0.0, up + v - slack), max(0.0, down - v - slack)
-                up, down = (0.0 if up > reset else up), (0.0 if down > reset else down)
-            now = float(np.sign(v))
-            run = run + 1 if now and now == sign else 1
-            sign = now
-            rows.append((ewma, up, down, run, abs(v - last) if last is not None else 0.0))
-            last = v
-        state.update((ewma, up, down, sign, run, last, int(pdf["_us"].iloc[-1]), int(pdf["event_id"].iloc[-1])))
+        x = pdf["x"].fillna(0.0).to_numpy(float)
+        averages = pd.Series(np.concatenate([[x[0] if ewma is None else ewma], x])).ewm(alpha=self.rate, adjust=False).mean().to_numpy()[1:]
+        begun = 0 if ewma is not None else 1  # the first row of a station adds to no sum
+        sums = [np.concatenate([np.zeros(begun), clipped_sums(s * x[begun:] - self.slack, before, self.reset)]) for s, before in ((1, up), (-1, down))]
+        signs = np.sign(x)
+        fresh = (signs == 0) | (signs != np.concatenate([[sign], signs[:-1]]))
+        if last is None:
+            fresh[0] = True
+        begins = np.maximum.accumulate(np.where(fresh, np.arange(len(x)), -1))
+        runs = np.where(begins >= 0, np.arange(len(x)) - begins + 1, np.arange(len(x)) + 1 + run)
+        steps = np.abs(np.diff(x, prepend=x[0] if last is None else last))
+        self.memory.update((float(averages[-1]), float(sums[0][-1]), float(sums[1][-1]), float(signs[-1]), int(runs[-1]), float(x[-1]), int(us[-1]), int(pdf["event_id"].iloc[-1])))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(us[-1]) // 1000 + self.silence)
         out = pdf[["station", "ts", "event_id", "x"]].copy()
-        for k, name in enumerate(("ewma", "cusum_pos", "cusum_neg", "persistence", "rate")):
-            out[name] = [r[k] for r in rows]
-        yield out
+        yield out.assign(ewma=averages, cusum_pos=sums[0], cusum_neg=sums[1], persistence=runs, rate=steps)
 
-    watched = events.withWatermark("ts", "1 hour")
-    return watched.groupBy("station").applyInPandasWithState(score, SCORES, "ewma double, up double, down double, sign double, run long, last double, at long, number long", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.memory.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def causal_scores(events: DataFrame, slack: float, reset: float, rate: float = 0.3, silence: str = "30 days", late: str = "1 hour") -> DataFrame:
+    """Rows (station, ts, event_id, x) of a stream with their memory indicators, in append mode.
+
+    State per station is a few numbers, and none once the watermark is `silence` past its
+    last row. A micro-batch's rows are put in order of time and id; rows that aren't
+    after the last one in the state come too late and are dropped, as the sums have gone
+    on without them.
+    """
+    silence_ms = int(pd.Timedelta(silence).total_seconds() * 1000)
+    return events.withWatermark("ts", late).groupBy("station").transformWithStateInPandas(CausalScores(slack, reset, rate, silence_ms), SCORES, "append", "eventTime")
