@@ -7,8 +7,10 @@ between tasks.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maregraph.operators.series import Series, over_key
 
@@ -57,6 +59,63 @@ def events(df: DataFrame, s: Series, per_family: int = 4, seed: int = 0) -> Data
     return out.withColumn("start", start.cast("long")).drop("n", "count")
 
 
+def longest(family: str) -> int:
+    """Rows that an event of the family may take."""
+    return 1 if family in ("A_spike", "B_mult", "G_missing_sentinel") else max(LONG if family in ("C_level_shift", "D_drift") else SHORT)
+
+
+def candidates_for(per_family: int, family: str, gap: int) -> int:
+    """So many starts by drawn priority surely hold `per_family` that keep their distance, if the series does: an accepted start rules out less than two intervals of others."""
+    return max(1, (per_family - 1) * (2 * (longest(family) + 2 * gap) - 1) + 1)
+
+
+def reserved_events(df: DataFrame, s: Series, per_family: int = 4, gap: int = 6, seed: int = 0) -> DataFrame:
+    """Rows `keys, slot, start, duration, family, u, v`: events at drawn places, no two nearer than the gap.
+
+    Each family looks at its starts in a drawn order and takes one when its interval, of
+    the family's longest duration and the gap on both sides, meets none that it has
+    taken, until it has `per_family`. Then those go whose interval meets one that an earlier
+    family keeps, so later families may get fewer. The order is that of hashes of key,
+    family and place. Only a bounded number of starts can matter (candidates_for), and
+    these alone reach the task of their series.
+    """
+    keys = [F.col(c) for c in s.keys]
+    placed = df.select(*s.keys, (F.row_number().over(s.window) - 1).alias("start"), F.count("*").over(s.whole).alias("_n"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("_f"), F.lit(f).alias("family"), F.lit(longest(f)).alias("_long"), F.lit(candidates_for(per_family, f, gap)).alias("_most")) for k, f in enumerate(FAMILIES)))
+    spread = placed.withColumn("_kind", F.explode(kinds)).select(*s.keys, "start", "_n", "_kind.*")
+    spread = spread.filter((F.col("start") >= gap) & (F.col("start") < F.col("_n") - F.col("_long") - gap)).withColumn("_u", unit(F.lit(f"o{seed}"), *keys, F.col("family"), F.col("start")))
+    rank = F.row_number().over(Window.partitionBy(*s.keys, "_f").orderBy("_u", "start"))
+    few = spread.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_most")).filter(F.col("_rank") <= max(candidates_for(per_family, f, gap) for f in FAMILIES))
+
+    def choose(rows: pa.Table) -> pa.Table:
+        order = rows.sort_by([("_f", "ascending"), ("_rank", "ascending")])
+        f, start = order["_f"].to_pylist(), order["start"].to_pylist()
+        kept: list[tuple[int, int]] = []  # intervals of earlier families, gaps included
+        chosen: list[int] = []
+        for k, family in enumerate(FAMILIES):
+            own: list[int] = []
+            reach = longest(family) + 2 * gap
+            for row in (i for i, x in enumerate(f) if x == k):
+                if len(own) == per_family:
+                    break
+                if all(abs(start[row] - start[other]) >= reach for other in own):
+                    own.append(row)
+            free = [r for r in own if all(start[r] + longest(family) + gap <= lo or start[r] - gap >= hi for lo, hi in kept)]
+            kept += [(start[r] - gap, start[r] + longest(family) + gap) for r in free]
+            chosen += free
+        return order.take(chosen).select([*s.keys, "_f", "_rank", "start", "family"])
+
+    fields = [df.schema[c] for c in s.keys]
+    schema = T.StructType([*fields, T.StructField("_f", T.IntegerType()), T.StructField("_rank", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("family", T.StringType())])
+    taken = few.select(*s.keys, "_f", "_rank", "start", "family").groupBy(*s.keys).applyInArrow(choose, schema)
+    draw = lambda tag: unit(F.lit(f"{tag}{seed}"), *keys, F.col("family"), F.col("start"))
+    long, single = F.col("family").isin("C_level_shift", "D_drift"), F.col("family").isin("A_spike", "B_mult", "G_missing_sentinel")
+    duration = F.when(single, 1).when(long, pick(LONG, draw("d"))).otherwise(pick(SHORT, draw("d"))).cast("long")
+    # events are numbered along their series
+    slot = F.row_number().over(Window.partitionBy(*s.keys).orderBy("start")) - 1
+    return taken.select(*s.keys, slot.alias("slot"), F.col("start").cast("long").alias("start"), duration.alias("duration"), "family", draw("u").alias("u"), draw("v").alias("v"))
+
+
 def injected(df: DataFrame, s: Series, drawn: DataFrame) -> DataFrame:
     """df with `y`, `class_int` (-1 untouched, 1 SUSPECT, 2 BAD) and `family`: events meet the rows of their spans."""
     rows = over_key(df.withColumn("_i", F.row_number().over(s.window) - 1), s.keys, _sd=F.stddev_pop(s.value))

@@ -449,6 +449,27 @@ def inject_events(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(I.events(filled(spark, sf), OBS), "u", "v", digits=9)
 
 
+SF = "station, variable, f"
+RESERVED = f"""{FILLED}, ri AS (SELECT station, variable, row_number() OVER ({W}) - 1 AS i, count(*) OVER ({PART}) AS n FROM v),
+rk(f, family, long, most) AS (VALUES {', '.join(f"({k}, '{f}', {I.longest(f)}, {I.candidates_for(4, f, 6)})" for k, f in enumerate(I.FAMILIES))}),
+rc AS (SELECT station, variable, f, family, long, i, {_unit("'o0'", *KEY_TEXT, 'family', 'i::VARCHAR')} AS u FROM ri, rk WHERE i >= 6 AND i < n - long - 6),
+rr AS (SELECT rc.*, row_number() OVER (PARTITION BY {SF} ORDER BY u, i) AS k FROM rc), rq AS (SELECT rr.* FROM rr JOIN rk USING (f) WHERE k <= most),
+rg AS (SELECT {SF}, long, k, [i] AS own FROM rq WHERE k = 1 UNION ALL SELECT rq.station, rq.variable, rq.f, rq.long, rq.k, CASE WHEN len(own) >= 4 OR len(list_filter(own, lambda q: abs(q - i) < rq.long + 12)) > 0 THEN own ELSE list_append(own, i) END FROM rg JOIN rq ON rq.station = rg.station AND rq.variable = rg.variable AND rq.f = rg.f AND rq.k = rg.k + 1),
+rl AS (SELECT * FROM rg QUALIFY row_number() OVER (PARTITION BY {SF} ORDER BY k DESC) = 1),
+rs AS (SELECT DISTINCT station, variable, -1 AS f, []::BIGINT[] AS free, []::STRUCT(lo BIGINT, hi BIGINT)[] AS kept FROM ri UNION ALL
+SELECT station, variable, f + 1, free, list_concat(kept, list_transform(free, lambda q: {{'lo': q - 6, 'hi': q + long + 6}})) FROM (SELECT rs.station, rs.variable, rs.f, rk.long, rs.kept, list_filter(coalesce(rl.own, []), lambda q: len(list_filter(rs.kept, lambda z: q + rk.long + 6 > z.lo AND q - 6 < z.hi)) = 0) AS free
+FROM rs JOIN rk ON rk.f = rs.f + 1 LEFT JOIN rl ON rl.station = rs.station AND rl.variable = rs.variable AND rl.f = rs.f + 1)),
+re AS (SELECT station, variable, f, unnest(free) AS start FROM rs)"""
+_drawn = lambda tag: _unit(f"'{tag}0'", *KEY_TEXT, "family", "start::VARCHAR")
+
+
+@query(f"""WITH RECURSIVE {RESERVED} SELECT station, variable, family, start, (row_number() OVER (PARTITION BY station, variable ORDER BY start) - 1)::INT AS slot,
+(CASE WHEN long = 1 THEN 1 WHEN long = {max(I.LONG)} THEN {_pick(I.LONG, _drawn('d'))} ELSE {_pick(I.SHORT, _drawn('d'))} END)::BIGINT AS duration, round({_drawn('u')}, 9) AS u, round({_drawn('v')}, 9) AS v FROM re JOIN rk USING (f)""")
+def inject_reserved(spark: SparkSession, sf: str) -> DataFrame:
+    """Events at drawn places with gaps; each family keeps clear of those before it."""
+    return rounded(I.reserved_events(filled(spark, sf), OBS), "u", "v", digits=9)
+
+
 def families(spark: SparkSession, sf: str) -> DataFrame:
     v = filled(spark, sf)
     return I.injected(v, OBS, I.events(v, OBS))

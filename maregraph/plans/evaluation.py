@@ -385,7 +385,6 @@ def class_weight(spark: SparkSession, sf: str) -> DataFrame:
 # streams over the events table: its rows arrive in two parts by time, then a row far later closes what is open
 def _replayed(spark: SparkSession, sf: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All that a stream operator appends, over three runs of one query that go on from its checkpoint in the session's shared folder."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     middle = e.agg(F.timestamp_seconds((F.unix_seconds(F.min("ts")) + F.unix_seconds(F.max("ts"))) / 2).alias("t"), F.max("ts").alias("last")).first()

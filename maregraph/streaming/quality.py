@@ -14,6 +14,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 HOUR = 3_600_000
 
 
+def _keyed(events: DataFrame) -> DataFrame:
+    """events, in a session whose state store holds what processors with timers need."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return events
+
+
 def _millis(x: pd.Series) -> np.ndarray:
     return x.to_numpy("datetime64[ms]").astype(np.int64)
 
@@ -49,7 +55,7 @@ class HourlyMedian(StatefulProcessor):
 
 def hourly_medians(events: DataFrame, ts: str, key: str, value: str, late: str = "1 hour") -> DataFrame:
     """Rows `key, hour, value`, each once, in append mode: an hour's median goes out when the watermark passes its end. Rows that come later than that are dropped."""
-    rows = events.withWatermark(ts, late).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(value).cast("double").alias("value"))
+    rows = _keyed(events).withWatermark(ts, late).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(value).cast("double").alias("value"))
     schema = T.StructType([T.StructField("key", events.schema[key].dataType), T.StructField("hour", T.TimestampType()), T.StructField("value", T.DoubleType())])
     return rows.groupBy("key").transformWithStateInPandas(HourlyMedian(), schema, "append", "eventTime").withColumnRenamed("key", key)
 
@@ -96,7 +102,7 @@ class Sessions(StatefulProcessor):
 
 def sessions(events: DataFrame, ts: str, key: str, gap_minutes: int = 30, late: str = "1 hour") -> DataFrame:
     """Rows `key, start, end, n` in append mode: runs of rows less than the gap apart; each goes out once, when the watermark passes its end (the last row's time and the gap)."""
-    rows = events.withWatermark(ts, late).select(F.col(key).alias("key"), F.col(ts).alias("ts"))
+    rows = _keyed(events).withWatermark(ts, late).select(F.col(key).alias("key"), F.col(ts).alias("ts"))
     schema = T.StructType([T.StructField("key", events.schema[key].dataType), T.StructField("start", T.TimestampType()), T.StructField("end", T.TimestampType()), T.StructField("n", T.LongType())])
     return rows.groupBy("key").transformWithStateInPandas(Sessions(gap_minutes * 60_000), schema, "append", "eventTime").withColumnRenamed("key", key)
 
@@ -109,7 +115,7 @@ SCORES = "station long, ts timestamp, event_id long, x double, ewma double, cusu
 
 
 class CausalScores(StatefulProcessor):
-    """State: a station's memory in one value. A timer a while after its last row forgets the station, which then starts anew."""
+    """State: a station's memory in one value. A station without rows for `silence` starts anew; a timer then drops its memory."""
 
     def __init__(self, slack: float, reset: float, rate: float, silence_ms: int) -> None:
         self.slack, self.reset, self.rate, self.silence = slack, reset, rate, silence_ms
@@ -119,33 +125,44 @@ class CausalScores(StatefulProcessor):
         self.memory = handle.getValueState("memory", "ewma double, up double, down double, sign double, run long, last double, at long, number long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        from maregraph.operators.causal import clipped_sums
-
-        ewma, up, down, sign, run, last, at, number = self.memory.get() if self.memory.exists() else (None, 0.0, 0.0, 0.0, 0, None, None, None)
         pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         us = pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)
-        if at is not None:
-            new = (us > at) | ((us == at) & (pdf["event_id"].to_numpy() > number))
+        memory = self.memory.get() if self.memory.exists() else None
+        if memory is not None:
+            new = (us > memory[6]) | ((us == memory[6]) & (pdf["event_id"].to_numpy() > memory[7]))
             pdf, us = pdf[new], us[new]
         if not len(pdf):
             return
+        # a station that was silent starts anew, whether its timer has run or not
+        before = np.concatenate([[us[0] if memory is None else memory[6]], us[:-1]])
+        begins = np.flatnonzero(us - before > self.silence * 1000)
+        if len(begins) and begins[0] == 0:
+            memory = None
+        for part in np.split(np.arange(len(us)), begins[begins > 0]):
+            last, found = self._go_on(memory, pdf.iloc[part], us[part])
+            memory = None
+            yield found
+        self.memory.update(last)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(us[-1]) // 1000 + self.silence)
+
+    def _go_on(self, memory: tuple | None, pdf: pd.DataFrame, us: np.ndarray) -> tuple[tuple, pd.DataFrame]:
+        from maregraph.operators.causal import clipped_sums
+
+        ewma, up, down, sign, run, last, _, _ = memory or (None, 0.0, 0.0, 0.0, 0, None, None, None)
         x = pdf["x"].fillna(0.0).to_numpy(float)
         averages = pd.Series(np.concatenate([[x[0] if ewma is None else ewma], x])).ewm(alpha=self.rate, adjust=False).mean().to_numpy()[1:]
         begun = 0 if ewma is not None else 1  # the first row of a station adds to no sum
-        sums = [np.concatenate([np.zeros(begun), clipped_sums(s * x[begun:] - self.slack, before, self.reset)]) for s, before in ((1, up), (-1, down))]
+        sums = [np.concatenate([np.zeros(begun), clipped_sums(s * x[begun:] - self.slack, start, self.reset)]) for s, start in ((1, up), (-1, down))]
         signs = np.sign(x)
         fresh = (signs == 0) | (signs != np.concatenate([[sign], signs[:-1]]))
-        if last is None:
-            fresh[0] = True
+        fresh[0] |= last is None
         begins = np.maximum.accumulate(np.where(fresh, np.arange(len(x)), -1))
         runs = np.where(begins >= 0, np.arange(len(x)) - begins + 1, np.arange(len(x)) + 1 + run)
         steps = np.abs(np.diff(x, prepend=x[0] if last is None else last))
-        self.memory.update((float(averages[-1]), float(sums[0][-1]), float(sums[1][-1]), float(signs[-1]), int(runs[-1]), float(x[-1]), int(us[-1]), int(pdf["event_id"].iloc[-1])))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(us[-1]) // 1000 + self.silence)
-        out = pdf[["station", "ts", "event_id", "x"]].copy()
-        yield out.assign(ewma=averages, cusum_pos=sums[0], cusum_neg=sums[1], persistence=runs, rate=steps)
+        now = float(averages[-1]), float(sums[0][-1]), float(sums[1][-1]), float(signs[-1]), int(runs[-1]), float(x[-1]), int(us[-1]), int(pdf["event_id"].iloc[-1])
+        return now, pdf[["station", "ts", "event_id", "x"]].assign(ewma=averages, cusum_pos=sums[0], cusum_neg=sums[1], persistence=runs, rate=steps)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.memory.clear()
@@ -164,4 +181,4 @@ def causal_scores(events: DataFrame, slack: float, reset: float, rate: float = 0
     on without them.
     """
     silence_ms = int(pd.Timedelta(silence).total_seconds() * 1000)
-    return events.withWatermark("ts", late).groupBy("station").transformWithStateInPandas(CausalScores(slack, reset, rate, silence_ms), SCORES, "append", "eventTime")
+    return _keyed(events).withWatermark("ts", late).groupBy("station").transformWithStateInPandas(CausalScores(slack, reset, rate, silence_ms), SCORES, "append", "eventTime")

@@ -399,3 +399,60 @@ def test_leave_one_out_has_every_fold(spark):
         assert got[k or None]["mae"] == pytest.approx(np.abs(y - a @ w)[f == k].mean(), rel=1e-7)
     one = models.leave_one_out_forecasts(df.withColumn("f", F.lit(1)), Series(("k",), ("t",), "x"), "x", "f").collect()
     assert [(r["fold"], r["mae"], r["n"]) for r in one] == [(1, None, 2597)]
+
+
+def test_reserved_events_are_those_of_a_plain_draw(spark):
+    """Against a loop over every start in drawn order; gaps hold, short series get fewer, and injected rows are inside events only."""
+    import hashlib
+
+    sizes = {"a": 2500, "b": 260, "c": 150, "d": 14, "e": 3}
+    df = spark.createDataFrame([(k, i, float(i % 7)) for k, n in sizes.items() for i in range(n)], "k string, t int, x double")
+    drawn = inject.reserved_events(df, S, per_family=3, gap=6)
+    got = {(r.k, r.family, r.start) for r in drawn.collect()}
+    u = lambda *of: int(hashlib.md5("|".join(map(str, of)).encode()).hexdigest()[:12], 16) / 2**48
+    want = set()
+    for k, n in sizes.items():
+        used = np.zeros(n + 200, bool)
+        for family in inject.FAMILIES:
+            long, own, mine = inject.longest(family), [], np.zeros(n + 200, bool)
+            for i in sorted(range(6, n - long - 6), key=lambda i: (u("o0", k, family, i), i)):  # noqa: B023
+                if len(own) < 3 and not mine[i - 6 : i + long + 6].any():
+                    mine[i - 6 : i + long + 6] = True
+                    own.append(i)
+            free = [i for i in own if not used[i - 6 : i + long + 6].any()]
+            for i in free:
+                used[i - 6 : i + long + 6] = True
+            want |= {(k, family, i) for i in free}
+    assert got == want and len({f for k, f, _ in got if k == "a"}) == 7 and not [g for g in got if g[0] == "e"]
+    rows = inject.injected(df, S, drawn).collect()
+    inside = {(r.k, r.start + j) for r in drawn.collect() for j in range(r.duration)}
+    assert {(r.k, r.t) for r in rows if r.class_int >= 0} == inside and len(rows) == sum(sizes.values())
+
+
+def test_streams_close_what_is_over(spark, tmp_path):
+    """Medians and sessions go out once, when the watermark has passed; state is empty afterwards; a silent station starts anew."""
+    from datetime import datetime, timedelta
+
+    from maregraph.streaming import quality
+
+    start, schema = datetime(2024, 1, 1), "station long, ts timestamp, event_id long, x double"
+    at = lambda m: start + timedelta(minutes=m)
+    batches = [[(1, at(5), 1, 1.0), (1, at(50), 2, 3.0), (1, at(70), 3, 9.0), (2, at(20), 4, 5.0)], [(1, at(80), 5, 7.0), (2, at(25), 6, None)], [(1, at(400), 7, 2.0)], [(1, at(10), 8, 100.0), (1, at(60 * 24 * 9), 9, 4.0)], [(3, at(60 * 24 * 30), 10, 0.0)]]
+    made = {"medians": lambda e: quality.hourly_medians(e, "ts", "station", "x"), "sessions": lambda e: quality.sessions(e, "ts", "station"), "scores": lambda e: quality.causal_scores(e, slack=1.0, reset=1000.0, silence="5 days")}
+    left = {}
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        for name, make in made.items():
+            stream = make(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")))
+            run = stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"state-{name}")).trigger(availableNow=True).start()
+            run.awaitTermination()
+            left[name] = run.lastProgress["stateOperators"][0]["numRowsTotal"]
+    got = {name: spark.read.parquet(str(tmp_path / name)).collect() for name in made}
+    medians = sorted((r.station, (r.hour - start).total_seconds() / 3600, r.value) for r in got["medians"])
+    assert medians == [(1, 0.0, 2.0), (1, 1.0, 8.0), (1, 6.0, 2.0), (1, 216.0, 4.0), (2, 0.0, 5.0)]
+    sessions = sorted((r.station, (r.start - start).total_seconds() / 60, (r.end - start).total_seconds() / 60, r.n) for r in got["sessions"])
+    assert sessions == [(1, 5.0, 35.0, 1), (1, 50.0, 110.0, 3), (1, 400.0, 430.0, 1), (1, 12960.0, 12990.0, 1), (2, 20.0, 55.0, 2)]
+    scores = {r.event_id: r for r in got["scores"]}
+    assert set(scores) == {1, 2, 3, 4, 5, 6, 7, 9, 10}
+    assert scores[5].ewma == pytest.approx(0.3 * 7 + 0.7 * (0.3 * 9 + 0.7 * (0.3 * 3 + 0.7 * 1))) and scores[9].ewma == 4.0 and scores[9].rate == 0.0
+    assert all(n <= 6 for n in left.values()), left
