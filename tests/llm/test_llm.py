@@ -347,7 +347,7 @@ def test_schedule_keeps_to_the_target_weights(weights):
 def test_a_full_memo_starts_again_without_touching_the_ids(monkeypatch):
     import tokenizers
 
-    monkeypatch.setattr(packing, "MEMO_WORDS", 40)
+    monkeypatch.setattr(packing, "MEMO_BYTES", 8000)
     file = public_tokenizers.path("word_bpe_49k.json")
     encoder, plain = packing.WordEncoder(file), tokenizers.Tokenizer.from_file(file)
     rng = random.Random(8)
@@ -752,7 +752,7 @@ def test_pieces_are_powers_of_two():
 # all
 def test_queries_and_sql_are_named_alike():
     assert set(oracle_sql()) <= set(QUERIES)
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
 
 
 SF = "/root/testdata/sf0.001"
@@ -768,10 +768,10 @@ def test_registered_query(spark, name):
     texts = {i: r.text for i, r in docs.items()}
     if name in oracle_sql():
         con = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "embeddings", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = con.execute(oracle_sql()[name]).fetchdf()
-        plain = lambda df: sorted(df[sorted(df.columns)].astype(object).where(df.notna(), None).astype(str).itertuples(index=False, name=None))
+        plain = lambda df: sorted(df[sorted(df.columns)].convert_dtypes().astype(object).where(df.notna(), None).astype(str).itertuples(index=False, name=None))
         assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
         return
     rows = {r.doc_id: r for r in got.itertuples()} if name[:3] not in ("op7", "op1_") and "doc_id" in got else {}
