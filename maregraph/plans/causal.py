@@ -18,9 +18,10 @@ from maregraph.operators import classical
 from maregraph.operators.chunked import in_chunks
 from maregraph.operators.features import VECTOR, causal_vector
 from maregraph.operators.peaks import peaks
+from maregraph.operators.work import gone_at_exit
 from maregraph.plans.classical import S1, SCORES, Q
 from maregraph.plans.registry import SQL, KEY, KEYS, OBS, OBS_SQL, PART, W, frame, obs, query, rounded, scratch, table
-from maregraph.sources.tables import TIME_PARTS, hourly_payload, load_each, read_observations, read_wind, timestamp
+from maregraph.sources.tables import TIME_PARTS, hourly_payload, load_each, read_observations, read_wind, timestamp, write_csv
 
 HOURLY = Series(("variable",), ("hour",), "value")
 HW = "PARTITION BY variable ORDER BY hour"
@@ -283,6 +284,7 @@ def wind_join(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{scratch(spark)}/wind-{uuid.uuid4().hex}"
     wind = table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.round(F.avg(F.when(F.col("event_type") == "view", F.col("value"))), 6).alias("speed"))
     wind.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("datetime_utc"), F.col("speed").alias("wind_speed_10m"), F.lit(None).cast("double").alias("wind_direction_10m"), F.lit(None).cast("double").alias("wind_gusts_10m")).write.option("header", True).option("nullValue", "NULL").csv(path)
+    gone_at_exit(spark, path)
     read = read_wind(spark, path).select(F.col("ts").cast("timestamp_ntz").alias("hour"), F.col("wind_speed_10m").alias("speed"))
     return grid(spark, sf).join(read, "hour", "left").select("variable", "hour", "value", "speed")
 
@@ -552,6 +554,7 @@ def scan_ocean(spark: SparkSession, sf: str) -> DataFrame:
     value = F.when(i % 17 == 0, F.element_at(F.array(*map(F.lit, ("NULL", "NaN", "null", "n/a"))), (F.pmod(i, F.lit(4)) + 1).cast("int"))).otherwise(F.col("value").cast("string"))
     line = F.concat_ws(",", *(parts[c].cast("string") for c in TIME_PARTS), i.cast("string"), value)
     table(spark, sf, "events").select(F.when(i % 50 == 0, F.concat(F.lit("/ note\n"), line)).otherwise(line).alias("value")).write.text(path)
+    gone_at_exit(spark, path)
     read = read_observations(spark, path, ["event_id", "x"], header=False)
     return read.select(F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "x")
 
@@ -642,4 +645,14 @@ def load_variables(spark: SparkSession, sf: str) -> DataFrame:
     o = obs(spark, sf)
     for v in ("click", "view"):
         o.filter(F.col("variable") == v).select("event_id", "x").write.option("header", True).option("nullValue", "NULL").csv(f"{path}/{v}")
+    gone_at_exit(spark, path)
     return load_each(spark, {v: f"{path}/{v}" for v in ("click", "missing", "view")}, "event_id long, x double")
+
+
+@query(f"WITH {OBS_SQL} SELECT event_id, ts, station, variable, x FROM obs")
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations through the CSV sink, with its header and its word for missing values, and back."""
+    path = f"{scratch(spark)}/sink-{uuid.uuid4().hex}"
+    rows = obs(spark, sf).select("event_id", "ts", "station", "variable", "x")
+    write_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).option("nullValue", "NULL").csv(gone_at_exit(spark, path))

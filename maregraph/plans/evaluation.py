@@ -304,10 +304,11 @@ def feature_selection(spark: SparkSession, sf: str) -> DataFrame:
     return correlation_rank(spark, sf).filter("feature <> 'l_partkey'").orderBy(F.desc(F.abs("r")), "feature").limit(2).select("feature", "r")
 
 
-@query("SELECT m.seed AS model_seed, a.seed AS anomaly_seed FROM (SELECT unnest([1, 2, 3]) AS seed) m CROSS JOIN (SELECT unnest([10, 20, 30, 40, 50]) AS seed) a")
+@query(f"WITH {OBS_SQL}, s AS (SELECT station, count(x) AS n FROM obs GROUP BY 1) SELECT station, n, unnest([10, 20, 30, 40, 50])::INT AS anomaly_seed, station + 1 AS model_seed FROM s")
 def seed_grid(spark: SparkSession, sf: str) -> DataFrame:
-    seeds = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} int")
-    return seeds("model_seed", (1, 2, 3)).crossJoin(seeds("anomaly_seed", (10, 20, 30, 40, 50)))
+    """The runs of an experiment: every station's model with every seed of anomalies, and the values it learns from."""
+    by = obs(spark, sf).groupBy("station").agg(F.count("x").alias("n"))
+    return by.select("station", "n", F.explode(F.array(*map(F.lit, (10, 20, 30, 40, 50)))).alias("anomaly_seed"), (F.col("station") + 1).alias("model_seed"))
 
 
 LOBO = f"{OBS_SQL}, fo AS (SELECT unnest(range(6)) AS fold), lo AS (SELECT fold, avg(x) AS m, count(x) AS n FROM obs JOIN fo ON station <> fold GROUP BY fold)"

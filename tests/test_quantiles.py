@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from maregraph.operators import quantiles, work
 from maregraph.operators.quantiles import exact_quantiles, of_key, ordered_key, with_quantiles
 
 HARD = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1e-310, 1.0, -1.0, math.nextafter(1, 0), math.nextafter(2, 3), 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), -float("inf"), 0.1, 1 / 3, 1e300, 2.0**52 + 1]
@@ -63,8 +64,29 @@ def test_quantiles_without_keys_and_of_nothing(spark):
     assert with_quantiles(df.limit(0), (), {"m": ("x", 0.5)}).columns == ["x", "m"]
 
 
-def test_no_pass_gathers_a_group(spark):
-    """No percentile, sort of the rows or window over the rows of a key in the plan; the histogram's window sees buckets only."""
+def test_no_pass_gathers_a_group(spark, monkeypatch):
+    """No plan of a pass holds a percentile, a list or a sort of rows; its windows are over counted buckets only."""
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return work.stored(df, name)
+
+    monkeypatch.setattr(quantiles, "stored", seen)
     df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.rand(1).alias("x"))
-    text = exact_quantiles(df, ("k",), {"m": ("x", 0.5)})._jdf.queryExecution().toString()
-    assert "percentile" not in text and "collect_list" not in text
+    exact_quantiles(df, ("k",), {"m": ("x", 0.5)})
+    assert len(plans) == 3
+    for text in plans:
+        assert "percentile" not in text and "collect" not in text
+        rows = [line for line in text.split("\n") if "Window" in line]
+        assert rows and all("_p#" in line or "sum(_m" in line for line in rows)
+
+
+def test_tests_of_series_hold_no_whole_key(spark):
+    """The plans of the tests, over stored scores, have neither percentiles nor windows."""
+    from maregraph.operators.classical import tested
+    from maregraph.operators.series import Series
+
+    df = spark.range(400).select((F.col("id") % 2).alias("k"), F.timestamp_seconds(F.col("id") * 1800).alias("t"), F.col("id").alias("e"), F.rand(2).alias("x"), F.lit("v").alias("variable"))
+    text = tested(df, Series(("k",), ("t", "e"), "x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in text and "Window" not in text
