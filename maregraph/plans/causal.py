@@ -21,7 +21,7 @@ from maregraph.operators.peaks import peaks
 from maregraph.operators.work import gone_at_exit
 from maregraph.plans.classical import S1, SCORES, Q
 from maregraph.plans.registry import SQL, KEY, KEYS, OBS, OBS_SQL, PART, W, frame, obs, query, rounded, scratch, table
-from maregraph.sources.tables import TIME_PARTS, hourly_payload, load_each, read_observations, read_wind, timestamp, write_csv
+from maregraph.sources.tables import TIME_PARTS, hourly_payload, load_each, read_csv, read_observations, read_wind, timestamp, write_csv
 
 HOURLY = Series(("variable",), ("hour",), "value")
 HW = "PARTITION BY variable ORDER BY hour"
@@ -655,4 +655,4 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{scratch(spark)}/sink-{uuid.uuid4().hex}"
     rows = obs(spark, sf).select("event_id", "ts", "station", "variable", "x")
     write_csv(rows, path)
-    return spark.read.schema(rows.schema).option("header", True).option("nullValue", "NULL").csv(gone_at_exit(spark, path))
+    return read_csv(spark, gone_at_exit(spark, path), rows.schema)

@@ -53,8 +53,17 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     df.write.partitionBy(*partition_by).parquet(path)
 
 
+#: Times in CSV keep their microseconds.
+CSV_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_csv(df: DataFrame, path: str, missing: str = "NULL") -> None:
-    df.write.option("header", True).option("nullValue", missing).csv(path)
+    df.write.options(header=True, nullValue=missing, **CSV_TIMES).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, missing: str = "NULL") -> DataFrame:
+    """What write_csv() wrote."""
+    return spark.read.schema(schema).options(header=True, nullValue=missing, **CSV_TIMES).csv(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
