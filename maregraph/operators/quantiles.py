@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from maregraph.operators.work import matched, stored
 
-#: Bits that remain unknown after each pass.
-SHIFTS = (42, 21, 0)
+#: Bits that remain unknown after each pass: the first has few buckets, as all of them are looked at.
+SHIFTS = (48, 24, 0)
 MANTISSA = 52
 
 
@@ -46,13 +46,13 @@ def exact_quantiles(df: DataFrame, keys: tuple[str, ...], wanted: dict[str, tupl
     """Rows `keys` and the names of `wanted`: of each the quantile of its column, linear between ranks (nulls and NaN left out; null without values).
 
     One row for each key with any value, computed when called. Without keys there is one
-    row, or none. Each pass reads df's wanted columns once, so df should be a table or
-    cheap. Buckets that hold wanted ranks meet the rows by a join that Spark broadcasts
+    row, or none. df is read once: its keys are stored, and the passes read those. Buckets that hold wanted ranks meet the rows by a join that Spark broadcasts
     only if they are few; beyond that rows are dealt by bucket, never by key alone.
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     points = [sorted({q for c, q in wanted.values() if c == column}) for column in columns]
     values = df.select(*keys, F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("_c", "_x")).withColumn("_key", ordered_key(F.col("_x"))).drop("_x").filter("_key is not null")
+    values = stored(values, "keys")
     own = [*keys, "_c"]
 
     def holding(counted: DataFrame, group: list[str], before: Column, ranks: Column) -> DataFrame:

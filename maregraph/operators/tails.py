@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maregraph.functions.scalar import T4_QUARTILE, clean, gpd_sf, t4_sf
-from maregraph.operators.quantiles import SHIFTS, exact_quantiles, ordered_key
+from maregraph.operators.quantiles import exact_quantiles, ordered_key
 from maregraph.operators.work import matched, stored
 
+#: Trailing bits of scores that are merged in one range.
+RANGE_BITS = 42
 #: Points of a first grid on each side of 0, of each refinement, and refinements.
 SIDE, STEPS, ROUNDS = 24, 32, 3
 
@@ -83,7 +85,7 @@ def with_tail_ranks(df: DataFrame, keys: tuple[str, ...], score: str, counts: Da
     table. Rows only look up their score's count, so ties are no hot window.
     """
     rows = df.withColumn("_key", ordered_key(_filled(score)))
-    both = counts.union(rows.select(*keys, "_key", F.lit(0).cast("long"))).groupBy(*keys, "_key").agg(F.sum("_m").alias("_m")).withColumn("_p", F.shiftright("_key", SHIFTS[0]))
+    both = counts.union(rows.select(*keys, "_key", F.lit(0).cast("long"))).groupBy(*keys, "_key").agg(F.sum("_m").alias("_m")).withColumn("_p", F.shiftright("_key", RANGE_BITS))
     both = stored(both, "merged-scores")
     ranges = both.groupBy(*keys, "_p").agg(F.sum("_m").alias("_in"))
     w = Window.partitionBy(*keys)
