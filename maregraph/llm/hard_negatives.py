@@ -1,15 +1,16 @@
 """Hard negatives by block products over two dimensions, in the manner of SUMMA.
 
 Rows are sharded into blocks, anchors into blocks of their own, and the vectors of both
-into chunks of dimensions. A cell is one block of anchors, one block of rows and one
-chunk: it makes a partial tile of scores. The partial tiles of a pair of blocks meet in
-a shuffle that adds them, and each finished tile is reduced to the few rows that its
-anchors may want. The first pass visits blocks that share a label and finds positives,
-the second visits all blocks and finds negatives inside each positive's window.
+into chunks of dimensions. The chunks of a pair of blocks meet in a shuffle; their
+products, partial tiles of scores, are added where the tile stays, and each finished tile
+is reduced to the few rows that its anchors may want, so only vectors and candidates move
+and no tile does. The first pass multiplies rows that share a label and finds positives,
+the second all rows and finds negatives inside each positive's window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import isqrt
 
 import numpy as np
@@ -17,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maregraph.llm.common import persisted, salts_for, with_totals
+from maregraph.llm.common import persisted
 
-#: Rows and anchors to a block, and dimensions to a chunk, on average: a tile of int64 scores takes 8 MB.
-BLOCK, ANCHOR_BLOCK, DIMS = 4096, 256, 32
+#: Rows to a block at least, blocks of rows at most as long as CELLS allows, and dimensions to a chunk.
+BLOCK, BLOCKS, DIMS = 4096, 32, 32
 
-#: Widths in which partial tiles and stored blocks are sent.
+#: Components to a block of rows at most (half as many to one of anchors), and scores to a tile: 16 MB.
+CELLS, TILE = 1 << 23, 1 << 21
+
+#: Widths in which stored blocks are sent.
 KINDS = (np.int8, np.int16, np.int32, np.int64)
 
 
@@ -62,20 +66,18 @@ def usable(vectors: DataFrame, anchors: Column, id_col: str, vector_col: str, la
     return rows.groupBy("vec_id").agg(F.min(F.struct("label", "vector", "anchor")).alias("row")).select("vec_id", "row.*")
 
 
-def _slots(label: Column, share: Column, slots: int, by: Column | None = None) -> Column:
-    """Where rows of a label go: `share` neighbouring slots from the label's own, one of them by the hash of the id; without an id, all of them."""
-    start = F.pmod(F.xxhash64(label), F.lit(slots))
-    if by is not None:
-        return F.pmod(start + F.pmod(F.xxhash64(by), share), F.lit(slots)).cast("int")
-    return F.transform(F.sequence(F.lit(0).cast("long"), share - 1), lambda k: F.pmod(start + k, F.lit(slots)).cast("int"))
+def block_sizes(n: int, width: int) -> tuple[int, int]:
+    """Rows and anchors to a block. A row moves once for each block of anchors, an anchor once for each of rows: n rows have BLOCKS blocks until these are as large as a task should hold."""
+    most = max(1, CELLS // width)
+    return min(most, max(BLOCK, -(-n // BLOCKS))), max(1, most // 2)
 
 
-def blocks(rows: DataFrame, at: Column, towards: Column, scale: float, width: int, dims: int) -> DataFrame:
-    """Rows `at, k, ids, labels, kind, cells, towards`: one chunk of one block, its rows by id; `towards` holds the blocks of the other side that share a label."""
+def blocks(rows: DataFrame, count: int, scale: float, width: int, dims: int) -> DataFrame:
+    """Rows `at, k, ids, labels, kind, cells`: one chunk of one of `count` blocks, its rows by id. Rows are dealt by the hash of their ids, so neither a hot label nor a hot vector is a hot block."""
     chunks = -(-width // dims) or 1
     limit = isqrt(((1 << 63) - 1) // max(1, width))
     cut = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda k: F.slice(F.col("vector"), k * dims + 1, F.lit(dims)))
-    spread = rows.select(at.alias("at"), "vec_id", "label", towards.alias("towards"), F.posexplode(cut).alias("k", "part"))
+    spread = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias("at"), "vec_id", "label", F.posexplode(cut).alias("k", "part"))
 
     def pack(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("vec_id")
@@ -86,51 +88,53 @@ def blocks(rows: DataFrame, at: Column, towards: Column, scale: float, width: in
         with np.errstate(over="ignore"):
             whole = np.clip(np.floor(scale * cells), -limit, limit).astype(np.int64)
         kind, data = narrow(np.clip(whole, -limit, limit))
-        other = sorted(set(rows["towards"].combine_chunks().flatten().to_pylist()))
         ids, labels = (rows[c].to_numpy().astype(np.int64).tobytes() for c in ("vec_id", "label"))
-        return pa.table({"at": rows["at"][:1], "k": rows["k"][:1], "ids": [ids], "labels": [labels], "kind": [kind], "cells": [data], "towards": pa.array([other], pa.list_(pa.int32()))})
+        return pa.table({"at": rows["at"][:1], "k": rows["k"][:1], "ids": [ids], "labels": [labels], "kind": [kind], "cells": [data]})
 
-    return spread.groupBy("at", "k").applyInArrow(pack, "at int, k int, ids binary, labels binary, kind string, cells binary, towards array<int>")
+    return spread.groupBy("at", "k").applyInArrow(pack, "at int, k int, ids binary, labels binary, kind string, cells binary")
 
 
-def tiles(left: DataFrame, right: DataFrame, dims: int) -> DataFrame:
-    """Partial tiles of the cells: rows of left carry `i` and the blocks `to` of the other side, those of right `j` and `to`. What describes a tile goes with chunk 0."""
-    told = ("ids", "labels", "owners", "positives", "scores")
-    only = lambda c: F.when(F.col("k") == 0, F.col(c)).alias(c)
-    a = left.select("i", "k", "kind", "cells", *map(only, told), F.explode("to").alias("j"))
-    b = right.select("j", "k", "kind", "cells", only("ids"), only("labels"), F.explode("to").alias("i"))
-    schema = "i int, j int, kind string, tile binary, rows binary, row_labels binary, " + ", ".join(f"{c} binary" for c in told)
+class Pair:
+    """A block of anchors and one of rows, with what the anchors ask for."""
 
-    def matrix(side: pa.Table) -> np.ndarray:
-        return np.frombuffer(side["cells"][0].as_py(), side["kind"][0].as_py()).reshape(-1, dims).astype(np.int64)
+    def __init__(self, left: pa.Table, right: pa.Table, dims: int) -> None:
+        left, right = left.sort_by("k"), right.sort_by("k")
+        self.ids, self.labels, self.owners, self.positives, self.window = (np.frombuffer(left[c][0].as_py() or b"", np.int64) for c in ("ids", "labels", "owners", "positives", "scores"))
+        self.rows, self.row_labels = (np.frombuffer(right[c][0].as_py(), np.int64) for c in ("ids", "labels"))
+        matrices = lambda side: [np.frombuffer(x.as_buffer(), kind.as_py()).reshape(-1, dims).astype(np.int64) for x, kind in zip(side["cells"], side["kind"], strict=True)]
+        self.chunks = list(zip(matrices(left), matrices(right), strict=True))
 
-    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            left, right = left.slice(0, 0), right.slice(0, 0)
-            kind, tile = [], []
-        else:
-            kind, tile = ([x] for x in narrow(product(matrix(left), matrix(right))))
-        out = {"i": left["i"], "j": right["j"], "kind": pa.array(kind, pa.string()), "tile": pa.array(tile, pa.binary()), "rows": right["ids"], "row_labels": right["labels"]}
-        return pa.table(out | {c: left[c] for c in told})
+    def tiles(self, alike: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of anchors, places of rows and their scores, TILE at a time (an anchor at least): of all rows, or of those that share the anchors' label. A tile is the sum of its chunks' partial tiles."""
+        groups = [(np.arange(len(self.ids)), np.arange(len(self.rows)))]
+        if alike:
+            sides = [(np.argsort(x, kind="stable"), np.sort(x)) for x in (self.labels, self.row_labels)]
+            groups = [tuple(at[np.searchsorted(x, v) : np.searchsorted(x, v, "right")] for at, x in sides) for v in np.intersect1d(self.labels, self.row_labels)]
+        for anchors, rows in groups:
+            chunks = [(x, y if len(rows) == len(y) else y[rows]) for x, y in self.chunks]
+            step = max(1, TILE // len(rows))
+            for at in range(0, len(anchors), step):
+                some = anchors[at : at + step]
+                yield some, rows, sum(product(x[some], y) for x, y in chunks)
 
-    return a.groupBy("i", "j", "k").cogroup(b.groupBy("i", "j", "k")).applyInArrow(multiply, schema)
 
+def met(left: DataFrame, right: DataFrame, dims: int, reduce: Callable[[Pair], pa.Table], schema: str) -> DataFrame:
+    """`reduce` of every Pair: rows of left carry `i` and the blocks `to` of the other side, those of right `j` and `to`. What describes a block goes with chunk 0."""
+    told = ("ids", "labels", "owners", "positives", "scores")
+    only = lambda c: F.when(F.col("k") == 0, F.col(c)).alias(c)
+    a = left.select("i", "k", "kind", "cells", *map(only, told), F.explode("to").alias("j"))
+    b = right.select("j", "k", "kind", "cells", only("ids"), only("labels"), F.explode("to").alias("i"))
+    empty = pa.schema([(c.split()[0], pa.int64()) for c in schema.split(", ")]).empty_table()
 
-class Tile:
-    """The sum of a pair's partial tiles, with what its anchors and rows are."""
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        return reduce(Pair(left, right, dims)) if left.num_rows and right.num_rows else empty
 
-    def __init__(self, parts: pa.Table) -> None:
-        first = parts.filter(pa.compute.is_valid(parts["ids"])).to_pylist()[0]
-        self.ids, self.labels, self.rows, self.row_labels = (np.frombuffer(first[c], np.int64) for c in ("ids", "labels", "rows", "row_labels"))
-        self.owners, self.positives, self.window = (np.frombuffer(first[c] or b"", np.int64) for c in ("owners", "positives", "scores"))
-        self.scores = np.zeros((len(self.ids), len(self.rows)), np.int64)
-        for kind, tile in zip(parts["kind"], parts["tile"], strict=True):
-            self.scores += np.frombuffer(tile.as_buffer(), kind.as_py()).reshape(self.scores.shape)
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(one, schema)
 
 
 def mine(
     vectors: DataFrame, anchors: Column, id_col: str = "vec_id", vector_col: str = "embedding", label: Column | None = None, scale: float = 256.0,
-    positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, block: int = BLOCK, anchor_block: int = ANCHOR_BLOCK, dims: int = DIMS,
+    positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, block: int | None = None, anchor_block: int | None = None, dims: int = DIMS,
 ) -> DataFrame:
     """Rows `anchor_id, positive_id, rank, negative_id, positive_score, negative_score`.
 
@@ -143,32 +147,35 @@ def mine(
     followed by zeros; components are cut to what keeps sums of products within 64 bits.
     An empty table, or one without anchors, gives no rows; other columns are ignored.
 
-    Labels are whole numbers (`label`, by default the column of that name). A label of
-    any size is dealt over neighbouring blocks by its count, so neither a hot label nor
-    a hot vector is a hot task. The score matrix, anchors times rows, is the work; a task
-    holds one tile of it, and its anchors' candidates go on.
+    Labels are whole numbers (`label`, by default the column of that name). The score
+    matrix, anchors times rows, is the work; a task holds one pair of blocks (`block` rows
+    and `anchor_block` anchors on average, by default block_sizes()) and one tile of their
+    scores, and its anchors' candidates go on.
     """
     rows = persisted(usable(vectors, anchors, id_col, vector_col, F.col("label") if label is None else label), "vectors")
     n, m, width = rows.agg(F.count("*"), F.count_if("anchor"), F.max(F.size("vector"))).first()
-    width, side, anchor_side = max(1, width or 0), -(-n // block) or 1, -(-m // anchor_block) or 1
-    rows = with_totals(rows, ["label"], "vec_id", salts_for(n), of_label=(F.lit(1), "sum"), of_anchors=(F.col("anchor").cast("int"), "sum"))
-    share, anchor_share = F.ceil(F.col("of_label") / block), F.ceil(F.col("of_anchors") / anchor_block)
-    there, here = (_slots(F.col("label"), share, side), _slots(F.col("label"), share, side, F.col("vec_id"))), (_slots(F.col("label"), anchor_share, anchor_side), _slots(F.col("label"), anchor_share, anchor_side, F.col("vec_id")))
-    no_anchor = F.array().cast("array<int>")
-    all_rows = persisted(blocks(rows, there[1], F.when(F.col("of_anchors") > 0, here[0]).otherwise(no_anchor), scale, width, dims), "row-blocks").withColumnRenamed("at", "j")
-    asking = persisted(blocks(rows.filter("anchor"), here[1], there[0], scale, width, dims), "anchor-blocks").withColumnRenamed("at", "i")
-
-    def nearest(parts: pa.Table) -> pa.Table:
-        tile, found = Tile(parts), []
-        for a, (own, kind) in enumerate(zip(tile.ids.tolist(), tile.labels.tolist(), strict=True)):
-            at = best(tile.scores[a], np.flatnonzero((tile.row_labels == kind) & (tile.rows != own)), positives)
-            found += [(own, p, s) for p, s in zip(tile.rows[at].tolist(), tile.scores[a, at].tolist(), strict=True)]
-        owner, other, score = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"i": pa.array([parts["i"][0].as_py()] * len(found), pa.int32()), "anchor_id": pa.array(owner, pa.int64()), "positive_id": pa.array(other, pa.int64()), "positive_score": pa.array(score, pa.int64())})
+    width = max(1, width or 0)
+    usual = block_sizes(n, width)
+    side, anchor_side = -(-n // (block or usual[0])) or 1, -(-m // (anchor_block or usual[1])) or 1
+    every = lambda k: F.sequence(F.lit(0), F.lit(k - 1))
+    all_rows = persisted(blocks(rows, side, scale, width, dims), "row-blocks").withColumnRenamed("at", "j").withColumn("to", every(anchor_side))
+    asking = persisted(blocks(rows.filter("anchor"), anchor_side, scale, width, dims), "anchor-blocks").withColumnRenamed("at", "i").withColumn("to", every(side))
+
+    def listed(found: list[tuple], *names: str) -> pa.Table:
+        columns = zip(*found, strict=True) if found else [()] * len(names)
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(names, columns, strict=True)})
+
+    def nearest(pair: Pair) -> pa.Table:
+        found = []
+        for anchors, rows, scores in pair.tiles(alike=True):
+            ids = pair.rows[rows]
+            for own, s in zip(pair.ids[anchors].tolist(), scores, strict=True):
+                at = best(s, np.flatnonzero(ids != own), positives)
+                found += [(own, p, x) for p, x in zip(ids[at].tolist(), s[at].tolist(), strict=True)]
+        return listed(found, "anchor_id", "positive_id", "positive_score")
 
     nothing = {c: F.lit(None).cast("binary") for c in ("owners", "positives", "scores")}
-    partial = tiles(asking.withColumns(nothing | {"to": F.col("towards")}), all_rows.withColumn("to", F.col("towards")), dims)
-    near = partial.groupBy("i", "j").applyInArrow(nearest, "i int, anchor_id long, positive_id long, positive_score long")
+    near = met(asking.withColumns(nothing), all_rows, dims, nearest, "anchor_id long, positive_id long, positive_score long")
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     chosen = persisted(near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= positives).drop("r"), "positives")
 
@@ -176,23 +183,27 @@ def mine(
         sent = {to: [found[c].to_numpy().astype(np.int64).tobytes()] for to, c in (("owners", "anchor_id"), ("positives", "positive_id"), ("scores", "positive_score"))}
         return pa.table({"i": found["i"][:1], **sent})
 
-    def hardest(parts: pa.Table) -> pa.Table:
-        tile, found = Tile(parts), []
-        place = {v: a for a, v in enumerate(tile.ids.tolist())}
-        for own, positive, score in zip(tile.owners.tolist(), tile.positives.tolist(), tile.window.tolist(), strict=True):
-            a = place[own]
+    def hardest(pair: Pair) -> pa.Table:
+        found, asked = [], {}
+        for own, positive, score in zip(pair.owners.tolist(), pair.positives.tolist(), pair.window.tolist(), strict=True):
             lo, hi = window_of(score, low, high)
-            s = tile.scores[a]
             if lo <= hi:
-                at = best(s, np.flatnonzero((s >= lo) & (s <= hi) & (tile.row_labels != tile.labels[a])), negatives)
-                found += [(own, positive, v, score, x) for v, x in zip(tile.rows[at].tolist(), s[at].tolist(), strict=True)]
-        columns = zip(*found, strict=True) if found else [()] * 5
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"), columns, strict=True)})
-
-    asked = asking.join(chosen.groupBy("i").applyInArrow(windows, "i int, owners binary, positives binary, scores binary"), "i")
-    every = lambda k: F.sequence(F.lit(0), F.lit(k - 1))
-    partial = tiles(asked.withColumn("to", every(side)), all_rows.withColumn("to", every(anchor_side)), dims)
-    hard = partial.groupBy("i", "j").applyInArrow(hardest, "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long")
+                asked.setdefault(own, []).append((positive, score, lo, hi))
+        for anchors, _, scores in pair.tiles(alike=False):
+            for a, s in zip(anchors.tolist(), scores, strict=True):
+                own = int(pair.ids[a])
+                if own not in asked:
+                    continue
+                inside = np.flatnonzero((s >= min(w[2] for w in asked[own])) & (s <= max(w[3] for w in asked[own])) & (pair.row_labels != pair.labels[a]))
+                t = s[inside]
+                for positive, score, lo, hi in asked[own]:
+                    at = best(s, inside[(t >= lo) & (t <= hi)], negatives)
+                    found += [(own, positive, v, score, x) for v, x in zip(pair.rows[at].tolist(), s[at].tolist(), strict=True)]
+        return listed(found, "anchor_id", "positive_id", "negative_id", "positive_score", "negative_score")
+
+    numbered = chosen.withColumn("i", F.pmod(F.xxhash64("anchor_id"), F.lit(anchor_side)).cast("int"))
+    asked = asking.join(numbered.groupBy("i").applyInArrow(windows, "i int, owners binary, positives binary, scores binary"), "i")
+    hard = met(asked, all_rows, dims, hardest, "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long")
     order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     ranked = hard.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -165,6 +165,19 @@ def test_hard_negatives_of_nothing(spark):
     assert hard_negatives.mine(df, F.lit(None).cast("boolean")).count() == 0
 
 
+def test_hard_negatives_move_vectors_not_scores(spark, tmp_path, monkeypatch):
+    """What tasks send for a pair of blocks is its vectors: the bytes grow with the rows, not with anchors times rows."""
+    monkeypatch.setattr(hard_negatives, "BLOCK", 64)
+    sizes, given = {}, hard_negatives.met
+    monkeypatch.setattr(hard_negatives, "met", lambda left, right, *rest: sent.append((left, right)) or given(left, right, *rest))
+    for n in (2000, 8000):
+        sent = []
+        rows = spark.range(n).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.sin(F.col("id") * (k + 1)) / 8).alias("embedding"), (F.col("id") % 10).alias("label"))
+        assert hard_negatives.mine(rows, F.col("vec_id") % 4 == 0).count() > 0
+        sizes[n] = sum(side.select(F.sum(F.size("to") * F.length("cells"))).first()[0] for pair in sent for side in pair)
+    assert sizes[8000] < 4.5 * sizes[2000] < 8000 * 2000 * 2
+
+
 def test_products_are_exact():
     rng = np.random.default_rng(2)
     for most in (100, 1 << 27):
