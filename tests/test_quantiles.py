@@ -90,3 +90,16 @@ def test_tests_of_series_hold_no_whole_key(spark):
     df = spark.range(400).select((F.col("id") % 2).alias("k"), F.timestamp_seconds(F.col("id") * 1800).alias("t"), F.col("id").alias("e"), F.rand(2).alias("x"), F.lit("v").alias("variable"))
     text = tested(df, Series(("k",), ("t", "e"), "x"))._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in text and "Window" not in text
+
+
+def test_interpolation_is_that_of_the_sql(spark, tmp_path):
+    """Between ranks that lie an ulp apart every rounding decides on which side rows fall: the same as DuckDB, to the bit, of columns and of their ratios."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(5)
+    cents = rng.integers(0, 30_000, (400, 30, 2)) / 100
+    rows = [(k, float(abs(a - b)), 0.7 + k / 1000) for k in range(400) for a, b in cents[k]]
+    df = spark.createDataFrame(rows, "k long, x double, h double")
+    df.write.parquet(f"{tmp_path}/x")
+    sql = f"SELECT k, quantile_cont(x, 0.995) AS a, quantile_cont(x, 0.9) AS b, quantile_cont(x / h, 0.995) AS c FROM '{tmp_path}/x/*.parquet' GROUP BY k"
+    got = exact_quantiles(df, ("k",), {"c": ("x", 0.995), "a": ("x", 0.995), "b": ("x", 0.9), "h": ("h", 0.5)}, per={"c": lambda x: x / F.col("h")})
+    assert sorted(map(tuple, got.select("k", "a", "b", "c").collect())) == sorted(duckdb.sql(sql).fetchall())
