@@ -18,7 +18,8 @@ from maregraph.operators import classical
 from maregraph.operators.chunked import in_chunks
 from maregraph.operators.features import VECTOR, causal_vector
 from maregraph.operators.peaks import peaks
-from maregraph.operators.work import gone_at_exit
+from maregraph.operators.quantiles import with_quantiles
+from maregraph.operators.work import gone_at_exit, stored
 from maregraph.plans.classical import S1, SCORES, Q
 from maregraph.plans.registry import SQL, KEY, KEYS, OBS, OBS_SQL, PART, W, frame, obs, query, rounded, scratch, table
 from maregraph.sources.tables import TIME_PARTS, hourly_payload, load_each, read_csv, read_observations, read_wind, timestamp, write_csv
@@ -507,7 +508,7 @@ def weak_label_v1(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.robust_t(predicted(spark, sf), OBS.keys, "diff").withColumn("spike", classic_spike(OBS))
     raw = obs(spark, sf).select(*KEY, F.col("x").alias("raw"), "ts")
     rows = rows.join(raw.drop("ts"), list(KEY)).withColumn("gap", K.near_gap(OBS, F.col("raw").isNull().cast("int")))
-    rows = over_key(rows, OBS.keys, q75=F.percentile("spike", F.lit(0.75)), q90=F.percentile("spike", F.lit(0.9)))
+    rows = with_quantiles(stored(rows, "spikes"), OBS.keys, {"q75": ("spike", 0.75), "q90": ("spike", 0.9)})
     touched = F.when(F.col("event_id") % 41 == 0, 2).when(F.col("event_id") % 37 == 0, 1).otherwise(-1)
     label, confidence = I.weak_labels_v1(touched, F.col("x").between(0, 250), F.col("spike"), F.col("q75"), F.col("q90"), F.col("p_robust"), F.col("gap"))
     return rows.select(*KEY, label.alias("label"), confidence.alias("confidence"))

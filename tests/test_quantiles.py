@@ -103,3 +103,17 @@ def test_interpolation_is_that_of_the_sql(spark, tmp_path):
     sql = f"SELECT k, quantile_cont(x, 0.995) AS a, quantile_cont(x, 0.9) AS b, quantile_cont(x / h, 0.995) AS c FROM '{tmp_path}/x/*.parquet' GROUP BY k"
     got = exact_quantiles(df, ("k",), {"c": ("x", 0.995), "a": ("x", 0.995), "b": ("x", 0.9), "h": ("h", 0.5)}, per={"c": lambda x: x / F.col("h")})
     assert sorted(map(tuple, got.select("k", "a", "b", "c").collect())) == sorted(duckdb.sql(sql).fetchall())
+
+
+def test_weak_labels_at_a_quantile_are_those_of_the_sql(spark, tmp_path):
+    """Values in tenths whose 90 per cent point lies between spikes an ulp apart."""
+    duckdb = pytest.importorskip("duckdb")
+    from maregraph.plans import causal  # noqa: F401
+    from maregraph.plans.registry import QUERIES, SQL
+
+    x = np.round(np.random.default_rng(333).integers(0, 40, 241) / 10, 1).tolist()
+    rows = [(k, 0, "a", v) for k, v in enumerate(x)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id") * 60))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["weak_label_v1"](spark, str(tmp_path)).collect())) == sorted(duckdb.sql(SQL["weak_label_v1"]).fetchall())
