@@ -13,6 +13,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 HOUR = 3_600_000
 
+#: Rows of a station that are computed and sent at once.
+ROWS = 65_536
+
 
 def _keyed(events: DataFrame) -> DataFrame:
     """events, in a session whose state store holds what processors with timers need."""
@@ -125,33 +128,36 @@ class CausalScores(StatefulProcessor):
         self.memory = handle.getValueState("memory", "ewma double, up double, down double, sign double, run long, last double, at long, number long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        us = pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)
+        # three numbers a row are held, and one frame of ROWS rows at a time goes out
+        parts = [(pdf["ts"].to_numpy("datetime64[us]").astype(np.int64), pdf["event_id"].to_numpy(), pdf["x"].to_numpy(float)) for pdf in rows]
+        us, ids, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((ids, us))
         memory = self.memory.get() if self.memory.exists() else None
         if memory is not None:
-            new = (us > memory[6]) | ((us == memory[6]) & (pdf["event_id"].to_numpy() > memory[7]))
-            pdf, us = pdf[new], us[new]
-        if not len(pdf):
+            order = order[(us[order] > memory[6]) | ((us[order] == memory[6]) & (ids[order] > memory[7]))]
+        if not len(order):
             return
+        us = us[order]
         # a station that was silent starts anew, whether its timer has run or not
-        before = np.concatenate([[us[0] if memory is None else memory[6]], us[:-1]])
-        begins = np.flatnonzero(us - before > self.silence * 1000)
-        if len(begins) and begins[0] == 0:
-            memory = None
-        for part in np.split(np.arange(len(us)), begins[begins > 0]):
-            last, found = self._go_on(memory, pdf.iloc[part], us[part])
-            memory = None
-            yield found
-        self.memory.update(last)
+        silent = np.flatnonzero(np.diff(us, prepend=us[0] if memory is None else memory[6]) > self.silence * 1000).tolist()
+        for begin, end in zip([0, *(k for k in silent if k)], [*(k for k in silent if k), len(us)], strict=True):
+            if begin in silent:
+                memory = None
+            for at in range(begin, end, ROWS):
+                some = slice(at, min(end, at + ROWS))
+                memory, found = self._go_on(memory, us[some], ids[order[some]], x[order[some]])
+                yield found.assign(station=key[0])
+        self.memory.update(memory)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(int(us[-1]) // 1000 + self.silence)
 
-    def _go_on(self, memory: tuple | None, pdf: pd.DataFrame, us: np.ndarray) -> tuple[tuple, pd.DataFrame]:
+    def _go_on(self, memory: tuple | None, us: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple[tuple, pd.DataFrame]:
         from maregraph.operators.causal import clipped_sums
 
         ewma, up, down, sign, run, last, _, _ = memory or (None, 0.0, 0.0, 0.0, 0, None, None, None)
-        x = pdf["x"].fillna(0.0).to_numpy(float)
+        x = np.nan_to_num(values, posinf=np.inf, neginf=-np.inf)
         averages = pd.Series(np.concatenate([[x[0] if ewma is None else ewma], x])).ewm(alpha=self.rate, adjust=False).mean().to_numpy()[1:]
         begun = 0 if ewma is not None else 1  # the first row of a station adds to no sum
         sums = [np.concatenate([np.zeros(begun), clipped_sums(s * x[begun:] - self.slack, start, self.reset)]) for s, start in ((1, up), (-1, down))]
@@ -161,8 +167,8 @@ class CausalScores(StatefulProcessor):
         begins = np.maximum.accumulate(np.where(fresh, np.arange(len(x)), -1))
         runs = np.where(begins >= 0, np.arange(len(x)) - begins + 1, np.arange(len(x)) + 1 + run)
         steps = np.abs(np.diff(x, prepend=x[0] if last is None else last))
-        now = float(averages[-1]), float(sums[0][-1]), float(sums[1][-1]), float(signs[-1]), int(runs[-1]), float(x[-1]), int(us[-1]), int(pdf["event_id"].iloc[-1])
-        return now, pdf[["station", "ts", "event_id", "x"]].assign(ewma=averages, cusum_pos=sums[0], cusum_neg=sums[1], persistence=runs, rate=steps)
+        now = float(averages[-1]), float(sums[0][-1]), float(sums[1][-1]), float(signs[-1]), int(runs[-1]), float(x[-1]), int(us[-1]), int(ids[-1])
+        return now, pd.DataFrame({"station": None, "ts": us.astype("datetime64[us]"), "event_id": ids, "x": values, "ewma": averages, "cusum_pos": sums[0], "cusum_neg": sums[1], "persistence": runs, "rate": steps})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.memory.clear()

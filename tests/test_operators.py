@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -456,3 +457,29 @@ def test_streams_close_what_is_over(spark, tmp_path):
     assert set(scores) == {1, 2, 3, 4, 5, 6, 7, 9, 10}
     assert scores[5].ewma == pytest.approx(0.3 * 7 + 0.7 * (0.3 * 9 + 0.7 * (0.3 * 3 + 0.7 * 1))) and scores[9].ewma == 4.0 and scores[9].rate == 0.0
     assert all(n <= 6 for n in left.values()), left
+
+
+def test_stream_scores_go_out_in_bounded_frames(monkeypatch):
+    """A station's rows of a micro-batch, in any order, are sent ROWS at a time, with the values of one frame."""
+    from maregraph.streaming import quality
+
+    class State:
+        value = None
+        exists, get, update = (lambda self: self.value is not None), (lambda self: self.value), (lambda self, v: setattr(self, "value", v))
+
+    class Handle:
+        getValueState, listTimers, registerTimer = (lambda self, *a: State()), (lambda self: []), (lambda self, t: None)
+
+    rng = np.random.default_rng(3)
+    minutes = np.cumsum(rng.choice([0, 1, 60 * 24 * 40], 500, p=[0.2, 0.78, 0.02]))
+    rows = pd.DataFrame({"station": 7, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(minutes, unit="min"), "event_id": np.arange(500), "x": np.where(rng.random(500) < 0.1, np.nan, rng.normal(0, 30, 500))}).sample(frac=1, random_state=1)
+    found = []
+    for size in (10_000, 7):
+        monkeypatch.setattr(quality, "ROWS", size)
+        scores = quality.CausalScores(25.0, 100.0, 0.3, 30 * 24 * 3_600_000)
+        scores.init(Handle())
+        frames = list(scores.handleInputRows((7,), iter([rows[:200], rows[200:]]), None))
+        assert max(map(len, frames)) <= size
+        found.append(pd.concat(frames, ignore_index=True))
+    pd.testing.assert_frame_equal(*found)
+    assert found[0]["event_id"].tolist() == list(range(500)) and len(found[0].query("persistence > 1"))
