@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -21,8 +22,8 @@ from maregraph.operators.models import TAUS
 from maregraph.operators.quantiles import exact_quantiles
 from maregraph.operators.work import stored
 
-#: Widths of the hidden layers, rows to a shard, sums that reach the driver in a step.
-HIDDEN, SHARD, SUMS = (64, 32), 4096, 16
+#: Widths of the hidden layers, rows to a shard, rows whose layers are held at once, sums that reach the driver in a step.
+HIDDEN, SHARD, STRETCH, SUMS = (64, 32), 4096, 512, 16
 
 
 @dataclass
@@ -59,13 +60,7 @@ class Net:
     def loss_and_gradient(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Summed cross-entropy of each model and its gradients. y: (rows, outputs), w: (F, rows, outputs), where softmax reads the first weight of a row."""
         outs = self.forward(x)
-        p = np.clip(outs[-1], 1e-12, 1 - 1e-12)
-        if self.kind == "ordinal":
-            loss = -(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum(axis=(1, 2))
-            delta = w * (outs[-1] - y)
-        else:
-            loss = -(w[..., :1] * y * np.log(p)).sum(axis=(1, 2))
-            delta = w[..., :1] * (outs[-1] - y)
+        loss, delta = self._loss(outs[-1], y, w), (w if self.kind == "ordinal" else w[..., :1]) * (outs[-1] - y)
         gradients: list[np.ndarray] = []
         for k in range(len(self.layers) - 2, -1, -2):
             gradients = [np.swapaxes(outs[k // 2], 1, 2) @ delta, delta.sum(axis=1), *gradients]
@@ -73,6 +68,16 @@ class Net:
                 delta = (delta @ np.swapaxes(self.layers[k], 1, 2)) * (outs[k // 2] > 0)
         return loss, gradients
 
+    def _loss(self, p: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        p = np.clip(p, 1e-12, 1 - 1e-12)
+        if self.kind == "ordinal":
+            return -(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum(axis=(1, 2))
+        return -(w[..., :1] * y * np.log(p)).sum(axis=(1, 2))
+
+    def loss(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Summed cross-entropy of each model, without a gradient."""
+        return self._loss(self.forward(x)[-1], y, w)
+
     def flat(self) -> list[float]:
         return np.concatenate([a.ravel() for a in self.layers]).tolist()
 
@@ -127,10 +132,12 @@ def train(df: DataFrame, features: list[str], label: str, part: Column, kind: st
             for at in range(0, batch.num_rows, SHARD):
                 b = batch.slice(at, SHARD)
                 x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-                one = {"x": [x.tobytes()], "y": [b.column("y").to_numpy().astype(np.int8).tobytes()], "c": [b.column("c").to_numpy().tobytes()], "part": [b.column("part").to_pylist()], "held": pa.array([b.column("held").to_pylist()], pa.list_(pa.string()))}
+                one = {"x": [x.tobytes()], "y": [b.column("y").to_numpy().astype(np.int8).tobytes()], "c": [b.column("c").to_numpy().tobytes()], "fit": [(pc.equal(b.column("part"), "train")).to_numpy(zero_copy_only=False).tobytes()]}
+                held = b.column("held").dictionary_encode()
+                one |= {"names": pa.array([held.dictionary.to_pylist()], pa.list_(pa.string())), "held": [held.indices.fill_null(-1).to_numpy().astype(np.int32).tobytes()]}
                 yield pa.RecordBatch.from_pydict(one)
 
-    shards = stored(packed.mapInArrow(shard, "x binary, y binary, c binary, part array<string>, held array<string>"), "shards")
+    shards = stored(packed.mapInArrow(shard, "x binary, y binary, c binary, fit binary, names array<string>, held binary"), "shards")
     found = packed.filter("part = 'train'").groupBy("held", "y").agg(F.sum("c").alias("n")).collect()  # three rows a fold
     folds = sorted({r["held"] for r in found} - {None}) if fold else []
     own = np.zeros((1 + len(folds), 3))
@@ -147,21 +154,28 @@ def train(df: DataFrame, features: list[str], label: str, part: Column, kind: st
         """Losses on training and validation rows, and the gradients of the first, summed over all rows, with the weights' sums."""
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: list[np.ndarray] | None = None
+            nothing = [np.zeros_like(a) for a in net.layers]
+            total, seen = [np.zeros(len(weights)) for _ in range(3)] + [a.copy() for a in nothing], False
             for batch in batches:
                 for r in batch.to_pylist():
-                    x, y, c = np.frombuffer(r["x"], np.float32).reshape(-1, len(features)).astype(np.float64), np.frombuffer(r["y"], np.int8), np.frombuffer(r["c"])
-                    fit = np.array([p == "train" for p in r["part"]])
-                    w = weights[:, y] * c[None, :, None]
-                    for k, name in enumerate(r["held"]):
-                        if name in number:
-                            w[number[name], k] = 0
-                    t = targets(kind, y)
-                    loss, g = net.loss_and_gradient(x[fit], t[fit], w[:, fit])
-                    check = Net.loss_and_gradient(net, x[~fit], t[~fit], w[:, ~fit])[0] if (~fit).any() else np.zeros(len(loss))
-                    mine = [loss, check, w[:, fit, :1].sum(axis=(1, 2)), *g]
-                    total = mine if total is None else [a + b for a, b in zip(total, mine, strict=True)]
-            if total is not None:
+                    x, y, c = np.frombuffer(r["x"], np.float32).reshape(-1, len(features)), np.frombuffer(r["y"], np.int8), np.frombuffer(r["c"])
+                    fit, own = np.frombuffer(r["fit"], bool), np.array([*(number.get(name, 0) for name in r["names"]), 0])[np.frombuffer(r["held"], np.int32)]
+                    for rows, training in ((np.flatnonzero(fit), True), (np.flatnonzero(~fit), False)):
+                        for at in range(0, len(rows), STRETCH):
+                            some = rows[at : at + STRETCH]
+                            w = weights[:, y[some]] * c[None, some, None]
+                            held = np.flatnonzero(own[some])
+                            w[own[some][held], held] = 0
+                            given = x[some].astype(np.float64), targets(kind, y[some]), w
+                            if training:
+                                loss, g = net.loss_and_gradient(*given)
+                                mine = [loss, np.zeros(len(loss)), w[..., :1].sum(axis=(1, 2)), *g]
+                            else:
+                                mine = [np.zeros(len(weights)), net.loss(*given), np.zeros(len(weights)), *nothing]
+                            for a, b in zip(total, mine, strict=True):
+                                a += b
+                            seen = True
+            if seen:
                 yield pa.RecordBatch.from_pydict({"group": [hash(tuple(total[0].tolist())) % SUMS], "sums": [np.concatenate([a.ravel() for a in total]).tobytes()]})
 
         def together(table: pa.Table) -> pa.Table:

@@ -97,6 +97,19 @@ def test_stored_pipeline_scores_the_same_in_a_table_and_a_stream(spark, tmp_path
     assert all(v[4] == "BAD" for i, v in before.items() if i % 50 == 0)
 
 
+def test_validation_rows_have_no_gradients(spark, monkeypatch):
+    """Shards hold no text of their rows, and what is held of a shard's layers is bounded: 40 steps over them are the cost of training."""
+    kept, given = [], N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name: kept.append(given(df, name)) or kept[-1])
+    df = spark.createDataFrame(rows_of(300), SCHEMA).coalesce(1)
+    N.train(df, ["a", "b", "c"], "label", F.col("part"), "ordinal", F.col("conf"), "station", steps=1, hidden=(6, 4))
+    shard = kept[0].first()
+    assert {k: len(v) for k, v in shard.asDict().items()} == {"x": 225 * 12, "y": 225, "c": 225 * 8, "fit": 225, "names": 3, "held": 225 * 4}
+    x, y = np.random.default_rng(1).normal(size=(9, 3)), N.targets("softmax", np.arange(9) % 3)
+    net, w = N.Net.drawn("softmax", 3, 2), np.ones((2, 9, 3))
+    assert np.array_equal(net.loss(x, y, w), net.loss_and_gradient(x, y, w)[0])
+
+
 def test_thresholds_of_keys_are_the_middle_of_the_best(spark):
     rng = np.random.default_rng(4)
     rows = [(k, float(np.clip(rng.normal(0.3 + 0.3 * t * (k == "a"), 0.15), 0, 1)), int(t)) for k in "ab" for t in rng.integers(0, 2, 200)]
