@@ -30,10 +30,10 @@ def _median(a: Column) -> Column:
 def trailing_median_mad(df: DataFrame, value: str, s: Series, window: int = 24, least: int = 3) -> DataFrame:
     """df with `_med` and `_mad` (about the frame's own median) of the `window` rows before each; null below `least` values."""
     frame = s.window.rowsBetween(-window, -1)
-    out = df.withColumn("_frame", F.array_sort(F.collect_list(value).over(frame)))
+    out = df.withColumn("_frame", F.sort_array(F.collect_list(value).over(frame)))
     enough = F.size("_frame") >= least
     out = out.withColumn("_med", F.when(enough, _median(F.col("_frame"))))
-    deviations = F.array_sort(F.transform("_frame", lambda v: F.abs(v - F.col("_med"))))
+    deviations = F.sort_array(F.transform("_frame", lambda v: F.abs(v - F.col("_med"))))
     return out.withColumn("_mad", F.when(enough, _median(deviations))).drop("_frame")
 
 

@@ -483,3 +483,10 @@ def test_stream_scores_go_out_in_bounded_frames(monkeypatch):
         found.append(pd.concat(frames, ignore_index=True))
     pd.testing.assert_frame_equal(*found)
     assert found[0]["event_id"].tolist() == list(range(500)) and len(found[0].query("persistence > 1"))
+
+
+def test_trailing_frames_are_sorted_without_comparators(spark):
+    """array_sort calls an interpreted comparator for every pair of every frame."""
+    df = spark.range(9).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.col("id").cast("double").alias("x"))
+    plan = causal.level_score(df, Series(("k",), ("t",), "x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
