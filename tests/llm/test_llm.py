@@ -569,6 +569,19 @@ def test_language_id_draws_texts_not_copies(spark):
     assert len(language_id.train_language_id(many, F.lit(True), dims=256, sample=100).langs) == 300
 
 
+def test_language_id_keeps_features_packed(spark, monkeypatch):
+    """A feature of the sample takes 8 bytes on the driver, and the weights are those of wide numbers to the bit."""
+    texts = [(f"das ist der satz nummer {chr(97 + i % 26)} von allen", "de") if i % 2 else (f"this is the sentence {chr(97 + i % 26)} of all", "en") for i in range(60)]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    seen, fit = [], language_id.fit_ftrl
+    monkeypatch.setattr(language_id, "fit_ftrl", lambda model, rows, *a: (seen.append(rows), fit(model, rows, *a)))
+    model = language_id.train_language_id(df, F.lit(True))
+    assert seen[0] and all(at.nbytes + counts.nbytes == 8 * len(at) for at, counts, _ in seen[0])
+    wide = language_id.LanguageModel(model.langs, np.zeros_like(model.weights), np.zeros_like(model.bias), model.idf)
+    fit(wide, [(at.astype(np.int64), counts.astype(np.float64), y) for at, counts, y in seen[0]])
+    assert np.array_equal(wide.weights, model.weights) and np.array_equal(wide.bias, model.bias)
+
+
 def test_ngram_counts_of_substrings():
     def number(gram):
         key = 0
