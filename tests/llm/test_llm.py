@@ -582,6 +582,18 @@ def test_language_id_keeps_features_packed(spark, monkeypatch):
     assert np.array_equal(wide.weights, model.weights) and np.array_equal(wide.bias, model.bias)
 
 
+def test_language_id_rows_are_stretches_of_one_array(spark, monkeypatch):
+    """Nothing of a row is an object of its own on the driver; rows are ordered by their bytes, then by language."""
+    raw = [(s, np.array(a, "<u4").tobytes(), np.array(c, "<u4").tobytes()) for s, a, c in (("en", [1, 300], [2, 70000]), ("de", [256], [1]), ("de", [], []), ("en", [1, 300], [2, 1]), ("de", [1, 300], [2, 1]))]
+    rows = language_id.unpacked(pa.table(dict(zip(("lang", "ids", "counts"), zip(*raw, strict=True), strict=True))), ["de", "en"])
+    assert [(at.tobytes(), c.tobytes(), ("de", "en")[y]) for at, c, y in rows] == sorted((a, c, s) for s, a, c in raw)
+    texts = [(f"das ist der satz nummer {chr(97 + i % 26)} von allen", "de") if i % 2 else (f"this is the sentence {chr(97 + i % 26)} of all", "en") for i in range(60)]
+    seen, fit = [], language_id.fit_ftrl
+    monkeypatch.setattr(language_id, "fit_ftrl", lambda model, rows, *a: (seen.append(rows), fit(model, rows, *a)))
+    language_id.train_language_id(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string"), F.lit(True))
+    assert len(seen[0]) > 10 and len({id(x.base) for at, c, _ in seen[0] for x in (at, c)}) == 1
+
+
 def test_ngram_counts_of_substrings():
     def number(gram):
         key = 0
