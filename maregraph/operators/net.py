@@ -258,7 +258,7 @@ class ClippedScaler(_Stage):
     def fitted(df: DataFrame, columns: list[str], low: float = 0.005, high: float = 0.995) -> ClippedScaler:
         """From exact quantiles of df's rows: bounds, median and quartile range (1 where it is 0)."""
         points = (low, 0.25, 0.5, 0.75, high)
-        found = exact_quantiles(stored(df.select(*columns), "features"), (), {f"{c}_{k}": (c, q) for c in columns for k, q in enumerate(points)}).first()
+        found = exact_quantiles(df, (), {f"{c}_{k}": (c, q) for c in columns for k, q in enumerate(points)}).first()
         bounds: list[float] = []
         for c in columns:
             lo, q1, mid, q3, hi = [found[f"{c}_{k}"] for k in range(5)] if found and found[f"{c}_0"] is not None else (0.0, 0.0, 0.0, 1.0, 0.0)

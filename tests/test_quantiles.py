@@ -117,3 +117,23 @@ def test_weak_labels_at_a_quantile_are_those_of_the_sql(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/events.parquet")
     duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(map(tuple, QUERIES["weak_label_v1"](spark, str(tmp_path)).collect())) == sorted(duckdb.sql(SQL["weak_label_v1"]).fetchall())
+
+
+@pytest.mark.parametrize("waiting", [1 << 20, 7])
+def test_columns_without_keys_are_counted_in_arrays(spark, monkeypatch, waiting):
+    """No row becomes one for each column; the quantiles are those of a single key's, whatever the values."""
+    monkeypatch.setattr(quantiles, "WAITING", waiting)
+    rng = np.random.default_rng(5)
+    near = (1 + rng.integers(0, 50, 400) * 2.0**-52).tolist()
+    drawn = [x for x in np.frombuffer(rng.bytes(8 * 400)).tolist() if x == x]
+    xs = (HARD * 30)[:400]
+    rows = [("k", x, y, z, None if i % 3 else float("nan"), i % 4) for i, (x, y, z) in enumerate(zip(xs, near, drawn, strict=False))]
+    df = spark.createDataFrame(rows, "k string, x double, near double, drawn double, none double, n int").repartition(4)
+    points = {f"{c}_{k}": (c, q) for c in ("x", "near", "drawn", "none", "n") for k, q in enumerate((0.0, 0.005, 0.25, 0.5, 0.995, 1.0))}
+    sizes, keep = [], quantiles.stored
+    monkeypatch.setattr(quantiles, "stored", lambda table, name: (out := keep(table, name), sizes.append((name, out.count())))[0])
+    got = exact_quantiles(df, (), points).first().asDict()
+    assert dict(sizes)["keys"] == len(rows)
+    want = exact_quantiles(df, ("k",), points).first().asDict()
+    same = lambda a, b: a == b or (a != a and b != b)
+    assert all(same(got[c], want[c]) for c in points) and got["none_0"] is None and got["x_3"] is not None
