@@ -256,7 +256,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("far"))
     roots = connected_components(found.filter("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root")
     rooted = persisted(classes.select("key", "rep", "least", "m").join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
-    known = with_totals(rooted, ["root"], "rep", salts_for(n), component=(F.col("least"), "min"))
+    known = with_totals(rooted, ["root"], component=F.min("least"))
     out = looked_up(rows.select("vec_id", "key"), ["key"], known, "vec_id", salts_for(n), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("m") - 1 + F.coalesce("far", F.lit(0)), F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

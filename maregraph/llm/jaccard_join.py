@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maregraph.llm.common import looked_up, persisted, salts_for, whole_row, with_totals
+from maregraph.llm.common import persisted, salts_for, whole_row, with_totals
 from maregraph.llm.components import connected_components
 
 #: Characters of text to a block, distinct shingles to a range.
@@ -269,15 +269,15 @@ def _open_groups(call: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _met(wanted: DataFrame, members: DataFrame, groups: DataFrame, sets: DataFrame, function: Callable[[pa.Table], pa.Table], schema: str, salts: int) -> DataFrame:
+def _met(wanted: DataFrame, members: DataFrame, groups: DataFrame, sets: DataFrame, function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """function over calls of groups (rows `gid, rep, n, home, tokens, sizes`) and the queries that want them, both dealt by bytes."""
-    asked = with_totals(wanted, ["gid"], "rep", salts, q=(8 * F.col("shared"), "sum")).withColumn("parts", F.ceil(F.greatest("q", F.lit(1)) / QUERY_BYTES))
-    body = ["gid", "part", "member", "rep", "n", "home", "tokens", "sizes"]
-    queries = asked.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).join(sets.select("rep", "n", "home", "tokens"), "rep")
     parts = wanted.groupBy("gid").agg(F.sum(8 * F.col("shared")).alias("q")).withColumn("parts", F.ceil(F.greatest("q", F.lit(1)) / QUERY_BYTES))
-    spread = members.join(parts, "gid").withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "member": F.lit(True)}).select(*body)
+    parts = persisted(parts.join(groups.select("gid", "bytes"), "gid"), "parts")
+    body = ["gid", "part", "member", "rep", "n", "home", "tokens", "sizes"]
+    queries = wanted.join(parts.select("gid", "parts"), "gid").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).join(sets.select("rep", "n", "home", "tokens"), "rep")
+    spread = members.join(parts.select("gid", "parts"), "gid").withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)), "member": F.lit(True)}).select(*body)
     every = spread.unionByName(queries.withColumns({"member": F.lit(False), "sizes": F.lit(None).cast("binary")}).select(*body))
-    total = parts.join(groups, "gid").agg(F.sum(F.col("parts") * F.col("bytes") + F.col("q"))).first()[0] or 0
+    total = parts.agg(F.sum(F.col("parts") * F.col("bytes") + F.col("q"))).first()[0] or 0
     return every.groupBy(F.pmod(F.xxhash64("gid", "part"), F.lit(1 + total // CALL_BYTES)).alias("call")).applyInArrow(function, schema)
 
 
@@ -304,7 +304,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     # sets that link to a leader are one component from the start; `home` is the component known so far
     led = connected_components(_leader_links(classes, percent, salts)).select(F.col("node").alias("rep"), "root")
     homed = classes.select("rep", "d1", "n", "shared", F.col("keys")[0].alias("g")).join(led, "rep", "left").select("rep", "d1", "n", "shared", F.coalesce("root", "rep").alias("home"), F.col("root").isNotNull().alias("joined"), F.when(F.col("root").isNotNull(), F.col("root")).otherwise(F.col("g")).alias("key"))
-    homed = with_totals(persisted(homed, "homes"), ["joined", "key"], "rep", salts, c=(F.lit(1), "sum"), b=(8 * F.col("shared"), "sum"))
+    homed = with_totals(persisted(homed, "homes"), ["joined", "key"], c=F.count("*"), b=F.sum(8 * F.col("shared")))
     gid = F.xxhash64("joined", "key", F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col("c") / MEMBERS), F.ceil(F.col("b") / GROUP_BYTES))))
     weight = F.when(F.col("joined"), F.col("c")).otherwise(1).cast("long").alias("weight")
     placed = homed.select("rep", "d1", "n", "home", gid.alias("gid"), weight)
@@ -332,15 +332,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     unions = persisted(unions, "unions")
     empty = F.lit(None).cast("long")
     body = ["gid", "rep", "n", "home", "tokens", "sizes"]
-    fit = _met(wanted, unions.withColumns({"rep": empty, "n": empty, "home": empty}).select(*body), groups, grouped, lambda call: _qualified(call, percent), "gid long, rep long, shared long", salts)
+    fit = _met(wanted, unions.withColumns({"rep": empty, "n": empty, "home": empty}).select(*body), groups, grouped, lambda call: _qualified(call, percent), "gid long, rep long, shared long")
     fit = persisted(fit, "qualified")
-    links = _met(fit, grouped.withColumn("sizes", F.lit(None).cast("binary")).select(*body), groups, grouped, lambda call: _open_groups(call, percent), "a long, b long", salts)
+    links = _met(fit, grouped.withColumn("sizes", F.lit(None).cast("binary")).select(*body), groups, grouped, lambda call: _open_groups(call, percent), "a long, b long")
     roots = connected_components(links)
-    rooted = looked_up(grouped.select("rep", "home"), ["home"], roots.withColumnRenamed("node", "home"), "rep", salts, "left").select("rep", F.coalesce("root", "home").alias("root"))
+    rooted = grouped.select("rep", "home").join(roots.withColumnRenamed("node", "home"), "home", "left").select("rep", F.coalesce("root", "home").alias("root"))
     # an id that rows of several sets share is one node, and its row here is one
-    labels = with_totals(persisted(rooted, "rooted"), ["root"], "rep", salts, component=(F.col("rep"), "min")).groupBy("rep").agg(F.min("component").alias("component"))
+    labels = with_totals(persisted(rooted, "rooted"), ["root"], component=F.min("rep")).groupBy("rep").agg(F.min("component").alias("component"))
     named = classes.select("n", "d1", "d2", "rep").join(labels, "rep").select("n", "d1", "d2", "component")
-    out = looked_up(sets.select("doc_id", "n", "d1", "d2"), ["n", "d1", "d2"], named, "doc_id", salts, "left")
+    out = sets.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -283,6 +283,20 @@ def test_components_of_paths_and_hubs(spark):
     assert {got[i] for i in range(101, 161)} <= {61, *range(60, 101)} and len({got[i] for i in range(101, 161)}) == 1
 
 
+def test_rounds_of_components_shuffle_little(spark):
+    """The driver makes buffers for each job, however few rows it has, so lookups are one join each."""
+    sc = spark.sparkContext
+    links = spark.createDataFrame([(5, k) for k in range(1000, 1200)] + [(1, 5)], "a long, b long")
+    try:
+        sc.setJobGroup("components-rounds", "")
+        roots = connected_components(links)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("components-rounds"))
+    assert {r.root for r in roots.collect()} == {1} and roots.count() == 202
+    assert 5 <= jobs <= 15, jobs
+
+
 # 4
 def test_url_filter(spark, tmp_path):
     import duckdb
