@@ -20,35 +20,65 @@ SLOPE_WINDOWS = (6, 12, 24, 48)
 CUSUM_SLACK, CUSUM_RESET = 0.5, 20.0
 
 
-def _median(a: Column) -> Column:
-    """Of a sorted array."""
-    n = F.size(a)
-    lo, hi = F.floor((n + 1) / 2).cast("int"), F.floor((n + 2) / 2).cast("int")
-    return (F.element_at(a, lo) + F.element_at(a, hi)) / 2
+_NUMBERS = T.StructType([T.StructField("med", T.DoubleType()), T.StructField("mad", T.DoubleType())])
+
+
+@F.arrow_udf(_NUMBERS)
+def _median_mad(frames: pa.Array) -> pa.Array:
+    """The median of each list (of no nulls, not empty) and that of the distances to it."""
+    offsets = frames.offsets.to_numpy()
+    n = np.diff(offsets)
+    values = np.full((len(frames), max(1, int(n.max(initial=0)))), np.nan)  # which sorts behind all others
+    values[np.arange(values.shape[1]) < n[:, None]] = frames.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    at, rows = (np.maximum((n + 1) // 2 - 1, 0), np.maximum((n + 2) // 2 - 1, 0)), np.arange(len(n))
+
+    def median(x: np.ndarray) -> np.ndarray:
+        x = np.sort(x, axis=1)
+        return (x[rows, at[0]] + x[rows, at[1]]) / 2
+
+    with np.errstate(invalid="ignore"):
+        med = median(values)
+        mad = median(np.abs(values - med[:, None]))
+    return pa.StructArray.from_arrays([pa.array(med), pa.array(mad)], ["med", "mad"])
+
+
+def _trailing(s: Series, value: Column, window: int = 24) -> Column:
+    """The `window` values before each row that aren't null."""
+    return F.collect_list(value.cast("double")).over(s.window.rowsBetween(-window, -1))
+
+
+def _with_median_mad(df: DataFrame, frame: str, least: int) -> DataFrame:
+    found = F.when(F.size(frame) >= least, _median_mad(F.col(frame)))
+    return df.withColumn("_found", found).withColumns({"_med": F.col("_found.med"), "_mad": F.col("_found.mad")}).drop("_found", frame)
 
 
 def trailing_median_mad(df: DataFrame, value: str, s: Series, window: int = 24, least: int = 3) -> DataFrame:
     """df with `_med` and `_mad` (about the frame's own median) of the `window` rows before each; null below `least` values."""
-    frame = s.window.rowsBetween(-window, -1)
-    out = df.withColumn("_frame", F.sort_array(F.collect_list(value).over(frame)))
-    enough = F.size("_frame") >= least
-    out = out.withColumn("_med", F.when(enough, _median(F.col("_frame"))))
-    deviations = F.sort_array(F.transform("_frame", lambda v: F.abs(v - F.col("_med"))))
-    return out.withColumn("_mad", F.when(enough, _median(deviations))).drop("_frame")
+    return _with_median_mad(df.withColumn("_frame", _trailing(s, F.col(value), window)), "_frame", least)
+
+
+def _distance(x: Column) -> Column:
+    return F.coalesce(x / (MAD_TO_SIGMA * F.col("_mad") + 1e-6), F.lit(0.0))
 
 
 def level_score(df: DataFrame, s: Series) -> DataFrame:
-    out = trailing_median_mad(df, s.value, s)
-    score = F.abs(s.x - F.col("_med")) / (MAD_TO_SIGMA * F.col("_mad") + 1e-6)
-    return out.withColumn("level_score", F.coalesce(score, F.lit(0.0))).drop("_med", "_mad")
+    return trailing_median_mad(df, s.value, s).withColumn("level_score", _distance(F.abs(s.x - F.col("_med")))).drop("_med", "_mad")
+
+
+def _acceleration(s: Series) -> Column:
+    return s.x - 2 * F.lag(s.x).over(s.window) + F.lag(s.x, 2).over(s.window)
 
 
 def acceleration_score(df: DataFrame, s: Series) -> DataFrame:
-    w = s.window
-    out = df.withColumn("_acc", s.x - 2 * F.lag(s.x).over(w) + F.lag(s.x, 2).over(w))
-    out = trailing_median_mad(out, "_acc", s)
-    score = F.abs(F.col("_acc")) / (MAD_TO_SIGMA * F.col("_mad") + 1e-6)
-    return out.withColumn("acc_score", F.coalesce(score, F.lit(0.0))).drop("_acc", "_med", "_mad")
+    out = trailing_median_mad(df.withColumn("_acc", _acceleration(s)), "_acc", s)
+    return out.withColumn("acc_score", _distance(F.abs("_acc"))).drop("_acc", "_med", "_mad")
+
+
+def trailing_scores(df: DataFrame, s: Series, least: int = 3) -> DataFrame:
+    """df with level_score and acc_score: both frames are taken in one sorting of the series, before any row goes to Python."""
+    out = df.withColumn("_acc", _acceleration(s)).withColumns({"_frame": _trailing(s, s.x), "_acc_frame": _trailing(s, F.col("_acc"))})
+    out = _with_median_mad(out, "_frame", least).withColumn("level_score", _distance(F.abs(s.x - F.col("_med"))))
+    return _with_median_mad(out, "_acc_frame", least).withColumn("acc_score", _distance(F.abs("_acc"))).drop("_acc", "_med", "_mad")
 
 
 def rate(s: Series) -> Column:

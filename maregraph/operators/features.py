@@ -33,7 +33,7 @@ def causal_vector(df: DataFrame, s: Series, predicted: str, missing: Column, kee
     kept = [*dict.fromkeys([*s.keys, *s.order, *keep])]
     base = df.withColumns({"y": s.x, "residual": F.coalesce(s.x - F.col(predicted), F.lit(0.0)), "missing_mask": missing.cast("int"), "_train": F.lit(True) if train is None else F.coalesce(train, F.lit(False))})
     base = base.withColumns({"predicted": F.coalesce(F.col(predicted), s.x), "abs_residual": F.abs("residual"), "outside": (~s.x.between(low, high)).cast("int"), "rate": K.rate(s)})
-    out = K.sign_persistence(K.rolling_slope(K.acceleration_score(K.level_score(base, s), s), s, "residual"), s, "residual")
+    out = K.trailing_scores(K.sign_persistence(K.rolling_slope(base, s, "residual"), s, "residual"), s)
     there = [c for c in VECTOR if c in out.columns]
     out = stored(K.recursive_memory(out, s, "residual", (*kept, *there, "_train"), rows=rows), "memory")
     if calibration is None:

@@ -110,6 +110,27 @@ def test_validation_rows_have_no_gradients(spark, monkeypatch):
     assert np.array_equal(net.loss(x, y, w), net.loss_and_gradient(x, y, w)[0])
 
 
+def test_shards_are_dealt_evenly_and_rows_meet_only_models_that_learn_from_them(spark, monkeypatch):
+    """A step takes as long as the task with the most shards; a row costs nothing for its own fold's model; buffers change no bit."""
+    kept, given = [], N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name: kept.append(given(df, name)) or kept[-1])
+    monkeypatch.setattr(N, "SHARD", 8)
+    df = spark.createDataFrame(rows_of(300), SCHEMA).coalesce(1)
+    net, folds = N.train(df, ["a", "b", "c"], "label", F.col("part"), "ordinal", F.col("conf"), "station", steps=2, hidden=(6, 4))
+    assert len(kept[0].inputFiles()) > 4 and kept[0].count() == 29
+    assert net.but(0) is net and all(np.array_equal(a, b[[0, 1, 3]]) for a, b in zip(net.but(2).layers, net.layers, strict=True))
+    rng, room = np.random.default_rng(1), N.Room()
+    for n in (9, 4, 9):
+        x, y, w = rng.normal(size=(n, 3)), N.targets("ordinal", np.arange(n) % 3), rng.random((4, n, 2))
+        for a, b in zip(net.loss_and_gradient(x, y, w, room)[1], net.loss_and_gradient(x, y, w)[1], strict=True):
+            assert np.array_equal(a, b)
+    got = {(r.i, r.fold): r.p_bad for r in N.bad_by_fold(df, ["a", "b", "c"], net, folds, F.col("station"), ("i",)).collect()}
+    assert len(got) == 300 * 3 and not any((i, f"s{i % 3}") in got for i in range(300))
+    for k, fold in enumerate(["all", *folds]):
+        want = {r.i: r.p_bad for r in N.probabilities(df, ["a", "b", "c"], net, F.lit(k)).collect()}
+        assert all(got[i, fold] == pytest.approx(want[i], rel=1e-12) for i in want if f"s{i % 3}" != fold)
+
+
 def test_thresholds_of_keys_are_the_middle_of_the_best(spark):
     rng = np.random.default_rng(4)
     rows = [(k, float(np.clip(rng.normal(0.3 + 0.3 * t * (k == "a"), 0.15), 0, 1)), int(t)) for k in "ab" for t in rng.integers(0, 2, 200)]
