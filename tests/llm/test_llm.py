@@ -583,6 +583,26 @@ def test_language_id_draws_texts_not_copies(spark):
     assert len(language_id.train_language_id(many, F.lit(True), dims=256, sample=100).langs) == 300
 
 
+def test_language_id_learns_from_every_text(spark, monkeypatch):
+    """What stands only in texts outside the driver's draw has weights, whatever tasks the rows come from; copies don't change them."""
+    monkeypatch.setattr(language_id, "LEARNER", 20)
+    texts = [("".join(chr(97 + (i // 26**j + 7 * j) % 26) for j in range(3)) * 2 + (" der satz" if i % 2 else " the line"), "de" if i % 2 else "en") for i in range(400)]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate([*texts, *texts[:50] * 3])], "doc_id long, text string, lang string")
+    seen, fit = [], language_id.fit_ftrl
+    monkeypatch.setattr(language_id, "fit_ftrl", lambda model, rows, *a: (seen.append(rows), fit(model, rows, *a)) if len(rows) <= 40 else fit(model, rows, *a))
+    model = language_id.train_language_id(df, F.lit(True), sample=40)
+    drawn = np.unique(np.concatenate([at for at, _, _ in seen[0]]))
+    rest = np.setdiff1d(np.concatenate([language_id.ngram_counts(t)[0] for t, _ in texts]), drawn)
+    assert len(seen[0]) <= 40 and len(rest) > 100 and (model.weights[rest] != 0).any(axis=1).mean() > 0.9
+    for other in (df.repartition(7), df.coalesce(1).orderBy(F.desc("doc_id"))):
+        again = language_id.train_language_id(other, F.lit(True), sample=40)
+        assert np.array_equal(again.weights, model.weights) and np.array_equal(again.bias, model.bias) and again.temperature == model.temperature
+    wide = [(np.array([1, 70000]), np.array([1, 300]), 1 << 17), (np.array([5]), np.array([1 << 20]), 1 << 15), (np.zeros(0, np.int64), np.zeros(0, np.int64), 256)]
+    for at, counts, dims in wide:
+        got = language_id.widened(*language_id.packed(at, counts, dims), dims)
+        assert got[0].tolist() == at.tolist() and got[1].tolist() == counts.tolist()
+
+
 def test_language_id_keeps_features_packed(spark, monkeypatch):
     """A feature of the sample takes 8 bytes on the driver, and the weights are those of wide numbers to the bit."""
     texts = [(f"das ist der satz nummer {chr(97 + i % 26)} von allen", "de") if i % 2 else (f"this is the sentence {chr(97 + i % 26)} of all", "en") for i in range(60)]
