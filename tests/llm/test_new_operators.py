@@ -74,6 +74,37 @@ def test_trees_keep_their_directions_and_agree_with_a_walk():
     assert np.allclose([walk(r) for r in x[:100]], trees.margin(x[:100]))
 
 
+def test_trees_of_spread_rows_are_those_of_the_driver(spark, monkeypatch):
+    """However rows are dealt, all of them are counted: the trees are grow()'s in the same bins."""
+    monkeypatch.setattr(quality_rules, "SHARD", 100)
+    monkeypatch.setattr(quality_rules, "REFRESH", 3)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 3)).round(1)
+    y = (x[:, 0] - x[:, 1] + np.abs(x[:, 2]) + rng.normal(scale=0.7, size=2000) > 0).astype(float)
+    cuts = quality_rules.borders(x, 16)
+    want = quality_rules.grow(x, y, [1, -1, 0], rounds=7, cuts=cuts)
+    df = spark.createDataFrame([(int(b), *map(float, a)) for a, b in zip(x, y, strict=True)], "label int, a double, b double, c double")
+    got = [quality_rules.grow_spread(rows, ["a", "b", "c"], cuts, float(y.mean()), [1, -1, 0], rounds=7) for rows in (df.repartition(5), df.coalesce(1))]
+    assert all(np.allclose(t.margin(x), want.margin(x), atol=1e-6) for t in got)
+    assert np.array_equal(got[0].margin(x), got[1].margin(x))
+
+
+def test_quality_is_learned_from_every_label(spark, monkeypatch):
+    """More labels than the driver takes are all counted, none is left out."""
+    seen, given = [], quality_rules.grow_spread
+    monkeypatch.setattr(quality_rules, "grow_spread", lambda rows, *a: (seen.append(rows.count()), given(rows, *a, rounds=2))[1])
+    rng = np.random.default_rng(6)
+    rows = [(i, *(int(v) for v in rng.integers(20, 90, len(quality_rules.COUNTS)))) for i in range(600)]
+    rows = [(r[0], 100, *r[2:5], 0, *r[6:]) for r in rows]
+    counted = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS))
+    labels = spark.createDataFrame([(r[0], int(r[3] < 50)) for r in rows], "doc_id long, quality int")
+    model = quality_rules.train_quality(counted, labels, F.col("quality") == 1, sample=100)
+    held = counted.filter("pmod(pmod(xxhash64(doc_id), 1099511627776), 5) = 0").count()
+    assert seen == [600 - held] and 60 < held < 180 and 0 < model.least <= 0.5
+    good = quality_rules.judge(counted, model).join(labels, "doc_id").filter("quality = 1").collect()
+    assert sum(r.kept for r in good) >= 0.95 * len(good)
+
+
 def test_quality_rules_over_whole_table(spark):
     got = {r.doc_id: r for r in QUERIES["op11_quality_rules"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
